@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weir.functions import text, urls
 from weir.functions.text import or_empty, present, strip
-from weir.operators.numbering import add_ordinal, carry_forward
+from weir.operators.numbering import carry_and_number
 
 # Manifest layout and the index page's colours and words.
 MANIFEST_FIELDS = ["index", "section", "url", "title", "file", "status", "error"]
@@ -18,32 +18,31 @@ THEMES = {
 
 
 def parse_url_list(lines: DataFrame, run: str = "list", line_no: str = "line_no") -> DataFrame:
-    """Lines ``(run, line_no, line)`` to entries ``(run, line_no, section, url, title)``.
+    """Lines ``(run, line_no, line)`` to entries ``(run, line_no, index, section, url, title)``.
 
     A line starting ``##`` sets the section for the lines below it; blank lines,
     ``# `` comments and lines that are no http(s) address are passed over.
+    Entries are numbered 1, 2, ... per run in file order.
     """
     bare = lines.withColumn("_l", strip(F.col("line")))
     comment = (F.col("_l") == "") | F.col("_l").startswith("# ")
     heading = F.col("_l").startswith("##")
-    section = F.when(~comment & heading, strip(F.ltrim(F.col("_l"), F.lit("#"))))
-    # Only headings and addresses matter from here on; the rest never reaches the shuffle.
     cut = F.instr(F.col("_l"), " | ")
     address = F.when(cut > 0, strip(F.left(F.col("_l"), cut - 1))).otherwise(F.col("_l"))
     title = F.when(cut > 0, strip(F.substr(F.col("_l"), cut + 3))).otherwise("")
+    # Only headings and addresses matter from here on; the rest never reaches the shuffle.
     kept = bare.select(
-        run, line_no, section.alias("_set"),
+        run, line_no,
+        F.when(~comment & heading, strip(F.ltrim(F.col("_l"), F.lit("#")))).alias("_heading"),
         F.when(~comment & ~heading, address).alias("url"), title.alias("title"),
     ).filter(
-        F.col("_set").isNotNull() | F.col("url").startswith("http://") | F.col("url").startswith("https://")
+        F.col("_heading").isNotNull() | F.col("url").startswith("http://") | F.col("url").startswith("https://")
     )
-    carried = carry_forward(kept, [run], line_no, F.col("_set"), "section", F.lit(""))
-    return carried.filter(F.col("_set").isNull()).select(run, line_no, "section", "url", "title")
-
-
-def number_entries(entries: DataFrame, run: str = "list", line_no: str = "line_no") -> DataFrame:
-    """Adds ``index``: 1, 2, ... per run in file order."""
-    return add_ordinal(entries, [run], line_no, "index")
+    numbered = carry_and_number(
+        kept, [run], line_no, value=F.col("_heading"), counted=F.col("_heading").isNull(),
+        carried="section", index="index", default=F.lit(""),
+    )
+    return numbered.filter(F.col("_heading").isNull()).select(run, line_no, "index", "section", "url", "title")
 
 
 def resume(entries: DataFrame, existing: DataFrame, run: str = "list") -> DataFrame:
@@ -70,13 +69,13 @@ def resume(entries: DataFrame, existing: DataFrame, run: str = "list") -> DataFr
     )
 
 
-def finish(planned: DataFrame, captures: DataFrame, run: str = "list") -> DataFrame:
-    """Resolves 'todo' entries with ``captures(run, index, page_title, capture_error)``.
+def finish(planned: DataFrame, captures: DataFrame, run: str = "list", on: str = "index") -> DataFrame:
+    """Resolves 'todo' entries with ``captures(run, on, page_title, capture_error)``.
 
     Title: custom, else page title, else address. No capture, or one with an
     error, makes a failed entry with an empty file name.
     """
-    done = planned.join(captures, [run, "index"], "left")
+    done = planned.join(captures, [run, on], "left")
     skip = F.col("status") == "skip"
     failed = ~skip & (F.col("page_title").isNull() | F.col("capture_error").isNotNull())
     title = F.coalesce(present(F.col("title")), present(F.col("page_title")), F.col("url"))

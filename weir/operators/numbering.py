@@ -1,8 +1,9 @@
 """Positions and carried values inside groups of any size.
 
 A window over a whole group puts the group into one task. Here every group is
-cut into blocks of ``width`` order values; only one summary row per block
-crosses the group, and the row-level window runs inside (group, block).
+cut into blocks of order values; only one summary row per block crosses the
+group, and the row-level window runs inside (group, block). The order column is
+a whole number that is unique in its group; it may have gaps.
 """
 
 from __future__ import annotations
@@ -10,45 +11,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_WIDTH = 65_536
+BLOCK_BITS = 16
 
 
-def _blocks(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
+def _in_blocks(df: DataFrame, order: str, bits: int) -> DataFrame:
+    return df.withColumn("_block", F.shiftright(F.col(order).cast("bigint"), bits))
 
 
-def _before(group: list[str]):
+def _earlier_blocks(group: list[str]):
     return Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def add_ordinal(df: DataFrame, group: list[str], order: str, name: str, start: int = 1, width: int = BLOCK_WIDTH) -> DataFrame:
-    """Number rows ``start``, ``start + 1``, ... per group by a whole-number column unique in it."""
-    cut = _blocks(df, order, width)
+def _so_far(group: list[str], order: str):
+    return Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def add_ordinal(
+    df: DataFrame, group: list[str], order: str, name: str, start: int = 1, block_bits: int = BLOCK_BITS
+) -> DataFrame:
+    """Number the rows ``start``, ``start + 1``, ... per group."""
+    cut = _in_blocks(df, order, block_bits)
     sizes = cut.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(*group, "_block", F.coalesce(F.sum("_n").over(_before(group)), F.lit(0)).alias("_off"))
+    offsets = sizes.select(
+        *group, "_block", F.coalesce(F.sum("_n").over(_earlier_blocks(group)), F.lit(0)).alias("_offset")
+    )
     within = Window.partitionBy(*group, "_block").orderBy(order)
     return (
         cut.join(offsets, [*group, "_block"])
-        .withColumn(name, (F.row_number().over(within) + F.col("_off") + (start - 1)).cast("bigint"))
-        .drop("_block", "_off")
+        .withColumn(name, (F.row_number().over(within) + F.col("_offset") + (start - 1)).cast("bigint"))
+        .drop("_block", "_offset")
     )
 
 
-def carry_forward(
-    df: DataFrame, group: list[str], order: str, value: Column, name: str, default: Column, width: int = BLOCK_WIDTH
+def carry_and_number(
+    df: DataFrame, group: list[str], order: str, *, value: Column, counted: Column, carried: str, index: str,
+    default: Column, block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Latest non-NULL ``value`` at or before each row of its group, else ``default``."""
-    cut = _blocks(df.withColumn("_v", value), order, width)
-    # Only rows that set a value are summarised; they are few next to all rows.
-    setters = cut.filter(F.col("_v").isNotNull())
-    last = setters.groupBy(*group, "_block").agg(F.max_by("_v", order).alias("_last"))
-    blocks = cut.select(*group, "_block").distinct().join(last, [*group, "_block"], "left")
-    carried = blocks.select(
-        *group, "_block", F.last("_last", ignorenulls=True).over(_before(group)).alias("_carried")
+    """Two running values in one pass over the rows.
+
+    ``carried``: the latest non-NULL ``value`` at or before the row, else
+    ``default``. ``index``: how many ``counted`` rows there are up to the row.
+    """
+    cut = _in_blocks(df.withColumn("_value", value).withColumn("_counted", counted), order, block_bits)
+    set_at = F.when(F.col("_value").isNotNull(), F.col(order))
+    blocks = cut.groupBy(*group, "_block").agg(
+        F.count_if("_counted").alias("_n"), F.max_by("_value", set_at).alias("_last")
+    )
+    before = _earlier_blocks(group)
+    entering = blocks.select(
+        *group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        F.last("_last", ignorenulls=True).over(before).alias("_entering"),
     )
-    within = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _so_far(group, order)
     return (
-        cut.join(carried, [*group, "_block"])
-        .withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(within), "_carried", default))
-        .drop("_block", "_v", "_carried")
+        cut.join(entering, [*group, "_block"])
+        .withColumn(carried, F.coalesce(F.last("_value", ignorenulls=True).over(so_far), "_entering", default))
+        .withColumn(index, F.count_if("_counted").over(so_far) + F.col("_offset"))
+        .drop("_block", "_value", "_counted", "_entering", "_offset")
     )

@@ -22,8 +22,8 @@ def rolling_sum(
     width, step = window_seconds * 1_000_000, step_seconds * 1_000_000
     span = window_seconds // step_seconds
     base = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    step_of = lambda c: F.floor(c / F.lit(step))
-    per_step = base.groupBy(key, step_of(F.col("_t")).alias("_step")).agg(F.sum(value).alias("_s"))
+    step_of_row = F.expr(f"_t div {step}")
+    per_step = base.groupBy(key, step_of_row.alias("_step")).agg(F.sum(value).alias("_s"))
     # Each step's total is due in the steps 1 .. span-1 after it: a running sum over step numbers.
     between = Window.partitionBy(key).orderBy("_step").rangeBetween(-(span - 1), -1)
     middle = per_step.select(key, "_step", F.coalesce(F.sum("_s").over(between), F.lit(0)).alias("_middle"))
@@ -32,7 +32,7 @@ def rolling_sum(
         *[(F.col(c) if c in (key, value) else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes],
         (F.col("_t") + width).alias("_t"), F.lit(False).alias("_own"),
     )
-    both = own.unionByName(context).withColumn("_step", step_of(F.col("_t")))
+    both = own.unionByName(context).withColumn("_step", step_of_row)
     joined = both.join(middle, [key, "_step"])
     w = Window.partitionBy(key, "_step").orderBy("_t")
     up_to = w.rangeBetween(Window.unboundedPreceding, 0)

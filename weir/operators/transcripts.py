@@ -40,7 +40,7 @@ def concat_segments(segments: DataFrame, key: str, position: str, text: str = "t
     A recording of any ordinary length is part 0. Longer ones continue in
     parts 1, 2, ..., so no group grows without bound and nothing is cut.
     """
-    part = F.floor(F.col(position) / F.lit(per_part)).alias("part")
+    part = F.expr(f"{position} div {per_part}").alias("part")
     ordered = F.array_sort(F.collect_list(F.struct(position, text)))
     return segments.groupBy(key, part).agg(
         F.array_join(F.transform(ordered, lambda s: s[text]), separator).alias("transcript")
