@@ -7,96 +7,112 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weir.functions.text import collapse, let, or_empty, present, strip
+from weir.functions.text import collapse, let, or_empty, present_once, strip
 from weir.functions.urls import origin_of, parts, resolve_in
 
 COMMENT = r"(?s)<!--.*?-->"
+CODE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 BLOCK_TAGS = "p|div|li|ul|ol|h[1-6]|nav|section|article|main|header|footer|table|tr|blockquote|pre"
+LINE_BREAK = rf"(?i)^<(?:br\s*/?|/?(?:{BLOCK_TAGS})\b[^>]*)>"
+TAG = r"^<[^>]+>"
 
 
 def decode_entities(c: Column) -> Column:
     """The five named entities text runs carry; the ampersand last, so nothing decodes twice."""
-    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
-        c = F.replace(c, F.lit(safe), F.lit(raw))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    def chain(text: Column) -> Column:
+        for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+            text = F.replace(text, F.lit(safe), F.lit(raw))
+        return text
+
+    return let(c, lambda text: F.when(text.contains("&"), chain(text)).otherwise(text))
 
 
 def without_code(html: Column) -> Column:
     """Drop comments, scripts and styles; they may hold text that looks like tags."""
-    html = F.regexp_replace(html, COMMENT, "")
-    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    return F.regexp_replace(html, CODE, "")
+
 
+def pieces(html: Column) -> Column:
+    """The page cut before every ``<``: each piece is a tag and the text after it.
+
+    Selection and text extraction work on this array, so the page itself is
+    scanned once however many elements are looked up.
+    """
+    return F.split(html, "(?=<)")
 
-def select_first(html: Column, *selectors: str) -> Column:
-    """Inner HTML of the first element matching one selector; NULL when none matches.
+
+def select_first(cut: Column, *selectors: str) -> Column:
+    """Pieces inside the first element matching one selector; NULL when none matches.
 
     Selectors: ``tag``, ``#id``, ``.class`` and ``[attr=value]``; several mean
     nested selection. The closing tag is found by counting nesting depth, so
     same-named children do not end the element early.
     """
     for selector in selectors:
-        html = _inner(html, selector)
-    return html
+        cut = let(cut, _finder(selector))
+    return cut
 
 
-def _inner(html: Column, selector: str) -> Column:
-    name, attribute = r"[a-z][a-z0-9]*", ""
+def _opening(selector: str) -> str:
+    """Pattern of the opening tag, anchored at the start of a piece."""
+    name, attribute = "[a-zA-Z][a-zA-Z0-9]*", None
     if selector.startswith("#"):
-        attribute = rf"""\sid\s*=\s*["']?{re.escape(selector[1:])}(?=["'\s>])"""
+        attribute = rf"""(?i:id)\s*=\s*["']?{re.escape(selector[1:])}(?=["'\s>])"""
     elif selector.startswith("."):
-        attribute = rf"""\sclass\s*=\s*["'](?:[^"']*\s)?{re.escape(selector[1:])}(?=["'\s])"""
+        attribute = rf"""(?i:class)\s*=\s*["']?(?:[^"'>]*\s)?{re.escape(selector[1:])}(?=["'\s>])"""
     elif selector.startswith("["):
         key, value = selector[1:-1].split("=")
-        attribute = rf"""\s{re.escape(key)}\s*=\s*["']?{re.escape(value)}(?=["'\s>])"""
-    else:
-        name = selector
-    head = rf"[^>]*?{attribute}[^>]*>" if attribute else r"(?:\s[^>]*)?>"
-    opening = rf"(?is)<({name}){head}(.*)$"
-    if not attribute:
-        found = lambda h: _until_closed(F.regexp_extract(h, opening, 2), F.lit(name))
+        attribute = rf"""(?i:{re.escape(key)})\s*=\s*["']?{re.escape(value)}(?=["'\s>])"""
     else:
-        found = lambda h: let(
-            F.lower(F.regexp_extract(h, opening, 1)),
-            lambda tag: _until_closed(F.regexp_extract(h, opening, 2), tag),
-        )
-    return let(html, lambda h: F.when(h.rlike(rf"(?is)<{name}{head}"), found(h)))
+        name = f"(?i:{selector})"
+    return f"^<{name}" + (rf"\s(?:[^>]*?\s)?{attribute}" if attribute else r"[\s>]")
 
 
-def _until_closed(rest: Column, tag: Column) -> Column:
-    """The part of ``rest`` (text after an opening tag) up to the tag that closes it.
+def _finder(selector: str):
+    opening = _opening(selector)
 
-    ``rest`` is cut before every tag of that name; one pass over the pieces
-    keeps the open depth and counts the pieces that belong inside. The mark in
-    front makes the first piece plain text even when ``rest`` begins with a tag.
-    """
-    pieces = F.split(F.concat(F.lit("\x01"), rest), F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
+    def inside(ps: Column) -> Column:
+        start = F.array_position(F.transform(ps, lambda p: p.rlike(opening)), F.lit(True))
+        return let(start, lambda at: F.when(at > 0, _until_closed(F.slice(ps, at.cast("int"), F.size(ps)))))
+
+    return inside
+
+
+def _until_closed(ps: Column) -> Column:
+    """``ps`` begins with an opening tag; the pieces up to the tag that closes it."""
+    name = lambda p: F.lower(F.regexp_extract(p, "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+
+    def depth_step(tag: Column, piece: Column) -> Column:
+        return F.when(name(piece) != tag, 0).when(piece.startswith("</"), -1).otherwise(1)
 
-    def inside(cut: Column) -> Column:
-        step = lambda piece: F.when(piece.startswith("</"), -1).when(piece.rlike("(?s)^<[a-zA-Z]"), 1).otherwise(0)
-        tail = F.slice(cut, F.lit(2), F.size(cut))
+    def cut(all_pieces: Column, tag: Column) -> Column:
+        after = F.slice(all_pieces, F.lit(2), F.size(all_pieces))
         state = F.aggregate(
-            tail,
-            F.struct(F.lit(1).alias("depth"), F.lit(1).alias("kept")),
+            after,
+            F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept")),
             lambda acc, piece: F.when(acc["depth"] == 0, acc).otherwise(
                 let(
-                    acc["depth"] + step(piece),
+                    acc["depth"] + depth_step(tag, piece),
                     lambda d: F.struct(
                         d.alias("depth"), (acc["kept"] + F.when(d == 0, 0).otherwise(1)).alias("kept")
                     ),
                 )
             ),
         )
-        return F.array_join(F.slice(cut, F.lit(1), state["kept"]), "")
+        lead = F.regexp_replace(F.get(all_pieces, F.lit(0)), TAG, "")
+        return F.concat(F.array(lead), F.slice(all_pieces, F.lit(2), state["kept"]))
 
-    return F.substr(let(pieces, inside), F.lit(2))
+    return let(ps, lambda a: let(name(F.get(a, F.lit(0))), lambda tag: cut(a, tag)))
 
 
-def inner_text(html: Column) -> Column:
-    """Visible text: blocks become lines, tags go, entities decode, blanks tidy up."""
-    html = F.regexp_replace(html, rf"(?i)<br\s*/?>|</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
-    html = decode_entities(F.regexp_replace(html, r"<[^>]+>", ""))
-    html = F.regexp_replace(html, r"[ \t\r\f]+", " ")
-    return F.btrim(F.regexp_replace(html, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+def inner_text(cut: Column) -> Column:
+    """Visible text of pieces: blocks become lines, tags go, entities decode, blanks tidy up."""
+    shown = lambda p: F.when(
+        p.startswith("<"), F.regexp_replace(F.regexp_replace(p, LINE_BREAK, "\n"), TAG, "")
+    ).otherwise(p)
+    text = decode_entities(F.array_join(F.transform(cut, shown), ""))
+    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def page_title(html: Column) -> Column:
@@ -104,68 +120,66 @@ def page_title(html: Column) -> Column:
     return F.left(strip(decode_entities(raw)), F.lit(200))
 
 
-def main_container(html: Column) -> Column:
-    """First of article, main, an element of class content, body, else all; code removed first."""
+def main_container(cut: Column) -> Column:
+    """First of article, main, an element of class content, body, else all."""
     return let(
-        without_code(html),
-        lambda clean: F.coalesce(
-            select_first(clean, "article"), select_first(clean, "main"),
-            select_first(clean, ".content"), select_first(clean, "body"), clean,
+        cut,
+        lambda ps: F.coalesce(
+            select_first(ps, "article"), select_first(ps, "main"), select_first(ps, ".content"),
+            select_first(ps, "body"), ps,
         ),
     )
 
 
 def main_text(html: Column) -> Column:
-    return inner_text(main_container(html))
+    return inner_text(main_container(pieces(without_code(html))))
 
 
 def walk_with_images(html: Column) -> Column:
     """Article body as text runs and ``![image](src)`` marks in document order."""
     box = let(
-        F.regexp_replace(html, COMMENT, ""),
-        lambda bare: F.coalesce(select_first(bare, "#js_content"), select_first(bare, ".rich_media_content")),
+        pieces(F.regexp_replace(html, COMMENT, "")),
+        lambda ps: F.coalesce(select_first(ps, "#js_content"), select_first(ps, ".rich_media_content")),
     )
-    tokens = F.regexp_extract_all(box, F.lit(r"(?is)<[^>]+>|[^<]+"), F.lit(0))
     source = lambda tag: F.coalesce(
-        present(F.regexp_extract(tag, r"""(?i)\sdata-src\s*=\s*["']([^"']*)""", 1)),
-        present(F.regexp_extract(tag, r"""(?i)\ssrc\s*=\s*["']([^"']*)""", 1)),
+        present_once(F.regexp_extract(tag, r"""(?i)^<img\b[^>]*\sdata-src\s*=\s*["']([^"']*)""", 1)),
+        present_once(F.regexp_extract(tag, r"""(?i)^<img\b[^>]*\ssrc\s*=\s*["']([^"']*)""", 1)),
     )
-    shown = lambda t: (
-        F.when(t.rlike(r"(?i)^<img\b"), or_empty(F.concat(F.lit("![image]("), decode_entities(source(t)), F.lit(")"))))
-        .when(t.startswith("<"), "")
-        .otherwise(strip(decode_entities(t)))
+    mark = lambda p: F.when(
+        p.rlike(r"(?i)^<img\b"), F.concat(F.lit("![image]("), decode_entities(source(p)), F.lit(")"))
     )
-    walked = F.array_join(F.filter(F.transform(tokens, shown), lambda t: t != ""), "\n\n")
-    return F.coalesce(present(walked), main_text(html))
+    run = lambda p: strip(decode_entities(F.regexp_replace(p, TAG, "")))
+    shown = F.flatten(F.transform(box, lambda p: F.array(or_empty(mark(p)), run(p))))
+    walked = F.array_join(F.filter(shown, lambda t: t != ""), "\n\n")
+    return F.coalesce(present_once(walked), main_text(html))
 
 
 def note_fields(html: Column) -> Column:
     """struct(title, content, author) of a note page, read by its element names."""
 
-    def fields(clean: Column) -> Column:
+    def fields(ps: Column) -> Column:
         author = F.coalesce(
-            select_first(clean, ".author-wrapper", ".username"), select_first(clean, ".interaction-container")
+            select_first(ps, ".author-wrapper", ".username"), select_first(ps, ".interaction-container")
         )
         return F.struct(
-            or_empty(F.left(inner_text(select_first(clean, "#detail-title")), F.lit(200))).alias("title"),
+            or_empty(F.left(inner_text(select_first(ps, "#detail-title")), F.lit(200))).alias("title"),
             F.concat_ws(
                 "\n\n",
-                present(inner_text(select_first(clean, "#detail-desc"))),
-                present(inner_text(select_first(clean, ".bottom-container"))),
+                present_once(inner_text(select_first(ps, "#detail-desc"))),
+                present_once(inner_text(select_first(ps, ".bottom-container"))),
             ).alias("content"),
             or_empty(F.substring_index(inner_text(author), "\n", 1)).alias("author"),
         )
 
-    return let(without_code(html), fields)
+    return let(pieces(without_code(html)), fields)
 
 
 def post_text(html: Column) -> Column:
     """Text of a post page: the post element, else article, else main, else ''."""
     box = let(
-        without_code(html),
-        lambda clean: F.coalesce(
-            select_first(clean, "[data-testid=tweetText]"),
-            select_first(clean, "article"), select_first(clean, "main"),
+        pieces(without_code(html)),
+        lambda ps: F.coalesce(
+            select_first(ps, "[data-testid=tweetText]"), select_first(ps, "article"), select_first(ps, "main")
         ),
     )
     return or_empty(inner_text(box))

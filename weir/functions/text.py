@@ -46,10 +46,18 @@ def or_empty(c: Column) -> Column:
 
 
 def present(c: Column) -> Column:
-    """Empty text becomes NULL, so that coalesce() picks the next choice."""
+    """Empty text becomes NULL, so that coalesce() picks the next choice.
+
+    For plain columns; nullif() evaluates its input twice, so computed text
+    goes through present_once().
+    """
     return F.nullif(c, F.lit(""))
 
 
+def present_once(c: Column) -> Column:
+    return let(c, lambda x: F.when(x != "", x))
+
+
 def strip_tags(c: Column) -> Column:
     """Tags become spaces, blanks collapse; entities are left as they are."""
     return strip(collapse(F.regexp_replace(c, r"<[^>]+>", " ")))
@@ -100,7 +108,7 @@ def safe_name(c: Column) -> Column:
     """A file name: reserved characters to dashes, blanks collapsed, 110 characters."""
     dashed = F.regexp_replace(or_empty(c), r'[\\/:*?"<>|]', "-")
     short = F.left(collapse(strip(dashed)), F.lit(110))
-    return F.coalesce(present(short), F.lit("untitled"))
+    return F.coalesce(present_once(short), F.lit("untitled"))
 
 
 def numbered_name(index: Column, title: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weir.functions.text import let, present
+from weir.functions.text import let, present, present_once
 
 # Service addresses and the ordered host table of the router.
 TEXT_PROXY = "https://r.jina.ai"
@@ -148,7 +148,7 @@ def tweet_api_url(url: Column) -> Column:
 def telegram_channel(url: Column) -> Column:
     """First path segment, or the whole URL when the path is empty."""
     trimmed = F.btrim(F.regexp_replace(path(url), r";[^/]*$", ""), F.lit("/"))
-    return F.coalesce(present(F.substring_index(trimmed, "/", 1)), url)
+    return F.coalesce(present_once(F.substring_index(trimmed, "/", 1)), url)
 
 
 def telegram_message_url(channel: Column, msg_id: Column) -> Column:

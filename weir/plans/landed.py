@@ -130,7 +130,8 @@ from @events
 
 VIEWS["v_doc_urls"] = (
     VIEWS["v_urls"].replace("page_id", "doc_id").replace("else url end", "else 'https://d.example.org/' || n end")
-    .replace("doc_id, url, cast", "doc_id, cast").replace("@pages", "@documents")
+    .replace("doc_id, url, cast", "doc_id, text, source, lang, cast").replace("@pages", "@documents")
+    .replace("select doc_id, case", "select doc_id, text, source, lang, case")
 )
 
 VIEWS["v_episode_pages"] = """

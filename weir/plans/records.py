@@ -257,14 +257,13 @@ def page_inbox(spark, sf):
 
 
 PAYLOAD_DDL = (
-    "url string, channel string, text string, views bigint, source string, title string, summary string, score int, "
+    "channel string, text string, views bigint, source string, title string, summary string, score int, "
     "category string, title_cn string, summary_cn string, description string, author string, cover string, bvid string, "
     "duration bigint, view_count bigint, likes bigint, retweets bigint, collects bigint, images array<string>, content string"
 )
 VIEWS["v_routed"] = f"""
 select doc_id, url, {platform_sql('url', NETLOC.format(u='url'))} as platform, source, text, lang
-from (select v.doc_id, case when starts_with(v.url, 'http://') or starts_with(v.url, 'https://') then v.url else 'https://' || v.url end as url,
-  d.source, d.text, d.lang from v_doc_urls v join @documents d on d.doc_id = v.doc_id)
+from (select * exclude (url), case when starts_with(url, 'http://') or starts_with(url, 'https://') then url else 'https://' || url end as url from v_doc_urls)
 """
 
 
@@ -293,18 +292,17 @@ FINAL_URL = _case(
                 youtube="""'{"duration":' || cast(doc_id % 1000 as varchar) || ',"view_count":7}'""", other="'{}'")))
 def unified_all(spark, sf):
     """Landed payloads of all platforms, one JSON text each, routed and converted in a single scan."""
-    landed = spark_sql(spark, sf, """
-        select doc_id, to_json(named_struct('channel', 'c' || lang, 'text', text, 'views', doc_id, 'source', source,
-            'title', substr(text, 1, 60), 'summary', substr(text, 1, 200), 'score', doc_id % 5, 'category', lang, 'title_cn', 'cn',
-            'summary_cn', 'scn', 'description', 'd ' || text, 'author', source, 'cover', 'cover', 'duration', doc_id % 1000,
-            'view_count', 7, 'likes', 1, 'retweets', 2, 'collects', 3, 'images', if(doc_id % 2 = 0, array('i'), array()),
-            'content', 'c ' || text, 'item', if(doc_id % 3 = 0, '', 'x'))) as payload from @documents""")
-    requests = view(spark, sf, "v_doc_urls").select("doc_id", urls.normalise(F.col("url")).alias("request_url"))
+    payload = """to_json(named_struct('channel', 'c' || lang, 'text', text, 'views', doc_id, 'source', source,
+        'title', substr(text, 1, 60), 'summary', substr(text, 1, 200), 'score', doc_id % 5, 'category', lang, 'title_cn', 'cn',
+        'summary_cn', 'scn', 'description', 'd ' || text, 'author', source, 'cover', 'cover', 'duration', doc_id % 1000,
+        'view_count', 7, 'likes', 1, 'retweets', 2, 'collects', 3, 'images', if(doc_id % 2 = 0, array('i'), array()),
+        'content', 'c ' || text))"""
+    asked = F.col("request_url")
+    landed = view(spark, sf, "v_doc_urls").select(
+        "doc_id", urls.normalise(F.col("url")).alias("request_url"), F.from_json(F.expr(payload), PAYLOAD_DDL).alias("_landed"),
+    ).withColumn("platform", urls.platform(asked))
     item_url = F.when(
-        urls.platform(F.col("request_url")) == "rss",
-        F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat("request_url", F.lit("#item"))),
+        F.col("platform") == "rss", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(asked, F.lit("#item")))
     )
-    parsed = requests.join(landed, "doc_id").withColumn("p", F.from_json("payload", PAYLOAD_DDL))
-    ready = parsed.select("doc_id", "request_url", *[F.col(f"p.{c.split()[0]}") for c in PAYLOAD_DDL.split(", ") if not c.startswith("url")],
-                          item_url.alias("url"), urls.platform(F.col("request_url")).alias("platform"))
+    ready = landed.select("doc_id", "platform", "request_url", "_landed.*", item_url.alias("url"))
     return flat(convert.convert_routed(ready, AS_OF, ["doc_id", "platform"]), "doc_id", "platform")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.text import or_empty, present
+from weir.functions.text import or_empty, present_once
 
 ENTRY = r"(?s)<(?:\w+:)?(?:item|entry)(?:\s[^>]*)?>.*?</(?:\w+:)?(?:item|entry)\s*>"
 TITLE = r"(?s)<(?:\w+:)?title(?:\s[^>]*)?>.*?</(?:\w+:)?title\s*>"
@@ -43,7 +43,7 @@ def feed_entries(feeds: DataFrame, url: str = "feed_url", xml: str = "xml", limi
         F.concat(F.lit("<feed>"), title_element, F.lit("</feed>")), F.lit("title string"), XML_OPTIONS
     )["title"]
     cut = feeds.select(
-        F.col(url), F.coalesce(present(feed_title), F.col(url)).alias("source"), F.posexplode(entries).alias("pos", "_x")
+        F.col(url), F.coalesce(present_once(feed_title), F.col(url)).alias("source"), F.posexplode(entries).alias("pos", "_x")
     )
     parsed = cut.withColumn("_e", F.from_xml("_x", F.lit(ENTRY_SCHEMA), XML_OPTIONS))
     e = F.col("_e")
