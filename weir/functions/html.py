@@ -8,13 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weir.functions.text import collapse, let, or_empty, present_once, strip
-from weir.functions.urls import origin_of, parts, resolve_in
+from weir.functions.urls import any_of, origin_of, parts, resolve_in
 
 COMMENT = r"(?s)<!--.*?-->"
 CODE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 BLOCK_TAGS = "p|div|li|ul|ol|h[1-6]|nav|section|article|main|header|footer|table|tr|blockquote|pre"
-LINE_BREAK = rf"(?i)^<(?:br\s*/?|/?(?:{BLOCK_TAGS})\b[^>]*)>"
-TAG = r"^<[^>]+>"
+LINE_BREAK = rf"(?i)^<(?:br\s*/?$|/?(?:{BLOCK_TAGS})\b)"
 
 
 def decode_entities(c: Column) -> Column:
@@ -29,16 +28,27 @@ def decode_entities(c: Column) -> Column:
 
 def without_code(html: Column) -> Column:
     """Drop comments, scripts and styles; they may hold text that looks like tags."""
-    return F.regexp_replace(html, CODE, "")
+    may_hold = lambda h: h.contains("<!--") | h.contains("<s") | h.contains("<S")
+    return let(html, lambda h: F.when(may_hold(h), F.regexp_replace(h, CODE, "")).otherwise(h))
 
 
 def pieces(html: Column) -> Column:
-    """The page cut before every ``<``: each piece is a tag and the text after it.
+    """array(struct(tag, text)): the page cut before every ``<``.
 
-    Selection and text extraction work on this array, so the page itself is
-    scanned once however many elements are looked up.
+    ``tag`` is written up to but without its ``>``, ``text`` is what follows.
+    Text with no tag in front has tag ''. Selection and text extraction work
+    on this array, so the page is scanned once however many elements are looked
+    up, and patterns run on the short tags only.
     """
-    return F.split(html, "(?=<)")
+    plain = lambda p: F.struct(F.lit("").alias("tag"), p.alias("text"))
+    parted = lambda p: let(
+        F.substring_index(p, ">", 1),
+        lambda tag: F.struct(tag.alias("tag"), F.substr(p, F.length(tag) + 2).alias("text")),
+    )
+    return F.transform(
+        F.split(html, "(?=<)"),
+        lambda p: F.when(p.startswith("<") & p.contains(">"), parted(p)).otherwise(plain(p)),
+    )
 
 
 def select_first(cut: Column, *selectors: str) -> Column:
@@ -55,24 +65,24 @@ def select_first(cut: Column, *selectors: str) -> Column:
 
 def _opening(selector: str) -> str:
     """Pattern of the opening tag, anchored at the start of a piece."""
-    name, attribute = "[a-zA-Z][a-zA-Z0-9]*", None
+    name, attribute, end = "[a-zA-Z][a-zA-Z0-9]*", None, r"""(?=["'\s/]|$)"""
     if selector.startswith("#"):
-        attribute = rf"""(?i:id)\s*=\s*["']?{re.escape(selector[1:])}(?=["'\s>])"""
+        attribute = rf"""(?i:id)\s*=\s*["']?{re.escape(selector[1:])}{end}"""
     elif selector.startswith("."):
-        attribute = rf"""(?i:class)\s*=\s*["']?(?:[^"'>]*\s)?{re.escape(selector[1:])}(?=["'\s>])"""
+        attribute = rf"""(?i:class)\s*=\s*["']?(?:[^"']*\s)?{re.escape(selector[1:])}{end}"""
     elif selector.startswith("["):
         key, value = selector[1:-1].split("=")
-        attribute = rf"""(?i:{re.escape(key)})\s*=\s*["']?{re.escape(value)}(?=["'\s>])"""
+        attribute = rf"""(?i:{re.escape(key)})\s*=\s*["']?{re.escape(value)}{end}"""
     else:
         name = f"(?i:{selector})"
-    return f"^<{name}" + (rf"\s(?:[^>]*?\s)?{attribute}" if attribute else r"[\s>]")
+    return f"^<{name}" + (rf"\s(?:.*?\s)?{attribute}" if attribute else r"(?:[\s/]|$)")
 
 
 def _finder(selector: str):
-    opening = _opening(selector)
+    opening = "(?s)" + _opening(selector)
 
     def inside(ps: Column) -> Column:
-        start = F.array_position(F.transform(ps, lambda p: p.rlike(opening)), F.lit(True))
+        start = F.array_position(F.transform(ps, lambda p: p["tag"].rlike(opening)), F.lit(True))
         return let(start, lambda at: F.when(at > 0, _until_closed(F.slice(ps, at.cast("int"), F.size(ps)))))
 
     return inside
@@ -80,10 +90,10 @@ def _finder(selector: str):
 
 def _until_closed(ps: Column) -> Column:
     """``ps`` begins with an opening tag; the pieces up to the tag that closes it."""
-    name = lambda p: F.lower(F.regexp_extract(p, "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    name = lambda p: F.lower(F.regexp_extract(p["tag"], "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
 
     def depth_step(tag: Column, piece: Column) -> Column:
-        return F.when(name(piece) != tag, 0).when(piece.startswith("</"), -1).otherwise(1)
+        return F.when(name(piece) != tag, 0).when(piece["tag"].startswith("</"), -1).otherwise(1)
 
     def cut(all_pieces: Column, tag: Column) -> Column:
         after = F.slice(all_pieces, F.lit(2), F.size(all_pieces))
@@ -99,7 +109,7 @@ def _until_closed(ps: Column) -> Column:
                 )
             ),
         )
-        lead = F.regexp_replace(F.get(all_pieces, F.lit(0)), TAG, "")
+        lead = F.struct(F.lit("").alias("tag"), F.get(all_pieces, F.lit(0))["text"].alias("text"))
         return F.concat(F.array(lead), F.slice(all_pieces, F.lit(2), state["kept"]))
 
     return let(ps, lambda a: let(name(F.get(a, F.lit(0))), lambda tag: cut(a, tag)))
@@ -107,12 +117,19 @@ def _until_closed(ps: Column) -> Column:
 
 def inner_text(cut: Column) -> Column:
     """Visible text of pieces: blocks become lines, tags go, entities decode, blanks tidy up."""
-    shown = lambda p: F.when(
-        p.startswith("<"), F.regexp_replace(F.regexp_replace(p, LINE_BREAK, "\n"), TAG, "")
-    ).otherwise(p)
+    shown = lambda p: F.when(p["tag"].rlike(LINE_BREAK), F.concat(F.lit("\n"), p["text"])).otherwise(p["text"])
     text = decode_entities(F.array_join(F.transform(cut, shown), ""))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    # Plain byte searches tell whether a pattern has anything to do.
+    holds = lambda t, *marks: any_of([t.contains(m) for m in marks])
+    text = let(
+        text,
+        lambda t: F.when(holds(t, "  ", "\t", "\r", "\f"), F.regexp_replace(t, r"[ \t\r\f]+", " ")).otherwise(t),
+    )
+    text = let(
+        text,
+        lambda t: F.when(holds(t, " \n", "\n ", "\n\n"), F.regexp_replace(t, r" ?\n[ \n]*", "\n")).otherwise(t),
+    )
+    return F.btrim(text, F.lit(" \n"))
 
 
 def page_title(html: Column) -> Column:
@@ -141,15 +158,12 @@ def walk_with_images(html: Column) -> Column:
         pieces(F.regexp_replace(html, COMMENT, "")),
         lambda ps: F.coalesce(select_first(ps, "#js_content"), select_first(ps, ".rich_media_content")),
     )
-    source = lambda tag: F.coalesce(
-        present_once(F.regexp_extract(tag, r"""(?i)^<img\b[^>]*\sdata-src\s*=\s*["']([^"']*)""", 1)),
-        present_once(F.regexp_extract(tag, r"""(?i)^<img\b[^>]*\ssrc\s*=\s*["']([^"']*)""", 1)),
-    )
+    attribute = lambda tag, key: present_once(F.regexp_extract(tag, rf"""(?i)\s{key}\s*=\s*["']([^"']*)""", 1))
+    source = lambda tag: F.coalesce(attribute(tag, "data-src"), attribute(tag, "src"))
     mark = lambda p: F.when(
-        p.rlike(r"(?i)^<img\b"), F.concat(F.lit("![image]("), decode_entities(source(p)), F.lit(")"))
+        p["tag"].rlike(r"(?i)^<img\b"), F.concat(F.lit("![image]("), decode_entities(source(p["tag"])), F.lit(")"))
     )
-    run = lambda p: strip(decode_entities(F.regexp_replace(p, TAG, "")))
-    shown = F.flatten(F.transform(box, lambda p: F.array(or_empty(mark(p)), run(p))))
+    shown = F.flatten(F.transform(box, lambda p: F.array(or_empty(mark(p)), strip(decode_entities(p["text"])))))
     walked = F.array_join(F.filter(shown, lambda t: t != ""), "\n\n")
     return F.coalesce(present_once(walked), main_text(html))
 

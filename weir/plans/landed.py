@@ -6,10 +6,13 @@ reads the parquet file directly, the oracle reads the view of that name.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weir.sources.tables import table
+
 AS_OF = "2024-01-31T00:00:00"
 TABLES = ["pages", "documents", "events", "conversations", "labels"]
 
@@ -244,9 +247,15 @@ def _expand(sql: str, table, each) -> str:
 
 def spark_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """Run landed-input SQL on Spark over the folder's parquet tables."""
-    return spark.sql(
-        _expand(sql, lambda name: f"parquet.`{folder}/{name}.parquet`", lambda a, b: f"explode(sequence({a}, {b}))")
-    )
+    return spark.sql(_expand(sql, lambda name: _table(spark, folder, name), lambda a, b: f"explode(sequence({a}, {b}))"))
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> str:
+    """Session view over one parquet table; its schema is read once per session."""
+    known = f"landed_{name}_{hashlib.md5(folder.encode()).hexdigest()[:10]}"
+    if not spark.catalog.tableExists(known):
+        table(spark, folder, name).createOrReplaceTempView(known)
+    return known
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
