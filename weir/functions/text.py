@@ -68,7 +68,7 @@ def markdown_parts(c: Column) -> Column:
 
     Leading lines made of ``#`` and blanks only never hold a title and are dropped.
     """
-    body = F.regexp_replace(strip(c), r"^(?:#*+[^\S\n]*+\n)++", "")
+    body = F.regexp_replace(strip(c), r"(?U)^(?:#*+[\s\x1c-\x1f&&[^\n]]*+\n)++", "")
 
     def parts(text: Column) -> Column:
         first = F.substring_index(text, "\n", 1)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.functions.text import present
+from weir.functions.text import listing_line, present
 
 
 def first_wins(df: DataFrame, key: list[str] | str = "id", order: list | str = "seq") -> DataFrame:
@@ -97,9 +97,14 @@ def numbered_tail(df: DataFrame, limit: int, order: str = "seq", name: str = "po
     return last_added(df, limit, order).withColumn(name, F.row_number().over(Window.orderBy(order)))
 
 
-def source_counts(df: DataFrame, key: str = "source_name") -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def listing(store: DataFrame, limit: int = 20, order: str = "seq") -> DataFrame:
+    """``(position, line)``: a headline with the inbox size at 0, then the last ``limit`` items."""
+    n = F.count(F.lit(1))
+    headline = F.when(n == 0, "📦 Inbox is empty").otherwise(F.concat(F.lit("📦 Inbox: "), n, F.lit(" items")))
+    line = listing_line(F.col("position"), F.col("source_type"), F.col("title"))
+    items = numbered_tail(store, limit, order).select("position", line.alias("line"))
+    return store.agg(headline.alias("line")).select(F.lit(0).alias("position"), "line").unionByName(items)
 
 
-def count_if(condition: Column) -> Column:
-    return F.count_if(condition)
+def source_counts(df: DataFrame, key: str = "source_name") -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -2,53 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.functions import html
+from weir.functions.text import let
+
+
+def _last_per_location(parts: Column) -> Column:
+    """One entry per location: the place of the first, the content of the last.
+
+    Snapshots rarely repeat a location, so the pairwise search runs only when
+    a hash-based count shows that one does.
+    """
+    repeats = lambda ps: F.size(F.array_distinct(ps["location"])) < F.size(ps)
+    merged = lambda ps: F.transform(
+        F.filter(ps, lambda p, i: F.array_position(ps["location"], p["location"]) == i + 1),
+        lambda p: F.element_at(F.filter(ps, lambda q: q["location"] == p["location"]), -1),
+    )
+    return let(parts, lambda ps: F.when(repeats(ps), merged(ps)).otherwise(ps))
 
 
 def gather_parts(parts: DataFrame, page: str = "page_id") -> DataFrame:
     """Parts ``(page, part_no, location, content_type, data)`` to one row per page.
 
     The first html part is ``main``; css parts and all others become arrays in
-    part order, one entry per location (the place of the first, the content of
-    the last). Pages without an html part have ``main`` NULL and ``error`` set.
-    One snapshot is one file, which bounds the group.
+    part order, one entry per location. Pages without an html part have
+    ``main`` NULL and ``error`` set. The parts move through one shuffle; a
+    group is one snapshot file.
     """
-    is_html = F.col("content_type") == "text/html"
-    mains = parts.filter(is_html).groupBy(page).agg(F.min("part_no").alias("_main_no"))
-    kind = (
-        F.when(F.col("part_no").eqNullSafe(F.col("_main_no")), "main")
-        .when(F.col("content_type") == "text/css", "css")
-        .otherwise("other")
-    )
-    located = (
-        parts.join(mains, page, "left")
-        .withColumn("_kind", kind)
-        .groupBy(page, "_kind", "location")
-        .agg(
-            F.min("part_no").alias("_pos"),
-            F.max(F.struct("part_no", "content_type", "data")).alias("_part"),
-        )
-    )
-    text = F.decode(F.col("_part.data"), "UTF-8")
-    by_kind = lambda name, *cols: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("_kind") == name, F.struct(F.col("_pos"), *cols)))),
-        lambda x: F.struct(*[x[c].alias(c) for c in ("location", "css" if name == "css" else "uri")]),
+    one = F.struct("part_no", "location", "content_type", "data")
+    rows = parts.groupBy(page).agg(F.array_sort(F.collect_list(one)).alias("_parts"))
+    first_html = F.get(F.filter("_parts", lambda p: p["content_type"] == "text/html"), F.lit(0))
+    rows = rows.withColumn("_main", first_html)
+    css = F.filter("_parts", lambda p: p["content_type"] == "text/css")
+    others = F.filter(
+        "_parts",
+        lambda p: (p["content_type"] != "text/css") & ~p["part_no"].eqNullSafe(F.col("_main.part_no")),
     )
-    return (
-        located.withColumn("_text", F.when(F.col("_kind") != "other", text))
-        .groupBy(page)
-        .agg(
-            F.max(F.when(F.col("_kind") == "main", F.col("_text"))).alias("main"),
-            by_kind("css", F.col("location"), F.col("_text").alias("css")).alias("css"),
-            by_kind(
-                "other", F.col("location"),
-                html.data_uri(F.col("_part.content_type"), F.col("_part.data")).alias("uri"),
-            ).alias("resources"),
-        )
-        .withColumn("error", F.when(F.col("main").isNull(), "no main html part"))
+    utf8 = lambda data: F.decode(data, "UTF-8")
+    return rows.select(
+        page,
+        utf8(F.col("_main.data")).alias("main"),
+        F.transform(
+            _last_per_location(css), lambda p: F.struct(p["location"].alias("location"), utf8(p["data"]).alias("css"))
+        ).alias("css"),
+        F.transform(
+            _last_per_location(others),
+            lambda p: F.struct(
+                p["location"].alias("location"), html.data_uri(p["content_type"], p["data"]).alias("uri")
+            ),
+        ).alias("resources"),
+        F.when(F.col("_main").isNull(), "no main html part").alias("error"),
     )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weir.functions.text import listing_line
 from weir.operators import inbox
 from weir.plans.landed import AS_OF, VIEWS, spark_sql, view
 from weir.plans.records import inbox_records
@@ -100,17 +99,12 @@ def inbox_last_500(spark, sf):
 
 
 @query("inbox_list", f"""
-select position, (select count(*) from v_store) as n_items, '  ' || lpad(cast(position as varchar), 2, ' ') || '. ' || {EMOJI} || ' [' || rpad(source_type, 8, ' ') || '] ' || substr(title, 1, 50) as line
+select 0 as position, case when count(*) = 0 then '📦 Inbox is empty' else '📦 Inbox: ' || cast(count(*) as varchar) || ' items' end as line from v_store
+union all select position, '  ' || lpad(cast(position as varchar), 2, ' ') || '. ' || {EMOJI} || ' [' || rpad(source_type, 8, ' ') || '] ' || substr(title, 1, 50) as line
 from (select row_number() over (order by seq) as position, source_type, title from (select * from v_store order by seq desc limit 20))
 """)
 def inbox_list(spark, sf):
-    store = _store(spark, sf).select("seq", "source_type", "title")
-    total = store.agg(F.count(F.lit(1)).alias("n_items"))
-    tail = inbox.numbered_tail(store, 20)
-    # One row of totals next to at most twenty lines.
-    return tail.join(F.broadcast(total)).select(
-        "position", "n_items", listing_line(F.col("position"), F.col("source_type"), F.col("title")).alias("line")
-    )
+    return inbox.listing(_store(spark, sf).select("seq", "source_type", "title"))
 
 
 MARKDOWN_SQL = (
