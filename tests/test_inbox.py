@@ -95,6 +95,14 @@ def test_store_versions(spark, tmp_path):
     assert store.load().filter("seq = 2").first()["digest_date"] == "2024-02-01"
 
 
+def test_one_source_is_read_alone(spark, tmp_path):
+    store = InboxStore(spark, str(tmp_path / "store"))
+    store.add(batch(spark, (1, "a", "")))
+    assert (tmp_path / "store" / "version=00000000" / "source_type=manual").is_dir()
+    plan = inbox.by_source(store.load(), "manual")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source_type" in plan
+
+
 def test_unfinished_version_does_not_count(spark, tmp_path):
     store = InboxStore(spark, str(tmp_path / "store"))
     store.add(batch(spark, (1, "a", "")))

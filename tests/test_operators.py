@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weir.operators import archive, fallback, guard, links, numbering, rolling, snapshot, transcripts
+from weir.sinks import exports
 from weir.sources.files import numbered_lines, subtitle_files
 
 
@@ -77,7 +78,7 @@ def test_rolling_sum_like_a_double_loop(spark):
     assert len(got) == len(rows)
 
 
-def test_archive_run(spark):
+def test_archive_run(spark, tmp_path):
     lines = ["## One & <two>", "https://e.org/1", "https://e.org/2 | Second", "## Other", "https://e.org/3", "https://e.org/4 | Four"]
     entries = archive.parse_url_list(spark.createDataFrame([("l", i, t) for i, t in enumerate(lines)], "list string, line_no bigint, line string"))
     names = ["002-b-c.html", "002-zz.html", "0001-no.html", "001.html", "003-x.txt", "x004-y.html"]
@@ -94,7 +95,11 @@ def test_archive_run(spark):
                     '<li class="fail">https://e.org/3 — 失败</li>', '<li class="fail">Four — 失败</li>', "</ol>"]
     stats = archive.run_stats(done).first()
     assert (stats["n_total"], stats["n_ok"], stats["n_fail"]) == (4, 2, 2)
-    assert archive.index_head(2, 2).startswith("<!doctype html>") and "#0b0b0c" in archive.index_head(2, 2)
+    exports.write_index(archive.index_page(done, theme="light"), str(tmp_path / "index"))
+    files = sorted((tmp_path / "index" / "list=l").glob("part-*"), key=lambda p: p.name)
+    written = "".join(p.read_text() for p in files)
+    assert written.startswith('<!doctype html>\n<html lang="zh-CN">\n<head>\n<meta charset="utf-8">\n<title>归档索引 · 2 篇</title>\n<style>\nbody{background:#ffffff')
+    assert written.endswith('成功 2 · 失败 2 · 主题 light</p>\n' + "\n".join(page) + "\n</body>\n</html>\n")
 
 
 @pytest.mark.parametrize("ip, blocked", [

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-WRITES = {"dual_sink", "stream_inbox", "stream_inbox_wm", "stream_source_counts"}
+WRITES = {"dual_sink", "archive_index", "stream_inbox", "stream_inbox_wm", "stream_source_counts"}
 NO_SHUFFLE = ["harvest_links", "link_lines", "unified_all", "page_main_text", "convert_generic", "srt_transcript", "audio_plan",
               "url_guard", "quality_gates", "bilibili_payload", "url_candidates"]
 LIMITED = ["page_inbox", "merge_links", "inbox_append", "tweet_fallback", "wechat_fallback", "xhs_fallback", "telegram_recent",

@@ -93,3 +93,15 @@ def test_resolve_details(one, href, expected):
 @pytest.mark.parametrize("name", ["001-a b.html", "002-中文 +*~'().html", "a/b%c", "😀"])
 def test_quote(one, name):
     assert one(urls.quote_file, name) == quote(name)
+
+
+def test_sql_functions_agree(spark):
+    from weir.functions.sql import register
+    from weir.model import content_id
+    from weir.plans.landed import view
+
+    register(spark)
+    df = view(spark, "/root/testdata/sf0.001", "v_urls")
+    same = df.selectExpr("url", "detect_platform(url) as p", "content_id(url) as i").filter(
+        (urls.F.col("p") != urls.platform(urls.F.col("url"))) | (urls.F.col("i") != content_id(urls.F.col("url"))))
+    assert df.count() > 0 and same.count() == 0

@@ -137,19 +137,39 @@ def index_lines(entries: DataFrame, run: str = "list") -> DataFrame:
     return items.unionByName(around)
 
 
-def index_head(n_ok: int, n_fail: int, theme: str = "dark") -> str:
-    """Fixed start of the index page for one run's counts."""
+def index_head(n_ok: Column, n_fail: Column, theme: str = "dark") -> Column:
+    """Start of the index page, up to the counts."""
     c = THEMES["dark" if theme == "dark" else "light"]
-    css = [
+    before = [
+        "<!doctype html>", '<html lang="zh-CN">', "<head>", '<meta charset="utf-8">', "<title>归档索引 · ",
+    ]
+    between = [
+        " 篇</title>", "<style>",
         f"body{{background:{c['bg']};color:{c['fg']};font-family:-apple-system,"
         "BlinkMacSystemFont,'Segoe UI',sans-serif;line-height:1.7;"
         "margin:40px auto;max-width:920px;padding:0 20px}",
         f"a{{color:{c['accent']};text-decoration:none}}a:hover{{text-decoration:underline}}",
-        f"h1{{font-size:24px}}h2{{margin-top:32px;border-top:1px solid {c['border']};"
-        "padding-top:20px;font-size:17px}",
+        f"h1{{font-size:24px}}h2{{margin-top:32px;border-top:1px solid {c['border']};padding-top:20px;font-size:17px}}",
         "li{margin:5px 0}.u{color:#71717a;font-size:12px}.fail{color:#f87171}",
+        "</style>", "</head>", "<body>", "<h1>归档索引</h1>", '<p class="u">成功 ',
     ]
-    head = ["<!doctype html>", '<html lang="zh-CN">', "<head>", '<meta charset="utf-8">',
-            f"<title>归档索引 · {n_ok} 篇</title>", "<style>", *css, "</style>", "</head>", "<body>",
-            "<h1>归档索引</h1>", f'<p class="u">成功 {n_ok} · 失败 {n_fail} · 主题 {theme}</p>']
-    return "\n".join(head)
+    return F.concat(
+        F.lit("\n".join(before)), n_ok, F.lit("\n".join(between)), n_ok, F.lit(" · 失败 "), n_fail,
+        F.lit(f" · 主题 {theme}</p>"),
+    )
+
+
+INDEX_TAIL = "</body>\n</html>"
+
+
+def index_page(entries: DataFrame, run: str = "list", theme: str = "dark") -> DataFrame:
+    """The whole index page as ordered lines: head, sections, tail."""
+    counts = run_stats(entries, run)
+    head = counts.select(
+        run, F.lit(0).cast("bigint").alias("section_pos"), F.lit(0).cast("bigint").alias("line_pos"),
+        index_head(F.col("n_ok"), F.col("n_fail"), theme).alias("html"),
+    )
+    tail = entries.groupBy(run).agg((F.max("index") + 1).alias("section_pos")).select(
+        run, "section_pos", F.lit(0).cast("bigint").alias("line_pos"), F.lit(INDEX_TAIL).alias("html")
+    )
+    return head.unionByName(index_lines(entries, run)).unionByName(tail)

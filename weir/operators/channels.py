@@ -14,7 +14,7 @@ RECENT_HOURS = 24
 
 
 def _cutoff(as_of: str, hours: int) -> Column:
-    return F.lit(as_of).cast("timestamp") - F.expr(f"interval {hours} hours")
+    return F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {hours} hours")
 
 
 def recent_messages(
@@ -25,7 +25,7 @@ def recent_messages(
     The limit counts messages without text as well, so it comes before the
     other tests; it also bounds what each channel brings into the windows.
     """
-    seen = latest(messages.withColumn("_ts", F.col("ts").cast("timestamp")), channel, "msg_id", limit)
+    seen = latest(messages.withColumn("_ts", F.col("ts").cast("timestamp_ntz")), channel, "msg_id", limit)
     has_text = F.coalesce(F.col("text"), F.lit("")) != ""
     down = Window.partitionBy(channel).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     old = F.max(has_text & (F.col("_ts") < _cutoff(as_of, hours))).over(down)
@@ -42,5 +42,5 @@ def recent_messages(
 def latest_message(messages: DataFrame, as_of: str, hours: int = RECENT_HOURS, channel: str = "channel") -> DataFrame:
     """The single newest message per channel; ``ok`` is false when it has no text or is too old."""
     newest = latest(messages, channel, "msg_id", 1).drop("_rn")
-    ok = (F.coalesce(F.col("text"), F.lit("")) != "") & (F.col("ts").cast("timestamp") >= _cutoff(as_of, hours))
+    ok = (F.coalesce(F.col("text"), F.lit("")) != "") & (F.col("ts").cast("timestamp_ntz") >= _cutoff(as_of, hours))
     return newest.withColumn("ok", ok).withColumn("text", F.when(F.col("ok"), F.col("text")))

@@ -21,7 +21,8 @@ def rolling_sum(
         raise ValueError("window_seconds must be a multiple of step_seconds")
     width, step = window_seconds * 1_000_000, step_seconds * 1_000_000
     span = window_seconds // step_seconds
-    base = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    since = "timestamp_ntz'1970-01-01 00:00:00'"
+    base = df.withColumn("_t", F.expr(f"timestampdiff(MICROSECOND, {since}, cast({ts} as timestamp_ntz))"))
     step_of_row = F.expr(f"_t div {step}")
     per_step = base.groupBy(key, step_of_row.alias("_step")).agg(F.sum(value).alias("_s"))
     # Each step's total is due in the steps 1 .. span-1 after it: a running sum over step numbers.

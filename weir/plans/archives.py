@@ -9,6 +9,7 @@ from weir.operators import archive
 from weir.plans.landed import VIEWS, spark_sql, view
 from weir.plans.registry import query
 from weir.plans.texts import SAFE_SQL, TITLE_SQL
+from weir.session import fresh_path
 
 PREFIX = "case when index < 1000 then lpad(cast(index as varchar), 3, '0') else cast(index as varchar) end"
 VIEWS["v_planned"] = f"""
@@ -82,6 +83,17 @@ def esc_sql(x):
     return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')")
 
 
+HEAD_SQL = """
+'<!doctype html>' || chr(10) || '<html lang="zh-CN">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10)
+|| '<title>归档索引 · ' || cast(n_ok as varchar) || ' 篇</title>' || chr(10) || '<style>' || chr(10)
+|| 'body{background:#0b0b0c;color:#e5e7eb;font-family:-apple-system,BlinkMacSystemFont,''Segoe UI'',sans-serif;line-height:1.7;margin:40px auto;max-width:920px;padding:0 20px}'
+|| chr(10) || 'a{color:#2dd4bf;text-decoration:none}a:hover{text-decoration:underline}' || chr(10)
+|| 'h1{font-size:24px}h2{margin-top:32px;border-top:1px solid #27272a;padding-top:20px;font-size:17px}' || chr(10)
+|| 'li{margin:5px 0}.u{color:#71717a;font-size:12px}.fail{color:#f87171}' || chr(10) || '</style>' || chr(10) || '</head>' || chr(10)
+|| '<body>' || chr(10) || '<h1>归档索引</h1>' || chr(10) || '<p class="u">成功 ' || cast(n_ok as varchar) || ' · 失败 ' || cast(n_fail as varchar) || ' · 主题 dark</p>'
+"""
+
+
 @query("archive_index", f"""
 with first as (select list, section, min(index) as section_pos, max(index) as last from v_finished group by 1, 2)
 select e.list, f.section_pos, e.index as line_pos, case when e.status = 'fail' then '<li class="fail">' || {esc_sql("coalesce(nullif(e.title, ''), e.url)")} || ' — 失败</li>'
@@ -91,6 +103,12 @@ from v_finished e join first f on f.list = e.list and f.section = e.section
 union all select list, section_pos, -1, '<h2>' || {esc_sql('section')} || '</h2>' from first where section <> ''
 union all select list, section_pos, 0, '<ol>' from first
 union all select list, section_pos, last + 1, '</ol>' from first
+union all select list, 0, 0, {HEAD_SQL} from (select list, count(*) filter (where status in ('ok', 'skip')) as n_ok,
+  count(*) filter (where status = 'fail') as n_fail from v_finished group by list)
+union all select list, max(index) + 1, 0, '</body>' || chr(10) || '</html>' from v_finished group by list
 """)
 def archive_index(spark, sf):
-    return archive.index_lines(_finished(spark, sf)).sort("list", "section_pos", "line_pos")
+    """The page is made from the stored run, as the manifest is; its parts read that table, not the whole job again."""
+    stored = fresh_path(spark, "run")
+    _finished(spark, sf).write.parquet(stored)
+    return archive.index_page(spark.read.parquet(stored)).sort("list", "section_pos", "line_pos")

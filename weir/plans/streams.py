@@ -42,7 +42,7 @@ def stream_inbox(spark, sf):
 @query("stream_inbox_wm", "select distinct id from v_records")
 def stream_inbox_wm(spark, sf):
     root = fresh_path(spark, "stream")
-    timed = _stream(spark, sf).select("id", F.to_timestamp("fetched_at").alias("at"))
+    timed = _stream(spark, sf).select("id", F.to_timestamp(F.concat("fetched_at", F.lit("Z"))).alias("at"))
     ingest.drain(ingest.bounded_dedup(timed, "at"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema("id string, at timestamp").parquet(f"{root}/out").select("id")
 
@@ -53,6 +53,6 @@ where cast(substr(fetched_at, 1, 10) as date) + interval 2 day <= (select max(ca
 """)
 def stream_source_counts(spark, sf):
     root = fresh_path(spark, "stream")
-    timed = _stream(spark, sf).select("source_type", F.to_timestamp("fetched_at").alias("at"))
+    timed = _stream(spark, sf).select("source_type", F.to_timestamp(F.concat("fetched_at", F.lit("Z"))).alias("at"))
     ingest.drain(ingest.daily_source_counts(timed, "at"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema("day string, source_type string, n bigint").parquet(f"{root}/out")

@@ -39,3 +39,13 @@ def write_markdown(df: DataFrame, path: str, order: str | None = None, mode: str
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).alias("value")).write.mode("error").text(path)
+
+
+def write_index(page: DataFrame, path: str, run: str = "list") -> None:
+    """Index pages below ``path``, one folder per run; the part files in name order make the page.
+
+    Lines are range-partitioned in page order, so one long page is written by many tasks.
+    """
+    order = [run, "section_pos", "line_pos"]
+    ordered = page.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select(run, F.col("html").alias("value")).write.mode("error").partitionBy(run).text(path)

@@ -3,7 +3,8 @@
 ``add`` appends files to the current version. State changes and retention
 write the next version from the current one and never touch files that are
 being read. A version counts once its job has committed, so a lost executor or
-driver leaves the previous version in force.
+driver leaves the previous version in force. Files are laid out by source type,
+so a look at one source reads that source only.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ class InboxStore:
         versions = self.versions()
         if not versions:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self._folder(versions[-1]))
+        stored = self.spark.read.schema(self.SCHEMA).parquet(self._folder(versions[-1]))
+        return stored.select(*self._columns())
 
     def add(self, batch: DataFrame) -> None:
         """Append the batch's records that are new; running it again adds nothing."""
@@ -62,5 +64,7 @@ class InboxStore:
         self._write(df, (self.versions() or [0])[-1] + 1, "error")
 
     def _write(self, df: DataFrame, version: int, mode: str) -> None:
-        columns = [part.split()[0] for part in self.SCHEMA.split(", ")]
-        df.select(*columns).write.mode(mode).parquet(self._folder(version))
+        df.select(*self._columns()).write.mode(mode).partitionBy("source_type").parquet(self._folder(version))
+
+    def _columns(self) -> list[str]:
+        return [part.split()[0] for part in self.SCHEMA.split(", ")]

@@ -42,12 +42,13 @@ def bounded_dedup(records: DataFrame, event_time: str, delay: str = "7 days", ke
 
 
 def daily_source_counts(records: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
-    """Records per source and day; a day is emitted when the watermark has passed its end."""
+    """Records per source and UTC day; a day is emitted when the watermark has passed its end."""
+    day = F.date_from_unix_date(F.expr("unix_seconds(_w.start) div 86400").cast("int"))
     return (
         records.withWatermark(event_time, delay)
         .groupBy(F.window(event_time, "1 day").alias("_w"), "source_type")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.date_format("_w.start", "yyyy-MM-dd").alias("day"), "source_type", "n")
+        .select(day.cast("string").alias("day"), "source_type", "n")
     )
 
 
