@@ -1,4 +1,5 @@
 import random
+from itertools import takewhile
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,14 +118,8 @@ def test_markdown_file(spark, tmp_path):
 
 
 def recent(rows, limit, cutoff):
-    out = []
-    for msg_id, age, text in sorted(rows, reverse=True)[:limit]:
-        if not text:
-            continue
-        if age > cutoff:
-            break
-        out.append(msg_id)
-    return sorted(out)
+    texts = [r for r in sorted(rows, reverse=True)[:limit] if r[2]]
+    return sorted(r[0] for r in takewhile(lambda r: r[1] <= cutoff, texts))
 
 
 @pytest.mark.parametrize("limit, hours", [(20, 24), (5, 24), (20, 2), (1, 24)])

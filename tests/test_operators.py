@@ -1,4 +1,6 @@
 import random
+import re
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,24 +15,22 @@ def test_ordinal_over_many_blocks(spark):
     rows = [("a" if rng.random() < 0.6 else f"g{rng.randrange(4)}", o) for o in rng.sample(range(10_000), 800)]
     df = spark.createDataFrame(rows, "g string, o bigint")
     got = {(r["g"], r["o"]): r["i"] for r in numbering.add_ordinal(df, ["g"], "o", "i", start=0, block_bits=6).collect()}
+    lone = spark.createDataFrame([(None, 3), (None, 500), ("a", 4)], "g string, o bigint")
+    assert sorted(r["i"] for r in numbering.add_ordinal(lone, ["g"], "o", "i", block_bits=6).collect()) == [1, 1, 2]
     for g in {g for g, _ in rows}:
         assert [got[(g, o)] for o in sorted(o for x, o in rows if x == g)] == list(range(sum(x == g for x, _ in rows)))
 
 
+HEADING = re.compile(r"\s*##+\s*(.*?)\s*")
+ENTRY = re.compile(r"\s*(https?://.*?)\s*(?: \| \s*(.*?))?\s*")
+
+
 def parse_lines(lines):
-    """The list format read line by line."""
-    entries, section = [], ""
-    for raw in lines:
-        line = raw.strip()
-        if not line or line.startswith("# "):
-            continue
-        if line.startswith("##"):
-            section = line.lstrip("#").strip()
-            continue
-        url, _, title = line.partition(" | ")
-        if url.strip().startswith(("http://", "https://")):
-            entries.append((len(entries) + 1, section, url.strip(), title.strip()))
-    return entries
+    """Expected entries, from two patterns and a running section."""
+    heads = [m and m[1] for m in map(HEADING.fullmatch, lines)]
+    sections = list(accumulate(heads, lambda old, new: old if new is None else new, initial=""))[1:]
+    found = [(section, *m.groups("")) for section, m in zip(sections, map(ENTRY.fullmatch, lines)) if m]
+    return [(n, *entry) for n, entry in enumerate(found, 1)]
 
 
 def random_list(rng, n):
@@ -70,6 +70,7 @@ def test_large_file_lines_keep_their_order(spark, tmp_path):
 def test_rolling_sum_like_a_double_loop(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice("aab"), rng.randrange(4 * 3600) * 1_000_000 + rng.choice([0, 0, 1]), rng.randrange(100)) for i in range(500)]
+    rows += [(2000 + i, None, i * 600_000_000, 1) for i in range(20)]
     rows += [(1000, "a", 0, 5), (1001, "a", 3_600_000_000, 7), (1002, "a", 3_600_000_001, 9)]
     df = spark.createDataFrame(rows, "n int, k string, us bigint, v int").withColumn("ts", F.timestamp_micros("us"))
     got = {r["n"]: r["s"] for r in rolling.rolling_sum(df, "k", "ts", "v", "s", 3600, 60).collect()}

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from weir.model import RECORD_FIELDS, flat, iso_timestamp, record_columns
 from weir.operators import convert
-from weir.sinks.exports import record_json, with_json, write_json
-from weir.sources.records import load_arrays, read_inbox_file, records_from_json
+from weir.sinks.exports import record_json, with_json, write_json, write_json_array
+from weir.sources.records import load_arrays, read_export, read_inbox_file, records_from_json
 
 AS_OF = "2024-01-31T00:00:00"
 NOTE = {"source_type": "manual", "source_name": "manual", "title": "Demo note", "content": "Body text for example.",
@@ -72,10 +72,20 @@ def test_inbox_files(spark, tmp_path):
 def test_json_export_reads_back(spark, tmp_path):
     df = decode(spark, NOTE, {**NOTE, "url": "https://example.org/二"}).select(*RECORD_FIELDS)
     write_json(df, str(tmp_path / "out"))
-    back = records_from_json(spark.read.text(str(tmp_path / "out")), "value", AS_OF)
+    back = read_export(spark, str(tmp_path / "out"), AS_OF)
     assert sorted(r["json"] for r in with_json(back).collect()) == sorted(r["json"] for r in with_json(df).collect())
 
 
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_array_export_is_one_array(spark, tmp_path, n):
+    df = spark.range(n, numPartitions=3).select(F.col("id").alias("seq"), *record_columns(AS_OF, title=F.col("id").cast("string")))
+    write_json_array(df.orderBy(F.rand(1)), str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert [r["title"] for r in json.loads(text)] == [str(i) for i in range(n)]
+    (tmp_path / "whole.json").write_text(text)
+    assert read_inbox_file(spark, str(tmp_path / "whole.json"), AS_OF).count() == n
+
+
 def test_iso(spark):
     df = spark.sql("select timestamp'2024-01-02 03:04:05' a, timestamp'2024-01-02 03:04:05.00012' b")
     assert tuple(df.select(iso_timestamp(F.col("a")), iso_timestamp(F.col("b"))).first()) == (

@@ -21,15 +21,12 @@ def test_markdown(one, body, title, content):
     assert (got["title"], got["content"]) == (title, content)
 
 
+SPEECH = re.compile(r"(?!\[.*\]$)(?!.*-->).+")
+
+
 def spoken(body):
-    seen = []
-    for line in re.split(r"\r\n|\r|\n", body):
-        line = line.strip()
-        if not line or line.isdigit() or "-->" in line or (line.startswith("[") and line.endswith("]")):
-            continue
-        if line not in seen:
-            seen.append(line)
-    return " ".join(seen)
+    trimmed = map(str.strip, re.split(r"\r\n|\r|\n", body))
+    return " ".join(dict.fromkeys(t for t in trimmed if SPEECH.fullmatch(t) and not t.isdigit()))
 
 
 @pytest.mark.parametrize("body", [

@@ -214,13 +214,13 @@ def same_origin_links(page_url: Column, html: Column) -> Column:
         collapse(decode_entities(F.regexp_replace(F.regexp_extract(a, ANCHOR, 2), r"<[^>]+>", "")))
     )
 
-    def firsts(base: Column) -> Column:
+    def firsts(base: Column, origin: Column) -> Column:
         own = F.filter(
             F.transform(
                 anchors,
-                lambda a, i: F.struct(resolve_in(base, target(a)).alias("to"), i.alias("pos"), label(a).alias("text")),
+                lambda a, i: F.struct(resolve_in(base, origin, target(a)).alias("to"), i.alias("pos"), label(a).alias("text")),
             ),
-            lambda x: x["to"]["href"].isNotNull() & (x["to"]["origin"] == origin_of(base)),
+            lambda x: x["to"]["href"].isNotNull() & (x["to"]["origin"] == origin),
         )
         ordered = F.array_sort(
             F.transform(own, lambda x: F.struct(x["to"]["href"].alias("href"), x["pos"], x["text"]))
@@ -232,7 +232,7 @@ def same_origin_links(page_url: Column, html: Column) -> Column:
             ),
         )
 
-    return let(parts(page_url), firsts)
+    return let(parts(page_url), lambda base: let(origin_of(base), lambda origin: firsts(base, origin)))
 
 
 def audio_link(html: Column) -> Column:

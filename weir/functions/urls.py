@@ -218,17 +218,17 @@ def origin(url: Column) -> Column:
     return let(parts(url), origin_of)
 
 
-def join_href(base: Column, href: Column) -> Column:
-    """``href`` against the parts() struct ``base``, before clean-up; NULL for other schemes."""
+def join_href(base: Column, own: Column, href: Column) -> Column:
+    """``href`` against the parts() struct ``base`` of origin ``own``, before clean-up; NULL for other schemes."""
     folder = F.regexp_replace(base["path"], r"[^/]*$", "")
     return (
         F.when(href.rlike(r"(?i)^https?://"), href)
         .when(href.rlike(SCHEME), F.lit(None).cast("string"))
         .when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin_of(base), href))
-        .when(href == "", F.concat(origin_of(base), base["path"], base["query"]))
-        .when(href.startswith("?"), F.concat(origin_of(base), base["path"], href))
-        .otherwise(F.concat(origin_of(base), F.coalesce(present(folder), F.lit("/")), href))
+        .when(href.startswith("/"), F.concat(own, href))
+        .when(href == "", F.concat(own, base["path"], base["query"]))
+        .when(href.startswith("?"), F.concat(own, base["path"], href))
+        .otherwise(F.concat(own, F.coalesce(present(folder), F.lit("/")), href))
     )
 
 
@@ -250,12 +250,12 @@ def clean_target(joined: Column) -> Column:
     )
 
 
-def resolve_in(base: Column, href: Column) -> Column:
-    """struct(origin, href) of a link on a page whose parts() are ``base``; fragment dropped."""
+def resolve_in(base: Column, own: Column, href: Column) -> Column:
+    """struct(origin, href) of a link on a page of parts() ``base`` and origin ``own``; fragment dropped."""
     bare = F.regexp_replace(F.btrim(href, F.lit("".join(map(chr, range(33))))), r"(?s)[\t\r\n]|#.*$", "")
-    return let(bare, lambda h: let(join_href(base, h), clean_target))
+    return let(bare, lambda h: let(join_href(base, own, h), clean_target))
 
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute http(s) form of ``href`` on page ``base``; NULL for other schemes."""
-    return let(parts(base), lambda b: resolve_in(b, href))["href"]
+    return let(parts(base), lambda b: let(origin_of(b), lambda own: resolve_in(b, own, href)))["href"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,22 @@ THEMES = {
     "dark": {"bg": "#0b0b0c", "fg": "#e5e7eb", "accent": "#2dd4bf", "border": "#27272a"},
     "light": {"bg": "#ffffff", "fg": "#1f2328", "accent": "#0f766e", "border": "#e5e7eb"},
 }
+INDEX_HEAD = """<!doctype html>
+<html lang="zh-CN">
+<head>
+<meta charset="utf-8">
+<title>归档索引 · @ok 篇</title>
+<style>
+body{background:@bg;color:@fg;font-family:-apple-system,BlinkMacSystemFont,'Segoe UI',sans-serif;line-height:1.7;margin:40px auto;max-width:920px;padding:0 20px}
+a{color:@accent;text-decoration:none}a:hover{text-decoration:underline}
+h1{font-size:24px}h2{margin-top:32px;border-top:1px solid @border;padding-top:20px;font-size:17px}
+li{margin:5px 0}.u{color:#71717a;font-size:12px}.fail{color:#f87171}
+</style>
+</head>
+<body>
+<h1>归档索引</h1>
+<p class="u">成功 @ok · 失败 @fail · 主题 @theme</p>"""
+INDEX_TAIL = "</body>\n</html>"
 
 
 def parse_url_list(lines: DataFrame, run: str = "list", line_no: str = "line_no") -> DataFrame:
@@ -139,27 +157,12 @@ def index_lines(entries: DataFrame, run: str = "list") -> DataFrame:
 
 def index_head(n_ok: Column, n_fail: Column, theme: str = "dark") -> Column:
     """Start of the index page, up to the counts."""
-    c = THEMES["dark" if theme == "dark" else "light"]
-    before = [
-        "<!doctype html>", '<html lang="zh-CN">', "<head>", '<meta charset="utf-8">', "<title>归档索引 · ",
-    ]
-    between = [
-        " 篇</title>", "<style>",
-        f"body{{background:{c['bg']};color:{c['fg']};font-family:-apple-system,"
-        "BlinkMacSystemFont,'Segoe UI',sans-serif;line-height:1.7;"
-        "margin:40px auto;max-width:920px;padding:0 20px}",
-        f"a{{color:{c['accent']};text-decoration:none}}a:hover{{text-decoration:underline}}",
-        f"h1{{font-size:24px}}h2{{margin-top:32px;border-top:1px solid {c['border']};padding-top:20px;font-size:17px}}",
-        "li{margin:5px 0}.u{color:#71717a;font-size:12px}.fail{color:#f87171}",
-        "</style>", "</head>", "<body>", "<h1>归档索引</h1>", '<p class="u">成功 ',
-    ]
-    return F.concat(
-        F.lit("\n".join(before)), n_ok, F.lit("\n".join(between)), n_ok, F.lit(" · 失败 "), n_fail,
-        F.lit(f" · 主题 {theme}</p>"),
-    )
-
-
-INDEX_TAIL = "</body>\n</html>"
+    shade = "dark" if theme == "dark" else "light"
+    head = INDEX_HEAD
+    for name, colour in THEMES[shade].items():
+        head = head.replace(f"@{name}", colour)
+    cells = {"@ok": n_ok, "@fail": n_fail, "@theme": F.lit(theme)}
+    return F.concat(*[cells[part] if part in cells else F.lit(part) for part in re.split("(@ok|@fail|@theme)", head)])
 
 
 def index_page(entries: DataFrame, run: str = "list", theme: str = "dark") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.functions import urls
-from weir.functions.text import let
+from weir.functions.text import let, or_empty
 
 # Host names and networks that are never fetched.
 BLOCKED_HOSTS = [
@@ -20,7 +20,8 @@ IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1
 
 
 def guard_reason(url: Column) -> Column:
-    """Why a URL is refused before any lookup; NULL when it may go on."""
+    """Why a URL is refused before any lookup; NULL when it may go on. No URL counts as an empty one."""
+    url = or_empty(url)
     sch = urls.scheme(url)
 
     def by_host(host: Column) -> Column:
@@ -111,7 +112,7 @@ def with_address_guard(df: DataFrame, dns: DataFrame, url: str = "url") -> DataF
     literal = F.col("_host").rlike(IPV4) | F.col("_host").contains(":")
     looked_up = F.when(literal, in_networks(F.col("_host"))).otherwise(F.col("_bad"))
     return (
-        df.withColumn("_host", urls.hostname(F.col(url)))
+        df.withColumn("_host", urls.hostname(or_empty(F.col(url))))
         .join(verdicts, "_host", "left")
         .withColumn(
             "reason",

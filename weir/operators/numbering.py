@@ -14,32 +14,31 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 16
 
 
-def _in_blocks(df: DataFrame, order: str, bits: int) -> DataFrame:
-    return df.withColumn("_block", F.shiftright(F.col(order).cast("bigint"), bits))
+KEY = ["_group", "_block"]
 
 
-def _earlier_blocks(group: list[str]):
-    return Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+def _in_blocks(df: DataFrame, group: list[str], order: str, bits: int) -> DataFrame:
+    """Adds the block key; the group goes into a struct so that NULL groups join too."""
+    block = F.shiftright(F.col(order).cast("bigint"), bits)
+    return df.withColumn("_group", F.struct(*group)).withColumn("_block", block)
 
 
-def _so_far(group: list[str], order: str):
-    return Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def _earlier_blocks():
+    return Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def add_ordinal(
     df: DataFrame, group: list[str], order: str, name: str, start: int = 1, block_bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Number the rows ``start``, ``start + 1``, ... per group."""
-    cut = _in_blocks(df, order, block_bits)
-    sizes = cut.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(
-        *group, "_block", F.coalesce(F.sum("_n").over(_earlier_blocks(group)), F.lit(0)).alias("_offset")
-    )
-    within = Window.partitionBy(*group, "_block").orderBy(order)
+    cut = _in_blocks(df, group, order, block_bits)
+    sizes = cut.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(*KEY, F.coalesce(F.sum("_n").over(_earlier_blocks()), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*KEY).orderBy(order)
     return (
-        cut.join(offsets, [*group, "_block"])
+        cut.join(offsets, KEY)
         .withColumn(name, (F.row_number().over(within) + F.col("_offset") + (start - 1)).cast("bigint"))
-        .drop("_block", "_offset")
+        .drop(*KEY, "_offset")
     )
 
 
@@ -52,20 +51,21 @@ def carry_and_number(
     ``carried``: the latest non-NULL ``value`` at or before the row, else
     ``default``. ``index``: how many ``counted`` rows there are up to the row.
     """
-    cut = _in_blocks(df.withColumn("_value", value).withColumn("_counted", counted), order, block_bits)
+    cut = _in_blocks(
+        df.withColumn("_value", value).withColumn("_counted", counted), group, order, block_bits
+    )
     set_at = F.when(F.col("_value").isNotNull(), F.col(order))
-    blocks = cut.groupBy(*group, "_block").agg(
+    blocks = cut.groupBy(*KEY).agg(
         F.count_if("_counted").alias("_n"), F.max_by("_value", set_at).alias("_last")
     )
-    before = _earlier_blocks(group)
     entering = blocks.select(
-        *group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.last("_last", ignorenulls=True).over(before).alias("_entering"),
+        *KEY, F.coalesce(F.sum("_n").over(_earlier_blocks()), F.lit(0)).alias("_offset"),
+        F.last("_last", ignorenulls=True).over(_earlier_blocks()).alias("_entering"),
     )
-    so_far = _so_far(group, order)
+    so_far = Window.partitionBy(*KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.join(entering, [*group, "_block"])
+        cut.join(entering, KEY)
         .withColumn(carried, F.coalesce(F.last("_value", ignorenulls=True).over(so_far), "_entering", default))
         .withColumn(index, F.count_if("_counted").over(so_far) + F.col("_offset"))
-        .drop("_block", "_value", "_counted", "_entering", "_offset")
+        .drop(*KEY, "_value", "_counted", "_entering", "_offset")
     )

@@ -30,6 +30,24 @@ def write_json(df: DataFrame, path: str) -> None:
     with_json(df).write.mode("error").text(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: str = "seq") -> None:
+    """JSON export whose part files, joined in name order, are one array in ``order``.
+
+    Only the lowest order value comes to the driver: it tells which row opens
+    the array. The rows are range-sorted and written by many tasks.
+    """
+    lowest = df.agg(F.min(order).alias("low")).first()["low"]
+    mark = F.when(F.col(order) == F.lit(lowest), "[") if lowest is not None else F.lit(None).cast("string")
+    body = with_json(df, order).select(
+        F.lit(0).alias("_place"), F.col(order).alias("_order"), F.concat(F.coalesce(mark, F.lit(",")), "json").alias("value")
+    )
+    end = df.sparkSession.range(1).select(
+        F.lit(1).alias("_place"), F.lit(None).cast(dict(df.dtypes)[order]).alias("_order"),
+        F.lit("]" if lowest is not None else "[]").alias("value"),
+    )
+    body.unionByName(end).sort("_place", "_order").select("value").write.mode("error").text(path)
+
+
 def write_markdown(df: DataFrame, path: str, order: str | None = None, mode: str = "append") -> None:
     """Markdown log entries; the writer ends each row with a newline, so the entry's last one is left out."""
     ordered = df if order is None else df.sort(order)

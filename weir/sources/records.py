@@ -69,3 +69,8 @@ def read_inbox_file(spark: SparkSession, path: str, as_of: str) -> DataFrame:
     else:
         texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return load_arrays(texts, "value", as_of, ["file"])
+
+
+def read_export(spark: SparkSession, path: str, as_of: str) -> DataFrame:
+    """Exports with one JSON object per line; large files are read by many tasks."""
+    return records_from_json(spark.read.text(path), "value", as_of)
