@@ -42,19 +42,18 @@ def parse_url_list(lines: DataFrame, run: str = "list", line_no: str = "line_no"
     ``# `` comments and lines that are no http(s) address are passed over.
     Entries are numbered 1, 2, ... per run in file order.
     """
-    bare = lines.withColumn("_l", strip(F.col("line")))
-    comment = (F.col("_l") == "") | F.col("_l").startswith("# ")
+    # Only headings and addresses matter. The test reads the line as landed, so it runs once,
+    # at the scan; a test on the parsed columns would be pushed below and repeat their work.
+    wanted = lines.filter(F.col("line").rlike(r"(?U)^[\s\x1c-\x1f]*(?:##|https?://)"))
+    bare = wanted.withColumn("_l", strip(F.col("line")))
     heading = F.col("_l").startswith("##")
     cut = F.instr(F.col("_l"), " | ")
     address = F.when(cut > 0, strip(F.left(F.col("_l"), cut - 1))).otherwise(F.col("_l"))
     title = F.when(cut > 0, strip(F.substr(F.col("_l"), cut + 3))).otherwise("")
-    # Only headings and addresses matter from here on; the rest never reaches the shuffle.
     kept = bare.select(
         run, line_no,
-        F.when(~comment & heading, strip(F.ltrim(F.col("_l"), F.lit("#")))).alias("_heading"),
-        F.when(~comment & ~heading, address).alias("url"), title.alias("title"),
-    ).filter(
-        F.col("_heading").isNotNull() | F.col("url").startswith("http://") | F.col("url").startswith("https://")
+        F.when(heading, strip(F.ltrim(F.col("_l"), F.lit("#")))).alias("_heading"),
+        F.when(~heading, address).alias("url"), title.alias("title"),
     )
     numbered = carry_and_number(
         kept, [run], line_no, value=F.col("_heading"), counted=F.col("_heading").isNull(),

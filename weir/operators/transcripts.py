@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.text import is_spoken, or_empty, strip
+from weir.functions.text import is_spoken, let, or_empty, strip
 from weir.operators.inbox import first_wins
 
 # Parts of a very long transcript: ten-minute segments up to here (weeks of sound) make one text.
@@ -29,7 +29,8 @@ def distinct_lines(lines: DataFrame, file: str, pos: list[str], line: str = "lin
     The row-wise twin of the text function, for subtitle tracks too long for
     one value. Equal lines meet by (file, line), never a whole file.
     """
-    trimmed = lines.withColumn(line, strip(F.col(line))).filter(is_spoken(F.col(line)))
+    spoken = lines.filter(let(strip(F.col(line)), is_spoken))
+    trimmed = spoken.withColumn(line, strip(F.col(line)))
     return first_wins(trimmed, [file, line], pos)
 
 
