@@ -59,6 +59,8 @@ if __name__ == "__main__":
     folder = f"/root/testdata/sf{sf}"
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    # Results must not depend on the session's time zone.
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("CHECK_TZ", "UTC"))
     con = oracle_connection(folder)
     queries, oracle = entry.queries(), entry.oracle_sql()
     failed = 0
