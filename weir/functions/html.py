@@ -11,7 +11,7 @@ from weir.functions.text import collapse, let, or_empty, present_once, strip
 from weir.functions.urls import any_of, origin_of, parts, resolve_in
 
 COMMENT = r"(?s)<!--.*?-->"
-CODE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+CODE = r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)"
 BLOCK_TAGS = "p|div|li|ul|ol|h[1-6]|nav|section|article|main|header|footer|table|tr|blockquote|pre"
 LINE_BREAK = rf"(?i)^<(?:br\s*/?$|/?(?:{BLOCK_TAGS})\b)"
 
