@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -25,17 +26,24 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "weir"
     )
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="weir-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) is a
-    temporary folder made, and then kept in the session for later calls.
+    Where the setting is missing, a session that runs on this machine alone (``local[...]``)
+    gets a temporary folder; on a cluster that would be a folder the executors cannot see, so
+    there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weir-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_dir()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
