@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import line_rules
+from weir.llm import line_rules, near_duplicates
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, folder))
+
+
 @query
 def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.quality(documents(spark, folder)).drop("cut_hashes")
