@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weir.llm import line_rules, near_duplicates
+from weir.llm import language, line_rules, near_duplicates
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    # A row without an id has no remainder; it is learned from as little as one that is held out.
+    model = language.train(docs.where(~F.col("held_out")))
+    return language.predict(docs.withColumn("held_out", F.coalesce("held_out", F.lit(False))), model, keep=["doc_id", "held_out"])
+
+
 @query
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, folder))
