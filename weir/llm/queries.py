@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import language, line_rules, near_duplicates
+from weir.llm import language, line_rules, mixing, near_duplicates, packing
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,16 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, folder))
 
 
+@query
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder))
+
+
+@query
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.best_fit(packing.with_lengths(documents(spark, folder)))
+
+
 @query
 def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.quality(documents(spark, folder)).drop("cut_hashes")
@@ -61,3 +71,30 @@ m as (select doc_id, len(w) as n_words, len(array_to_string(w, '')) as word_char
       from w left join r using (doc_id) left join cut using (doc_id)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select *, not base_failed and 100 * (n_words - words_cut) >= 30 * n_words as kept from b"""
+
+ORACLE["op5_mixing"] = r"""
+with recursive
+d as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n_tokens from documents),
+s as (select source, cast(sum(n_tokens) as bigint) as source_tokens, count(*) as n from d group by 1),
+t as (select sum(source_tokens) as total, list(source_tokens / (select cast(sum(source_tokens) as double) from s) order by source) as ps from s),
+bis(k, lo, hi) as (
+  select 0, 0.0::double, 1.0::double
+  union all
+  select k + 1, if(small, mid, lo), if(small, hi, mid)
+  from (select k, lo, hi, mid, ln(z) - mid * zl / z > 0.97 * ln(len(ps)) or power(list_min(ps), mid - 1) / z > 4 as small
+        from (select k, lo, hi, mid, ps, list_sum(list_transform(ps, lambda p: power(p, mid))) as z,
+                     list_sum(list_transform(ps, lambda p: power(p, mid) * ln(p))) as zl
+              from (select k, lo, hi, (lo + hi) / 2 as mid, ps from bis, t where k < 32)))),
+e as (select round(hi, 6) as a, ps, total from bis, t where k = 32),
+b as (select source, source_tokens, cast(ceil(n / 2000.0) as bigint) as blocks,
+             cast(round(power(source_tokens / total::double, a) / list_sum(list_transform(ps, lambda p: power(p, a))) * total) as bigint) as source_budget
+      from s, e),
+h as (select *, cast('0x' || substr(md5('mix:b:' || doc_id), 1, 10) as bigint) % 1099511627776 % blocks as block,
+             cast('0x' || substr(md5('mix:d:' || doc_id), 1, 10) as bigint) as dk from d join b using (source)),
+o as (select *, sum(n_tokens) over (partition by source, block order by dk, doc_id rows unbounded preceding) as inside from h),
+g as (select source, block, sum(bt) over (partition by source order by cast('0x' || substr(md5('mix:o:' || source || ':' || block), 1, 10) as bigint), block
+             rows unbounded preceding) - bt as ahead
+      from (select source, block, sum(n_tokens) as bt from h group by 1, 2))
+select doc_id, source, n_tokens, source_tokens, source_budget, block, cast(ahead + inside - n_tokens as bigint) as "before",
+       cast(source_budget // source_tokens + if(n_tokens > 0 and ahead + inside <= source_budget % source_tokens, 1, 0) as bigint) as copies
+from o join g using (source, block)"""
