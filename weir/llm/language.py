@@ -1,6 +1,6 @@
 """Language identification: a linear-chain conditional random field labels every word.
 
-A word's features are its affixes, its letter pairs and triples, and itself where it is in the
+A word's features are its affixes of two and three letters, its letter triples, and itself where it is in the
 lexicon of frequent sample words; transitions between the labels of neighbouring words are
 learned with them. Training sequences are code-switched: stretches of labelled documents put one
 after another. Word probabilities come from forward-backward over the whole text, and a
@@ -31,10 +31,7 @@ WORD = re.compile(r"[^\W\d_]{1,32}")
 
 def features(word: str) -> list[str]:
     w = f"^{word}$"
-    out = [w, w[:2], w[:3], w[:4], w[-2:], w[-3:], w[-4:]]
-    out += [f"2{w[i:i + 2]}" for i in range(1, len(w) - 2)]
-    out += [f"3{w[i:i + 3]}" for i in range(len(w) - 2)]
-    return out
+    return [w, w[:3], w[:4], w[-3:], w[-4:], *[w[i:i + 3] + "3" for i in range(1, len(w) - 3)]]
 
 
 @dataclass
@@ -160,34 +157,37 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 class Tagger:
     """Scores of words under a model, with a memo of at most ``limit`` words between batches."""
 
-    def __init__(self, model: Model, limit: int = 200_000) -> None:
+    def __init__(self, model: Model, limit: int = 400_000) -> None:
         self.model, self.limit = model, limit
+        self.weights = np.vstack([model.weights, np.zeros((1, len(model.langs)), np.float32)])
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table: list[np.ndarray] = []
-
-    def _score(self, word: str) -> np.ndarray:
-        get = self.model.index.get
-        found = [i for f in features(word) if (i := get(f)) is not None]
-        return self.model.weights[found].sum(axis=0) + self.model.bias
+        self.table = np.zeros((0, len(self.model.langs)), np.float32)
+
+    def _add(self, words: list[str]) -> None:
+        """Score ``words`` and append them to the memo."""
+        get, none = self.model.index.get, len(self.weights) - 1
+        flat, starts = [], []
+        for w in words:
+            starts.append(len(flat))
+            flat += [get(f, none) for f in features(w)]
+        scores = np.add.reduceat(self.weights[flat], starts, axis=0) + self.model.bias.astype(np.float32)
+        self.rows.update(zip(words, range(len(self.table), len(self.table) + len(words))))
+        self.table = np.concatenate([self.table, scores])
 
     def probabilities(self, texts: list[list[str]]) -> np.ndarray:
         """Label probabilities of all words of all texts, one after another."""
         if len(self.rows) > self.limit:
             self.clear()
-        rows, table, ids = self.rows, self.table, []
-        for words in texts:
-            for w in words:
-                i = rows.get(w)
-                if i is None:
-                    i = rows[w] = len(table)
-                    table.append(self._score(w))
-                ids.append(i)
+        new = set().union(*texts).difference(self.rows)
+        if new:
+            self._add(list(new))
+        ids = np.fromiter((self.rows[w] for words in texts for w in words), np.int64, sum(map(len, texts)))
         first = np.zeros(len(ids), bool)
         first[np.cumsum([0, *map(len, texts)])[:-1]] = True
-        return marginals(np.array(table)[ids], first, self.model.moves, self.model.start)[3]
+        return marginals(self.table[ids].astype(float), first, self.model.moves, self.model.start)[3]
 
 
 def _groups(texts: list[list[str]], words: int) -> Iterator[range]:
