@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import language, line_rules, mixing, near_duplicates, packing
+from weir.llm import language, line_rules, mixing, near_duplicates, packing, secrets
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.quality(documents(spark, folder)).drop("cut_hashes")
 
 
+@query
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(documents(spark, folder))
+    return found.select("doc_id", "position", "piece", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 ORACLE["op9_line_rules"] = r"""
 with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as host from documents),
 w as (select doc_id, t, host, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
