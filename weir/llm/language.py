@@ -209,13 +209,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] =
     where the model has learned no language.
     """
     kept = docs.select(*keep).schema
+    sent = [*keep] if text in keep else [*keep, text]
+    at_text = sent.index(text)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
             lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             for at in range(0, batch.num_rows, 500):
-                part = [WORD.findall(x.lower()) if (x := v.as_py()) else [] for v in batch.column(len(keep)).slice(at, 500)]
+                part = [WORD.findall(x.lower()) if (x := v.as_py()) else [] for v in batch.column(at_text).slice(at, 500)]
                 some = [i for i, words in enumerate(part) if words and model.langs]
                 full = [part[i] for i in some]
                 for group in _groups(full, words_at_once):
@@ -230,7 +232,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] =
                                              [*batch.schema.names[:len(keep)], "lang_pred", "score"])
 
     out = kept.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(label, out)
+    return docs.select(*sent).mapInArrow(label, out)
 
 
 def label_words(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

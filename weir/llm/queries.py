@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import language, line_rules, mixing, near_duplicates, packing, secrets
+from weir.llm import exact_search, language, line_rules, mixing, near_duplicates, packing, secrets
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, folder))
 
 
+@query
+def op3_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_search.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id % 50 = 0")
+
+
 @query
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder))
@@ -104,3 +109,11 @@ g as (select source, block, sum(bt) over (partition by source order by cast('0x'
 select doc_id, source, n_tokens, source_tokens, source_budget, block, cast(ahead + inside - n_tokens as bigint) as "before",
        cast(source_budget // source_tokens + if(n_tokens > 0 and ahead + inside <= source_budget % source_tokens, 1, 0) as bigint) as copies
 from o join g using (source, block)"""
+
+ORACLE["op3_exact_search"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select * from r where rank <= 5"""
