@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import exact_search, language, line_rules, mixing, near_duplicates, packing, secrets
+from weir.llm import exact_search, language, line_rules, mixing, near_duplicates, packing, secrets, substrings
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ def op3_exact_search(spark: SparkSession, folder: str) -> DataFrame:
     return exact_search.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id % 50 = 0")
 
 
+@query
+def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.without_repeats(documents(spark, folder))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder))
@@ -117,3 +123,15 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as
       from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
 r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select * from r where rank <= 5"""
+
+ORACLE["op4_substrings"] = r"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+u as (select doc_id, unnest(generate_series(1, len(w) - 12)) as i, w from w where len(w) >= 13),
+g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from u),
+f as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by g) as first from g) where first < doc_id),
+c as (select doc_id, list(distinct j) as gone from (select doc_id, unnest(generate_series(i, i + 12)) as j from f) group by 1),
+k as (select doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
+             case when gone is null then array_to_string(w, ' ')
+                  else array_to_string(list_transform(list_filter(generate_series(1, len(w)), lambda j: not list_contains(gone, j)), lambda j: w[j]), ' ') end as t
+      from w left join c using (doc_id))
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(t) as kept_sha256 from k"""
