@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import exact_search, language, line_rules, mixing, near_duplicates, packing, secrets, substrings
+from weir.llm import exact_search, language, line_rules, mixing, near_duplicates, packing, page_text, secrets, substrings, token_counts
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,22 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder))
 
 
+@query
+def op6_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.main_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document before and after its mail addresses and long numbers are masked."""
+    trees = token_counts.with_trees(documents(spark, folder).select("doc_id", "text"))
+    before = trees.withColumns({"n_tokens_before": F.col("n_tokens"), "edits": token_counts.replacements(
+        F.col("text"), r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+[A-Za-z]|[0-9]{6,}", "[masked]")})
+    after = token_counts.apply_edits(before)
+    return after.select("doc_id", "n_tokens_before", F.coalesce(F.size("edits"), F.lit(0)).alias("n_edits"), "n_tokens", "n_encoded",
+                        F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+
+
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit(packing.with_lengths(documents(spark, folder)))
