@@ -42,6 +42,24 @@ def test_main_text_choices(one):
     assert one(html.main_text, "<article>x<script>'</article>'</script><!-- </article> --><br/>y  \t z\n\n</article>") == "x\ny z"
 
 
+def test_signs_quotes_and_references(one):
+    assert one(html.main_text, "<article>1 < 2 and 3 > 2 ok</article>") == "1 < 2 and 3 > 2 ok"
+    assert one(html.main_text, """<article><img alt="a > b" src=x>tail<i title='x > y'>i</i></article>""") == "taili"
+    assert one(html.main_text, "<article>it&#8217;s &mdash; caf&eacute; &#x1F600; &amp;lt; &nosuch; &#0; R&D</article>") == "it\u2019s \u2014 caf\u00e9 \U0001f600 &lt; &nosuch; &#0; R&D"
+    assert one(html.main_text, "<article>a<noscript>n</noscript><template>t</template><textarea>x</textarea>b</article>") == "ab"
+    assert one(html.page_title, "<title>Tom &#38; J&eacute;r&ocirc;me</title>") == "Tom & J\u00e9r\u00f4me"
+
+
+def test_links_without_end_tags(one):
+    found = one(html.same_origin_links, "https://h.org/p", "<a href=/1>one<br><a href=/2>two</a><a href=/3>three<a title='a>b' href='/4'>four</a> <a name=x>no</a>")
+    assert [(x["href"], x["text"]) for x in sorted(found, key=lambda x: x["pos"])] == [
+        ("https://h.org/1", "one"), ("https://h.org/2", "two"), ("https://h.org/3", "three"), ("https://h.org/4", "four")]
+
+
+def test_unquoted_image(one):
+    assert one(html.walk_with_images, '<div id="js_content"><img src=u.png></div>') == "![image](u.png)"
+
+
 def test_article_without_closing_sign(one):
     assert one(html.main_text, "<article>a < b <p>c</p></article>") == "a < b\nc"
 

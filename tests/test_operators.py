@@ -166,10 +166,38 @@ def test_snapshot_repeated_locations(spark):
     assert [c["location"] for c in got[1]["resources"]] == ["", "i.png", "cid:2"]
 
 
-def test_long_transcripts_continue_in_parts(spark):
-    df = spark.createDataFrame([("v", i, f"t{i}") for i in range(10)], "v string, i bigint, text string")
-    got = {r["part"]: r["transcript"] for r in transcripts.concat_segments(df, "v", "i", separator=" ", per_part=4).collect()}
-    assert got == {0: "t0 t1 t2 t3", 1: "t4 t5 t6 t7", 2: "t8 t9"}
+def test_a_transcript_is_one_row(spark):
+    df = spark.createDataFrame([("v", i * 3000, f"t{i}") for i in range(10)], "v string, i bigint, text string")
+    got = {r["v"]: r["transcript"] for r in transcripts.concat_segments(df, "v", "i", separator=" ").collect()}
+    assert got == {"v": " ".join(f"t{i}" for i in range(10))}
+
+
+def test_snapshot_passes_over_empty_parts(spark):
+    parts = [(1, 1, "x", "text/html", None), (1, 2, None, "text/html", b"<p>a.png b.png</p>"), (1, 3, None, "image/png", b"1"), (1, 4, "a.png", None, None),
+             (1, 5, "b.png", "image/png", b"2")]
+    df = spark.createDataFrame(parts, "page_id int, part_no int, location string, content_type string, data binary")
+    assert snapshot.inline(snapshot.gather_parts(df), None).first()["page_html"] == "<p>a.png data:image/png;base64,Mg==</p>"
+
+
+def test_index_keeps_rows_without_keys(spark):
+    rows = [(None, None, 1, "u", "t", "f", "ok"), ("r", None, 1, "v", "t", "f", "ok")]
+    df = spark.createDataFrame(rows, "list string, section string, index bigint, url string, title string, file string, status string")
+    assert sum(r["html"].startswith("<li>") for r in archive.index_lines(df).collect()) == 2
+
+
+def test_preflight_checks_addresses(spark):
+    df = spark.createDataFrame([("a", "http://10.0.0.5/"), ("b", "http://[::1]/"), ("c", "http://8.8.8.8/"), ("d", "http://in.side/"), ("e", "http://out.side/")], "run string, url string")
+    dns = spark.createDataFrame([("in.side", "192.168.1.1"), ("out.side", "93.184.216.34")], "host string, ip string")
+    alone = {r["run"]: r["may_run"] for r in guard.preflight(df, "run").collect()}
+    assert alone == {"a": False, "b": False, "c": True, "d": True, "e": True}
+    assert {r["run"] for r in guard.preflight(df, "run", dns).collect() if r["may_run"]} == {"c", "e"}
+
+
+def test_items_without_subtitles_stay(spark):
+    files = spark.createDataFrame([(1, "s.en.srt", "a"), (2, "s.fr.srt", "b")], "v int, name string, body string")
+    items = spark.createDataFrame([(1,), (2,), (3,)], "v int")
+    got = {r["v"]: r["name"] for r in transcripts.pick_subtitles(files, "v", ["en"], items=items).collect()}
+    assert got == {1: "s.en.srt", 2: None, 3: None}
 
 
 def test_subtitle_files(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,43 +12,68 @@ from weir.functions.text import collapse, let, or_empty, present_once, strip
 from weir.functions.urls import any_of, origin_of, parts, resolve_in
 
 COMMENT = r"(?s)<!--.*?-->"
-CODE = r"(?is)<(?:!--.*?-->|(script|style)\b.*?</\1\s*>)"
+CODE = r"(?is)<(?:!--.*?-->|(script|style|noscript|template|textarea)\b.*?</\1\s*>)"
+CODE_MARKS = ["<!--", "<s", "<S", "<noscript", "<NOSCRIPT", "<template", "<TEMPLATE", "<textarea", "<TEXTAREA"]
 BLOCK_TAGS = "p|div|li|ul|ol|h[1-6]|nav|section|article|main|header|footer|table|tr|blockquote|pre"
 LINE_BREAK = rf"(?i)^<(?:br\s*/?$|/?(?:{BLOCK_TAGS})\b)"
 
 
+# Code point by entity name, as one constant map; a no-break space reads as a space, &apos; is not in the table.
+ENTITIES = ",".join(f"{name}:{32 if name == 'nbsp' else code}" for name, code in [*name2codepoint.items(), ("apos", 39)])
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+
+
 def decode_entities(c: Column) -> Column:
-    """The five named entities text runs carry; the ampersand last, so nothing decodes twice."""
-    def chain(text: Column) -> Column:
-        for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            text = F.replace(text, F.lit(safe), F.lit(raw))
-        return text
+    """Named and numeric character references, each decoded once; what is none stays as it is."""
+    named = F.str_to_map(F.lit(ENTITIES), F.lit(","), F.lit(":"))
+
+    def one(part: Column) -> Column:
+        def replaced(name: Column) -> Column:
+            code = (
+                F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10))
+                .when(name.startswith("#"), F.substr(name, F.lit(2)))
+                .otherwise(F.element_at(named, name))
+            ).cast("int")
+            valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+            sign = F.when(code < 128, F.chr(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+            return F.when(valid, F.concat(sign, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+        return let(F.regexp_extract(part, REFERENCE, 1), replaced)
 
-    return let(c, lambda text: F.when(text.contains("&"), chain(text)).otherwise(text))
+    decoded = lambda text: F.array_join(F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(one(p))), "")
+    return let(c, lambda text: F.when(text.contains("&"), decoded(text)).otherwise(text))
 
 
 def without_code(html: Column) -> Column:
-    """Drop comments, scripts and styles; they may hold text that looks like tags."""
-    may_hold = lambda h: h.contains("<!--") | h.contains("<s") | h.contains("<S")
+    """Drop comments, scripts, styles and other contents that are never shown; they may hold text that looks like tags."""
+    may_hold = lambda h: any_of([h.contains(mark) for mark in CODE_MARKS])
     return let(html, lambda h: F.when(may_hold(h), F.regexp_replace(h, CODE, "")).otherwise(h))
 
 
+# A tag up to its ``>``, which may also stand inside quoted attribute values.
+QUOTED_TAG = r"""(?s)^<[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+(?=>)"""
+
+
 def pieces(html: Column) -> Column:
-    """array(struct(tag, text)): the page cut before every ``<``.
+    """array(struct(tag, text)): the page cut before every ``<`` that starts a tag.
 
     ``tag`` is written up to but without its ``>``, ``text`` is what follows.
-    Text with no tag in front has tag ''. Selection and text extraction work
-    on this array, so the page is scanned once however many elements are looked
-    up, and patterns run on the short tags only.
+    Text with no tag in front has tag ''. A ``<`` before anything but a letter,
+    ``/``, ``!`` or ``?`` is text. Selection and text extraction work on this
+    array, so the page is scanned once however many elements are looked up,
+    and patterns run on the short tags only.
     """
     plain = lambda p: F.struct(F.lit("").alias("tag"), p.alias("text"))
+    odd = lambda tag, quote: (F.length(tag) - F.length(F.replace(tag, F.lit(quote), F.lit("")))) % 2 == 1
+    # Only a tag cut inside a quoted value, so with an odd number of quotes, needs the pattern.
+    whole = lambda p, tag: F.when(odd(tag, '"') | odd(tag, "'"), F.coalesce(present_once(F.regexp_extract(p, QUOTED_TAG, 0)), tag)).otherwise(tag)
     parted = lambda p: let(
-        F.substring_index(p, ">", 1),
+        let(F.substring_index(p, ">", 1), lambda tag: whole(p, tag)),
         lambda tag: F.struct(tag.alias("tag"), F.substr(p, F.length(tag) + 2).alias("text")),
     )
     return F.transform(
-        F.split(html, "(?=<)"),
-        lambda p: F.when(p.startswith("<") & p.contains(">"), parted(p)).otherwise(plain(p)),
+        F.split(html, "(?=<[a-zA-Z/!?])"),
+        lambda p: F.when(p.rlike("^<[a-zA-Z/!?]") & p.contains(">"), parted(p)).otherwise(plain(p)),
     )
 
 
@@ -158,7 +184,7 @@ def walk_with_images(html: Column) -> Column:
         pieces(F.regexp_replace(html, COMMENT, "")),
         lambda ps: F.coalesce(select_first(ps, "#js_content"), select_first(ps, ".rich_media_content")),
     )
-    attribute = lambda tag, key: present_once(F.regexp_extract(tag, rf"""(?i)\s{key}\s*=\s*["']([^"']*)""", 1))
+    attribute = lambda tag, key: present_once(unquoted(F.regexp_extract(tag, rf"""(?i)\s{key}\s*=\s*({VALUE})""", 1)))
     source = lambda tag: F.coalesce(attribute(tag, "data-src"), attribute(tag, "src"))
     mark = lambda p: F.when(
         p["tag"].rlike(r"(?i)^<img\b"), F.concat(F.lit("![image]("), decode_entities(source(p["tag"])), F.lit(")"))
@@ -199,7 +225,35 @@ def post_text(html: Column) -> Column:
     return or_empty(inner_text(box))
 
 
-ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)[^>]*>(.*?)</a\s*>"""
+VALUE = r"""(?s:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+HREF = rf"""(?is)\shref\s*=\s*({VALUE})"""
+
+
+def unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
+
+
+def anchors(ps: Column) -> Column:
+    """array(struct(href, text)) of the links in pieces; a link ends at the next ``<a`` or ``</a``."""
+    marks = F.filter(
+        F.transform(ps, lambda p, i: F.when(p["tag"].rlike(r"(?i)^</?a(?:[\s/]|$)"), F.struct(i.alias("at"), p["tag"].alias("tag")))),
+        lambda m: m.isNotNull(),
+    )
+    text = lambda a, end: F.array_join(F.transform(F.slice(ps, a + 1, end - a), lambda p: p["text"]), "")
+    links = lambda ms: F.filter(
+        F.transform(
+            ms,
+            lambda m, i: F.when(
+                m["tag"].rlike(HREF),
+                F.struct(
+                    F.regexp_extract(m["tag"], HREF, 1).alias("href"),
+                    text(m["at"], F.coalesce(F.get(ms, i + 1)["at"], F.size(ps))).alias("text"),
+                ),
+            ),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return let(marks, links)
 
 
 def same_origin_links(page_url: Column, html: Column) -> Column:
@@ -208,16 +262,14 @@ def same_origin_links(page_url: Column, html: Column) -> Column:
     Everything happens inside the row: a sort brings equal targets together, so
     the work per page is n log n and no shuffle is needed.
     """
-    anchors = F.regexp_extract_all(without_code(html), F.lit(ANCHOR), F.lit(0))
-    target = lambda a: decode_entities(F.regexp_replace(F.regexp_extract(a, ANCHOR, 1), r"""^["']|["']$""", ""))
-    label = lambda a: strip(
-        collapse(decode_entities(F.regexp_replace(F.regexp_extract(a, ANCHOR, 2), r"<[^>]+>", "")))
-    )
+    links = let(pieces(without_code(html)), anchors)
+    target = lambda a: decode_entities(unquoted(a["href"]))
+    label = lambda a: strip(collapse(decode_entities(a["text"])))
 
     def firsts(base: Column, origin: Column) -> Column:
         own = F.filter(
             F.transform(
-                anchors,
+                links,
                 lambda a, i: F.struct(resolve_in(base, origin, target(a)).alias("to"), i.alias("pos"), label(a).alias("text")),
             ),
             lambda x: x["to"]["href"].isNotNull() & (x["to"]["origin"] == origin),

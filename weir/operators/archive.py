@@ -140,13 +140,16 @@ def index_lines(entries: DataFrame, run: str = "list") -> DataFrame:
     first = entries.groupBy(run, "section").agg(
         F.min("index").alias("section_pos"), F.max("index").alias("_last")
     )
-    items = entries.join(first, [run, "section"]).select(
+    # The keys go into a struct, so that entries without a run or a section join too.
+    key = F.struct(run, "section")
+    places = first.select(key.alias("_key"), "section_pos")
+    items = entries.withColumn("_key", key).join(places, "_key").select(
         run, "section_pos", F.col("index").alias("line_pos"),
         index_item(F.col("title"), F.col("url"), F.col("file"), F.col("status")).alias("html"),
     )
     heading = F.concat(F.lit("<h2>"), text.escape_html(F.col("section")), F.lit("</h2>"))
     frame = F.array(
-        F.when(F.col("section") != "", F.struct(F.lit(-1).cast("bigint").alias("line_pos"), heading.alias("html"))),
+        F.when(or_empty(F.col("section")) != "", F.struct(F.lit(-1).cast("bigint").alias("line_pos"), heading.alias("html"))),
         F.struct(F.lit(0).cast("bigint").alias("line_pos"), F.lit("<ol>").alias("html")),
         F.struct((F.col("_last") + 1).alias("line_pos"), F.lit("</ol>").alias("html")),
     )

@@ -126,9 +126,19 @@ def with_address_guard(df: DataFrame, dns: DataFrame, url: str = "url") -> DataF
     )
 
 
-def preflight(entries: DataFrame, run: str) -> DataFrame:
-    """Per run: how many URLs there are and how many the guard refuses; one refusal stops the run."""
-    checked = with_guard(entries)
+def preflight(entries: DataFrame, run: str, dns: DataFrame | None = None) -> DataFrame:
+    """Per run: how many URLs there are and how many the guard refuses; one refusal stops the run.
+
+    Literal private addresses are refused always, resolved ones with the lookups ``dns(host, ip)``.
+    Without lookups a host name counts as public.
+    """
+    if dns is not None:
+        checked = with_address_guard(entries, dns)
+    else:
+        host = urls.hostname(or_empty(F.col("url")))
+        literal = let(host, lambda h: (h.rlike(IPV4) | h.contains(":")) & in_networks(h))
+        reason = F.coalesce(guard_reason(F.col("url")), F.when(literal, "private address"))
+        checked = entries.withColumn("allowed", reason.isNull())
     return checked.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_urls"),
         F.count_if(~F.col("allowed")).alias("n_blocked"),

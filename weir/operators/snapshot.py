@@ -12,14 +12,22 @@ from weir.functions.text import let
 def _last_per_location(parts: Column) -> Column:
     """One entry per location: the place of the first, the content of the last.
 
-    Snapshots rarely repeat a location, so the pairwise search runs only when
-    a hash-based count shows that one does.
+    Sorting by location brings the entries of one location together, so no part is compared
+    with every other; it runs only when a hash-based count shows that a location repeats.
     """
     repeats = lambda ps: F.size(F.array_distinct(ps["location"])) < F.size(ps)
-    merged = lambda ps: F.transform(
-        F.filter(ps, lambda p, i: F.array_position(ps["location"], p["location"]) == i + 1),
-        lambda p: F.element_at(F.filter(ps, lambda q: q["location"] == p["location"]), -1),
-    )
+    differs = lambda a, b: a["location"].isNull() | (a["location"] != b["location"])
+
+    def merged(ps: Column) -> Column:
+        ordered = F.array_sort(F.transform(ps, lambda p, i: F.struct(p["location"].alias("location"), i.alias("at"))))
+
+        def ends(xs: Column) -> Column:
+            firsts = F.filter(xs, lambda x, i: (i == 0) | differs(F.get(xs, i - 1), x))
+            lasts = F.filter(xs, lambda x, i: differs(F.get(xs, i + 1), x))
+            return F.array_sort(F.zip_with(firsts, lasts, lambda f, l: F.struct(f["at"].alias("first"), l["at"].alias("last"))))
+
+        return F.transform(let(ordered, ends), lambda r: F.get(ps, r["last"]))
+
     return let(parts, lambda ps: F.when(repeats(ps), merged(ps)).otherwise(ps))
 
 
@@ -28,17 +36,19 @@ def gather_parts(parts: DataFrame, page: str = "page_id") -> DataFrame:
 
     The first html part is ``main``; css parts and all others become arrays in
     part order, one entry per location. Pages without an html part have
-    ``main`` NULL and ``error`` set. The parts move through one shuffle; a
+    ``main`` NULL and ``error`` set. Parts without data are passed over; a missing
+    location or content type counts as none given. The parts move through one shuffle; a
     group is one snapshot file.
     """
-    one = F.struct("part_no", "location", "content_type", "data")
-    rows = parts.groupBy(page).agg(F.array_sort(F.collect_list(one)).alias("_parts"))
+    one = F.struct("part_no", F.coalesce("location", F.lit("")).alias("location"), "content_type", "data")
+    filled = F.collect_list(F.when(F.col("data").isNotNull(), one))
+    rows = parts.groupBy(page).agg(F.array_sort(filled).alias("_parts"))
     first_html = F.get(F.filter("_parts", lambda p: p["content_type"] == "text/html"), F.lit(0))
     rows = rows.withColumn("_main", first_html)
     css = F.filter("_parts", lambda p: p["content_type"] == "text/css")
     others = F.filter(
         "_parts",
-        lambda p: (p["content_type"] != "text/css") & ~p["part_no"].eqNullSafe(F.col("_main.part_no")),
+        lambda p: ~p["content_type"].eqNullSafe("text/css") & ~p["part_no"].eqNullSafe(F.col("_main.part_no")),
     )
     utf8 = lambda data: F.decode(data, "UTF-8")
     return rows.select(

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from weir.functions.text import is_spoken, let, or_empty, strip
 from weir.operators.inbox import first_wins
 
-# Parts of a very long transcript: ten-minute segments up to here (weeks of sound) make one text.
-SEGMENTS_PER_PART = 4096
 
+def pick_subtitles(files: DataFrame, key: str, languages: list[str], extensions: tuple[str, ...] = ("srt", "vtt"),
+                   items: DataFrame | None = None) -> DataFrame:
+    """The best subtitle file per item among ``(key, name, body)``: language first, then extension.
 
-def pick_subtitles(files: DataFrame, key: str, languages: list[str], extensions: tuple[str, ...] = ("srt", "vtt")) -> DataFrame:
-    """The best subtitle file per item among ``(key, name, body)``: language first, then extension."""
+    With ``items(key)`` every item comes back once; one without a wanted file has NULL name and body.
+    """
     wanted = [f".{lang}.{ext}" for lang in languages for ext in extensions]
     rank = F
     for position, ending in enumerate(wanted):
         rank = rank.when(F.col("name").endswith(ending), position)
-    return first_wins(
+    best = first_wins(
         files.withColumn("_rank", rank.otherwise(None)).filter("_rank is not null"), key, ["_rank", "name"]
     ).drop("_rank")
+    return best if items is None else items.select(key).distinct().join(best, key, "left")
 
 
 def distinct_lines(lines: DataFrame, file: str, pos: list[str], line: str = "line") -> DataFrame:
@@ -34,18 +36,14 @@ def distinct_lines(lines: DataFrame, file: str, pos: list[str], line: str = "lin
     return first_wins(trimmed, [file, line], pos)
 
 
-def concat_segments(segments: DataFrame, key: str, position: str, text: str = "text", separator: str = "\n",
-                    per_part: int = SEGMENTS_PER_PART) -> DataFrame:
-    """Segment texts joined in order: ``(key, part, transcript)``.
+def concat_segments(segments: DataFrame, key: str, position: str, text: str = "text", separator: str = "\n") -> DataFrame:
+    """Segment texts joined in order: ``(key, transcript)``, one row per key.
 
-    A recording of any ordinary length is part 0. Longer ones continue in
-    parts 1, 2, ..., so no group grows without bound and nothing is cut.
+    A transcript is one value, so it must fit one (2 GB). Where a recording does not, keep its
+    segments as rows; ``distinct_lines`` works on them.
     """
-    part = F.expr(f"{position} div {per_part}").alias("part")
     ordered = F.array_sort(F.collect_list(F.struct(position, text)))
-    return segments.groupBy(key, part).agg(
-        F.array_join(F.transform(ordered, lambda s: s[text]), separator).alias("transcript")
-    )
+    return segments.groupBy(key).agg(F.array_join(F.transform(ordered, lambda s: s[text]), separator).alias("transcript"))
 
 
 def stats(df: DataFrame, key: str, transcript: Column) -> DataFrame:

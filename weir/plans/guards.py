@@ -44,12 +44,13 @@ def ip_guard(spark, sf):
 
 
 @query("archive_preflight", """
-select list, count(*) as n_urls, count(*) filter (where line_no % 40 = 7) as n_blocked, count(*) filter (where line_no % 40 = 7) = 0 as may_run
+select list, count(*) as n_urls, count(*) filter (where line_no % 40 in (7, 17)) as n_blocked, count(*) filter (where line_no % 40 in (7, 17)) = 0 as may_run
 from v_entries group by list
 """)
 def archive_preflight(spark, sf):
     entries = archive.parse_url_list(view(spark, sf, "v_urllist"))
-    spoiled = F.when(F.col("line_no") % 40 == 7, F.concat(F.lit("http://x.localhost/"), F.col("line_no"))).otherwise(F.col("url"))
+    bad = F.when(F.col("line_no") % 40 == 7, "http://x.localhost/").when(F.col("line_no") % 40 == 17, "http://10.0.0.5/")
+    spoiled = F.coalesce(F.concat(bad, F.col("line_no")), F.col("url"))
     return guard.preflight(entries.withColumn("url", spoiled), "list")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weir.functions import html, text
+from weir.functions.text import or_empty
 from weir.operators import snapshot, transcripts
 from weir.plans.landed import VIEWS, spark_sql, view
 from weir.plans.registry import query
@@ -14,8 +15,10 @@ BLOCKS = "p|div|li|ul|ol|h[1-6]|nav|section|article|main|header|footer|table|tr|
 
 
 def decode_sql(x: str) -> str:
-    return (f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), "
-            "'&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')")
+    # The references that the pages hold; the ampersand last.
+    for sign, shown in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&amp;", "&")):
+        x = f"replace({x}, '{sign}', '{shown}')"
+    return x
 
 
 def clean_sql(x: str) -> str:
@@ -97,8 +100,7 @@ def srt_distinct_lines(spark, sf):
 
 
 @query("transcript_concat", """
-select conv_id, cast(floor(turn / 4096) as bigint) as part, string_agg(text, chr(10) order by turn, text) as transcript
-from @conversations group by 1, 2
+select conv_id, string_agg(text, chr(10) order by turn, text) as transcript from @conversations group by 1
 """)
 def transcript_concat(spark, sf):
     turns = spark_sql(spark, sf, "select conv_id, turn, text from @conversations")
@@ -106,6 +108,7 @@ def transcript_concat(spark, sf):
 
 
 @query("subtitle_pick", f"""
+select doc_id, name, coalesce(transcript, '') as transcript from (select doc_id from @documents) left join (
 select doc_id, name, transcript from (
   select f.doc_id, f.name, f.rank, min(f.rank) over (partition by f.doc_id) as best, t.transcript from (
     select doc_id, name, body, case name when 'sub.zh-Hans.srt' then 0 when 'sub.zh-Hans.vtt' then 1 when 'sub.en.srt' then 2 else 3 end as rank
@@ -115,11 +118,12 @@ select doc_id, name, transcript from (
       select doc_id, name, trim(line, chr(9) || chr(13) || ' ') as line, pos from (
         select doc_id, name, unnest(l) as line, unnest(generate_series(1, len(l))) as pos
         from (select doc_id, name, string_split(body, chr(10)) as l from v_subtitle_files)))
-    where {SPOKEN} group by 1, 2, 3) group by 1, 2) t on t.doc_id = f.doc_id and t.name = f.name) where rank = best
+    where {SPOKEN} group by 1, 2, 3) group by 1, 2) t on t.doc_id = f.doc_id and t.name = f.name) where rank = best) using (doc_id)
 """)
 def subtitle_pick(spark, sf):
-    best = transcripts.pick_subtitles(view(spark, sf, "v_subtitle_files"), "doc_id", ["zh-Hans", "en"])
-    return best.select("doc_id", "name", text.subtitle_transcript(F.col("body")).alias("transcript"))
+    items = spark_sql(spark, sf, "select doc_id from @documents")
+    best = transcripts.pick_subtitles(view(spark, sf, "v_subtitle_files"), "doc_id", ["zh-Hans", "en"], items=items)
+    return best.select("doc_id", "name", or_empty(text.subtitle_transcript(F.col("body"))).alias("transcript"))
 
 
 @query("image_proxy", r"""
