@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weir.llm.queries import op7_token_counts
-from weir.llm.token_counts import VOCABULARY, Tree, apply_edits, counter, replacements, with_trees
+from weir.llm.token_counts import VOCABULARY, Counter, Tree, apply_edits, replacements, with_trees
 
-COUNT = counter(VOCABULARY)
+COUNT = Counter(VOCABULARY)
 
 
 def encoded(text):

@@ -6,14 +6,13 @@ the sums. An edit re-encodes the text from the leaf before it up to the first ol
 after it that the new pre-tokens meet again, and updates the sums above these leaves; the rest of
 the document is neither cut nor encoded again.
 
-The tokenizer is a public byte-pair vocabulary, given by path; each Python worker reads it once.
+The tokenizer is a public byte-pair vocabulary, given by path; each task reads it once.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +47,6 @@ class Counter(dict):
         return n
 
 
-@cache
-def counter(vocabulary: str) -> Counter:
-    return Counter(vocabulary)
-
-
 class Tree:
     """Sums of characters and tokens over leaves, as two heaps: node i has the children 2i and 2i + 1."""
 
@@ -139,7 +133,7 @@ def with_trees(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
     place = rows.columns.index(text)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary)
+        count = Counter(vocabulary)
         for batch in batches:
             trees = [Tree.build(v.as_py() or "", count) for v in batch.column(place)]
             many = pa.list_(pa.int64())
@@ -163,7 +157,7 @@ def apply_edits(docs: DataFrame, edits: str = "edits", text: str = "text", vocab
     at_text, at_edits, at_n, at_chars, at_tokens = (names.index(c) for c in (text, edits, "n_tokens", "tree_chars", "tree_tokens"))
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary)
+        count = Counter(vocabulary)
         for batch in batches:
             cols = {i: batch.column(i).to_pylist() for i in (at_text, at_edits, at_n, at_chars, at_tokens)}
             encoded = [0] * batch.num_rows
