@@ -104,39 +104,55 @@ def _opening(selector: str) -> str:
     return f"^<{name}" + (rf"\s(?:.*?\s)?{attribute}" if attribute else r"(?:[\s/]|$)")
 
 
+def _likely(selector: str, tag: Column) -> Column:
+    """A plain text test that every tag matching the selector passes; patterns then run on those only."""
+    if selector[0] in "#.":
+        return tag.contains(selector[1:])
+    if selector[0] == "[":
+        return tag.contains(selector[1:-1].split("=")[1])
+    return F.lower(F.left(tag, F.lit(len(selector) + 1))) == f"<{selector}"
+
+
 def _finder(selector: str):
     opening = "(?s)" + _opening(selector)
 
     def inside(ps: Column) -> Column:
-        start = F.array_position(F.transform(ps, lambda p: p["tag"].rlike(opening)), F.lit(True))
+        matches = lambda p: _likely(selector, p["tag"]) & p["tag"].rlike(opening)
+        start = F.array_position(F.transform(ps, matches), F.lit(True))
         return let(start, lambda at: F.when(at > 0, _until_closed(F.slice(ps, at.cast("int"), F.size(ps)))))
 
     return inside
 
 
 def _until_closed(ps: Column) -> Column:
-    """``ps`` begins with an opening tag; the pieces up to the tag that closes it."""
+    """``ps`` begins with an opening tag; the pieces up to the tag that closes it.
+
+    Depth is counted over the tags of the same name only, which are few.
+    """
     name = lambda p: F.lower(F.regexp_extract(p["tag"], "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
 
-    def depth_step(tag: Column, piece: Column) -> Column:
-        return F.when(name(piece) != tag, 0).when(piece["tag"].startswith("</"), -1).otherwise(1)
+    def same_named(after: Column, tag: Column) -> Column:
+        starts = lambda p: F.lower(F.left(p["tag"], F.length(tag) + 2))
+        likely = lambda p: starts(p).startswith(F.concat(F.lit("<"), tag)) | (starts(p) == F.concat(F.lit("</"), tag))
+        step = lambda p: F.when(p["tag"].startswith("</"), -1).otherwise(1)
+        mark = lambda p, i: F.when(likely(p), F.when(name(p) == tag, F.struct(i.alias("at"), step(p).alias("step"))))
+        return F.filter(F.transform(after, mark), lambda m: m.isNotNull())
 
     def cut(all_pieces: Column, tag: Column) -> Column:
         after = F.slice(all_pieces, F.lit(2), F.size(all_pieces))
         state = F.aggregate(
-            after,
-            F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept")),
-            lambda acc, piece: F.when(acc["depth"] == 0, acc).otherwise(
-                let(
-                    acc["depth"] + depth_step(tag, piece),
-                    lambda d: F.struct(
-                        d.alias("depth"), (acc["kept"] + F.when(d == 0, 0).otherwise(1)).alias("kept")
-                    ),
+            same_named(after, tag),
+            F.struct(F.lit(1).alias("depth"), F.lit(-1).alias("end")),
+            lambda acc, m: F.when(acc["end"] >= 0, acc).otherwise(
+                F.struct(
+                    (acc["depth"] + m["step"]).alias("depth"),
+                    F.when(acc["depth"] + m["step"] == 0, m["at"]).otherwise(-1).alias("end"),
                 )
             ),
         )
         lead = F.struct(F.lit("").alias("tag"), F.get(all_pieces, F.lit(0))["text"].alias("text"))
-        return F.concat(F.array(lead), F.slice(all_pieces, F.lit(2), state["kept"]))
+        kept = let(state["end"], lambda end: F.when(end >= 0, end).otherwise(F.size(all_pieces)))
+        return F.concat(F.array(lead), F.slice(all_pieces, F.lit(2), kept))
 
     return let(ps, lambda a: let(name(F.get(a, F.lit(0))), lambda tag: cut(a, tag)))
 
