@@ -47,12 +47,9 @@ def stream_inbox_wm(spark, sf):
     return spark.read.schema("id string, at timestamp").parquet(f"{root}/out").select("id")
 
 
-@query("stream_source_counts", """
-select substr(fetched_at, 1, 10) as day, source_type, count(*) as n from v_records
-where cast(substr(fetched_at, 1, 10) as date) + interval 2 day <= (select max(cast(fetched_at as timestamp)) from v_records) group by 1, 2
-""")
+@query("stream_source_counts", "select substr(fetched_at, 1, 10) as day, source_type, count(*) as n from v_records group by 1, 2")
 def stream_source_counts(spark, sf):
     root = fresh_path(spark, "stream")
     timed = _stream(spark, sf).select("source_type", F.to_timestamp(F.concat("fetched_at", F.lit("Z"))).alias("at"))
-    ingest.drain(ingest.daily_source_counts(timed, "at"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema("day string, source_type string, n bigint").parquet(f"{root}/out")
+    ingest.count_days(timed, "at", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return ingest.read_days(spark, f"{root}/out")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,6 +52,26 @@ def daily_source_counts(records: DataFrame, event_time: str, delay: str = "1 day
     )
 
 
+def count_days(records: DataFrame, event_time: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Records per source and UTC day of every record, also late ones and days still open.
+
+    Each micro-batch adds its own partial counts in a folder named after it, so a replayed batch
+    overwrites itself; ``read_days`` sums them. No state is kept and no row is dropped.
+    """
+    day = F.date_from_unix_date(F.expr(f"unix_seconds({event_time}) div 86400").cast("int")).cast("string")
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.groupBy(day.alias("day"), "source_type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """What ``count_days`` has counted so far."""
+    parts = spark.read.schema("day string, source_type string, n bigint").parquet(path)
+    return parts.groupBy("day", "source_type").agg(F.sum("n").alias("n"))
+
+
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a streaming frame over everything available into parquet files."""
     return (
