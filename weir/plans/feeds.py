@@ -15,9 +15,9 @@ ITEMS_PER_FEED = 50
 
 VIEWS["v_rss_items"] = """
 select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as n,
-  trim(replace(substr(text, 1, 40), chr(10), ' ')) as title,
+  trim(replace(split_part(text, chr(10), 1), chr(10), ' ')) as title,
   case when doc_id % 10 = 0 then null else 'https://' || source || '.example.org/' || cast(doc_id as string) end as link,
-  trim(replace(substr(text, 1, 200), chr(10), ' ')) as summary
+  trim(replace(text, chr(10), ' ')) as summary
 from @documents
 """
 VIEWS["v_feed_items"] = f"""
@@ -31,9 +31,9 @@ from (select *, cast(floor(n / {ITEMS_PER_FEED}) as bigint) as page from v_rss_i
 def landed_feeds(spark, sf):
     """Feed documents of 50 items each, RSS and Atom by turns, some without a title; plus feeds with no items."""
     items = spark_sql(spark, sf, """
-        select source, doc_id, trim(replace(substr(text, 1, 40), chr(10), ' ')) as title,
+        select source, doc_id, trim(replace(split_part(text, chr(10), 1), chr(10), ' ')) as title,
           if(doc_id % 10 = 0, null, 'https://' || source || '.example.org/' || doc_id) as link,
-          trim(replace(substr(text, 1, 200), chr(10), ' ')) as summary,
+          trim(replace(text, chr(10), ' ')) as summary,
           if(doc_id % 2 = 0, null, '2024-01-' || doc_id) as published from @documents""")
     numbered = add_ordinal(items, ["source"], "doc_id", "n", start=0)
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

@@ -89,10 +89,10 @@ select d.doc_id, 'https://x.com/u' || cast(d.doc_id as string) || case when d.do
     else '/status/' || cast(d.doc_id as string) end as url, d.tier,
   case when d.tier = 3 and d.doc_id % 5 <> 2 then 'X' else 'T' || cast(d.tier as string) end as title,
   case when d.tier = 1 and d.doc_id % 5 = 0 then d.text
-    when d.tier = 2 and d.doc_id % 5 = 1 then substr(d.text, 1, 140)
+    when d.tier = 2 and d.doc_id % 5 = 1 then d.text
     when d.tier = 2 then 'https://t.co/' || cast(d.doc_id as string)
     when d.tier = 3 then d.text
-    when d.tier = 4 and d.doc_id % 5 <> 4 then substr(d.text, 1, 25)
+    when d.tier = 4 and d.doc_id % 5 <> 4 then d.text
     else '' end as text
 from (select doc_id, text, @each(1,4) as tier from @documents) d
 """

@@ -122,11 +122,11 @@ def convert_telegram(spark, sf):
 
 
 @query("convert_rss", record_sql(
-    "@documents", "doc_id", source_type="'rss'", source_name="source", title="trim(substr(text, 1, 40))",
-    content="trim(substr(text, 1, 200))", url="case when doc_id % 10 = 0 then '' else 'https://r.example.org/' || cast(doc_id as varchar) end",
+    "@documents", "doc_id", source_type="'rss'", source_name="source", title="trim(split_part(text, chr(10), 1))",
+    content="trim(text)", url="case when doc_id % 10 = 0 then '' else 'https://r.example.org/' || cast(doc_id as varchar) end",
     score="doc_id % 5", category="lang", title_cn="case when doc_id % 3 = 0 then 'cn' end"))
 def convert_rss(spark, sf):
-    items = _docs(spark, sf, """source, trim(substr(text, 1, 40)) as title, trim(substr(text, 1, 200)) as summary,
+    items = _docs(spark, sf, """source, trim(split_part(text, chr(10), 1)) as title, trim(text) as summary,
         if(doc_id % 10 = 0, '', 'https://r.example.org/' || doc_id) as url, doc_id % 5 as score, lang as category,
         if(doc_id % 3 = 0, 'cn', null) as title_cn""")
     return flat(convert.convert(items, "rss", AS_OF, ["doc_id"]), "doc_id")
@@ -282,7 +282,7 @@ FINAL_URL = _case(
     source_name=_case(telegram="'c' || lang", rss="source", bilibili="source", twitter="source", wechat="source", xhs="source",
                       youtube="source", other="regexp_extract(url, '^https?://([^/?#]*)', 1)"),
     title=_case(telegram="substr(text, 1, 100)", twitter="substr(text, 1, 100)", other="substr(text, 1, 60)"),
-    content=_case(rss="substr(text, 1, 200)", bilibili="'d ' || text", youtube="'d ' || text", telegram="text", twitter="text", other="'c ' || text"),
+    content=_case(rss="text", bilibili="'d ' || text", youtube="'d ' || text", telegram="text", twitter="text", other="'c ' || text"),
     url=FINAL_URL, media_type=_case(bilibili="'video'", youtube="'video'", xhs="case when doc_id % 2 = 0 then 'image' else 'text' end", other="'text'"),
     media_url=_case(bilibili="'cover'", other="null"), score=_case(rss="doc_id % 5", other="0"), category=_case(rss="lang", other="''"),
     title_cn=_case(rss="'cn'", other="null"), content_cn=_case(rss="'scn'", other="null"),
@@ -293,7 +293,7 @@ FINAL_URL = _case(
 def unified_all(spark, sf):
     """Landed payloads of all platforms, one JSON text each, routed and converted in a single scan."""
     payload = """to_json(named_struct('channel', 'c' || lang, 'text', text, 'views', doc_id, 'source', source,
-        'title', substr(text, 1, 60), 'summary', substr(text, 1, 200), 'score', doc_id % 5, 'category', lang, 'title_cn', 'cn',
+        'title', substr(text, 1, 60), 'summary', text, 'score', doc_id % 5, 'category', lang, 'title_cn', 'cn',
         'summary_cn', 'scn', 'description', 'd ' || text, 'author', source, 'cover', 'cover', 'duration', doc_id % 1000,
         'view_count', 7, 'likes', 1, 'retweets', 2, 'collects', 3, 'images', if(doc_id % 2 = 0, array('i'), array()),
         'content', 'c ' || text))"""
