@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] =
             lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             for at in range(0, batch.num_rows, 500):
                 part = [WORD.findall(x.lower()) if (x := v.as_py()) else [] for v in batch.column(at_text).slice(at, 500)]
-                some = [i for i, words in enumerate(part) if words and model.langs]
+                some = [i for i, words in enumerate(part) if model.langs and any(map(str.isalpha, words))]
                 full = [part[i] for i in some]
                 for group in _groups(full, words_at_once):
                     texts = [full[i] for i in group]
