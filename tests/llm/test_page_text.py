@@ -18,6 +18,8 @@ DE = "Das Haus auf dem Berg ist von den Leuten der Stadt und es ist so alt wie d
     ("<article><p class=notice>buy<p>read</p></article>", "read"),
     ("<article><script>var a = '</p><p>no</p>';</script><style>p{}</style><p>yes</p><form><p>mail</p><input></form></article>", "yes"),
     ("<article><p>a<br>b<b>c</b>d <!-- <p>no</p> --> e\n\t f</article>", "a bcd e f"),
+    ("<article><p>x</p></article><article class='comment'><p>c</p></article>", "x"),
+    ("<article><p>Para <span class='ad'>buy</span> rest</p><figure><figcaption>cap</figcaption></figure><div class=share-buttons>s</div></article>", "Para rest cap"),
     ("", ""), (None, ""), ("no markup", ""), ("<nav><ul><li><a href=1>x</a></ul></nav>", ""), ("<<<>>> </div></div><p", ""),
 ])
 def test_pages(page, text):

@@ -37,6 +37,8 @@ NAMES = re.compile(
     r"navigation|breadcrumbs?|footer|foot|masthead|comments?|commentlist|disqus|replies|respond|related|recommended|recommendations|share|sharing|social|subscribe|"
     r"subscription|newsletter|promo|promotion|sponsor|sponsored|widget|pagination|pager|toolbar|login|signup|search|tags|copyright|disclaimer|skip)(?:$|[-_\s\d])")
 HEAD_NAMES = re.compile(r"(?:^|[-_\s])(?:header|head|topbar|top)(?:$|[-_\s\d])")
+#: Of an article element: one that is no part of the main article.
+CARD_NAMES = re.compile(r"(?:^|[-_\s])(?:comments?|reply|replies|ads?|advert|promo|sponsored|related|teaser)(?:$|[-_\s\d])")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[/a-zA-Z][^>]*>|<[!?][^>]*>""", re.S)
@@ -57,8 +59,10 @@ def _side(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element opens a part without main text."""
     if tag in OUTSIDE or tag == "header" and not inside:
         return True
-    if "=" not in attributes or tag in ("html", "body", "article", "main"):
+    if "=" not in attributes or tag in ("html", "body", "main"):
         return False
+    if tag == "article":
+        return any(name.lower() in ("class", "id") and CARD_NAMES.search((a or b or c).lower()) for name, a, b, c in ATTRIBUTE.findall(attributes))
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         name = name.lower()
