@@ -24,11 +24,18 @@ def test_formats(spark):
     assert set(got) == {("rss", 0), ("rss", 1), ("rss", 2), ("atom", 0), ("broken", 0)}
     show = lambda k: tuple(got[k][c] for c in ("source", "title", "summary", "url", "published"))
     assert show(("rss", 0)) == ("My & <Feed>", "One <b>", "<p>sum</p>", "https://e.org/1", "Mon")
-    assert show(("rss", 1))[1:] == ("Two", "full", "", "2024")
-    assert show(("atom", 0)) == ("A", "E", "S", "https://e.org/e", "2020")
+    assert show(("rss", 1))[1:] == ("Two", "full", "", "")
+    assert show(("atom", 0)) == ("A", "E", "S", "https://e.org/e", "")
     assert show(("broken", 0)) == ("broken", "ok", "", "l", "")
 
 
 def test_limit_and_errors(spark):
     assert len([k for k in entries(spark, limit=2) if k[0] == "rss"]) == 2
     assert sorted(r["feed_url"] for r in feed_errors(feeds(spark)).collect()) == ["empty", "none"]
+
+
+def test_references_sections_and_late_titles(spark):
+    xml = ("<rss><channel><!-- <item><title>off</title></item> --><item><title>a&nbsp;b &eacute; R&D &amp; c</title><link>l</link>"
+           "<description><![CDATA[<item>x &nbsp;</item>]]></description></item><title>Late</title></channel></rss>")
+    rows = feed_entries(spark.createDataFrame([("u", xml)], "feed_url string, xml string")).collect()
+    assert [(r["source"], r["title"], r["summary"], r["url"]) for r in rows] == [("Late", "a b \u00e9 R&D & c", "<item>x &nbsp;</item>", "l")]

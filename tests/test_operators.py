@@ -193,6 +193,22 @@ def test_preflight_checks_addresses(spark):
     assert {r["run"] for r in guard.preflight(df, "run", dns).collect() if r["may_run"]} == {"c", "e"}
 
 
+def test_failed_browsers_and_missing_items(spark):
+    schema = "item int, url string, final_url string, has_session boolean, tier int, title string, content string, author string"
+    rows = [(1, "u", "u", True, 2, "t", None, "a"), (2, "u", "u", True, 2, "t", "text", "a")]
+    items = spark.createDataFrame([(1,), (2,), (3,)], "item int")
+    for choose in (fallback.choose_article, fallback.choose_note):
+        got = {r["item"]: r["ok"] for r in choose(spark.createDataFrame(rows, schema), items).collect()}
+        assert got == {1: False, 2: True, 3: False}
+
+
+def test_video_transcripts_do_not_multiply(spark):
+    text = lambda *t: spark.createDataFrame([("https://youtu.be/x", x) for x in t], "url string, transcript string")
+    pages = spark.createDataFrame([("https://youtu.be/x", "t", "c")], "url string, title string, content string")
+    rows = fallback.choose_video_text(pages, text("a", "longer"), text("b", "c")).collect()
+    assert [r["description"] for r in rows] == ["longer"]
+
+
 def test_items_without_subtitles_stay(spark):
     files = spark.createDataFrame([(1, "s.en.srt", "a"), (2, "s.fr.srt", "b")], "v int, name string, body string")
     items = spark.createDataFrame([(1,), (2,), (3,)], "v int")

@@ -15,17 +15,27 @@ from weir.functions import gates, urls
 from weir.functions.text import or_empty, present, proxy_images, strip
 
 
-def first_passing(candidates: DataFrame, item: str, tier: str, passes: Column, payload: list[str]) -> DataFrame:
-    """One row per item: the passing candidate of the lowest tier, or NULL payload and ``ok`` false."""
+def all_items(chosen: DataFrame, items: DataFrame | None, item: str) -> DataFrame:
+    """``chosen`` with a row, ``ok`` false, for every one of ``items`` that it lacks."""
+    if items is None:
+        return chosen
+    return items.select(item).distinct().join(chosen, item, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+
+
+def first_passing(candidates: DataFrame, item: str, tier: str, passes: Column, payload: list[str], items: DataFrame | None = None) -> DataFrame:
+    """One row per item: the passing candidate of the lowest tier, or NULL payload and ``ok`` false.
+
+    With ``items(item)`` those without any candidate come back too.
+    """
     judged = candidates.withColumn("ok", F.coalesce(passes, F.lit(False)))
     for name in payload:
         judged = judged.withColumn(name, F.when(F.col("ok"), F.col(name)))
     judged = judged.withColumn(tier, F.when(F.col("ok"), F.col(tier)))
     w = Window.partitionBy(item).orderBy(F.col("ok").desc(), F.col(tier))
-    return judged.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return all_items(judged.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"), items, item)
 
 
-def choose_post(candidates: DataFrame) -> DataFrame:
+def choose_post(candidates: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Posts, four tiers: post API, embed card, text proxy, browser.
 
     ``candidates(item, url, tier, title, text, author)``; the first two tiers
@@ -46,20 +56,20 @@ def choose_post(candidates: DataFrame) -> DataFrame:
     by_url = present(urls.tweet_author(F.col("url")))
     by_payload = F.when(F.col("tier") <= 2, F.col("author"))
     c = c.withColumn("author", F.coalesce(by_url, by_payload, F.lit("")))
-    return first_passing(c, "item", "tier", passes, ["title", "text", "author"])
+    return first_passing(c, "item", "tier", passes, ["title", "text", "author"], items)
 
 
-def choose_article(candidates: DataFrame) -> DataFrame:
-    """Articles, two tiers: proxy text unless it is a captcha stub, else the browser's, unchecked."""
+def choose_article(candidates: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Articles, two tiers: proxy text unless it is a captcha stub, else the browser's, if it got one."""
     content = or_empty(F.col("content"))
     passes = F.when(
         F.col("tier") == 1, (content != "") & ~gates.article_captcha(content, F.col("title"))
-    ).otherwise(F.lit(True))
-    c = candidates.withColumn("content", proxy_images(content))
-    return first_passing(c, "item", "tier", passes, ["title", "content", "author"])
+    ).otherwise(F.col("_got"))
+    c = candidates.withColumns({"_got": F.col("content").isNotNull(), "content": proxy_images(content)})
+    return first_passing(c, "item", "tier", passes, ["title", "content", "author"], items).drop("_got")
 
 
-def choose_note(candidates: DataFrame) -> DataFrame:
+def choose_note(candidates: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Notes: proxy text unless a login wall; the browser needs a saved session that has not expired.
 
     ``candidates`` also has ``final_url`` and ``has_session`` (browser tier).
@@ -68,19 +78,20 @@ def choose_note(candidates: DataFrame) -> DataFrame:
     passes = F.when(
         F.col("tier") == 1, (content != "") & ~gates.note_login_wall(content, F.col("title"))
     ).otherwise(
-        F.coalesce(F.col("has_session"), F.lit(False)) & ~gates.session_expired(F.col("url"), F.col("final_url"))
+        F.col("_got") & F.coalesce(F.col("has_session"), F.lit(False)) & ~gates.session_expired(F.col("url"), F.col("final_url"))
     )
-    return first_passing(candidates.withColumn("content", content), "item", "tier", passes, ["title", "content", "author"])
+    c = candidates.withColumns({"_got": F.col("content").isNotNull(), "content": content})
+    return first_passing(c, "item", "tier", passes, ["title", "content", "author"], items).drop("_got")
 
 
 def choose_video_text(pages: DataFrame, subtitles: DataFrame, speech: DataFrame, key: str = "url") -> DataFrame:
     """Videos: title from the page (no page, no item); text from subtitles, else speech, else the page.
 
     ``pages(key, title, content)``, ``subtitles(key, transcript)`` and
-    ``speech(key, transcript)``, each with one row per key.
+    ``speech(key, transcript)``; of several transcripts of a key the longest counts.
     """
-    subs = subtitles.select(key, F.col("transcript").alias("_sub"))
-    asr = speech.select(key, F.col("transcript").alias("_asr"))
+    best = lambda df, name: df.groupBy(key).agg(F.max_by("transcript", F.struct(F.length("transcript"), "transcript")).alias(name))
+    subs, asr = best(subtitles, "_sub"), best(speech, "_asr")
     joined = pages.join(subs, key, "left").join(asr, key, "left")
     transcript = F.coalesce(present(F.col("_sub")), present(F.col("_asr")))
     return (

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.text import or_empty, present_once
+from weir.functions.html import COMMENT, ENTITIES, REFERENCE
+from weir.functions.text import let, or_empty, present_once
 
 ENTRY = r"(?s)<(?:\w+:)?(?:item|entry)(?:\s[^>]*)?>.*?</(?:\w+:)?(?:item|entry)\s*>"
 TITLE = r"(?s)<(?:\w+:)?title(?:\s[^>]*)?>.*?</(?:\w+:)?title\s*>"
 ENTRY_SCHEMA = (
     "title string, link array<struct<_VALUE:string,_href:string,_rel:string>>, description string, "
-    "summary string, content array<string>, encoded array<string>, pubDate string, published string, "
-    "updated string, date string"
+    "summary string, content array<string>, encoded array<string>, pubDate string, published string"
 )
 XML_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 ENTRY_LIMIT = 20
@@ -30,14 +30,48 @@ def entry_summary(e: Column) -> Column:
     return or_empty(F.coalesce(e["summary"], e["description"], F.get(e["content"], F.lit(0)), F.get(e["encoded"], F.lit(0))))
 
 
+def plain_xml(xml: Column) -> Column:
+    """The document without CDATA sections and comments, and with every reference known to XML.
+
+    CDATA becomes escaped text, so that markup inside it opens no element. Named HTML references
+    become numeric ones; a ``&`` that starts no reference becomes ``&amp;``.
+    """
+    escaped = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    codes = F.str_to_map(F.lit(ENTITIES), F.lit(","), F.lit(":"))
+
+    def reference(part: Column) -> Column:
+        def fixed(name: Column) -> Column:
+            code = F.element_at(codes, name)
+            return (
+                F.when(name.isin("lt", "gt", "amp", "quot", "apos") | name.startswith("#"), F.concat(F.lit("&"), part))
+                .when(code.isNotNull(), F.concat(F.lit("&#"), code, F.substr(part, F.length(name) + 1)))
+                .otherwise(F.concat(F.lit("&amp;"), part))
+            )
+
+        return let(F.regexp_extract(part, REFERENCE, 1), fixed)
+
+    known = lambda t: F.when(
+        t.contains("&"), F.array_join(F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(reference(p))), "")
+    ).otherwise(t)
+    section = lambda p: let(
+        F.substring_index(p, "]]>", 1), lambda data: F.concat(escaped(data), known(F.substr(p, F.length(data) + 4)))
+    )
+    joined = F.array_join(
+        F.transform(F.split(xml, r"<!\[CDATA\["), lambda p, i: F.when(i == 0, known(p)).otherwise(section(p))), ""
+    )
+    return F.regexp_replace(joined, COMMENT, "")
+
+
 def feed_entries(feeds: DataFrame, url: str = "feed_url", xml: str = "xml", limit: int = ENTRY_LIMIT) -> DataFrame:
     """First ``limit`` entries per feed: ``(feed_url, pos, source, title, summary, url, published)``.
 
     Entries are cut out first and only the wanted ones are parsed, so a feed
-    that breaks off still gives its whole entries.
+    that breaks off still gives its whole entries. ``published`` is the entry's own publishing
+    date; dates of later changes do not stand in for it.
     """
+    feeds = feeds.select(F.col(url), plain_xml(F.col(xml)).alias(xml))
     entries = F.slice(F.regexp_extract_all(xml, F.lit(ENTRY), F.lit(0)), 1, limit)
-    head = F.regexp_replace(xml, r"(?s)<(?:\w+:)?(?:item|entry)[\s>].*$", "")
+    head = F.regexp_replace(F.regexp_replace(xml, ENTRY, ""), r"(?s)<(?:\w+:)?(?:item|entry)[\s>].*$", "")
     title_element = F.regexp_extract(head, TITLE, 0)
     feed_title = F.from_xml(
         F.concat(F.lit("<feed>"), title_element, F.lit("</feed>")), F.lit("title string"), XML_OPTIONS
@@ -50,11 +84,11 @@ def feed_entries(feeds: DataFrame, url: str = "feed_url", xml: str = "xml", limi
     return parsed.select(
         url, "pos", "source",
         or_empty(e["title"]).alias("title"), entry_summary(e).alias("summary"), entry_link(e).alias("url"),
-        or_empty(F.coalesce(e["pubDate"], e["published"], e["date"], e["updated"])).alias("published"),
+        or_empty(F.coalesce(e["pubDate"], e["published"])).alias("published"),
     )
 
 
 def feed_errors(feeds: DataFrame, url: str = "feed_url", xml: str = "xml") -> DataFrame:
     """Feeds without a single entry."""
-    empty = ~F.coalesce(F.col(xml), F.lit("")).rlike(ENTRY)
+    empty = ~F.coalesce(plain_xml(F.col(xml)), F.lit("")).rlike(ENTRY)
     return feeds.filter(empty).select(url, F.lit("no entries in feed").alias("error"))
