@@ -22,7 +22,8 @@ def decode(spark, *objects):
 def test_round_trip_keeps_everything(spark):
     full = {**NOTE, "id": "given", "fetched_at": "2020-01-01T00:00:00.5", "media_type": "image", "media_url": "u", "score": 3,
             "priority": "hot", "category": "c", "tags": ["a", "b"], "processed": True, "digest_date": "d", "title_cn": "标题",
-            "content_cn": 'x"\n', "extra": {"duration": 12, "note": "a\"b", "zip": "012", "views": 0}}
+            "content_cn": 'x"\n', "extra": {"duration": 12, "note": "a\"b", "zip": "012", "views": 0, "n": "12", "long": 1234567890123456789,
+                                         "f": 1.5, "b": True, "l": [1, "2", None], "o": {"k": 2}, "z": None}}
     out = json.loads(decode(spark, full).select(record_json().alias("j")).first()["j"])
     assert list(out) == RECORD_FIELDS
     assert out == full

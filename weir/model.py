@@ -1,4 +1,7 @@
-"""The unified record: schema, enumerations, defaults and text form."""
+"""The unified record: schema, enumerations, defaults and text form.
+
+The values of the open map ``extra`` are JSON texts (see ``json_value``), so they keep their types.
+"""
 
 from __future__ import annotations
 
@@ -60,13 +63,15 @@ def record_columns(as_of: str, **fields: Column) -> list[Column]:
     return [columns[name].alias(name) for name in RECORD_FIELDS]
 
 
+def json_value(value: Column) -> Column:
+    """A value as JSON text of its own type: text quoted, numbers and booleans plain, lists and objects whole, NULL as null."""
+    return F.regexp_replace(F.to_json(F.array(value), {"ignoreNullFields": "false"}), r"(?s)^\[|\]$", "")
+
+
 def extra_text(extra: Column) -> Column:
-    """The open map as JSON text, whole numbers unquoted as the converters made them."""
-    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[|\]$", "")
-    whole = lambda c: c.rlike("^(?:0|-?[1-9][0-9]{0,17})$")
-    pair = lambda e: F.concat(
-        quoted(e["key"]), F.lit(":"), F.when(whole(e["value"]), e["value"]).otherwise(quoted(e["value"]))
-    )
+    """The open map as JSON text. Its values are JSON texts already, so every type is written as it was read."""
+    key = lambda e: F.regexp_replace(F.to_json(F.array(e["key"])), r"(?s)^\[|\]$", "")
+    pair = lambda e: F.concat(key(e), F.lit(":"), F.coalesce(e["value"], F.lit("null")))
     return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(extra), pair), ","), F.lit("}"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weir.functions import urls
 from weir.functions.text import present
-from weir.model import record_columns
+from weir.model import json_value, record_columns
 
 TITLE_CAP = 100
 
@@ -30,9 +30,14 @@ class Payload:
         return F.col(name).cast("string") if name in self.names else F.lit(None).cast("string")
 
 
-def _extra(**values: Column) -> Column:
-    pairs = [x for key, value in values.items() for x in (F.lit(key), value.cast("string"))]
-    return F.create_map(*pairs)
+def _extra(**values: Column | tuple[Column, str]) -> Column:
+    """The open map; a value may come with the text that stands in for NULL."""
+    def typed(value: Column | tuple[Column, str]) -> Column:
+        if isinstance(value, tuple):
+            return F.when(value[0].isNotNull(), json_value(value[0])).otherwise(json_value(F.lit(value[1])))
+        return json_value(value)
+
+    return F.create_map(*[x for key, value in values.items() for x in (F.lit(key), typed(value))])
 
 
 def telegram_fields(p: Payload) -> dict:
@@ -86,11 +91,11 @@ def xhs_fields(p: Payload) -> dict:
 
 
 def youtube_fields(p: Payload) -> dict:
-    duration = p.get("duration").cast("string") if "duration" in p.names else F.lit("")
+    duration = F.col("duration") if "duration" in p.names else F.lit(None).cast("string")
     return dict(
         source_type=F.lit("youtube"), source_name=p.get("author"), title=p.get("title"),
         content=p.get("description"), url=p.get("url"), media_type=F.lit("video"),
-        extra=_extra(duration=F.coalesce(duration, F.lit("")), view_count=p.get("view_count", 0)),
+        extra=_extra(duration=(duration, ""), view_count=p.get("view_count", 0)),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weir.functions import html, urls
-from weir.model import RECORD_DDL, RECORD_FIELDS, content_id, flat, record_columns
+from weir.model import RECORD_DDL, RECORD_FIELDS, content_id, flat, json_value, record_columns
 from weir.operators import convert
 from weir.operators.inbox import first_wins
 from weir.plans.addresses import NETLOC, platform_sql
@@ -88,7 +88,11 @@ def inbox_load(spark, sf):
 
 @query("record_roundtrip", "select seq, true as same from v_inbox")
 def record_roundtrip(spark, sf):
-    rows = with_json(inbox_records(view(spark, sf, "v_inbox")), "seq")
+    kinds = {"text": F.col("title"), "digits": F.lit("0123"), "whole": F.col("seq"), "long": F.lit(1234567890123456789),
+             "part": F.col("seq") + F.lit(0.5), "flag": F.col("seq") % 2 == 0, "list": F.array(F.lit(1), F.col("seq")), "none": F.lit(None).cast("string")}
+    extra = F.create_map(*[x for key, value in kinds.items() for x in (F.lit(key), json_value(value))])
+    full = inbox_records(view(spark, sf, "v_inbox")).withColumns({"extra": extra, "tags": F.array("source_name", F.lit('t"'))})
+    rows = with_json(full, "seq")
     back = records_from_json(rows, "json", AS_OF, ["seq", "json"])
     return with_json(back.withColumnRenamed("json", "before"), "seq", "before").select(
         "seq", (F.col("json") == F.col("before")).alias("same")
@@ -103,7 +107,7 @@ select seq, cast(json_object('source_type', source_type, 'source_name', source_n
 """)
 def inbox_json(spark, sf):
     rows = inbox_records(view(spark, sf, "v_inbox"))
-    extra = F.create_map(F.lit("views"), F.col("seq").cast("string"), F.lit("channel"), F.col("source_name"))
+    extra = F.create_map(F.lit("views"), json_value(F.col("seq")), F.lit("channel"), json_value(F.col("source_name")))
     return with_json(rows.withColumn("extra", extra), "seq")
 
 

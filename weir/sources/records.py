@@ -34,6 +34,8 @@ def records_from_json(df: DataFrame, column: str, as_of: str, keep: list[str] |
     decoded = df.withColumn("_r", F.from_json(column, RECORD_DDL)).withColumn("_keys", F.json_object_keys(column))
     decoded = decoded.withColumn("error", record_error(F.col("_r"), F.col("_keys")))
     fields = {name: F.col("_r")[name] for name in RECORD_FIELDS}
+    typed = F.from_json(column, "extra map<string,variant>")["extra"]
+    fields["extra"] = F.transform_values(typed, lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
     defaults = {
         "media_type": F.lit("text"), "score": F.lit(0), "priority": F.lit("normal"), "category": F.lit(""),
         "tags": F.array().cast("array<string>"), "processed": F.lit(False),
