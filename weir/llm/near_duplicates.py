@@ -6,10 +6,12 @@
    ``k - matches + 1`` of any common order (prefix). The order is by frequency, taken from a
    table of ``CELLS`` counters, so that long lists are skipped wherever shorter ones decide.
 3. Every list first links its members to one leader, the member met most often; members that are
-   connected this way need no pair of their own. The pairs left over, between different
-   components of one list, are all formed.
-4. Pairs whose signatures agree in fewer than ``matches`` places are dropped, the others are
-   confirmed on the full shingle sets.
+   connected this way need no pair of their own. Members of lists that still hold several
+   components are posted once more, under the rarest of their shingles, and joined there by
+   prefix, position and shared count: a text with too many shingles of its own meets nobody, so that a crowd of
+   copies below the limit does not become a crowd of pairs.
+4. A pair with a leader is dropped if the signatures agree in fewer than ``matches`` places; all
+   other pairs are confirmed on the full shingle sets.
 
 A pair at the limit of 85 % agrees in fewer than 40 of 64 places with probability below 1e-5.
 Classes and shingles are told apart by 64-bit hashes.
@@ -17,7 +19,7 @@ Classes and shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,25 +53,34 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int = 64, size: int =
     return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, node long, sig binary")
 
 
-def frequencies(classes: DataFrame) -> np.ndarray:
-    """How many postings fall into each of ``CELLS`` counters: a table of fixed size."""
+def frequencies(values: DataFrame, tokens_of: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """How many tokens of all ``values`` (one binary column) fall into each of ``CELLS`` counters: a table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            found = [tokens(np.frombuffer(value.as_py(), np.uint32)) for value in batch.column(0)]
+            found = [tokens_of(value.as_py()) for value in batch.column(0)]
             if found:
                 total += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    rows = classes.select("sig").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = values.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = np.zeros(CELLS, np.int64)
     for cell, n in rows.collect():  # at most CELLS rows, whatever the input
         table[cell] = n
     return table
 
 
+def _rarest(t: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` tokens by frequency, then by value: an order common to all rows."""
+    return t[np.lexsort((t, count[(t % np.uint64(CELLS)).astype(np.int64)]))[:size]]
+
+
+def _coordinates(sig: bytes) -> np.ndarray:
+    return tokens(np.frombuffer(sig, np.uint32))
+
+
 def postings(classes: DataFrame, table: np.ndarray, matches: int) -> DataFrame:
     """(token, node, n): each class under the rarest k - matches + 1 of its coordinate-value pairs."""
     shared = classes.sparkSession.sparkContext.broadcast(table)
@@ -79,8 +90,8 @@ def postings(classes: DataFrame, table: np.ndarray, matches: int) -> DataFrame:
         for batch in batches:
             out = []
             for value in batch.column(2):
-                t = tokens(np.frombuffer(value.as_py(), np.uint32))
-                out.append(t[np.lexsort((t, count[(t % np.uint64(CELLS)).astype(np.int64)]))[:len(t) - matches + 1]].view(np.int64))
+                t = _coordinates(value.as_py())
+                out.append(_rarest(t, count, len(t) - matches + 1).view(np.int64))
             if out:
                 each = np.repeat(np.arange(len(out)), [len(x) for x in out])
                 yield pa.RecordBatch.from_arrays(
@@ -89,6 +100,36 @@ def postings(classes: DataFrame, table: np.ndarray, matches: int) -> DataFrame:
     return classes.select("node", "n", "sig").mapInArrow(post, "token long, node long, n long")
 
 
+def shingle_pairs(members: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs (a, b) of members (node, part) of different parts that can reach ``percent``: they share a
+    shingle among the rarest ``100 - percent`` % of both, at places that leave enough to share, and
+    enough of these rare shingles altogether. No pair that reaches it is left out."""
+    rows = written(members.join(texts, "node").select("node", "part", "text"), "members")
+    memo = WordHashes()
+    shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows.select("text"), lambda text: shingle_set(memo, text, size)))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, count = WordHashes(), shared.value
+        for batch in batches:
+            sets = [shingle_set(memo, value.as_py(), size) for value in batch.column(2)]
+            rare = [_rarest(t, count, len(t) + percent * len(t) // -100 + 1).view(np.int64) for t in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
+                                             ["node", "part", "n", "rare"])
+
+    prefixes = written(rows.mapInArrow(first, "node long, part long, n long, rare array<long>"), "prefixes")
+    posted = prefixes.select("node", "part", "n", F.posexplode("rare").alias("at", "token"))
+    left = posted.select("token", F.col("at").alias("at_a"), F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
+    close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
+    reach = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= percent * (F.col("n_a") + F.col("n"))
+    met = posted.join(left, "token").where((F.col("part_a") < F.col("part")) & close & reach).select("a", F.col("node").alias("b")).distinct()
+    # What both prefixes share and all that lies behind one of them is the most that two sets can share.
+    side = prefixes.select("node", "n", "rare")
+    both = met.join(side.toDF("a", "n_a", "rare_a"), "a").join(side.toDF("b", "n_b", "rare_b"), "b")
+    behind = F.greatest(F.col("n_a") - F.size("rare_a"), F.col("n_b") - F.size("rare_b"))
+    most = F.size(F.array_intersect("rare_a", "rare_b")) + behind
+    return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree in at least ``matches`` places."""
 
@@ -153,7 +194,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all_rows = written(signatures(docs, doc_id, text, k, size), "signatures")
     some = all_rows.where("node is not null and doc_id is not null")
     classes = written(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    posted = postings(classes, frequencies(classes), matches)
+    posted = postings(classes, frequencies(classes.select("sig"), _coordinates), matches)
     sizes = posted.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
     lists = written(posted.join(sizes, "token"), "lists")
     degree = lists.groupBy("node").agg(F.sum("met").alias("degree"))
@@ -164,16 +205,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leaders = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n")).alias("lead")).select(
         "token", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"))
     close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
-    star = lists.join(leaders, "token").where(close & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
+    led = lists.join(leaders, "token")
+    star = led.where(close & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
     links = written(confirmed(agreeing(star, classes, matches), texts, percent, size), "links")
     found = components(links)
-    member = lists.join(found, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("part"))
+    # The leader has met every member of its list; what is left are pairs of other members.
+    member = led.where(F.col("a") != F.col("node")).join(found, "node", "left").select("token", "node", F.coalesce("label", "node").alias("part"))
     mixed = member.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    open_lists = member.join(mixed, "token")
-    left = open_lists.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-    rest = open_lists.join(left, "token").where(close & (F.col("part_a") < F.col("part"))).select(
-        "a", F.col("node").alias("b")).distinct().join(star.toDF("b", "a"), ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
-    more = written(confirmed(agreeing(rest, classes, matches), texts, percent, size), "links")
+    rest = shingle_pairs(member.join(mixed, "token").select("node", "part").distinct(), texts, percent, size)
+    rest = rest.join(star.toDF("b", "a"), ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
+    more = written(confirmed(rest, texts, percent, size), "links")
     found = components(links.union(more))
     labelled = classes.join(found, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first.doc_id").alias("component_id"))
