@@ -136,26 +136,22 @@ def _gathered(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("entries")]))
 
 
-def _by_doc(doc: np.ndarray, key: np.ndarray) -> pa.Table:
-    order = np.argsort(doc, kind="stable")
-    doc, key = doc[order], key[order]
-    new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, int)
-    return pa.table({"doc_id": pa.array(doc[new]), "keys": pa.array([key[a:b].tobytes() for a, b in zip(new, np.r_[new[1:], len(doc)])], pa.binary())})
-
-
-def _reduced(packed: DataFrame, decide: Callable, buckets: int) -> DataFrame:
-    """(doc_id, keys): per bucket what ``decide`` keeps; settled rows as they are."""
+def _reduced(packed: DataFrame, decide: Callable, buckets: int, kind: type) -> DataFrame:
+    """(doc_id, key): per bucket what ``decide`` keeps; settled entries as they are. One row per entry, at any number of buckets."""
 
     def reduce(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() >= buckets:
-            return pa.table({"doc_id": table.column("doc_id"), "keys": table.column("entries")})
-        return _by_doc(*decide(key[0].as_py(), table))
+            entries = [np.frombuffer(x.as_py(), kind) for x in table.column("entries")]
+            doc, found = np.repeat(table.column("doc_id").to_numpy(), [len(x) for x in entries]), np.concatenate(entries)
+        else:
+            doc, found = decide(key[0].as_py(), table)
+        return pa.table({"doc_id": pa.array(doc, pa.int64()), "key": pa.array(found.view(np.int64))})
 
-    return packed.groupBy("bucket").applyInArrow(reduce, "doc_id long, keys binary")
+    return packed.groupBy("bucket").applyInArrow(reduce, "doc_id long, key long")
 
 
 def hits(packed: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, keys): hashes (int64) of a document's windows that meet a block of a smaller document, and of those blocks."""
+    """(doc_id, key): hashes of a document's windows that meet a block of a smaller document, and of those blocks."""
 
     def decide(bucket: int, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         doc, entry = _gathered(table, np.uint32)
@@ -170,7 +166,7 @@ def hits(packed: DataFrame, buckets: int) -> DataFrame:
         keep = (low < high) & (doc >= low)
         return doc[keep], (np.int64(bucket) << 31) | h[keep].astype(np.int64)
 
-    return _reduced(packed, decide, buckets)
+    return _reduced(packed, decide, buckets, np.int64)
 
 
 def windows(docs: DataFrame, buckets: int, block: int, window: int) -> DataFrame:
@@ -185,7 +181,7 @@ def windows(docs: DataFrame, buckets: int, block: int, window: int) -> DataFrame
                 found = []
                 for value, keys in zip(batch.column(1), batch.column(2)):
                     h = hashes(memo, _split(value))
-                    known = np.concatenate([np.frombuffer(k, np.int64) for k in keys.as_py()])
+                    known = keys.values.to_numpy()
                     hit = np.isin((runs(h, block) >> (bits - np.uint64(31))).astype(np.int64), known)
                     n = max(0, len(h) - window + 1)
                     near = np.cumsum(np.r_[0, hit])  # a window holds the probes that start in its first window - block + 1 places
@@ -207,7 +203,7 @@ def windows(docs: DataFrame, buckets: int, block: int, window: int) -> DataFrame
 
 
 def repeats(packed: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, keys): hashes (uint64) of the windows that start in a smaller document too."""
+    """(doc_id, key): hashes of the windows that start in a smaller document too."""
 
     def decide(bucket: int, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         doc, h = _gathered(table, np.uint64)
@@ -216,7 +212,7 @@ def repeats(packed: DataFrame, buckets: int) -> DataFrame:
         later = doc > doc[first]
         return doc[later], h[later]
 
-    return _reduced(packed, decide, buckets)
+    return _reduced(packed, decide, buckets, np.uint64)
 
 
 def cut(docs: DataFrame, window: int) -> DataFrame:
@@ -232,7 +228,7 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
                 if copy.as_py():
                     gone[:] = len(words) >= window
                 elif keys.is_valid and len(words) >= window:
-                    known = np.concatenate([np.frombuffer(k, np.uint64) for k in keys.as_py()])
+                    known = keys.values.to_numpy().view(np.uint64)
                     at = np.flatnonzero(np.isin(runs(hashes(memo, words), window), known))
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, at, 1)
@@ -266,9 +262,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = keys.agg(F.sum("n_words")).first()[0] or 0
     buckets = 1 << max(2, parts(total, bucket_words) - 1).bit_length()
     # The texts are dealt out once; the three uses below read one and the same exchange.
-    dealt = rows.repartition("doc_id").join(copies, ["doc_id", "text_hash"], "left")
+    # The join compares the second key beside the first, not as a key, since it would deal the texts out again.
+    other = copies.select(F.col("doc_id").alias("copy"), F.col("text_hash").alias("copy_hash"), "is_copy")
+    same = (F.col("doc_id") == F.col("copy")) & (F.col("text_hash").bitwiseXOR(F.col("copy_hash")) == 0)
+    dealt = rows.repartition("doc_id").join(other, same, "left")
     own = dealt.where("is_copy is null and doc_id is not null")
-    per_doc = lambda found: found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("keys").alias("keys"))
+    per_doc = lambda found: found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("key").alias("keys"))
     near = own.join(per_doc(hits(anchors(own, buckets, block), buckets)), F.col("doc_id") == F.col("d")).select("doc_id", "text", "keys")
     known = per_doc(repeats(windows(near, buckets, block, window), buckets))
     return cut(dealt.join(known, F.col("doc_id") == F.col("d"), "left"), window)
