@@ -265,9 +265,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # The join compares the second key beside the first, not as a key, since it would deal the texts out again.
     other = copies.select(F.col("doc_id").alias("copy"), F.col("text_hash").alias("copy_hash"), "is_copy")
     same = (F.col("doc_id") == F.col("copy")) & (F.col("text_hash").bitwiseXOR(F.col("copy_hash")) == 0)
-    dealt = rows.repartition("doc_id").join(other, same, "left")
-    own = dealt.where("is_copy is null and doc_id is not null")
+    # Rows without an id go their own way: a filter in one of the uses would make it an exchange of its own.
+    dealt = rows.where("doc_id is not null").repartition("doc_id").join(other, same, "left")
+    own = dealt.where("is_copy is null")
     per_doc = lambda found: found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("key").alias("keys"))
     near = own.join(per_doc(hits(anchors(own, buckets, block), buckets)), F.col("doc_id") == F.col("d")).select("doc_id", "text", "keys")
     known = per_doc(repeats(windows(near, buckets, block, window), buckets))
-    return cut(dealt.join(known, F.col("doc_id") == F.col("d"), "left"), window)
+    alone = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("boolean").alias("is_copy"), F.lit(None).cast("array<bigint>").alias("keys"))
+    return cut(dealt.join(known, F.col("doc_id") == F.col("d"), "left"), window).union(cut(alone, window))
