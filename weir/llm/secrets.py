@@ -1,6 +1,7 @@
 """Secret scan: a random forest weeds out false findings. Native: DataFrame functions and Spark ML.
 
-Candidates are runs of key-like characters with at least two digits inside the words of a text.
+Candidates are all runs of ten or more key-like characters inside the words of a text, whatever they
+are made of, and all values assigned to a keyword (``password=``, ``token: ``), whatever their length.
 The forest sees the length and make-up of a candidate, the likelihood of its character
 transitions, how much of it dictionary words cover, the path or address it stands in and the
 words around it. It is trained on labelled findings; without any given, on candidates that a few
@@ -22,10 +23,20 @@ from weir.llm.common import fraction, words, written
 
 CHARS = r"[A-Za-z0-9+/_.@-]"
 CANDIDATE = CHARS + r"{10,}={0,2}"
-#: A word that holds a candidate: ten such characters in a row, and two digits.
+#: A word that holds a run: ten such characters in a row.
 HOLDER = rf"{CHARS}{{10}}"
-DIGITS = r"[0-9].*[0-9]"
+#: What word and run must hold besides: nothing. The share of digits is a feature of the forest.
+DIGITS = r""
 KEYWORD = r"(?i)(pass|pwd|secret|token|key|auth|bearer|credential)"
+#: A keyword as a name, ahead of its assignment.
+NAME = KEYWORD + r"[\w.-]*[\"'`\])]*"
+#: The value assigned inside a word; in the query of an address it ends at the next parameter.
+ASSIGNED = NAME + r"(?:=>|:=|[=:]+)[\"'`(\[{]*([^\s\"'`]+)"
+PARAMETER = r"[?&;][\w.-]*" + NAME + r"=([^\s\"'`&#]+)"
+#: The value of an assignment that ended with the word before, without quotes around it.
+VALUE = r"^[\"'`(\[{<]*([^\s\"'`]+)"
+#: Marks that close a sentence or a list, not a value.
+CLOSING = r"[,;.)\]}>]+$"
 CONFIG_PATH = r"(?i)(\.env|\.cfg|\.conf|\.ini|\.ya?ml|\.json|\.py|\.js|config|secret)"
 CODES = "abcdefghijklmnopqrstuvwxyz0"
 FEATURES = ["length", "digits", "upper", "lower", "changes", "transitions", "dictionary", "keyword", "assigned", "quoted",
@@ -35,17 +46,29 @@ FEATURES = ["length", "digits", "upper", "lower", "changes", "transitions", "dic
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """One row per candidate: doc_id, text_hash, path, position (word, from 0), piece, value, lead, and the words around it.
 
-    NULL and empty texts have none. Equal rows have equal candidates, once each.
+    The runs of a word are its pieces from 0 in order; a value assigned to a keyword that is no run
+    of the word by itself comes after them. NULL and empty texts have none. Equal rows have equal
+    candidates, once each.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                        F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), words(F.col(text)).alias("w"))
-    found = rows.withColumn("hits", F.expr(f"filter(sequence(1, size(w)), i -> i <= size(w) and get(w, i - 1) rlike '[0-9]' and get(w, i - 1) rlike '{HOLDER}'"
-                                           f" and get(w, i - 1) rlike '{DIGITS}')"))
+    q = lambda pattern: "r'" + pattern.replace("'", "\\x27") + "'"
+    # Texts without any keyword, the usual case, are looked through for runs only.
+    named = F.exists("w", lambda x: x.rlike(KEYWORD))
+    ahead = (f"(get(w, i - 2) rlike {q(NAME + '(?:=>|:=|[=:]+)$')} or (get(w, i - 2) rlike '^(=>|:=|[=:]+)$' and get(w, i - 3) rlike {q(NAME + '$')}))")
+    found = rows.withColumn("named", named).withColumn("hits", F.expr(
+        f"filter(sequence(1, size(w)), i -> i <= size(w) and (get(w, i - 1) rlike '{HOLDER}' or (named and (get(w, i - 1) rlike {q(ASSIGNED)} or {ahead}))))"))
     context = F.expr("transform(hits, i -> struct(i - 1 as position, get(w, i - 1) as word, coalesce(get(w, i - 2), '') as before,"
-                     " coalesce(get(w, i - 3), '') as before2, coalesce(get(w, i), '') as after))")
+                     f" coalesce(get(w, i - 3), '') as before2, coalesce(get(w, i), '') as after, named and coalesce({ahead}, false) as ahead))")
     one = found.select("doc_id", "text_hash", "path", F.explode(context).alias("c")).select("doc_id", "text_hash", "path", "c.*")
-    pieces = one.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)).alias("piece", "value"))
-    return pieces.where(F.col("value").rlike(DIGITS)).withColumn("lead", F.expr("substring_index(word, value, 1)"))
+    runs = F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)
+    inside = F.when(F.col("word").rlike(PARAMETER), F.regexp_extract_all("word", F.lit(PARAMETER), 2)).when(
+        F.col("word").rlike(ASSIGNED), F.regexp_extract_all("word", F.lit(ASSIGNED), 2)).when(
+        F.col("ahead"), F.regexp_extract_all("word", F.lit(VALUE), 1)).otherwise(F.array().cast("array<string>"))
+    given = F.array_distinct(F.filter(F.transform(inside, lambda x: F.regexp_replace(x, CLOSING, "")), lambda x: x != ""))
+    values = one.withColumn("runs", runs).withColumn("runs", F.concat("runs", F.array_except(given, "runs"))).select(
+        "doc_id", "text_hash", "path", "position", "word", "before", "before2", "after", F.posexplode("runs").alias("piece", "value"))
+    return values.withColumn("lead", F.expr("substring_index(word, value, 1)"))
 
 
 def language_sample(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 300, dictionary: int = 200):
@@ -90,10 +113,11 @@ def with_features(found: DataFrame, transitions: list[float], dictionary: list[s
 
 def strict_labels(found: DataFrame) -> DataFrame:
     """Candidates whose format leaves no doubt, with ``is_secret``: access ids and assigned long keys
-    against addresses, plain numbers and file names. The others are left out."""
+    against addresses, plain numbers, file names and words that no keyword stands by. The others are left out."""
     v, near = F.col("value"), F.concat_ws(" ", "before2", "before", "lead")
     secret = v.rlike("^AKIA[0-9A-Z]{16}$") | v.rlike("^gh[pousr]_[A-Za-z0-9]{30,}$") | (near.rlike(KEYWORD + r"[\w-]*\W*$") & v.rlike("^[A-Fa-f0-9]{16,}$"))
     plain = F.col("word").rlike(r"://|@|^\W*www\.") | v.rlike("^[0-9+./_-]+$") | v.rlike(r"\.[a-z]{2,5}$")
+    plain = plain | (v.rlike("^[A-Za-z]?[a-z]+([-/._@+][A-Za-z]?[a-z]+)*[-/._@+]*$") & ~near.rlike(KEYWORD))
     return found.withColumn("is_secret", F.when(secret & ~plain, 1.0).when(plain & ~secret, 0.0)).where("is_secret is not null")
 
 
@@ -130,10 +154,23 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     return scored.select("doc_id", "text_hash", "path", "position", "piece", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
+def _without(mark: Column):
+    def replaced(t: Column, s: Column) -> Column:
+        bare = F.regexp_replace(s, "([^A-Za-z0-9])", "\\\\$1")
+        edges = F.concat(F.when(s.rlike("^[A-Za-z0-9]"), F.lit("(?<![A-Za-z0-9])")).otherwise(""), bare,
+                         F.when(s.rlike("[A-Za-z0-9]$"), F.lit("(?![A-Za-z0-9])")).otherwise(""))
+        return F.when(F.length(s) < 10, F.regexp_replace(t, edges, mark)).otherwise(F.replace(t, s, mark))
+
+    return replaced
+
+
 def redact(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret of ``found`` replaced by ``mark``; same columns, same rows."""
+    """``docs`` with every secret of ``found`` replaced by ``mark``; same columns, same rows.
+
+    A secret of fewer than ten characters is replaced where it stands by itself, not inside longer words.
+    """
     per_doc = found.where("is_secret").groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.collect_set("value").alias("__s"))
     per_doc = per_doc.withColumn("__s", F.expr("transform(sort_array(transform(__s, x -> struct(length(x) as n, x as x)), false), y -> y.x)"))
     joined = docs.join(per_doc, F.col(doc_id).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__h")), "left")
-    clean = F.when(F.col("__s").isNull(), F.col(text)).otherwise(F.aggregate("__s", F.col(text), lambda t, s: F.replace(t, s, F.lit(mark))))
+    clean = F.when(F.col("__s").isNull(), F.col(text)).otherwise(F.aggregate("__s", F.col(text), _without(F.lit(mark))))
     return joined.withColumn(text, clean).select(*docs.columns)
