@@ -64,3 +64,16 @@ def test_short_secrets_are_replaced_by_themselves(spark):
     docs = spark.createDataFrame([(1, "password=a.b$ a.b$ xa.b$ pwd=cat concat cat")], "doc_id long, text string")
     found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(F.lit("a.b$"), F.lit("cat"))).alias("value"), F.lit(True).alias("is_secret"))
     assert secrets.redact(docs, found).first().text == "password=[secret] [secret] xa.b$ pwd=[secret] concat [secret]"
+
+
+def test_tables_count_all_words_of_all_texts(spark):
+    texts = ["alpha " * 1500 + "omega " * 1500] + [f"quartz{'ab' * (i % 3)} qx7 été" for i in range(600)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    flat, dictionary = secrets.language_tables(docs)
+    table = [[1.0] * 28 for _ in range(28)]
+    place = lambda c: secrets.CODES.find("0" if c in "0123456789" else c) % 28
+    for w in (w.lower() for t in texts if t for w in t.split()):
+        for x, y in zip(w, w[1:]):
+            table[place(x)][place(y)] += 1
+    assert flat == [round(__import__("math").log(v / sum(row)), 6) for row in table for v in row]
+    assert dictionary == ["alpha", "omega", "quartz", "quartzab", "quartzabab"]

@@ -5,8 +5,8 @@ are made of, and all values assigned to a keyword (``password=``, ``token: ``),
 The forest sees the length and make-up of a candidate, the likelihood of its character
 transitions, how much of it dictionary words cover, the path or address it stands in and the
 words around it. It is trained on labelled findings; without any given, on candidates that a few
-strict formats label. The bounded parts are the training sample, the character table and the
-dictionary, all from a sample of documents; every candidate of every whole text is scored.
+strict formats label. Only the labelled rows of the training are a sample: the character table and the
+dictionary count all words of all texts, and every candidate of every whole text is scored.
 """
 
 from __future__ import annotations
@@ -71,19 +71,23 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     return values.withColumn("lead", F.expr("substring_index(word, value, 1)"))
 
 
-def language_sample(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 300, dictionary: int = 200):
-    """Character transition log-probabilities (28 x 28, flat) and frequent words, from ``sample_docs`` documents."""
-    ids = [r[0] for r in docs.select(doc_id).dropna().dropDuplicates().orderBy(fraction(doc_id), doc_id).limit(sample_docs).collect()]
-    sample = docs.where(F.col(doc_id).isin(ids)).select(F.explode(F.slice(words(F.col(text)), 1, 1000)).alias("w")).where(F.length("w") > 1).select(F.lower("w").alias("w"))
-    pairs = sample.select(F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substr(w, i, 2))")).alias("p"))
+def language_tables(docs: DataFrame, text: str = "text", share: float = 0.0005) -> tuple[list[float], list[str]]:
+    """Character transition log-probabilities (28 x 28, flat) and the dictionary, from all words of all texts.
+
+    The dictionary holds the words of four or more letters a-z that make up ``share`` of all such words: at most 1 / ``share``.
+    """
+    counts = written(docs.select(F.explode(words(F.col(text))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n")).where(F.length("w") > 1), "words")
+    coded = F.translate(F.regexp_replace("w", "[^a-z0-9]", "~"), "123456789", "000000000")
+    chars = counts.select("n", F.split(coded, "").alias("c"))
+    pairs = chars.select("n", F.explode(F.arrays_zip(F.expr("slice(c, 1, size(c) - 1)").alias("x"), F.expr("slice(c, 2, size(c) - 1)").alias("y"))).alias("p"))
     table = [[1.0] * 28 for _ in range(28)]
     place = {c: i for i, c in enumerate(CODES + "~")}
-    top = pairs.groupBy(*[F.translate(F.regexp_replace(F.substring("p", i, 1), "[^a-z0-9]", "~"), "123456789", "000000000").alias(n) for i, n in ((1, "x"), (2, "y"))]).count()
-    for r in top.collect():  # at most 28 x 28 rows
-        table[place[r.x]][place[r.y]] += r["count"]
+    for r in pairs.groupBy("p.x", "p.y").agg(F.sum("n").alias("n")).collect():  # at most 28 x 28 rows
+        table[place[r.x]][place[r.y]] += r.n
     flat = [round(math.log(v / sum(row)), 6) for row in table for v in row]
-    frequent = [r.w for r in sample.where(F.col("w").rlike("^[a-z]{4,}$")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(dictionary).collect()]
-    return flat, frequent
+    known = counts.where(F.col("w").rlike("^[a-z]{4,}$"))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    return flat, sorted(r.w for r in known.where(F.col("n") >= share * total).select("w").collect())
 
 
 def with_features(found: DataFrame, transitions: list[float], dictionary: list[str]) -> DataFrame:
@@ -96,7 +100,11 @@ def with_features(found: DataFrame, transitions: list[float], dictionary: list[s
     out = found.withColumn("__c", F.regexp_replace(F.regexp_replace(F.lower(v), "[0-9]", "0"), "[^a-z0]", "~")).withColumn("__t", F.array(*[F.lit(x) for x in transitions]))
     code = "coalesce(nullif(instr('" + CODES + "', substr(__c, {}, 1)), 0), 28)"
     likely = F.expr(f"aggregate(sequence(1, length(__c) - 1), 0D, (s, i) -> s + get(__t, ({code.format('i')} - 1) * 28 + {code.format('i + 1')} - 1)) / (length(__c) - 1)")
-    known = (n - F.length(F.regexp_replace(F.lower(v), "(" + "|".join(sorted(dictionary, key=lambda w: (-len(w), w))) + ")", ""))) / n if dictionary else F.lit(0.0)
+    starts: dict[str, list[str]] = {}  # by their first letter, the longest first: few words are tried at a place
+    for w in sorted(dictionary, key=lambda w: (-len(w), w)):
+        starts.setdefault(w[0], []).append(w[1:])
+    entries = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(starts.items()))
+    known = (n - F.length(F.regexp_replace(F.lower(v), entries, ""))) / n if dictionary else F.lit(0.0)
     flag: dict[str, Column] = {
         "keyword": F.concat_ws(" ", "before2", "before", "lead").rlike(KEYWORD),
         "assigned": F.col("lead").rlike("[=:]\\W*$") | ((F.col("lead").rlike("^\\W*$")) & F.col("before").rlike("[=:]$")),
@@ -142,7 +150,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     Extra columns of ``docs`` are not read.
     """
     found = written(candidates(docs, doc_id, text, path), "candidates")
-    table, dictionary = language_sample(docs, text, doc_id)
+    table, dictionary = language_tables(docs, text)
     rows = with_features(found, table, dictionary)
     known = with_features(labelled, table, dictionary) if labelled is not None else strict_labels(rows)
     model = fit(known)
