@@ -33,6 +33,8 @@ NAME = KEYWORD + r"[\w.-]*[\"'`\])]*"
 #: The value assigned inside a word; in the query of an address it ends at the next parameter.
 ASSIGNED = NAME + r"(?:=>|:=|[=:]+)[\"'`(\[{]*([^\s\"'`]+)"
 PARAMETER = r"[?&;][\w.-]*" + NAME + r"=([^\s\"'`&#]+)"
+#: An address with user info, or with a long or named value in its query: it may carry a key.
+CARRIER = rf"://[^/?#\s]+@|[?&;][^=&\s]*=[^&#\s]{{10,}}|{PARAMETER}"
 #: The value of an assignment that ended with the word before, without quotes around it.
 VALUE = r"^[\"'`(\[{<]*([^\s\"'`]+)"
 #: Marks that close a sentence or a list, not a value.
@@ -121,11 +123,13 @@ def with_features(found: DataFrame, transitions: list[float], dictionary: list[s
 
 def strict_labels(found: DataFrame) -> DataFrame:
     """Candidates whose format leaves no doubt, with ``is_secret``: access ids and assigned long keys
-    against addresses, plain numbers, file names and words that no keyword stands by. The others are left out."""
+    against addresses, plain numbers, file names and words that no keyword stands by. The others are left
+    out, as is all that stands in an address that may carry a key and has no certain format."""
     v, near = F.col("value"), F.concat_ws(" ", "before2", "before", "lead")
     secret = v.rlike("^AKIA[0-9A-Z]{16}$") | v.rlike("^gh[pousr]_[A-Za-z0-9]{30,}$") | (near.rlike(KEYWORD + r"[\w-]*\W*$") & v.rlike("^[A-Fa-f0-9]{16,}$"))
     plain = F.col("word").rlike(r"://|@|^\W*www\.") | v.rlike("^[0-9+./_-]+$") | v.rlike(r"\.[a-z]{2,5}$")
     plain = plain | (v.rlike("^[A-Za-z]?[a-z]+([-/._@+][A-Za-z]?[a-z]+)*[-/._@+]*$") & ~near.rlike(KEYWORD))
+    plain = plain & ~F.col("word").rlike(CARRIER)
     return found.withColumn("is_secret", F.when(secret & ~plain, 1.0).when(plain & ~secret, 0.0)).where("is_secret is not null")
 
 
