@@ -47,3 +47,16 @@ def test_odd_rows(spark):
                                   "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in main_text(pages).collect()] == [(None, "", 0), (1, "", 0)] + [(1, f"{EN} {EN}", 2 * len(EN) + 1)] * 2
     assert main_text(pages.where("false")).count() == 0
+
+
+LINKS = "".join(f"<a href=/{i}>Another story of the town and of the river {i}</a> " for i in range(4))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<main><p>{EN} {EN}</p><p>Short.</p><div>{LINKS}</div></main>", f"{EN} {EN} Short."),
+    (f"<main><p>{EN} {EN}</p><h3>More</h3><ul><li>{LINKS}</li></ul></main>", f"{EN} {EN}"),
+    (f"<div><p>{EN} {EN}</p><p>Short.</p><p>{EN} {EN} {EN}</p></div><article><p>Read this next</p></article>", f"{EN} {EN} Short. {EN} {EN} {EN}"),
+    (f"<div>{EN}</div><article><p>{DE} {DE}</p><p>Kurz.</p></article>", f"{DE} {DE} Kurz."),
+])
+def test_rules_hold_inside_and_outside_of_articles(page, text):
+    assert page_text(page) == text

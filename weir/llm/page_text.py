@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags. The first pass decides each block by itself: by the
 part of the page it stands in, its link density, its length and its density of stop words. Short
 and doubtful blocks stay open; the second pass gives them the label of their nearest decided
-neighbours, and headings that of the text they lead to.
+neighbours, and headings that of the text they lead to. Where article and main elements hold most
+of the text that passes the rules, they frame it: blocks outside go, and doubtful blocks inside
+stay unless they stand between blocks of links.
 """
 
 from __future__ import annotations
@@ -158,50 +160,67 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(found: list[Block], short: int = 70, long: int = 200, links: float = 0.33, low: float = 0.12, high: float = 0.2) -> list[str]:
-    """good, bad, near (good, but not long) or short for each block, by itself."""
-    framed = any(b.inside and not b.outside for b in found)
+    """good, bad, near (good, but not long), short or low (few stop words) for each block, by itself."""
     out = []
     for b in found:
         density = b.linked / max(1, len(b.text))
-        if b.outside or framed and not b.inside:
+        if b.outside:
             out.append("bad")
-        elif b.inside:
-            out.append("short" if density > links and len(b.text) < short else "good")
         elif density > links:
-            out.append("bad")
+            out.append("short" if b.inside and len(b.text) < short else "bad")
         elif len(b.text) < short:
-            out.append("bad" if b.linked else "short")
+            out.append("bad" if b.linked and not b.inside else "short")
         else:
             words = LETTERS.findall(b.text.lower())
             stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            out.append("good" if stop >= high and len(b.text) >= long else "near" if stop >= low else "bad")
+            out.append("good" if stop >= high and len(b.text) >= long else "near" if stop >= low else "low")
     return out
 
 
+def framed(found: list[Block], labels: list[str]) -> bool:
+    """Whether article and main elements hold most of the text that passes the rules; where no block of
+    the page has stop words enough, of all text in blocks long enough; where there is none, whether there are any."""
+    for passing in (("good", "near"), ("low",)):
+        held = [(len(b.text), b.inside) for b, label in zip(found, labels) if label in passing]
+        if held:
+            return 2 * sum(n for n, inside in held if inside) >= sum(n for n, _ in held)
+    return any(b.inside and not b.outside for b in found)
+
+
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
-    """Open blocks inherit from the nearest decided ones; beyond the ends of a page all is bad."""
+    """Open blocks inherit from the nearest decided ones; beyond the ends of a page all is bad.
+
+    On framed pages only blocks inside the frame are left, and beyond the frame's ends all is good.
+    """
+    frame = framed(found, labels)
+    if frame:
+        labels = ["bad" if b.outside or not b.inside else x for b, x in zip(found, labels)]
+    else:
+        labels = ["bad" if x == "low" else x for x in labels]
     n = len(found)
-    decided = [x in ("good", "bad") for x in labels]
-    before, after = ["bad"] * n, ["bad"] * n
-    last = "bad"
+    # What is no part of a frame says nothing about the text inside.
+    decided = [x in ("good", "bad") and (not frame or b.inside and not b.outside) for b, x in zip(found, labels)]
+    edge = "good" if frame else "bad"
+    before, after = [edge] * n, [edge] * n
+    last = edge
     for i in range(n):
         before[i] = last
         last = labels[i] if decided[i] else last
-    last = "bad"
+    last = edge
     for i in range(n - 1, -1, -1):
         after[i] = last
         last = labels[i] if decided[i] else last
     keep = []
     for i, label in enumerate(labels):
         near = (before[i], after[i])
-        if decided[i]:
+        if label in ("good", "bad"):
             keep.append(label == "good")
-        elif label == "near":
-            keep.append("good" in near)
         elif found[i].heading:
             keep.append(after[i] == "good")
+        elif label in ("near", "low") or frame:
+            keep.append("good" in near)
         else:
-            keep.append(near == ("good", "good") or found[i].inside and "good" in near)
+            keep.append(near == ("good", "good"))
     return keep
 
 
