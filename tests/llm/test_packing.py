@@ -61,3 +61,16 @@ def test_odd_rows(odd_docs, no_docs):
         n[r.doc_id] = n.get(r.doc_id, 0) + r.length
     assert n[6] == 30_000 and n[2] == 160 and n[3] == n[4] == n[5] == 0 and n[None] == 80
     assert best_fit(with_lengths(no_docs)).count() == 0
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    from weir.llm.queries import op8_packing
+
+    base = [f"word{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join(base).upper(), "  ".join(base), " ".join(base[:-1] + ["other"]), "", "", None, "another text of its own"]
+    texts += [" ".join(base)]  # without an id
+    docs = spark.createDataFrame([(i if i < 8 else None, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op8_packing(spark, str(tmp_path)).collect()
+    assert len(rows) == 9 and len({(r.shard, r.bin) for r in rows if r.doc_id is None or r.doc_id < 4}) == 5
+    assert len({(r.shard, r.bin) for r in rows if r.doc_id in (4, 5)}) == 2

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import parts, words
+from weir.llm import near_duplicates
+from weir.llm.common import parts, words, written
 
 OUT = "row_key long, doc_id long, piece int, start long, length long, shard long, bin long, offset long"
 
@@ -98,3 +99,19 @@ def with_lengths(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens (words) and cluster (hash of the text; NULL for NULL texts)."""
     return docs.withColumns({"n_tokens": F.size(words(F.col(text))).cast("long"), "cluster": F.xxhash64(text)}).withColumn(
         "cluster", F.when(F.col(text).isNotNull(), F.col("cluster")))
+
+
+def with_near_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``docs`` but the text, with n_tokens and cluster: the component of near duplicates.
+
+    Equal texts share a cluster, also in rows without an id and in rows that repeat an id with several
+    components; where no row of theirs has a component of its own, it is the hash of the text.
+    """
+    linked = near_duplicates.near_duplicates(docs, doc_id, text, percent=80, matches=36).where("doc_id is not null and n_shingles > 0")
+    one = linked.groupBy(F.col("doc_id").alias("__d")).agg(F.min("component_id").alias("__c"), F.max("component_id").alias("__last"))
+    one = one.where("__c = __last").select("__d", "__c")
+    # Only lengths and keys go through the joins.
+    rows = written(with_lengths(docs, text).drop(text).join(one, F.col(doc_id).cast("long") == F.col("__d"), "left").drop("__d"), "clusters")
+    by_text = rows.where("__c is not null and n_tokens > 0").groupBy("cluster").agg(F.min("__c").alias("__near"))
+    rows = rows.drop("__c").join(by_text, "cluster", "left")
+    return rows.withColumn("cluster", F.coalesce(F.concat(F.lit("near:"), F.col("__near")), F.col("cluster").cast("string"))).drop("__near")

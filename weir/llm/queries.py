@@ -67,7 +67,7 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.best_fit(packing.with_lengths(documents(spark, folder)))
+    return packing.best_fit(packing.with_near_clusters(documents(spark, folder)))
 
 
 @query
