@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from weir.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 WRITES = {"dual_sink", "archive_index", "stream_inbox", "stream_inbox_wm", "stream_source_counts"}
@@ -15,13 +15,13 @@ LIMITED = ["page_inbox", "merge_links", "inbox_append", "tweet_fallback", "wecha
 
 
 def plan(spark, name):
-    return entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
 def test_no_cross_join_and_no_python_worker(spark, name):
     text = plan(spark, name)
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroups"):
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups", "FlatMapCoGroups"):
         assert bad not in text
 
 
