@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import exact_search, language, line_rules, mixing, near_duplicates, packing, page_text, secrets, substrings, token_counts
+from weir.llm import exact_search, language, line_rules, manifest, mixing, near_duplicates, packing, page_text, secrets, substrings, token_counts
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,18 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "position", "piece", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+@query
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's proof, checked with the leaf of a text that lost its line ends where 2 divides the id's CRC."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    spoiled = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    other = manifest.leaf(*[F.col(c) for c in columns[:-1]], spoiled)
+    found = manifest.manifest(documents(spark, folder), columns, extra={"other": other})
+    folded = manifest.folded(F.col("other"), F.col("path"))
+    return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
 ORACLE["op9_line_rules"] = r"""
 with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as host from documents),
 w as (select doc_id, t, host, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -151,3 +163,38 @@ k as (select doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
                   else array_to_string(list_transform(list_filter(generate_series(1, len(w)), lambda j: not list_contains(gone, j)), lambda j: w[j]), ' ') end as t
       from w left join c using (doc_id))
 select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(t) as kept_sha256 from k"""
+
+ORACLE["op11_manifest"] = r"""
+with recursive
+d as (select *, if(list_reduce(list_concat([4294967295], flatten(list_transform(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)),
+               lambda b: [b + 256, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, x: if(x >= 0, xor(a, x - 256), xor(a >> 1, 3988292384 * (a & 1)))) % 2 = 1, replace(text, chr(10), ''), text) as t2 from documents),
+e as (select doc_id, source, coalesce(octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+             || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(cast(n_chars as varchar))) || ':' || n_chars, '-') as head, text, t2 from d),
+v as (select doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+             sha256(head || coalesce(octet_length(encode(t2)) || ':' || t2, '-')) as other from e),
+p as (select *, row_number() over (partition by source order by doc_id, leaf) - 1 as pos from v),
+up(source, level, nodes) as (
+  select source, 0, list(leaf order by pos) from p group by source
+  union all
+  select source, level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) from up where len(nodes) > 1),
+sub as (select source, nodes[1] as subroot, row_number() over (order by source nulls first) - 1 as rk from up where len(nodes) = 1),
+top(level, nodes) as (
+  select 0, list(subroot order by rk) from sub
+  union all
+  select level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) from top where len(nodes) > 1),
+height as (select source, max(level) as h from up group by 1),
+steps as (select u.source, u.level, u.nodes, 0 as above from up u where len(nodes) > 1
+          union all select h.source, h.h + t.level, t.nodes, 1 from top t, height h where len(t.nodes) > 1),
+fold(doc_id, source, leaf, level, pos, rk, above, proof, node) as (
+  select doc_id, p.source, leaf, 0, pos, rk, 0, '', other from p join sub s on p.source is not distinct from s.source
+  union all
+  select doc_id, source, leaf, level + 1, place // 3, rk, is_above, proof || before || after, sha256(before || node || after)
+  from (select f.doc_id, f.source, f.leaf, f.level, f.rk, s.above as is_above, f.proof, f.node, place,
+               array_to_string(s.nodes[place - place % 3 + 1:place], '') as before, array_to_string(s.nodes[place + 2:place - place % 3 + 3], '') as after
+        from (select *, 0 as x from fold) f join steps s on s.source is not distinct from f.source and s.level = f.level,
+             lateral (select if(s.above = 1 and f.above = 0, f.rk, f.pos) as place))),
+last as (select *, row_number() over (partition by doc_id, leaf order by level desc) as r from fold)
+select l.doc_id, l.leaf, s.subroot, (select nodes[1] from top where len(nodes) = 1) as root, sha256(l.proof) as proof_sha256, l.node as folded_root,
+       l.node = (select nodes[1] from top where len(nodes) = 1) as verified
+from last l join sub s on l.source is not distinct from s.source where r = 1"""
