@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import exact_search, language, line_rules, manifest, mixing, near_duplicates, packing, page_text, secrets, substrings, token_counts
+from weir.llm import exact_search, language, line_rules, manifest, mixing, near_duplicates, packing, page_text, secrets, substrings, suffix_dedup, token_counts
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,12 @@ def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
         "verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op13_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(documents(spark, folder))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ORACLE["op9_line_rules"] = r"""
 with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as host from documents),
 w as (select doc_id, t, host, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -198,3 +204,18 @@ last as (select *, row_number() over (partition by doc_id, leaf order by level d
 select l.doc_id, l.leaf, s.subroot, (select nodes[1] from top where len(nodes) = 1) as root, sha256(l.proof) as proof_sha256, l.node as folded_root,
        l.node = (select nodes[1] from top where len(nodes) = 1) as verified
 from last l join sub s on l.source is not distinct from s.source where r = 1"""
+
+ORACLE["op13_suffixes"] = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, unnest(range(greatest(len(x) // 2 - 99, 0))) as i, x from d),
+g as (select doc_id, i, md5(x[2 * i + 1:2 * i + 200]) as g from w),
+f as (select doc_id, i from (select doc_id, i, min(struct_pack(d := doc_id, i := i)) over (partition by g) as first from g) where first <> struct_pack(d := doc_id, i := i)),
+s as (select doc_id, i, sum(new) over (partition by doc_id order by i) as s
+      from (select doc_id, i, if(i <= lag(i) over (partition by doc_id order by i) + 100, 0, 1) as new from f)),
+r as (select doc_id, min(i) as a, max(i) + 100 as b from s group by doc_id, s),
+k as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from r),
+c as (select d.doc_id, count(*) as n_spans, cast(sum(b - a) as bigint) as n_removed,
+             string_agg(x[2 * before + 1:2 * a], '' order by a) || any_value(x)[2 * max(b) + 1:] as kept
+      from k join d using (doc_id) group by 1)
+select doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256
+from d left join c using (doc_id)"""
