@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import exact_search, language, line_rules, manifest, mixing, near_duplicates, packing, page_text, secrets, substrings, suffix_dedup, token_counts
+from weir.llm import exact_search, language, line_rules, manifest, mixing, near_duplicates, packing, page_text, secrets, spelling, substrings, suffix_dedup, token_counts
 from weir.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,11 @@ def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
         "verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(documents(spark, folder), spoil=31).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query
 def op13_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     kept = suffix_dedup.without_repeats(documents(spark, folder))
@@ -219,3 +224,24 @@ c as (select d.doc_id, count(*) as n_spans, cast(sum(b - a) as bigint) as n_remo
       from k join d using (doc_id) group by 1)
 select doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256
 from d left join c using (doc_id)"""
+
+ORACLE["op12_spelling"] = r"""
+with recursive
+r as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as w from documents),
+u as (select doc_id, w, count(*) as k from r group by 1, 2),
+h as (select w, k, xor(list_reduce(list_concat([4294967295], flatten(list_transform(regexp_extract_all(hex(encode(doc_id || ':' || w)), '..'),
+               lambda x: [cast('0x' || x as bigint) + 256, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, x: if(x >= 0, xor(a, x - 256), xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) as h from u),
+v as (select if(h % 31 = 0, w[1:h % length(w)] || w[h % length(w) + 2:], w) as word, k from h),
+n as (select word, cast(sum(k) as bigint) as n from v group by 1 having sum(k) >= 2 and length(word) >= 7),
+c as (select word, n, i, word[1:i - 1] || word[i + 1:] as cut from (select word, n, unnest(range(1, length(word) + 1)) as i from n)),
+p as (select a.word, b.word as near, b.n as near_n from c a join n b on a.cut = b.word
+      union select b.word, a.word, a.n from c a join n b on a.cut = b.word
+      union select a.word, b.word, b.n from c a join c b on a.cut = b.cut and a.i = b.i and a.word <> b.word),
+m as (select word, count(*) as n_near, max(near_n) as most from p group by 1),
+f as (select n.word, n.n, coalesce(n_near, 0) as n_near, if(most >= 10 * n.n, most, null) as form_n,
+             if(most >= 10 * n.n, (select min(near) from p where p.word = n.word and p.near_n = m.most), null) as form
+      from n left join m on n.word = m.word),
+chain(word, root, step) as (select word, word, 0 from f union all select c.word, f.form, step + 1 from chain c join f on f.word = c.root and f.form is not null),
+last as (select word, root from (select *, row_number() over (partition by word order by step desc) as r from chain) where r = 1)
+select f.word, form, root, n, n_near, form_n from f join last using (word)"""
