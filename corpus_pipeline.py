@@ -24,10 +24,14 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each group of texts with a similarity of 0.8 or more, the document
-    with the smallest id stays (one row, if rows repeat it). Rows without an id stay."""
-    found = near_duplicates.near_duplicates(docs, percent=80, matches=36)
-    keep = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    with the smallest id stays (of several texts under that id, the one of the smallest hash; one row, if rows repeat it). Rows
+    without an id and texts without words stay."""
+    found = near_duplicates.linked(docs, percent=80, matches=36)
+    keep = found.where("leads").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    firsts = rows.join(keep.withColumnRenamed("__d", "doc_id"), ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"])
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return firsts.unionByName(rows.where(F.col("doc_id").isNull() | wordless)).select(*COLUMNS)
 
 
 def scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

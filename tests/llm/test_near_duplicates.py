@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from weir.llm import near_duplicates as module
 from weir.llm.near_duplicates import near_duplicates
 
 
@@ -63,3 +64,31 @@ def test_chain_and_hub(spark):
 
 def test_empty(no_docs):
     assert near_duplicates(no_docs).count() == 0
+
+
+def test_repeated_rows_are_one_text(spark, monkeypatch):
+    """Two near copies, each row repeated 2,000 times, and a third text: a few pairs are checked, not millions."""
+    base = [f"b{i}" for i in range(100)]
+    copies = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"]))] * 2000
+    checked = []
+
+    def confirmed(pairs, texts, *rest):
+        checked.append(texts.join(pairs, texts.node == pairs.a).count())
+        return plain(pairs, texts, *rest)
+
+    plain = module.confirmed
+    monkeypatch.setattr(module, "confirmed", confirmed)
+    docs = spark.createDataFrame(copies + [(3, "quite another text of its own")], "doc_id long, text string").repartition(8)
+    got = near_duplicates(docs).groupBy("doc_id", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1, 2000), (2, 1, 2000), (3, 3, 1)} and sum(checked) <= 1
+
+
+def test_sets_of_a_batch():
+    """Shingle sets of many texts at once: words split at ASCII white space only, A-Z as a-z, other letters as they are."""
+    from weir.llm.shingles import shingle_sets
+
+    texts = [b"", None, b"  ", b"a b c d e f", b"A\tB\nC\x0bd  e\x0cF ", "\u00c9 b c d e".encode(), "\u00e9 b c d e".encode(), b"one two", b"two one", b"one two", b"a b c d e a b c d e a b"]
+    values, edges, words = shingle_sets(texts)
+    sets = [values[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])]
+    assert words.tolist() == [0, 0, 0, 6, 6, 5, 5, 2, 2, 2, 12] and [len(s) for s in sets] == [0, 0, 0, 2, 2, 1, 1, 1, 1, 1, 5]
+    assert sets[3] == sets[4] and sets[7] == sets[9] != sets[8] and sets[5] != sets[6] and all(s == sorted(s) for s in sets)

@@ -36,4 +36,13 @@ def test_stages_on_odd_rows(spark, request, table):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    """Ids may repeat with different texts: each text is kept or goes with its own group."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "ay"}
+    rows = [(0, text["a"]), (1, text["a"] + " tail"), (1, text["y"]), (5, text["y"] + " more"), (5, text["y"] + " more"), (7, ""), (None, text["a"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.deduplicate(spark, docs, FOLDER).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(0, text["a"]), (1, text["y"]), (7, ""), (None, text["a"])], key=repr)

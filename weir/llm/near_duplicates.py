@@ -26,42 +26,60 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weir.llm.common import written
-from weir.llm.shingles import Signer, WordHashes, overlap, shingle_set, tokens
+from weir.llm.shingles import Signer, overlap, shingle_sets, tokens
 
 CELLS = 1 << 18
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, k: int = 64, size: int = 5) -> DataFrame:
-    """Per row: doc_id, text_hash, n_shingles, node (class of equal sets, NULL if empty), sig (binary, NULL if empty)."""
+TEXT_AT_ONCE = 4 << 20
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, signer = WordHashes(), Signer(k)
-        for batch in batches:
-            n, node, sig = [], [], []
-            for value in batch.column(1):
-                found = shingle_set(memo, value.as_py(), size)
-                n.append(len(found))
-                node.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None)
-                sig.append(signer(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())],
-                ["doc_id", "text_hash", "n_shingles", "node", "sig"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, node long, sig binary")
+def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, hashes, edges and numbers of words of some rows at a time (about TEXT_AT_ONCE bytes)."""
+    length = np.array(pa.compute.binary_length(texts).fill_null(0), np.int64)
+    part = np.cumsum(length) // TEXT_AT_ONCE
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, int)
+    for a, b in zip(edges.tolist(), np.r_[edges[1:], len(part)].tolist()):
+        yield a, *shingle_sets(texts.slice(a, b - a).to_pylist(), size)
+
 
+def signatures(docs: DataFrame, doc_id: str, text: str, k: int = 64, size: int = 5, keep: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, text_hash (NULL if the text is), ``keep``, n_words, n_shingles, node (class of equal sets, NULL if empty),
+    sig (binary, NULL if empty)."""
+    named = [F.col(c).alias(f"keep_{c}") for c in keep or []]
+    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(doc_id).cast("long").alias("doc_id"),
+                       F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("text_hash"), *named)
+    fields = [f for f in rows.schema.fields if f.name != "text"]
 
-def frequencies(values: DataFrame, tokens_of: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(k)
+        for batch in batches:
+            words, n, node, sig = [], [], [], []
+            for _, values, edges, n_words in _sets(batch.column(0), size):
+                signed = signer(values, edges)
+                words += n_words.tolist()
+                n += np.diff(edges).tolist()
+                for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                    node.append(xxhash.xxh3_64_intdigest(values[a:b]) - (1 << 63) if b > a else None)
+                    sig.append(signed[i].tobytes() if b > a else None)
+            made = [pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], "n_words", "n_shingles", "node", "sig"])
+
+    made = T.StructType([*fields, *T._parse_datatype_string("n_words long, n_shingles long, node long, sig binary").fields])
+    return rows.mapInArrow(sign, made)
+
+
+def frequencies(values: DataFrame, tokens_of: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
     """How many tokens of all ``values`` (one binary column) fall into each of ``CELLS`` counters: a table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            found = [tokens_of(value.as_py()) for value in batch.column(0)]
-            if found:
-                total += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            for found in tokens_of(batch.column(0)):
+                total += np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
@@ -105,13 +123,12 @@ def shingle_pairs(members: DataFrame, texts: DataFrame, percent: int, size: int)
     shingle among the rarest ``100 - percent`` % of both, at places that leave enough to share, and
     enough of these rare shingles altogether. No pair that reaches it is left out."""
     rows = written(members.join(texts, "node").select("node", "part", "text"), "members")
-    memo = WordHashes()
-    shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows.select("text"), lambda text: shingle_set(memo, text, size)))
+    shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows.select("text"), lambda texts: (values for _, values, _, _ in _sets(texts, size))))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, count = WordHashes(), shared.value
+        count = shared.value
         for batch in batches:
-            sets = [shingle_set(memo, value.as_py(), size) for value in batch.column(2)]
+            sets = [values[a:b] for _, values, edges, _ in _sets(batch.column(2), size) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
             rare = [_rarest(t, count, len(t) + percent * len(t) // -100 + 1).view(np.int64) for t in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
                                              ["node", "part", "n", "rare"])
@@ -148,15 +165,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     """Pairs with 100 * intersection >= percent * union of the full shingle sets."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            keep, last, left = [], None, None
-            for a, x, y in zip(batch.column(0), batch.column(2), batch.column(3)):
-                if a.as_py() != last:  # rows of one leader often come together
-                    last, left = a.as_py(), shingle_set(memo, x.as_py(), size)
-                right = shingle_set(memo, y.as_py(), size)
-                common = overlap(left, right)
-                keep.append(100 * common >= percent * (len(left) + len(right) - common))
+            a = np.array(batch.column(0))
+            lead = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else []  # rows of one leader often come together
+            left = [values[x:y] for _, values, edges, _ in _sets(batch.column(2).take(pa.array(lead, pa.int64())), size)
+                    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            which = np.cumsum(np.isin(np.arange(len(a)), lead)) - 1
+            keep = []
+            for row, values, edges, _ in _sets(batch.column(3), size):
+                for i, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                    one = left[which[row + i]]
+                    common = overlap(one, values[x:y])
+                    keep.append(100 * common >= percent * (len(one) + y - x - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     t = texts.select("node", "text")
@@ -191,17 +211,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id is NULL and they are kept. Rows that repeat a doc_id are one document each.
     Only the two named columns are read.
     """
-    all_rows = written(signatures(docs, doc_id, text, k, size), "signatures")
+    known = F.col("doc_id").isNotNull()
+    found = linked(docs, doc_id, text, percent, size, k, matches)
+    return found.select("doc_id", "n_shingles", F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, size: int = 5, k: int = 64, matches: int = 40,
+           keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, ``keep`` (as keep_...), n_words, n_shingles, component_id, leads.
+
+    ``component_id`` is that of the text, also in rows without an id; NULL where no row with an id has the same
+    words. ``leads``: the row is (one of the equal rows that are) the first document of its component.
+    """
+    all_rows = written(signatures(docs, doc_id, text, k, size, keep), "signatures")
     some = all_rows.where("node is not null and doc_id is not null")
     classes = written(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    posted = postings(classes, frequencies(classes.select("sig"), _coordinates), matches)
+    posted = postings(classes, frequencies(classes.select("sig"), lambda sigs: (_coordinates(x.as_py()) for x in sigs)), matches)
     sizes = posted.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
     lists = written(posted.join(sizes, "token"), "lists")
     degree = lists.groupBy("node").agg(F.sum("met").alias("degree"))
     # Only members of shared lists can be in a pair: their texts are fetched once.
     wanted = degree.join(classes, "node").select("node", "first.doc_id", "first.text_hash")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
-    texts = written(source.join(wanted, ["doc_id", "text_hash"]).select("node", "text"), "texts")
+    # Equal rows are one text, however often they come: the few that do are met by their (id, hash) alone.
+    again = some.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id", "text_hash", F.lit(True).alias("again"))
+    found = source.join(wanted.join(again, ["doc_id", "text_hash"], "left"), ["doc_id", "text_hash"])
+    texts = written(found.where("again is null").select("node", "text").unionByName(
+        found.where("again").select("node", "text").dropDuplicates(["node"])), "texts")
     leaders = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n")).alias("lead")).select(
         "token", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"))
     close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
@@ -217,8 +254,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = written(confirmed(rest, texts, percent, size), "links")
     found = components(links.union(more))
     labelled = classes.join(found, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("first.doc_id").alias("component_id"))
-    by_node = labelled.join(smallest, "label").select("node", "component_id")
-    return all_rows.drop("sig").join(by_node, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    smallest = labelled.groupBy("label").agg(F.min("first").alias("lead"))
+    by_node = labelled.join(smallest, "label").select("node", F.col("lead.doc_id").alias("component_id"), F.col("lead.text_hash").alias("lead_hash"))
+    return all_rows.drop("sig").join(by_node, "node", "left").withColumn(
+        "leads", F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("lead_hash")), F.lit(False))).drop("lead_hash", "node")

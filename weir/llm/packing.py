@@ -1,6 +1,6 @@
 """Best-fit packing of documents into training sequences under conflicts.
 
-Documents are dealt into shards of bounded size by a hash of their id; each shard is packed by
+Documents are dealt into shards of bounded size by a hash of their id and place; each shard is packed by
 itself, so no task holds more than a shard. Within a shard the longest pieces go first. Open bins
 are held in the order of their free space, each with one bitmap of the sources that have reached
 their limit in it and one of the duplicate clusters it holds; the search starts at the smallest
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import near_duplicates
-from weir.llm.common import parts, words, written
+from weir.llm.common import parts, words
 
 OUT = "row_key long, doc_id long, piece int, start long, length long, shard long, bin long, offset long"
 
@@ -68,9 +68,8 @@ def best_fit(docs: DataFrame, doc_id: str = "doc_id", n_tokens: str = "n_tokens"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(n_tokens).cast("long"), F.lit(0)), F.lit(0)).alias("n"),
                        F.col(source).cast("string").alias("s"), F.col(cluster).cast("string").alias("c"))
     shards = parts(docs.count(), shard_rows)
-    # Rows without an id are dealt by their place in the input.
-    rows = rows.withColumn("row_key", F.monotonically_increasing_id()).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("row_key"))), F.lit(shards)))
+    # Dealt by id and by the place in the input: an id that many rows repeat fills no shard.
+    rows = rows.withColumn("row_key", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(shards)))
 
     def shard_of(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(rest=frame.n % capacity)
@@ -101,17 +100,13 @@ def with_lengths(docs: DataFrame, text: str = "text") -> DataFrame:
         "cluster", F.when(F.col(text).isNotNull(), F.col("cluster")))
 
 
-def with_near_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but the text, with n_tokens and cluster: the component of near duplicates.
+def with_near_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, n_tokens (words) and cluster of every row: the component of near duplicates.
 
-    Equal texts share a cluster, also in rows without an id and in rows that repeat an id with several
-    components; where no row of theirs has a component of its own, it is the hash of the text.
+    Texts with the same words share a cluster, also in rows without an id; where no row with an id has
+    a text's words, its cluster is the hash of the text (NULL for a NULL text). The texts are read in
+    the one pass that signs them.
     """
-    linked = near_duplicates.near_duplicates(docs, doc_id, text, percent=80, matches=36).where("doc_id is not null and n_shingles > 0")
-    one = linked.groupBy(F.col("doc_id").alias("__d")).agg(F.min("component_id").alias("__c"), F.max("component_id").alias("__last"))
-    one = one.where("__c = __last").select("__d", "__c")
-    # Only lengths and keys go through the joins.
-    rows = written(with_lengths(docs, text).drop(text).join(one, F.col(doc_id).cast("long") == F.col("__d"), "left").drop("__d"), "clusters")
-    by_text = rows.where("__c is not null and n_tokens > 0").groupBy("cluster").agg(F.min("__c").alias("__near"))
-    rows = rows.drop("__c").join(by_text, "cluster", "left")
-    return rows.withColumn("cluster", F.coalesce(F.concat(F.lit("near:"), F.col("__near")), F.col("cluster").cast("string"))).drop("__near")
+    rows = near_duplicates.linked(docs, doc_id, text, percent=80, matches=36, keep=[source])
+    return rows.select("doc_id", F.col(f"keep_{source}").alias("source"), F.col("n_words").alias("n_tokens"),
+                       F.coalesce(F.concat(F.lit("near:"), F.col("component_id")), F.col("text_hash").cast("string")).alias("cluster"))

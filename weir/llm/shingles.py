@@ -1,4 +1,4 @@
-"""Hashes of words, of runs of words, and MinHash signatures, for use inside tasks."""
+"""Hashes of words, of runs of words, sets of shingles and MinHash signatures, for use inside tasks."""
 
 from __future__ import annotations
 
@@ -46,29 +46,79 @@ def runs(h: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
-def shingle_set(memo: WordHashes, text: bytes | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text in lower case (A-Z only); fewer words make one shingle."""
-    words = (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes(memo, words)
-    if len(h) < size:
-        return runs(h, len(h)) ^ np.uint64(len(h))
-    return np.unique(runs(h, size))
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_BYTE[_SPACE] = 0
+_BASE = 0xA0761D6478BD642F  # odd, so it has an inverse
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to n."""
+    for i, factor in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        while len(_POWERS[i]) < n:
+            have = _POWERS[i]
+            _POWERS[i] = np.concatenate([have, have * np.uint64(pow(factor, len(have), 1 << 64))])
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def shingle_sets(texts: list[bytes | None], size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle sets of many texts (A-Z as a-z) at once: sorted distinct hashes of all texts, where each
+    text's begin and end, and the texts' numbers of words. A text of fewer words makes one shingle."""
+    lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
+    data = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8) if texts else np.empty(0, np.uint8)
+    space = _SPACE[data]
+    turn = np.flatnonzero(np.diff(space, prepend=True))
+    starts = turn[::2]
+    edges = np.searchsorted(starts, np.r_[0, np.cumsum(lengths)])  # words of each text
+    n_words = np.diff(edges)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), n_words
+    up, down = _powers(len(data))
+    h = mixed(np.add.reduceat(_BYTE[data] * up, starts) * down[starts])
+    values = np.zeros(len(h), np.uint64)
+    found = runs(h, size)
+    values[:len(found)] = found
+    valid = np.ones(len(h), bool)
+    full = np.flatnonzero(n_words >= size)
+    valid[(edges[full + 1][:, None] - 1 - np.arange(size - 1)).ravel()] = False
+    for i in np.flatnonzero((n_words > 0) & (n_words < size)):
+        a, b = edges[i], edges[i + 1]
+        valid[a:b], valid[a] = False, True
+        values[a] = runs(h[a:b], int(b - a))[0] ^ np.uint64(b - a)
+    values = values[valid]
+    bounds = np.r_[0, np.cumsum(np.where(n_words >= size, n_words - size + 1, n_words > 0))]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        values[a:b].sort()
+    new = np.r_[True, values[1:] != values[:-1]]
+    new[bounds[:-1][bounds[:-1] < len(new)]] = True
+    return values[new], np.r_[0, np.cumsum(new)][bounds], n_words
 
 
 class Signer:
-    """MinHash signatures of ``k`` 32-bit coordinates."""
-
-    def __init__(self, k: int) -> None:
-        self.a, self.b = _odd(k, 11)[:, None], _odd(k, 13)[:, None]
-
-    def __call__(self, values: np.ndarray, chunk: int = 8192) -> np.ndarray:
-        low = None
-        for i in range(0, len(values), chunk):
-            part = (values[None, i:i + chunk] * self.a + self.b).min(axis=1)
-            low = part if low is None else np.minimum(low, part)
-        return (low >> np.uint64(32)).astype(np.uint32)
+    """MinHash signatures of ``k`` 32-bit coordinates: the least of k one-to-one maps of the upper hash bits."""
+
+    def __init__(self, k: int, chunk: int = 8192) -> None:
+        self.a, self.b = (x.astype(np.uint32)[:, None] | np.uint32(1) for x in (_odd(k, 11), _odd(k, 13)))
+        self.chunk, self.work = chunk, np.empty((k, chunk), np.uint32)
+
+    def __call__(self, values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """A row of k coordinates for each set ``values[edges[i]:edges[i + 1]]``; of no meaning for empty ones."""
+        x = (values >> np.uint64(32)).astype(np.uint32)
+        out = np.full((len(edges) - 1, len(self.a)), np.iinfo(np.uint32).max, np.uint32)
+        filled = np.flatnonzero(np.diff(edges))
+        begin = edges[filled]
+        for i in range(0, len(x), self.chunk):
+            part = x[i:i + self.chunk]
+            work = self.work[:, :len(part)]
+            np.multiply(part, self.a, out=work)
+            work += self.b
+            first, last = np.searchsorted(begin, [i, i + len(part) - 1], side="right") - 1
+            at = np.maximum(begin[first:last + 1] - i, 0)
+            rows = filled[first:last + 1]
+            out[rows] = np.minimum(out[rows], np.minimum.reduceat(work, at, axis=1).T)
+        return out
 
 
 def tokens(signature: np.ndarray) -> np.ndarray:
