@@ -84,7 +84,7 @@ def frequent_runs(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def pieces(rows: DataFrame, classes: np.ndarray, window: int) -> DataFrame:
-    """(name, hash, doc_id, ver, start, n): n windows from byte ``start`` on; name and hash NULL: settled, all of them repeat."""
+    """(name, hash, doc_id, ver, start, n): n windows from byte ``start`` on; n below 0: settled, all -n of them repeat."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)  # CELLS bytes
     span = window - GRAM + 1
 
@@ -148,18 +148,16 @@ def pieces(rows: DataFrame, classes: np.ndarray, window: int) -> DataFrame:
                     head = np.flatnonzero(np.r_[True, (s_d[1:] != s_d[:-1]) | (s_v[1:] != s_v[:-1]) | (s_a[1:] != s_a[:-1] + s_n[:-1])])
                     tail = np.r_[head[1:], len(s_d)] - 1
                     s_d, s_v, s_a, s_n = s_d[head], s_v[head], s_a[head], s_a[tail] + s_n[tail] - s_a[head]
-                none = np.zeros(len(s_d), bool)
-                mask = np.r_[np.zeros(int((~later).sum()), bool), ~none]
-                both = lambda x, fill: pa.array(np.r_[x[~later].view(np.int64), fill], mask=mask)
-                yield pa.RecordBatch.from_arrays(
-                    [both(name, none.astype(np.int64)), both(content, none.astype(np.int64)), *[pa.array(np.r_[x[~later], y]) for x, y in ((d, s_d), (v, s_v), (start, s_a), (n, s_n))]],
-                    ["name", "hash", "doc_id", "ver", "start", "n"])
+                # Settled rows travel with the others, under names that spread them.
+                spread = mixed(s_d.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + s_a.astype(np.uint64))
+                columns = [(name[~later], spread), (content[~later], spread), *((x[~later], y) for x, y in ((d, s_d), (v, s_v), (start, s_a), (n, -s_n)))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in columns], ["name", "hash", "doc_id", "ver", "start", "n"])
 
     return rows.select("doc_id", "ver", "text").mapInArrow(cut, "name long, hash long, doc_id long, ver long, start long, n long")
 
 
 def firsts(found: DataFrame) -> DataFrame:
-    """Settled rows (name NULL) and the first place of every content whose name has several.
+    """Settled rows (n below 0) and the first place of every content whose name has several.
 
     Rows come sorted by name, hash and place and are read as a stream: a name may have any number of them.
     """
@@ -168,8 +166,12 @@ def firsts(found: DataFrame) -> DataFrame:
         last = None  # name, hash, doc_id, start of the last content's first row
         waiting = None  # that row, while its name has no other content
         for batch in batches:
-            name, content, doc, ver, start, n = (np.array(x) for x in batch.columns)
+            columns = [np.array(x) for x in batch.columns]
+            passed = columns[5] < 0
+            settled = [x[passed] for x in columns[2:]]
+            name, content, doc, ver, start, n = (x[~passed] for x in columns)
             if not len(name):
+                yield pa.RecordBatch.from_arrays([pa.array(settled[0]), *map(pa.array, settled)], ["name", "doc_id", "ver", "start", "n"])
                 continue
             new = np.r_[last is None or name[0] != last[0] or content[0] != last[1], (name[1:] != name[:-1]) | (content[1:] != content[:-1])]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
@@ -194,11 +196,8 @@ def firsts(found: DataFrame) -> DataFrame:
                 row = (name[i], content[i], doc[i], ver[i], start[i], n[i])
                 waiting, last = (None if several[-1] else row), (name[i], content[i], doc[i], start[i])
             kept = [x[several] for x in heads]
-            mask = np.r_[np.zeros(len(kept[0]), bool), np.ones(int(later.sum()), bool)]
-            none = np.zeros(int(later.sum()), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[kept[0], none], mask=mask), *[pa.array(np.r_[x, y[later]]) for x, y in zip(kept[2:], (doc, ver, start, n))]],
-                ["name", "doc_id", "ver", "start", "n"])
+            rest = [np.r_[x[later], y] for x, y in zip((doc, ver, start, -n), settled)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[x, y]) for x, y in zip((kept[0], *kept[2:]), (rest[0], *rest))], ["name", "doc_id", "ver", "start", "n"])
 
     cols = ["name", "hash", "doc_id", "ver", "start", "n"]
     return found.select(*cols).mapInArrow(settle, "name long, doc_id long, ver long, start long, n long")
@@ -285,7 +284,7 @@ def cut(rows: DataFrame, window: int) -> DataFrame:
             for text, found in zip(batch.column(1), batch.column(2)):
                 text = text.as_py() or b""
                 runs = []
-                if found.is_valid:
+                if len(found.values):
                     a = found.values.field("start").to_numpy()
                     b = a + found.values.field("n").to_numpy() + window - 1
                     order = np.argsort(a, kind="stable")
@@ -326,13 +325,16 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # The texts are dealt out once; the three uses below read one and the same exchange.
     dealt = own.repartition("doc_id").join(unlike, F.col("doc_id") == F.col("d"), "left").select(
         "doc_id", F.when(F.col("several"), F.col("hash")).otherwise(F.lit(0)).alias("ver"), "text")
-    found = pieces(dealt, classes, window)
-    met = firsts(found.where("name is not null").repartition(max(shards, 1), "name").sortWithinPartitions("name", "hash", "doc_id", "start"))
-    places = met.where("name is not null").groupBy(F.col("doc_id").alias("d"), F.col("ver").alias("v")).agg(F.collect_list(F.struct("name", "start", "n")).alias("places"))
+    found = pieces(dealt, classes, window).repartition(shards, "name").sortWithinPartitions("name", "hash", "doc_id", "start")
+    # Both kinds of rows go to their documents once; the texts are cut into contents there, and later into what is left.
+    met = firsts(found).groupBy(F.col("doc_id").alias("d"), F.col("ver").alias("v")).agg(F.collect_list(F.struct("name", "start", "n")).alias("met"))
     same = (F.col("doc_id") == F.col("d")) & (F.col("ver").bitwiseXOR(F.col("v")) == 0)
-    strings = contents(dealt.join(places, same).select("doc_id", "ver", "text", "places"), window)
-    sorted_out = repeats(strings.repartition(shards, "name").sortWithinPartitions("doc_id", "start"), window, sort_rows)
-    settled = found.where("name is null").select("doc_id", "ver", "start", "n").union(met.where("name is null").select("doc_id", "ver", "start", "n")).union(sorted_out)
-    spans = settled.groupBy(F.col("doc_id").alias("d"), F.col("ver").alias("v")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    alone = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start: long, n: long>>").alias("spans"))
-    return cut(dealt.join(spans, same, "left"), window).union(cut(alone, window))
+    both = dealt.join(met, same, "left").select("doc_id", "ver", "text", F.filter("met", lambda x: x["n"] > 0).alias("places"),
+                                                F.transform(F.filter("met", lambda x: x["n"] < 0), lambda x: F.struct(x["start"].alias("start"), (-x["n"]).alias("n"))).alias("settled"))
+    strings = contents(both.where(F.size("places") > 0).select("doc_id", "ver", "text", "places"), window)
+    again = repeats(strings.repartition(shards, "name").sortWithinPartitions("doc_id", "start"), window, sort_rows)
+    again = again.groupBy(F.col("doc_id").alias("d"), F.col("ver").alias("v")).agg(F.collect_list(F.struct("start", "n")).alias("again"))
+    kind = "array<struct<start: long, n: long>>"
+    spans = F.concat(F.coalesce("settled", F.array().cast(kind)), F.coalesce("again", F.array().cast(kind)))
+    alone = rows.where("doc_id is null").select("doc_id", "text", F.array().cast(kind).alias("spans"))
+    return cut(both.join(again, same, "left").select("doc_id", "text", spans.alias("spans")), window).union(cut(alone, window))
