@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import takewhile
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from weir.model import record_columns
 from weir.operators import channels, inbox
 from weir.sinks.exports import write_markdown
+from weir.sinks.recent import RecentRecords
 from weir.sinks.store import InboxStore
 
 AS_OF = "2024-01-31T00:00:00"
@@ -92,23 +94,110 @@ def test_store_versions(spark, tmp_path):
     store.mark_processed(spark.createDataFrame([(row["id"], "2024-02-01", 1)], "id string, digest_date string, update_seq int"))
     assert seqs(inbox.unprocessed(store.load())) == [1, 5]
     store.clear_old(AS_OF, 7)
-    assert seqs(store.load()) == [2, 5] and store.versions() == [0, 1, 2]
+    assert seqs(store.load()) == [2, 5] and store.versions() == [1, 2, 3, 4]
     assert store.load().filter("seq = 2").first()["digest_date"] == "2024-02-01"
+    assert seqs(store.load(2)) == [1, 2, 5]  # earlier versions stay readable
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_one_source_is_read_alone(spark, tmp_path):
     store = InboxStore(spark, str(tmp_path / "store"))
-    store.add(batch(spark, (1, "a", "")))
-    assert (tmp_path / "store" / "version=00000000" / "source_type=manual").is_dir()
-    plan = inbox.by_source(store.load(), "manual")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(source_type" in plan
+    store.add(batch(spark, (1, "a", "2024-01-30T00:00:00")))
+    assert list((tmp_path / "store" / "content").glob("batch=*/source_type=manual/day=2024-01-30"))
+    assert "PartitionFilters: [isnotnull(source_type" in plan(inbox.by_source(store.load(), "manual"))
+
+
+def test_membership_reads_the_prefixes_of_the_batch(spark, tmp_path):
+    """Only ids are read, and only folders whose prefix the batch has."""
+    store = InboxStore(spark, str(tmp_path / "store"), prefix=2)
+    store.add(batch(spark, *[(i, f"u{i}", "") for i in range(300)]))
+    some = batch(spark, (900, "u7", ""), (901, "new", ""))
+    text = plan(store.known(some))
+    assert re.search(r"PartitionFilters: \[prefix#\w+ IN \(", text) and "content" not in re.search(r"ReadSchema: .*", text).group()
+    store.add(some)
+    assert seqs(store.load()) == [*range(300), 901]
+    other = InboxStore(spark, str(tmp_path / "store"))  # the layout is the store's, not the client's
+    other.add(batch(spark, (950, "u8", ""), (951, "new2", "")))
+    assert seqs(other.load()) == [*range(300), 901, 951]
+
+
+def interleaved(store, monkeypatch, first, *others):
+    """Run ``first``; the others are published after it has read the store and before it publishes."""
+    publish, waiting = InboxStore._publish, list(others)
+
+    def late(self, new):
+        while waiting:
+            waiting.pop(0)()
+        return publish(self, new)
+
+    monkeypatch.setattr(InboxStore, "_publish", late)
+    first()
+    monkeypatch.setattr(InboxStore, "_publish", publish)
+
+
+def test_interleaved_changes_lose_nothing(spark, tmp_path, monkeypatch):
+    store = InboxStore(spark, str(tmp_path / "store"))
+    store.add(batch(spark, (1, "a", "2000-01-01T00:00:00"), (2, "b", "2099-01-01T00:00:00"), (3, "e", "2024-01-24T00:00:01")))
+    ids = {r["seq"]: r["id"] for r in store.load().collect()}
+    marks = spark.createDataFrame([(ids[2], "2024-02-01", 1), (ids[3], "", 2)], "id string, digest_date string, update_seq int")
+    interleaved(store, monkeypatch, lambda: store.clear_old(AS_OF, 7),
+                lambda: store.add(batch(spark, (4, "c", "2099-01-01T00:00:00"))), lambda: store.mark_processed(marks))
+    got = {r["seq"]: (r["processed"], r["digest_date"]) for r in store.load().collect()}
+    assert got == {2: (True, "2024-02-01"), 3: (True, None), 4: (False, None)}
+    # Two batches with one and the same record: it comes once.
+    interleaved(store, monkeypatch, lambda: store.add(batch(spark, (6, "same", ""), (7, "mine", ""))), lambda: store.add(batch(spark, (5, "same", ""))))
+    assert seqs(store.load()) == [2, 3, 4, 5, 7]
+    left = {p.name.split("=")[1] for p in (tmp_path / "store" / "content").iterdir()}
+    assert {e["folder"] for e in store.snapshot().entries} <= left and len(left) == 5  # four batches and the edge day: beaten attempts leave nothing
+
+
+def test_marks_write_no_content_and_end_with_their_record(spark, tmp_path):
+    store = InboxStore(spark, str(tmp_path / "store"))
+    old = batch(spark, (1, "a", "2000-01-01T00:00:00"), (2, "b", "2099-01-01T00:00:00"))
+    store.add(old)
+    before = {p for p in (tmp_path / "store" / "content").rglob("*.parquet")}
+    ids = {r["seq"]: r["id"] for r in old.collect()}
+    mark = lambda i, d: store.mark_processed(spark.createDataFrame([(i, d, 1)], "id string, digest_date string, update_seq int"))
+    mark(ids[1], "2024-02-01")
+    mark(ids[2], "2024-02-02")
+    mark(ids[2], "")
+    mark("unknown", "2024-02-03")
+    assert {p for p in (tmp_path / "store" / "content").rglob("*.parquet")} == before
+    store.clear_old(AS_OF, 7)
+    store.add(batch(spark, (8, "a", "2099-01-01T00:00:00")))  # the id comes back as a new record
+    want = {2: (True, "2024-02-02"), 8: (False, None)}
+    assert {r["seq"]: (r["processed"], r["digest_date"]) for r in store.load().collect()} == want
+    store.compact()
+    store.retire()
+    assert {r["seq"]: (r["processed"], r["digest_date"]) for r in store.load().collect()} == want
+    assert len(list((tmp_path / "store" / "content").iterdir())) == 1 and len(store.versions()) == 1
+
+
+def test_retention_drops_days_and_rewrites_one(spark, tmp_path):
+    store = InboxStore(spark, str(tmp_path / "store"))
+    stamps = ["2024-01-23T23:59:59", "2024-01-24T00:00:00", "2024-01-24T00:00:00.000001", "2024-01-25T00:00:00", "2024-01", "2099", "x"]
+    store.add(batch(spark, *[(i, f"u{i}", s) for i, s in enumerate(stamps)]))
+    kept = [i for i, s in enumerate(stamps) if s > "2024-01-24T00:00:00"]
+    files = {p for p in (tmp_path / "store" / "content").rglob("*.parquet")}
+    store.clear_old(AS_OF, 7)
+    assert seqs(store.load()) == kept and seqs(store.load(1)) == [*range(len(stamps))]
+    assert len({p for p in (tmp_path / "store" / "content").rglob("*.parquet")} - files) == 1
+    assert "PartitionFilters: [isnotnull(day" in plan(store.load())
+    store.clear_old(AS_OF, 8)  # an earlier cutoff changes nothing
+    assert seqs(store.load()) == kept
+    store.add(batch(spark, (50, "u0", "2099-02-01"), (51, "u2", "2099")))
+    assert seqs(store.load()) == sorted([*kept, 50])
 
 
-def test_unfinished_version_does_not_count(spark, tmp_path):
+def test_folders_without_a_version_do_not_count(spark, tmp_path):
     store = InboxStore(spark, str(tmp_path / "store"))
     store.add(batch(spark, (1, "a", "")))
-    (tmp_path / "store" / "version=00000001").mkdir()
-    assert store.versions() == [0] and seqs(store.load()) == [1]
+    store._write(batch(spark, (2, "b", "")), "00000002-lost", store.snapshot())
+    (tmp_path / "store" / "log" / ".unfinished").write_text("{")
+    assert store.versions() == [1] and seqs(store.load()) == [1]
 
 
 def test_markdown_file(spark, tmp_path):
@@ -132,3 +221,24 @@ def test_recent_messages(spark, limit, hours):
     for c in "ab":
         assert sorted(r["msg_id"] for r in got if r["channel"] == c) == recent(rows[c], limit, hours)
     assert all(r["views"] == 0 and r["url"] == f"https://t.me/{r['channel']}/{r['msg_id']}" for r in got)
+
+
+def test_recent_records_over_appends(spark, tmp_path):
+    recent = RecentRecords(spark, str(tmp_path / "recent"), keep=5)
+    assert recent.load(AS_OF).count() == 0
+    titles = lambda: [r["title"] for r in recent.load(AS_OF).orderBy("append", "pos").collect()]
+    recent.append(batch(spark, *[(i, f"u{i}", "") for i in range(9)]))
+    assert titles() == ["t4", "t5", "t6", "t7", "t8"]
+    recent.append(batch(spark, (20, "x", ""), (21, "y", "")))
+    assert titles() == ["t6", "t7", "t8", "t20", "t21"]
+    broken = tmp_path / "recent" / "append=00000003"
+    broken.mkdir()
+    (broken / "part-0.txt").write_text('[{"title": "cut')
+    (tmp_path / "recent" / "append=00000004").mkdir()
+    recent.append(batch(spark, (30, "z", "")))
+    assert titles() == ["t7", "t8", "t20", "t21", "t30"]
+    recent.trim()
+    assert titles() == ["t7", "t8", "t20", "t21", "t30"]
+    recent.append(batch(spark, *[(40 + i, f"v{i}", "") for i in range(5)]))
+    recent.trim()
+    assert titles() == [f"t{40 + i}" for i in range(5)] and [p.name for p in (tmp_path / "recent").iterdir()] == ["append=00000006"]

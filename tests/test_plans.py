@@ -7,10 +7,10 @@ import pytest
 from weir.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-WRITES = {"dual_sink", "archive_index", "stream_inbox", "stream_inbox_wm", "stream_source_counts"}
+WRITES = {"dual_sink", "inbox_recent", "archive_index", "stream_inbox", "stream_inbox_wm", "stream_source_counts"}
 NO_SHUFFLE = ["harvest_links", "link_lines", "unified_all", "page_main_text", "convert_generic", "srt_transcript", "audio_plan",
               "url_guard", "quality_gates", "bilibili_payload", "url_candidates"]
-LIMITED = ["page_inbox", "merge_links", "inbox_append", "tweet_fallback", "wechat_fallback", "xhs_fallback", "telegram_recent",
+LIMITED = ["page_inbox", "merge_links", "tweet_fallback", "wechat_fallback", "xhs_fallback", "telegram_recent",
            "telegram_latest", "subtitle_pick", "srt_distinct_lines"]
 
 
@@ -39,3 +39,12 @@ def test_ranked_queries_limit_before_the_shuffle(spark, name):
 def test_only_needed_columns_are_read(spark):
     assert "ReadSchema: struct<doc_id:bigint,source:string>" not in plan(spark, "source_counts")
     assert "ReadSchema: struct<source:string>" in plan(spark, "source_counts")
+
+
+def test_stored_queries_read_partitions(spark):
+    assert "PartitionFilters: [isnotnull(source_type" in plan(spark, "inbox_by_source")
+    assert re.search(r"PartitionFilters: \[isnotnull\(day", plan(spark, "inbox_clear_old"))
+    text = plan(spark, "inbox_append")
+    assert re.search(r"PartitionFilters: \[prefix#\w+ IN(SET)? .*ReadSchema: struct<id:string", text)
+    # The content meets the accepted rows only: nothing is ranked or shuffled with it before.
+    assert not re.search(r"(Window|Sort) .*content", text)

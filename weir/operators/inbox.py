@@ -38,10 +38,18 @@ def known_ids(batch: DataFrame, store: DataFrame) -> DataFrame:
     return store.select("id").join(batch.select("id").distinct(), "id", "left_semi").distinct()
 
 
+def _winners(slim: DataFrame, store: DataFrame, order: str) -> DataFrame:
+    """(id, order) of the rows that an insert would accept: first per id and not in the store. A hash aggregate, no id gathers."""
+    return slim.groupBy("id").agg(F.min(order).alias(order)).join(known_ids(slim, store), "id", "left_anti")
+
+
 def new_records(batch: DataFrame, store: DataFrame, order: str = "seq") -> DataFrame:
-    """Records to append: first per id in the batch and not in the store."""
-    firsts = first_wins(batch, "id", order)
-    return firsts.join(known_ids(batch, store), "id", "left_anti")
+    """Records to append: first per id in the batch and not in the store.
+
+    Decided on (``order``, id), the arrival number being unique; the content meets the accepted rows only.
+    """
+    accepted = _winners(batch.select(order, "id"), store, order)
+    return batch.join(accepted, [order, "id"], "left_semi")
 
 
 def added_flags(batch: DataFrame, store: DataFrame, order: str = "seq") -> DataFrame:
@@ -51,9 +59,7 @@ def added_flags(batch: DataFrame, store: DataFrame, order: str = "seq") -> DataF
     arrival number, so a hot id never gathers in one task.
     """
     slim = batch.select(order, "id")
-    winners = slim.groupBy("id").agg(F.min(order).alias(order))
-    winners = winners.join(known_ids(slim, store), "id", "left_anti")
-    flags = winners.select(order, F.lit(True).alias("added"))
+    flags = _winners(slim, store, order).select(order, F.lit(True).alias("added"))
     return slim.join(flags, order, "left").withColumn("added", F.coalesce("added", F.lit(False)))
 
 
@@ -65,12 +71,15 @@ def by_source(store: DataFrame, source_type: str) -> DataFrame:
     return store.filter(F.col("source_type") == source_type)
 
 
+def last_marks(updates: DataFrame) -> DataFrame:
+    """(id, digest_date) of (id, digest_date, update_seq) updates: the last date given to an id, NULL if none was."""
+    date = present(F.col("digest_date"))
+    return updates.groupBy("id").agg(F.max(F.when(date.isNotNull(), F.struct("update_seq", "digest_date")))["digest_date"].alias("digest_date"))
+
+
 def mark_processed(store: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply (id, digest_date, update_seq) updates: processed becomes true, the last given date stays."""
-    date = present(F.col("digest_date"))
-    per_id = updates.groupBy("id").agg(
-        F.max(F.when(date.isNotNull(), F.struct("update_seq", "digest_date")))["digest_date"].alias("_date")
-    ).withColumn("_hit", F.lit(True))
+    per_id = last_marks(updates).withColumnRenamed("digest_date", "_date").withColumn("_hit", F.lit(True))
     return (
         store.join(per_id, "id", "left")
         .withColumn("processed", F.col("processed") | F.coalesce("_hit", F.lit(False)))

@@ -10,6 +10,7 @@ from weir.plans.records import inbox_records
 from weir.plans.registry import query
 from weir.session import fresh_path
 from weir.sinks.exports import with_markdown, write_markdown
+from weir.sinks.recent import RecentRecords
 from weir.sinks.store import InboxStore
 
 EMOJI = ("case source_type when 'telegram' then '📢' when 'rss' then '📰' when 'bilibili' then '🎬' when 'xhs' then '📕' "
@@ -24,6 +25,21 @@ def _store(spark, sf):
     return inbox.first_wins(_rows(spark, sf))
 
 
+def _landed(spark, sf, root):
+    """The batch written once: every use of it reads the files."""
+    rows = _rows(spark, sf)
+    rows.write.parquet(f"{root}/landed")
+    return spark.read.schema(rows.schema).parquet(f"{root}/landed")
+
+
+def _filled(spark, sf):
+    """A written store with all records added."""
+    root = fresh_path(spark, "inbox")
+    store = InboxStore(spark, f"{root}/store")
+    store.add(_landed(spark, sf, root))
+    return store
+
+
 VIEWS["v_added"] = """
 select b.seq, b.id, b.seq = f.first and s.id is null as added from (select seq, id from v_records where seq % 3 <> 0) b
 join (select id, min(seq) as first from v_records where seq % 3 <> 0 group by id) f on f.id = b.id
@@ -52,10 +68,13 @@ select seq, id, source_type, title from (select r.*, row_number() over (partitio
 where rn = 1 and id not in (select id from v_records where seq % 3 = 0)
 """)
 def inbox_append(spark, sf):
-    """The rows an append writes, content and all."""
-    rows = _rows(spark, sf)
-    store = inbox.first_wins(rows.filter("seq % 3 = 0"))
-    return inbox.new_records(rows.filter("seq % 3 <> 0"), store).select("seq", "id", "source_type", "title")
+    """The rows an append writes, content and all: membership is asked of a written store's ids."""
+    root = fresh_path(spark, "inbox")
+    rows = _landed(spark, sf, root)
+    store = InboxStore(spark, f"{root}/store")
+    store.add(rows.filter("seq % 3 = 0"))
+    batch = rows.filter("seq % 3 <> 0")
+    return inbox.new_records(batch, store.known(batch)).select("seq", "id", "source_type", "title")
 
 
 @query("inbox_unprocessed", "select seq, id, title from v_store where not processed")
@@ -65,7 +84,7 @@ def inbox_unprocessed(spark, sf):
 
 @query("inbox_by_source", "select seq, id, title from v_store where source_type = 'rss'")
 def inbox_by_source(spark, sf):
-    return inbox.by_source(_store(spark, sf), "rss").select("seq", "id", "title")
+    return inbox.by_source(_filled(spark, sf).load(), "rss").select("seq", "id", "title")
 
 
 @query("inbox_clear_old", """
@@ -73,9 +92,13 @@ select 7 as days, seq, id, fetched_at from v_store where fetched_at > '2024-01-2
 union all select 6 as days, seq, id, fetched_at from v_store where fetched_at > '2024-01-25T00:00:00'
 """)
 def inbox_clear_old(spark, sf):
-    store = _store(spark, sf).select("seq", "id", "fetched_at")
-    keep = lambda days: inbox.keep_recent(store, AS_OF, days).withColumn("days", F.lit(days))
-    return keep(7).unionByName(keep(6)).select("days", "seq", "id", "fetched_at")
+    """Retention of a written store, twice: what each version keeps."""
+    store = _filled(spark, sf)
+    kept = []
+    for days in (7, 6):
+        store.clear_old(AS_OF, days)
+        kept.append(store.load().select(F.lit(days).alias("days"), "seq", "id", "fetched_at"))
+    return kept[0].unionByName(kept[1])
 
 
 @query("inbox_mark_processed", """
@@ -90,7 +113,9 @@ def inbox_mark_processed(spark, sf):
             F.concat(F.lit("2024-02-"), F.lpad((1 + F.col("seq") % 28).cast("string"), 2, "0"))
         ).alias("digest_date"),
     )
-    return inbox.mark_processed(_store(spark, sf), updates).select("seq", "id", "processed", "digest_date")
+    store = _filled(spark, sf)
+    store.mark_processed(updates)
+    return store.load().select("seq", "id", "processed", "digest_date")
 
 
 @query("inbox_last_500", "select seq, id, title from v_records order by seq desc limit 500")
@@ -98,6 +123,23 @@ def inbox_last_500(spark, sf):
     return inbox.last_added(_rows(spark, sf), 500).select("seq", "id", "title")
 
 
+@query("inbox_recent", """
+select cast(append as integer) as append, cast(pos as integer) as pos, id, title from (
+  select case seq % 3 when 0 then 1 else 3 end as append, id, title,
+    least(500, count(*) over (partition by seq % 3)) - row_number() over (partition by seq % 3 order by seq desc) as pos
+  from v_records where seq % 3 <> 1) where pos >= 0 order by append desc, pos desc limit 500
+""")
+def inbox_recent(spark, sf):
+    """Three appends to a JSON inbox that keeps 500; the second file broke off and counts as empty."""
+    recent = RecentRecords(spark, fresh_path(spark, "recent"))
+    rows = _rows(spark, sf)
+    recent.append(rows.filter("seq % 3 = 0"))
+    broken = rows.filter("seq % 3 = 1").agg(F.concat(F.lit("["), F.min("title")).alias("value"))
+    broken.coalesce(1).write.text(recent.next_folder())
+    recent.append(rows.filter("seq % 3 = 2"))
+    return recent.load(AS_OF).select("append", "pos", "id", "title")
+
+
 @query("inbox_list", f"""
 select 0 as position, case when count(*) = 0 then '📦 Inbox is empty' else '📦 Inbox: ' || cast(count(*) as varchar) || ' items' end as line from v_store
 union all select position, '  ' || lpad(cast(position as varchar), 2, ' ') || '. ' || {EMOJI} || ' [' || rpad(source_type, 8, ' ') || '] ' || substr(title, 1, 50) as line
@@ -127,7 +169,7 @@ union all select 'markdown' as sink, cast(sum(len(string_split(b, chr(10)))) as
 def dual_sink(spark, sf):
     """Both sinks of one batch, written and read back: new records to the store, every record to the log."""
     root = fresh_path(spark, "dual")
-    rows = _rows(spark, sf)
+    rows = _landed(spark, sf, root)
     store = InboxStore(spark, f"{root}/store")
     store.add(rows)
     write_markdown(rows, f"{root}/log")
