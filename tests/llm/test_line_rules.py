@@ -29,7 +29,7 @@ def test_frequent_lines(spark):
     rows = [(i, f"Share this  PAGE\n{own(i, 6)}", "a") for i in range(20)] + [(i, "share this page", "b") for i in range(100, 104)]
     rows += [(50, "\n".join(["share this page"] * 30) + "\n" + own(50, 1), "a"), (51, None, "a"), (51, None, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in quality(df, min_docs=10, max_share=0.1).collect()}
+    got = {r.doc_id: r for r in quality(df).collect()}
     assert got[3].lines_cut == 1 and got[3].words_cut == 3 and got[3].kept and not got[3].base_failed
     assert got[100].lines_cut == 0
     assert got[50].lines_cut == 30 and not got[50].kept
@@ -37,10 +37,30 @@ def test_frequent_lines(spark):
     assert text == own(3, 6)
 
 
-def test_repeated_rows_count_their_lines_once(spark):
-    rows = [(1, "a b\n" + " ".join(f"w{i}" for i in range(60)), None)] * 5 + [(i, "a b", None) for i in range(2, 9)]
-    got = quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=3).where("doc_id = 1").collect()
-    assert len(got) == 5 and {(r.lines_cut, r.words_cut) for r in got} == {(2, 62)}
+@pytest.mark.parametrize("n, cut", [(10, 0), (11, 1), (50, 1), (51, 1), (400, 1)])
+def test_the_limit_is_the_same_on_every_host(spark, n, cut):
+    """More than ten documents, whether the host has eleven or hundreds."""
+    rows = [(i, "read more here\n" + " ".join(f"d{i}x{j}" for j in range(60)), "h") for i in range(n)]
+    got = quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.lines_cut, r.kept) for r in got} == {(cut, True)}
+
+
+def test_documents_are_counted_not_rows(spark):
+    """Rows that repeat an id are one document, each cut by its own lines; rows without an id count as none."""
+    own = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b\n" + own, None)] * 30 + [(None, "a b\n" + own, None)] * 30 + [(i, "a b", None) for i in range(2, 4)]
+    schema = "doc_id long, text string, source string"
+    few = quality(spark.createDataFrame(rows, schema)).collect()
+    assert len(few) == 62 and {r.lines_cut for r in few} == {0}
+    some = quality(spark.createDataFrame(rows + [(4, "A  b", None)], schema), max_docs=3).collect()
+    assert {(r.doc_id, r.lines_cut, r.words_cut, r.kept) for r in some if r.n_words > 50} == {(1, 1, 2, True), (None, 1, 2, True)}
+
+
+def test_lines_of_odd_texts(spark):
+    df = spark.createDataFrame([(None,), ("",), ("\n\n",), ("One line",), ("one LINE\nother",)], "text string")
+    line = __import__("pyspark").sql.functions
+    cut = line.array(line.xxhash64(line.lit("one line")))
+    assert [r[0] for r in df.select(without_lines(df.text, cut)).collect()] == [None, "", "\n\n", "", "other"]
 
 
 def test_empty(no_docs):

@@ -1,7 +1,7 @@
 """Quality rules: base measures of a text, and the frequency of its lines across documents.
 
 Native: DataFrame functions only. Lines are normalised and hashed; for every host the number of
-documents that hold a line is counted; lines above the host's limit are removed, and documents
+documents that hold a line is counted; lines above the limit are removed, and documents
 with too little left are rejected.
 """
 
@@ -61,22 +61,21 @@ def _keys(host: str, text: str, doc_id: str) -> dict[str, Column]:
 
 
 def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-                  min_docs: int = 50, max_share: float = 0.01) -> DataFrame:
+                  max_docs: int = 10) -> DataFrame:
     """Per distinct row (__id, __key): words in lines above the limit, and those lines' hashes.
 
-    The limit of a host is the larger of ``min_docs`` and ``max_share`` of its documents; a line
-    held by more documents than that is removed from all of them. A NULL host is the host ''.
-    Every row counts as a document. Rows without such lines have no row here.
+    A line that more than ``max_docs`` documents of a host hold, on hosts of any size, is removed from
+    all of them. A NULL host is the host ''. Rows that share an id are one document; rows without an id
+    are counted as none, and lose what the others lose. Rows without such lines have no row here.
     """
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normal_line), lambda x: x != "")
     sized = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.size(F.split(x, " "))).alias("n")))
-    base = docs.select(*[v.alias(k) for k, v in _keys(host, text, doc_id).items()], sized.alias("lines"))
+    base = docs.select(*[v.alias(k) for k, v in _keys(host, text, doc_id).items()], F.col(doc_id).alias("__doc"), sized.alias("lines"))
     per_doc = base.select("__id", "__key", "__host", F.explode("lines").alias("line")).select(
         "__id", "__key", "__host", "line.h", "line.n")
-    counts = (base.select("__host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-              .groupBy("__host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs))
-    hosts = docs.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host")).agg(F.count("*").alias("host_docs"))
-    frequent = counts.join(hosts, "__host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("__host", "h")
+    # Distinct documents in two steps: a line that very many share is counted in as many places as it has documents.
+    frequent = (base.select("__host", "__doc", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+                .groupBy("__host", "h").agg(F.count_distinct("__doc").alias("n_docs")).where(F.col("n_docs") > max_docs).select("__host", "h"))
     hit = per_doc.join(frequent, ["__host", "h"])
     # Equal rows share a key, so each line of theirs comes once per copy: first per line, then per document.
     copies = docs.select(*[v.alias(k) for k, v in _keys(host, text, doc_id).items()]).groupBy("__id", "__key").agg(F.count("*").alias("copies"))
@@ -85,8 +84,8 @@ def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
         "__id", "__key", F.expr("n div copies").alias("words_cut"), F.expr("k div copies").alias("lines_cut"), "cut")
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 50,
-            max_share: float = 0.01, min_words: int = 50, max_repeat_pct: int = 50, min_left_pct: int = 30) -> DataFrame:
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 10,
+            min_words: int = 50, max_repeat_pct: int = 50, min_left_pct: int = 30) -> DataFrame:
     """One row per row of ``docs``: base measures, base_failed, lines_cut, words_cut, cut_hashes, kept.
 
     A document is rejected when it fails the base rules (fewer than ``min_words`` words, or more
@@ -97,7 +96,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     keys = _keys(host, text, doc_id)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), *[v.alias(k) for k, v in keys.items()])
     base = with_base(base, "__text").drop("__text", "__host")
-    cut = line_verdicts(docs, doc_id, text, host, min_docs, max_share)
+    cut = line_verdicts(docs, doc_id, text, host, max_docs)
     out = base.join(cut, ["__id", "__key"], "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("words_cut", F.lit(0))
@@ -110,5 +109,5 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
 
 
 def without_lines(text: Column, cut_hashes: Column) -> Column:
-    """``text`` without the lines whose hash is in ``cut_hashes`` (see ``quality``)."""
+    """``text`` without the lines whose hash is in ``cut_hashes`` (see ``quality``); NULL where either is."""
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(cut_hashes, F.xxhash64(normal_line(x)))), "\n")

@@ -115,9 +115,7 @@ r as (select doc_id, count(distinct j) as n_repeat
       from (select doc_id, unnest([i, i + 1, i + 2]) as j from f where n > 1) group by 1),
 ln as (select doc_id, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as x
        from (select doc_id, host, unnest(l) as x from w)),
-hd as (select host, count(*) as host_docs from d group by 1),
-fr as (select host, x from (select host, x, count(distinct doc_id) as n from ln group by 1, 2) join hd using (host)
-       where n > greatest(50, 0.01 * host_docs)),
+fr as (select host, x from ln group by 1, 2 having count(distinct doc_id) > 10),
 cut as (select doc_id, count(*) as lines_cut, sum(len(string_split(x, ' '))) as words_cut
         from ln join fr using (host, x) group by 1),
 m as (select doc_id, len(w) as n_words, len(array_to_string(w, '')) as word_chars,
