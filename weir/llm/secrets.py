@@ -133,11 +133,15 @@ def strict_labels(found: DataFrame) -> DataFrame:
     return found.withColumn("is_secret", F.when(secret & ~plain, 1.0).when(plain & ~secret, 0.0)).where("is_secret is not null")
 
 
-def fit(labelled: DataFrame, trees: int = 20, depth: int = 6, max_rows: int = 4000):
-    """Random forest on ``labelled`` (FEATURES, is_secret): of each label at most ``max_rows`` rows, by a
-    pseudo-random number of their value. None where either label is missing."""
+def sampled(labelled: DataFrame, max_rows: int = 4000) -> DataFrame:
+    """Of each label at most ``max_rows`` rows, by a pseudo-random number of their value."""
     parts = [labelled.where(F.col("is_secret") == x).orderBy(fraction("value"), "doc_id", "position", "piece").limit(max_rows) for x in (0.0, 1.0)]
-    rows = written(parts[0].select(*FEATURES, "is_secret").union(parts[1].select(*FEATURES, "is_secret")).coalesce(1), "findings")
+    return parts[0].unionByName(parts[1])
+
+
+def fit(labelled: DataFrame, trees: int = 20, depth: int = 6):
+    """Random forest on ``labelled`` (FEATURES, is_secret). None where either label is missing."""
+    rows = written(labelled.select(*FEATURES, "is_secret").coalesce(1), "findings")
     if rows.select("is_secret").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(labelCol="is_secret", featuresCol="features", numTrees=trees, maxDepth=depth, seed=7)
@@ -156,8 +160,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     found = written(candidates(docs, doc_id, text, path), "candidates")
     table, dictionary = language_tables(docs, text)
     rows = with_features(found, table, dictionary)
-    known = with_features(labelled, table, dictionary) if labelled is not None else strict_labels(rows)
-    model = fit(known)
+    # Labels need no features: these are computed for the rows that the forest learns from, and once for all to be scored.
+    known = written(sampled(labelled if labelled is not None else strict_labels(found)), "labelled")
+    model = fit(with_features(known, table, dictionary))
     if model is None:
         v = strict_labels(found).where("is_secret = 1").select("value").distinct().withColumn("score", F.lit(1.0))
         scored = found.join(v, "value", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
