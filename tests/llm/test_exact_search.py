@@ -44,3 +44,10 @@ def test_large_numbers_are_exact():
     a = np.array([[2.0 ** 40, 3.0]])
     assert scores(a, np.array([[2.0 ** 15, 1.0]]))[0, 0] == 2 ** 55 + 3
     assert scores(a, np.array([[2.0 ** 60, 1.0]]))[0, 0] == 1 << 61
+
+
+def test_huge_components(spark):
+    """Finite components whose products are beyond all doubles: scores are held at 2**61, ties go to the smaller id."""
+    rows = [(0, [1e307, 0.0]), (1, [1e308, 1.0]), (2, [-1e307, 0.0]), (3, [0.5, 0.5]), (4, [float("inf"), 0.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0", k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 1 << 61), (3, 1 << 61), (2, -(1 << 61))]

@@ -49,7 +49,9 @@ def blocks(rows: DataFrame, count: int, scale: int) -> DataFrame:
         width = max(1, max(map(len, vectors)))
         flat = np.zeros((len(vectors), width))
         for i, v in enumerate(vectors):
-            flat[i, :len(v)] = np.floor(scale * v)
+            # A product beyond the largest double is held there; its scores are beyond LIMIT in any case.
+            with np.errstate(over="ignore"):
+                flat[i, :len(v)] = np.floor(np.nan_to_num(scale * v))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([table.column("id").to_pylist()], pa.list_(pa.int64())),
                          "flat": pa.array([flat.tobytes()], pa.binary()), "width": pa.array([width], pa.int32())})
 
@@ -129,15 +131,15 @@ def top_k(vectors: DataFrame, is_query: str, vec_id: str = "vec_id", vector: str
     """The ``k`` best rows for each query row: query_id, rank (from 1), vec_id, score.
 
     Components are taken as floor(scale * x); the score is their inner product. ``is_query`` is an
-    SQL condition on the id. Vectors that are NULL or hold a NULL or non-finite component, and
+    SQL condition on the columns of ``vectors``. Scores beyond +-2**61 are held there. Vectors that are NULL or hold a NULL or non-finite component, and
     rows without an id, take no part; empty vectors score 0; a shorter vector counts as padded
     with zeros. Of rows that repeat an id the smallest vector counts. A query with fewer than k
     other rows gets them all. Extra columns are not read.
     """
-    plain = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    plain = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.expr(is_query).alias("q")).where("id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    rows = written(plain.where(~bad).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    chosen = rows.where(F.expr(is_query.replace(vec_id, "id")))
+    rows = written(plain.where(~bad).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
+    chosen = rows.where("q")
     square = F.aggregate("v", F.lit(0.0), lambda t, x: t + F.pow(F.abs(F.lit(scale) * x) + 1, F.lit(2)))
     n, reach = rows.agg(F.count("*"), F.max(square)).first()
     n_candidate, n_query = parts(n, candidate_rows), parts(chosen.count(), query_rows)
