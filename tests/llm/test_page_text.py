@@ -20,7 +20,7 @@ DE = "Das Haus auf dem Berg ist von den Leuten der Stadt und es ist so alt wie d
     ("<article><p>a<br>b<b>c</b>d <!-- <p>no</p> --> e\n\t f</article>", "a bcd e f"),
     ("<article><p>x</p></article><article class='comment'><p>c</p></article>", "x"),
     ("<article><p>Para <span class='ad'>buy</span> rest</p><figure><figcaption>cap</figcaption></figure><div class=share-buttons>s</div></article>", "Para rest cap"),
-    ("", ""), (None, ""), ("no markup", ""), ("<nav><ul><li><a href=1>x</a></ul></nav>", ""), ("<<<>>> </div></div><p", ""),
+    ("", ""), (None, ""), ("no markup", "no markup"), ("<nav><ul><li><a href=1>x</a></ul></nav>", ""), ("<<<>>> </div></div><p", "<<<>>> <p"),
 ])
 def test_pages(page, text):
     assert page_text(page) == text
@@ -60,3 +60,23 @@ LINKS = "".join(f"<a href=/{i}>Another story of the town and of the river {i}</a
 ])
 def test_rules_hold_inside_and_outside_of_articles(page, text):
     assert page_text(page) == text
+
+
+GOOD = ("This is the first paragraph of the text and it was written for all of those who like to read on, as they are at home with words that "
+        "come from the middle of the language and not from its ends, and it is as long as it has to be. ")
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><p>Hello world.</p></body>", "Hello world."),
+    ("<body><div>One thing.</div><div>Another thing.</div></body>", "One thing. Another thing."),
+    ("<html><head><title>T</title><meta charset=utf-8><p>Hello to all.</p>", "Hello to all."),
+    (f"<head><title>T</title><style>p {{}}</style><div><p>{GOOD}</p></div>", GOOD.strip()),
+    (f"<body><div class='login wide'><p>{GOOD}</p><p>{GOOD}</p></div><div>Log in</div></body>", f"{GOOD}{GOOD}".strip()),
+    (f"<body><div class='side-by-side'><p>{GOOD}</p></div><div class='sidebar'>{GOOD}</div></body>", GOOD.strip()),
+    (f"<body><div id='comments'><p>{GOOD}</p><p>{GOOD}</p></div><div class='promo'>{GOOD}</div></body>", GOOD.strip()),
+    (f"<body><div><p>{GOOD}</p><p>So it ends.</p></div></body>", f"{GOOD}So it ends."),
+    ("<body><nav>Home</nav><footer>All rights</footer></body>", ""),
+])
+def test_no_text_is_lost(page, text):
+    """Short pages, heads without an end, articles in elements of doubtful names, last short paragraphs."""
+    assert page_text(page) == text

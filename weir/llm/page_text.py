@@ -38,6 +38,12 @@ NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|rail|menu|nav|navbar|"
     r"navigation|breadcrumbs?|footer|foot|masthead|comments?|commentlist|disqus|replies|respond|related|recommended|recommendations|share|sharing|social|subscribe|"
     r"subscription|newsletter|promo|promotion|sponsor|sponsored|widget|pagination|pager|toolbar|login|signup|search|tags|copyright|disclaimer|skip)(?:$|[-_\s\d])")
+#: Names that also stand on elements around a whole article.
+SOFT_NAMES = re.compile(
+    r"(?:^|[-_\s])(?:banner|notices?|alert|popup|modal|overlay|side|rail|top|topbar|head|header|masthead|share|sharing|social|subscribe|subscription|promo|promotion|widget|"
+    r"login|signup|search|tags|skip|related|recommended)(?:$|[-_\s\d])")
+#: Elements that a head may hold; any other one begins the body.
+HEAD = frozenset("title meta link script style base noscript template head html".split())
 HEAD_NAMES = re.compile(r"(?:^|[-_\s])(?:header|head|topbar|top)(?:$|[-_\s\d])")
 #: Of an article element: one that is no part of the main article.
 CARD_NAMES = re.compile(r"(?:^|[-_\s])(?:comments?|reply|replies|ads?|advert|promo|sponsored|related|teaser)(?:$|[-_\s\d])")
@@ -45,43 +51,51 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[/a-zA-Z][^>]*>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+SENTENCE = re.compile(r"[.!?…][\"'”’»)]*$")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+SOFT, HARD = 1, 2
+
+
 @dataclass
 class Block:
     text: str
     linked: int      # characters inside links
     heading: bool
-    outside: bool    # in a part of the page that never holds the main text
+    outside: int     # HARD in a part of the page that never holds the main text, SOFT in one that rarely does
     inside: bool     # in an article or main element
 
 
-def _side(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element opens a part without main text."""
+def _side(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element opens a part without main text: HARD, SOFT (by a name that articles bear, too) or 0."""
     if tag in OUTSIDE or tag == "header" and not inside:
-        return True
+        return HARD
     if "=" not in attributes or tag in ("html", "body", "main"):
-        return False
+        return 0
     if tag == "article":
-        return any(name.lower() in ("class", "id") and CARD_NAMES.search((a or b or c).lower()) for name, a, b, c in ATTRIBUTE.findall(attributes))
+        return HARD * any(name.lower() in ("class", "id") and bool(CARD_NAMES.search((a or b or c).lower())) for name, a, b, c in ATTRIBUTE.findall(attributes))
+    soft = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         name = name.lower()
-        if name == "role" and value in ROLES or name in ("class", "id") and (NAMES.search(value) or not inside and HEAD_NAMES.search(value)):
-            return True
-        if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return "hidden" in re.sub(ATTRIBUTE, "", attributes).lower().split()
+        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return HARD
+        if name in ("class", "id"):
+            if NAMES.search(SOFT_NAMES.sub(" ", value)):
+                return HARD
+            if NAMES.search(value) or not inside and HEAD_NAMES.search(value):
+                soft = SOFT
+    return HARD if "hidden" in re.sub(ATTRIBUTE, "", attributes).lower().split() else soft
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with white space collapsed and references decoded."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, outside, inside)
+    stack: list[tuple[str, int, bool]] = []  # (tag, outside, inside)
     at, link, heading, silent = 0, 0, False, ""
-    outside = inside = False
+    outside, inside = 0, False
     end = len(page)
     lower = ""
 
@@ -106,10 +120,12 @@ def blocks(page: str) -> list[Block]:
             continue
         close, tag = m.group(1) == "/", m.group(2).lower()
         if silent:
-            if close and tag == silent or silent == "head" and tag == "body":
+            if close and tag == silent:
                 silent = ""
-            if silent or tag != "body":
                 continue
+            if silent != "head" or close or tag in HEAD:
+                continue
+            silent = ""  # the head has no end tag: its first other element is the body's
         if tag in SILENT and not close:
             if m.group(3).endswith("/"):
                 continue
@@ -127,7 +143,7 @@ def blocks(page: str) -> list[Block]:
             if not close and tag not in VOID and "=" in m.group(3) and tag == "span" and _side(tag, m.group(3), inside):
                 flush()
                 stack.append((tag, outside, inside))
-                outside = True
+                outside = max(outside, _side(tag, m.group(3), inside))
             elif close and tag == "span" and stack and stack[-1][0] == "span":
                 flush()
                 _, outside, inside = stack.pop()
@@ -141,7 +157,7 @@ def blocks(page: str) -> list[Block]:
         if tag in CONTAINERS:
             if not close:
                 stack.append((tag, outside, inside))
-                outside = outside or _side(tag, m.group(3), inside)
+                outside = max(outside, _side(tag, m.group(3), inside))
                 inside = inside or tag in ("article", "main")
             else:
                 for i in range(len(stack) - 1, -1, -1):
@@ -154,7 +170,7 @@ def blocks(page: str) -> list[Block]:
                 _, outside, inside = stack.pop()
             if not close and m.group(3) and _side(tag, m.group(3), inside):
                 stack.append((tag, outside, inside))
-                outside = True
+                outside = max(outside, _side(tag, m.group(3), inside))
     flush()
     return out
 
@@ -188,7 +204,8 @@ def framed(found: list[Block], labels: list[str]) -> bool:
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
-    """Open blocks inherit from the nearest decided ones; beyond the ends of a page all is bad.
+    """Open blocks inherit from the nearest decided ones; before the first one all is bad, behind the last one
+    what ends like a sentence is like it.
 
     On framed pages only blocks inside the frame are left, and beyond the frame's ends all is good.
     """
@@ -206,9 +223,10 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     for i in range(n):
         before[i] = last
         last = labels[i] if decided[i] else last
-    last = edge
+    tail, last = last, None
     for i in range(n - 1, -1, -1):
-        after[i] = last
+        # Outside of a frame an article is a card, no end of the text.
+        after[i] = last or (tail if not frame and not found[i].inside and SENTENCE.search(found[i].text) else edge)
         last = labels[i] if decided[i] else last
     keep = []
     for i, label in enumerate(labels):
@@ -224,14 +242,25 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     return keep
 
 
+def _unmasked(found: list[Block]) -> list[Block]:
+    """``found``, where parts with a doubtful name hold three quarters of the text that passes the rules: as if they had none."""
+    if not any(b.outside == SOFT for b in found):
+        return found
+    plain = [Block(b.text, b.linked, b.heading, HARD if b.outside == HARD else 0, b.inside) for b in found]
+    held = [(len(b.text), a.outside == SOFT) for a, b, label in zip(found, plain, first_pass(plain)) if label in ("good", "near")]
+    return plain if 4 * sum(n for n, soft in held if soft) > 3 * sum(n for n, _ in held) else found
+
+
 def page_text(page: str | None) -> str:
-    """Main text of one page: kept blocks, one space between; '' where there is none."""
+    """Main text of one page: kept blocks, one space between; '' where no block is left outside of menus, footers and the like."""
     if not page:
         return ""
-    found = blocks(page)
+    found = _unmasked(blocks(page))
     keep = second_pass(found, first_pass(found))
     if not any(keep):  # no known stop words and no article: long blocks with few links
         keep = [not b.outside and len(b.text) >= 70 and b.linked <= 0.33 * len(b.text) for b in found]
+    if not any(keep):  # short ones only
+        keep = [not b.outside and 2 * b.linked <= len(b.text) for b in found]
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 
