@@ -153,6 +153,11 @@ def test_post_tiers(spark):
     got = {r["item"]: (r["ok"], r["tier"], r["title"], r["text"], r["author"]) for r in fallback.choose_post(df).collect()}
     assert got == {1: (True, 1, "t1", mid, "@me"), 2: (True, 2, "t2", "x" * 21, "@me"), 3: (True, 4, "t4", mid, "@me"),
                    4: (True, 3, "P", long, ""), 5: (False, None, None, None, None), 6: (True, 4, "t4", mid, "")}
+    asked = spark.createDataFrame([(i,) for i in range(1, 8)], "item int")
+    why = {r["item"]: r["reason"] for r in fallback.choose_post(df.unionByName(df), asked).collect()}
+    assert why == {1: None, 2: "api: empty", 3: "api: no answer; embed: thin card; proxy: empty title", 4: "api: no post address; embed: no answer",
+                   5: "api: no answer; embed: no answer; proxy: empty title; browser: too short", 6: "api: no answer; embed: no answer; proxy: no answer",
+                   7: "api: no answer; embed: no answer; proxy: no answer; browser: no answer"}
 
 
 def test_snapshot_repeated_locations(spark):
@@ -209,6 +214,25 @@ def test_video_transcripts_do_not_multiply(spark):
     assert [r["description"] for r in rows] == ["longer"]
 
 
+def test_videos_without_a_page_come_back(spark):
+    df = lambda *rows: spark.createDataFrame(list(rows), "url string, transcript string")
+    pages = spark.createDataFrame([(u, "t", "page") for u in "abc"], "url string, title string, content string")
+    asked = spark.createDataFrame([(u,) for u in "abcd"], "url string")
+    rows = fallback.choose_video_text(pages, df(("a", "sub"), ("b", ""), ("d", "x")), df(("b", "said")), items=asked).collect()
+    assert {r["url"]: (r["ok"], r["description"], r["has_transcript"], r["reason"]) for r in rows} == {
+        "a": (True, "sub", True, None), "b": (True, "said", True, "subtitles: empty"), "c": (True, "page", False, "subtitles: empty; speech: empty"),
+        "d": (False, None, False, "page: no answer")}
+
+
+def test_notes_say_why(spark):
+    schema = "item int, url string, final_url string, has_session boolean, tier int, title string, content string, author string"
+    wall = "登录后推荐更懂你的笔记"
+    rows = [(1, "u", "u", False, 1, "t", wall, "a"), (1, "u", "u", False, 2, "t", "x", "a"), (2, "u", "u", None, 1, "t", "", "a"),
+            (2, "u", "https://h/login", True, 2, "t", "x", "a"), (3, "u", "u", True, 2, "t", "x", "a")]
+    got = {r["item"]: (r["tier"], r["reason"]) for r in fallback.choose_note(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (None, "proxy: login wall; browser: no session"), 2: (None, "proxy: empty; browser: session expired"), 3: (2, "proxy: no answer")}
+
+
 def test_items_without_subtitles_stay(spark):
     files = spark.createDataFrame([(1, "s.en.srt", "a"), (2, "s.fr.srt", "b")], "v int, name string, body string")
     items = spark.createDataFrame([(1,), (2,), (3,)], "v int")

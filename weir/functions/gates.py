@@ -37,12 +37,16 @@ def embed_post_thin(text: Column) -> Column:
     )
 
 
+def not_loaded(text: Column) -> Column:
+    return F.lower(or_empty(text)).contains(NOT_LOADED)
+
+
+def empty_post_title(title: Column) -> Column:
+    return F.lower(or_empty(title)).isin(EMPTY_POST_TITLES)
+
+
 def proxy_post_ok(text: Column, title: Column) -> Column:
-    return (
-        (trimmed_length(text) > PROXY_LENGTH)
-        & ~F.lower(or_empty(text)).contains(NOT_LOADED)
-        & ~F.lower(or_empty(title)).isin(EMPTY_POST_TITLES)
-    )
+    return (trimmed_length(text) > PROXY_LENGTH) & ~not_loaded(text) & ~empty_post_title(title)
 
 
 def browser_post_ok(text: Column) -> Column:

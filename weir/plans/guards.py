@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weir.functions import gates, urls
-from weir.functions.text import or_empty, subtitle_transcript
+from weir.functions.text import subtitle_transcript
 from weir.operators import archive, fallback, guard
 from weir.plans.addresses import HOST
 from weir.plans.landed import VIEWS, spark_sql, view
@@ -94,19 +94,26 @@ def session_expired(spark, sf):
 
 @query("tweet_fallback", f"""
 with judged as (select doc_id, url, tier, title, case when tier <= 2 then t else text end as text,
-    case tier when 1 then is_post and length(t) > 0
-      when 2 then is_post and not (length(t) <= 20 or starts_with(lower(t), 'https://t.co/') or (contains(t, '&mdash;') and contains(t, 'https://t.co/')))
-      when 3 then length(t) > 100 and not contains(lower(text), 'not yet fully loaded') and lower(title) not in ('x', 'title: x', '')
-      else length(t) > 20 end as ok
+    case when tier <= 2 and not is_post then 'no post address' when tier = 1 and length(t) = 0 then 'empty'
+      when tier = 2 and (length(t) <= 20 or starts_with(lower(t), 'https://t.co/') or (contains(t, '&mdash;') and contains(t, 'https://t.co/'))) then 'thin card'
+      when tier = 3 and length(t) <= 100 then 'too short' when tier = 3 and contains(lower(text), 'not yet fully loaded') then 'not loaded'
+      when tier = 3 and lower(title) in ('x', 'title: x', '') then 'empty title' when tier = 4 and length(t) <= 20 then 'too short' end as cause
   from (select *, trim(text, {BLANK}) as t, regexp_matches(url, 'x\\.com/\\w+/status/\\d+') as is_post from v_tiers)),
-best as (select doc_id, min(tier) as tier from judged where ok group by doc_id)
+best as (select doc_id, min(tier) as tier from judged where cause is null group by doc_id),
+why as (select j.doc_id, string_agg(case j.tier when 1 then 'api' when 2 then 'embed' when 3 then 'proxy' else 'browser' end || ': ' || cause, '; ' order by j.tier) as reason
+  from judged j left join best b on b.doc_id = j.doc_id where j.tier < coalesce(b.tier, 9) group by j.doc_id)
 select d.doc_id, b.tier is not null as ok, b.tier, j.title, j.text,
-  case when b.tier is null then null when d.doc_id % 9 = 0 then case when b.tier <= 2 then 'p' else '' end else '@u' || cast(d.doc_id as varchar) end as author
-from @documents d left join best b on b.doc_id = d.doc_id left join judged j on j.doc_id = b.doc_id and j.tier = b.tier
+  case when b.tier is null then null when d.doc_id % 9 = 0 then case when b.tier <= 2 then 'p' else '' end else '@u' || cast(d.doc_id as varchar) end as author, w.reason
+from @documents d left join best b on b.doc_id = d.doc_id left join judged j on j.doc_id = b.doc_id and j.tier = b.tier left join why w on w.doc_id = d.doc_id
 """)
 def tweet_fallback(spark, sf):
     c = view(spark, sf, "v_tiers").withColumn("author", F.lit("p")).withColumnRenamed("doc_id", "item")
-    return fallback.choose_post(c).select(F.col("item").alias("doc_id"), "ok", "tier", "title", "text", "author")
+    return fallback.choose_post(c, _items(spark, sf)).select(F.col("item").alias("doc_id"), "ok", "tier", "title", "text", "author", "reason")
+
+
+def _items(spark, sf):
+    """What was asked for, answered or not."""
+    return spark_sql(spark, sf, "select doc_id as item from @documents")
 
 
 # Proxy answers are stubs for some items; the browser has no answer for others.
@@ -119,12 +126,14 @@ from (select doc_id, text, @each(1,2) as tier from @documents) d where not (tier
 
 
 @query("wechat_fallback", r"""
-select d.doc_id, c.tier is not null as ok, c.tier, c.title, regexp_replace(c.content, '(https?://mmbiz\.qpic\.cn/[^\s)]+)', 'https://wsrv.nl/?url=\1', 'g') as content
+select d.doc_id, c.tier is not null as ok, c.tier, c.title, regexp_replace(c.content, '(https?://mmbiz\.qpic\.cn/[^\s)]+)', 'https://wsrv.nl/?url=\1', 'g') as content,
+  'proxy: ' || case d.doc_id % 6 when 1 then 'captcha' when 2 then 'captcha' when 3 then 'empty' when 4 then 'no answer' end
+    || case when d.doc_id % 12 = 1 then '; browser: no answer' else '' end as reason
 from @documents d left join v_article_tiers c on c.doc_id = d.doc_id and c.tier = case when d.doc_id % 6 in (0, 5) then 1 else 2 end
 """)
 def wechat_fallback(spark, sf):
     c = view(spark, sf, "v_article_tiers").withColumn("author", F.lit("")).withColumnRenamed("doc_id", "item")
-    return fallback.choose_article(c).select(F.col("item").alias("doc_id"), "ok", "tier", "title", "content")
+    return fallback.choose_article(c, _items(spark, sf)).select(F.col("item").alias("doc_id"), "ok", "tier", "title", "content", "reason")
 
 
 VIEWS["v_note_tiers"] = """
@@ -136,26 +145,34 @@ from (select doc_id, text, 'https://www.xiaohongshu.com/explore/' || cast(doc_id
 
 
 @query("xhs_fallback", """
-select doc_id, tier is not null as ok, tier, case when tier is not null then 'T' || cast(tier as varchar) end as title, case when tier is not null then text end as content
-from (select doc_id, text, case when doc_id % 6 not in (1, 2, 3) then case when text <> '' then 1 end when doc_id % 5 <> 0 and doc_id % 4 <> 1 then 2 end as tier from @documents)
+select doc_id, tier is not null as ok, tier, case when tier is not null then 'T' || cast(tier as varchar) end as title, case when tier is not null then text end as content,
+  'proxy: ' || first || coalesce('; browser: ' || second, '') as reason
+from (select *, case when first is null then 1 when second is null then 2 end as tier
+  from (select doc_id, text, case when doc_id % 6 = 2 then 'login wall' when text = '' or doc_id % 6 = 3 then 'empty' when doc_id % 6 = 1 then 'login wall' end as first,
+    case when doc_id % 5 = 0 then 'no session' when doc_id % 4 = 1 then 'session expired' end as second from @documents))
 """)
 def xhs_fallback(spark, sf):
     c = view(spark, sf, "v_note_tiers").withColumn("author", F.lit("")).withColumnRenamed("doc_id", "item")
-    return fallback.choose_note(c).select(F.col("item").alias("doc_id"), "ok", "tier", "title", "content")
+    return fallback.choose_note(c, _items(spark, sf)).select(F.col("item").alias("doc_id"), "ok", "tier", "title", "content", "reason")
 
 
 @query("youtube_fallback", """
-select d.doc_id, 'https://youtu.be/' || lpad(cast(d.doc_id as varchar), 11, 'b') as url, lpad(cast(d.doc_id as varchar), 11, 'b') as video_id,
-  'Title ' || cast(d.doc_id as varchar) as title, coalesce(case when d.doc_id % 3 = 0 then nullif(t.transcript, '') end, case when d.doc_id % 3 = 1 then 'speech ' || d.text end, d.text) as description,
-  (d.doc_id % 3 = 0 and t.transcript <> '') or d.doc_id % 3 = 1 as has_transcript
-from @documents d join v_transcript t on t.doc_id = d.doc_id where d.doc_id % 10 <> 9
+select doc_id, 'https://youtu.be/' || lpad(cast(doc_id as varchar), 11, 'b') as url, lpad(cast(doc_id as varchar), 11, 'b') as video_id, ok,
+  case when ok then 'Title ' || cast(doc_id as varchar) end as title, case when ok then coalesce(sub, speech, text) end as description,
+  ok and coalesce(sub, speech) is not null as has_transcript,
+  case when not ok then 'page: no answer' when sub is null then 'subtitles: empty' || case when speech is null then '; speech: empty' else '' end end as reason
+from (select d.doc_id, d.text, d.doc_id % 10 <> 9 as ok, case when d.doc_id % 3 = 0 then nullif(t.transcript, '') end as sub,
+    case when d.doc_id % 3 = 1 then 'speech ' || d.text end as speech from @documents d join v_transcript t on t.doc_id = d.doc_id)
 """)
 def youtube_fallback(spark, sf):
+    """Every tenth video has no page: it comes back with its reason."""
     url = "'https://youtu.be/' || lpad(cast(doc_id as string), 11, 'b') as url"
-    pages = spark_sql(spark, sf, f"select doc_id, {url}, 'Title ' || doc_id as title, text as content from @documents where doc_id % 10 <> 9")
+    asked = spark_sql(spark, sf, f"select {url} from @documents")
+    pages = spark_sql(spark, sf, f"select {url}, 'Title ' || doc_id as title, text as content from @documents where doc_id % 10 <> 9")
     subtitles = view(spark, sf, "v_srt").filter("doc_id % 3 = 0").select(
         F.expr(url), subtitle_transcript(F.col("body")).alias("transcript"))
     speech = spark_sql(spark, sf, f"select {url}, 'speech ' || text as transcript from @documents where doc_id % 3 = 1")
-    return fallback.choose_video_text(pages, subtitles, speech).select(
-        "doc_id", "url", "video_id", "title", or_empty(F.col("description")).alias("description"), "has_transcript"
+    number = F.ltrim(F.col("video_id"), F.lit("b")).cast("bigint")
+    return fallback.choose_video_text(pages, subtitles, speech, items=asked).select(
+        number.alias("doc_id"), "url", "video_id", "ok", "title", "description", "has_transcript", "reason"
     )
