@@ -54,10 +54,8 @@ def carry_and_number(
     cut = _in_blocks(
         df.withColumn("_value", value).withColumn("_counted", counted), group, order, block_bits
     )
-    # Counts alone aggregate by hash; the few rows that set a value are summarised apart.
-    sizes = cut.groupBy(*KEY).agg(F.count_if("_counted").alias("_n"))
-    last = cut.filter(F.col("_value").isNotNull()).groupBy(*KEY).agg(F.max_by("_value", order).alias("_last"))
-    blocks = sizes.join(last, KEY, "left")
+    # One summary per block, count and last value, from one pass over the rows; it is associative, so parts of a block are summed up first.
+    blocks = cut.groupBy(*KEY).agg(F.count_if("_counted").alias("_n"), F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
     entering = blocks.select(
         *KEY, F.coalesce(F.sum("_n").over(_earlier_blocks()), F.lit(0)).alias("_offset"),
         F.last("_last", ignorenulls=True).over(_earlier_blocks()).alias("_entering"),
