@@ -1,4 +1,4 @@
-from weir.sources.feeds import feed_entries, feed_errors
+from weir.sources.feeds import feed_entries, feed_errors, read_feeds
 
 RSS = """<?xml version="1.0"?><!-- c --><rss version="2.0" xmlns:content="http://c" xmlns:dc="http://d"><channel><title>My &amp; <![CDATA[<Feed>]]></title>
 <item><title>One &lt;b&gt;</title><link>https://e.org/1</link><description><![CDATA[<p>sum</p>]]></description><pubDate>Mon</pubDate></item>
@@ -39,3 +39,19 @@ def test_references_sections_and_late_titles(spark):
            "<description><![CDATA[<item>x &nbsp;</item>]]></description></item><title>Late</title></channel></rss>")
     rows = feed_entries(spark.createDataFrame([("u", xml)], "feed_url string, xml string")).collect()
     assert [(r["source"], r["title"], r["summary"], r["url"]) for r in rows] == [("Late", "a b \u00e9 R&D & c", "<item>x &nbsp;</item>", "l")]
+
+
+def test_broken_entries_keep_their_place(spark):
+    """An entry that is no XML is an error row; the ones around it are read; a title after the entries counts."""
+    xml = ("<rss><channel><item><title>a</title></item><item><title><b>x</title></item><item/><item><title>c &amp;amp; &nope;</title><link>l</link></item>"
+           "<title>Feed</title></channel></rss>")
+    rows = read_feeds(spark.createDataFrame([("u", xml), ("v", "no feed at all")], "feed_url string, xml string")).orderBy("feed_url", "pos").collect()
+    assert [(r["pos"], r["source"], r["title"], r["error"]) for r in rows] == [
+        (0, "Feed", "a", None), (1, "Feed", None, "undecodable entry"), (2, "Feed", "c &amp; &nope;", None), (None, "v", None, "no entries in feed")]
+    assert {(r["feed_url"], r["pos"], r["error"]) for r in feed_errors(spark.createDataFrame([("u", xml)], "feed_url string, xml string")).collect()} == {
+        ("u", 1, "undecodable entry")}
+
+
+def test_feeds_are_read_once(spark):
+    plan = read_feeds(feeds(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and "Exchange" not in plan and "Union" not in plan

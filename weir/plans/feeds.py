@@ -8,7 +8,7 @@ from weir.operators import channels, inbox
 from weir.operators.numbering import add_ordinal
 from weir.plans.landed import AS_OF, VIEWS, spark_sql, view
 from weir.plans.registry import query
-from weir.sources.feeds import feed_entries, feed_errors
+from weir.sources.feeds import read_feeds
 from weir.sources.payloads import join_results
 
 ITEMS_PER_FEED = 50
@@ -23,13 +23,15 @@ from @documents
 VIEWS["v_feed_items"] = f"""
 select 'https://' || source || '.example.org/feed/' || cast(page as string) as feed_url, n % {ITEMS_PER_FEED} as pos,
   case when page % 4 = 3 then 'https://' || source || '.example.org/feed/' || cast(page as string) else 'Feed ' || source end as source,
-  title, summary, coalesce(link, '') as url, case when doc_id % 2 = 0 then '' else '2024-01-' || cast(doc_id as string) end as published
+  case when doc_id % 37 <> 5 then title end as title, case when doc_id % 37 <> 5 then summary end as summary, case when doc_id % 37 <> 5 then coalesce(link, '') end as url,
+  case when doc_id % 37 = 5 then null when doc_id % 2 = 0 then '' else '2024-01-' || cast(doc_id as string) end as published,
+  case when doc_id % 37 = 5 then 'undecodable entry' end as error
 from (select *, cast(floor(n / {ITEMS_PER_FEED}) as bigint) as page from v_rss_items)
 """
 
 
 def landed_feeds(spark, sf):
-    """Feed documents of 50 items each, RSS and Atom by turns, some without a title; plus feeds with no items."""
+    """Feed documents of 50 items each, RSS and Atom by turns, some without a title; every 37th item is broken; plus feeds with no items."""
     items = spark_sql(spark, sf, """
         select source, doc_id, trim(replace(split_part(text, chr(10), 1), chr(10), ' ')) as title,
           if(doc_id % 10 = 0, null, 'https://' || source || '.example.org/' || doc_id) as link,
@@ -52,7 +54,9 @@ def landed_feeds(spark, sf):
         tag("published", F.col("published")), F.lit("</entry>"),
     )
     # At most 50 items meet in one group.
-    docs = numbered.select("source", "n", page.alias("page"), F.when(page % 2 == 0, rss).otherwise(atom).alias("x")).groupBy(
+    whole = F.when(page % 2 == 0, rss).otherwise(atom)
+    broken = F.when(F.col("doc_id") % 37 == 5, F.regexp_replace(whole, "<title>", "<title><b>")).otherwise(whole)
+    docs = numbered.select("source", "n", page.alias("page"), broken.alias("x")).groupBy(
         "source", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]), "\n").alias("body"))
     title = F.when(F.col("page") % 4 == 3, "").otherwise(F.concat(F.lit("<title>Feed "), F.col("source"), F.lit("</title>")))
     xml = F.when(
@@ -64,20 +68,21 @@ def landed_feeds(spark, sf):
     return feeds.unionByName(empty)
 
 
-@query("rss_entries", "select feed_url, pos, source, title, summary, url, published from v_feed_items where pos < 20")
+@query("rss_entries", """
+select feed_url, pos, source, title, summary, url, published, error from v_feed_items where pos < 20
+union all select 'https://empty.example.org/' || cast(doc_id as varchar), null, 'none', null, null, null, null, 'no entries in feed' from @documents where doc_id % 200 = 0
+""")
 def rss_entries(spark, sf):
-    return feed_entries(landed_feeds(spark, sf)).withColumn("pos", F.col("pos").cast("bigint"))
+    """Entries, broken entries and feeds without any, from one pass."""
+    return read_feeds(landed_feeds(spark, sf)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("rss_latest", """
-select feed_url, title, url, cast(null as varchar) as error from v_feed_items where pos = 0
+select feed_url, title, url, error from v_feed_items where pos = 0
 union all select 'https://empty.example.org/' || cast(doc_id as varchar), null, null, 'no entries in feed' from @documents where doc_id % 200 = 0
 """)
 def rss_latest(spark, sf):
-    feeds = landed_feeds(spark, sf)
-    first = feed_entries(feeds, limit=1).select("feed_url", "title", "url", F.lit(None).cast("string").alias("error"))
-    none = F.lit(None).cast("string")
-    return first.unionByName(feed_errors(feeds).select("feed_url", none.alias("title"), none.alias("url"), "error"))
+    return read_feeds(landed_feeds(spark, sf), limit=1).select("feed_url", "title", "url", "error")
 
 
 def recent_sql(hours):

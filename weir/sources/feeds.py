@@ -12,9 +12,11 @@ ENTRY = r"(?s)<(?:\w+:)?(?:item|entry)(?:\s[^>]*)?>.*?</(?:\w+:)?(?:item|entry)\
 TITLE = r"(?s)<(?:\w+:)?title(?:\s[^>]*)?>.*?</(?:\w+:)?title\s*>"
 ENTRY_SCHEMA = (
     "title string, link array<struct<_VALUE:string,_href:string,_rel:string>>, description string, "
-    "summary string, content array<string>, encoded array<string>, pubDate string, published string"
+    "summary string, content array<string>, encoded array<string>, pubDate string, published string, _undecoded string"
 )
-XML_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
+XML_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_undecoded"}
+NO_ENTRIES = "no entries in feed"
+BAD_ENTRY = "undecodable entry"
 ENTRY_LIMIT = 20
 
 
@@ -30,13 +32,8 @@ def entry_summary(e: Column) -> Column:
     return or_empty(F.coalesce(e["summary"], e["description"], F.get(e["content"], F.lit(0)), F.get(e["encoded"], F.lit(0))))
 
 
-def plain_xml(xml: Column) -> Column:
-    """The document without CDATA sections and comments, and with every reference known to XML.
-
-    CDATA becomes escaped text, so that markup inside it opens no element. Named HTML references
-    become numeric ones; a ``&`` that starts no reference becomes ``&amp;``.
-    """
-    escaped = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def known_references(xml: Column) -> Column:
+    """Every reference one that XML knows: named HTML references become numeric ones, a ``&`` that starts none ``&amp;``."""
     codes = F.str_to_map(F.lit(ENTITIES), F.lit(","), F.lit(":"))
 
     def reference(part: Column) -> Column:
@@ -50,45 +47,55 @@ def plain_xml(xml: Column) -> Column:
 
         return let(F.regexp_extract(part, REFERENCE, 1), fixed)
 
-    known = lambda t: F.when(
-        t.contains("&"), F.array_join(F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(reference(p))), "")
-    ).otherwise(t)
-    section = lambda p: let(
-        F.substring_index(p, "]]>", 1), lambda data: F.concat(escaped(data), known(F.substr(p, F.length(data) + 4)))
-    )
-    joined = F.array_join(
-        F.transform(F.split(xml, r"<!\[CDATA\["), lambda p, i: F.when(i == 0, known(p)).otherwise(section(p))), ""
-    )
-    return F.regexp_replace(joined, COMMENT, "")
+    split = lambda t: F.array_join(F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(reference(p))), "")
+    return let(xml, lambda t: F.when(t.contains("&"), split(t)).otherwise(t))
 
 
-def feed_entries(feeds: DataFrame, url: str = "feed_url", xml: str = "xml", limit: int = ENTRY_LIMIT) -> DataFrame:
-    """First ``limit`` entries per feed: ``(feed_url, pos, source, title, summary, url, published)``.
+def plain_xml(xml: Column) -> Column:
+    """The document without CDATA sections and comments; references outside of sections as they were.
 
-    Entries are cut out first and only the wanted ones are parsed, so a feed
+    CDATA becomes escaped text, so that markup inside it opens no element.
+    """
+    escaped = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    section = lambda p: let(F.substring_index(p, "]]>", 1), lambda data: F.concat(escaped(data), F.substr(p, F.length(data) + 4)))
+    joined = lambda t: F.array_join(F.transform(F.split(t, r"<!\[CDATA\["), lambda p, i: F.when(i == 0, p).otherwise(section(p))), "")
+    plain = let(xml, lambda t: F.when(t.contains("<![CDATA["), joined(t)).otherwise(t))
+    return let(plain, lambda t: F.when(t.contains("<!--"), F.regexp_replace(t, COMMENT, "")).otherwise(t))
+
+
+def read_feeds(feeds: DataFrame, url: str = "feed_url", xml: str = "xml", limit: int = ENTRY_LIMIT) -> DataFrame:
+    """First ``limit`` entries per feed: ``(feed_url, pos, source, title, summary, url, published, error)``.
+
+    Entries are cut out first and only the wanted ones are decoded, so a feed
     that breaks off still gives its whole entries. ``published`` is the entry's own publishing
-    date; dates of later changes do not stand in for it.
+    date; dates of later changes do not stand in for it. An entry that is no XML has its
+    place and an error, a feed without any entry one row without a place. The feeds are read once.
     """
-    feeds = feeds.select(F.col(url), plain_xml(F.col(xml)).alias(xml))
+    plain = feeds.select(F.col(url), plain_xml(F.col(xml)).alias(xml))
     entries = F.slice(F.regexp_extract_all(xml, F.lit(ENTRY), F.lit(0)), 1, limit)
-    head = F.regexp_replace(F.regexp_replace(xml, ENTRY, ""), r"(?s)<(?:\w+:)?(?:item|entry)[\s>].*$", "")
-    title_element = F.regexp_extract(head, TITLE, 0)
-    feed_title = F.from_xml(
-        F.concat(F.lit("<feed>"), title_element, F.lit("</feed>")), F.lit("title string"), XML_OPTIONS
-    )["title"]
-    cut = feeds.select(
-        F.col(url), F.coalesce(present_once(feed_title), F.col(url)).alias("source"), F.posexplode(entries).alias("pos", "_x")
-    )
-    parsed = cut.withColumn("_e", F.from_xml("_x", F.lit(ENTRY_SCHEMA), XML_OPTIONS))
+    cut = plain.select(F.col(url), F.col(xml), F.coalesce(entries, F.array().cast("array<string>")).alias("_all"))
+    # The feed's title mostly stands before the first entry; only else the entries are taken out to look for it.
+    before = F.when(F.size("_all") > 0, F.call_function("substring_index", F.col(xml), F.get("_all", F.lit(0)), F.lit(1))).otherwise(F.col(xml))
+    rest = F.regexp_replace(F.regexp_replace(xml, ENTRY, ""), r"(?s)<(?:\w+:)?(?:item|entry)[\s>].*$", "")
+    title = F.coalesce(present_once(F.regexp_extract(before, TITLE, 0)), F.regexp_extract(rest, TITLE, 0))
+    feed_title = F.from_xml(F.concat(F.lit("<feed>"), known_references(title), F.lit("</feed>")), F.lit("title string"), {"ignoreNamespace": "true"})["title"]
+    rows = cut.select(F.col(url), F.coalesce(present_once(feed_title), F.col(url)).alias("source"), F.posexplode_outer("_all").alias("pos", "_x"))
+    parsed = rows.withColumn("_e", F.from_xml(known_references(F.col("_x")), F.lit(ENTRY_SCHEMA), XML_OPTIONS))
     e = F.col("_e")
-    return parsed.select(
+    error = F.when(F.col("pos").isNull(), NO_ENTRIES).when(e.isNull() | e["_undecoded"].isNotNull(), BAD_ENTRY)
+    value = lambda c: F.when(F.col("error").isNull(), c)
+    return parsed.withColumn("error", error).select(
         url, "pos", "source",
-        or_empty(e["title"]).alias("title"), entry_summary(e).alias("summary"), entry_link(e).alias("url"),
-        or_empty(F.coalesce(e["pubDate"], e["published"])).alias("published"),
+        value(or_empty(e["title"])).alias("title"), value(entry_summary(e)).alias("summary"), value(entry_link(e)).alias("url"),
+        value(or_empty(F.coalesce(e["pubDate"], e["published"]))).alias("published"), "error",
     )
 
 
-def feed_errors(feeds: DataFrame, url: str = "feed_url", xml: str = "xml") -> DataFrame:
-    """Feeds without a single entry."""
-    empty = ~F.coalesce(plain_xml(F.col(xml)), F.lit("")).rlike(ENTRY)
-    return feeds.filter(empty).select(url, F.lit("no entries in feed").alias("error"))
+def feed_entries(feeds: DataFrame, url: str = "feed_url", xml: str = "xml", limit: int = ENTRY_LIMIT) -> DataFrame:
+    """The entries of ``read_feeds`` that could be decoded."""
+    return read_feeds(feeds, url, xml, limit).filter("error is null").drop("error")
+
+
+def feed_errors(feeds: DataFrame, url: str = "feed_url", xml: str = "xml", limit: int = ENTRY_LIMIT) -> DataFrame:
+    """``(feed_url, pos, error)``: feeds without a single entry, and entries that could not be decoded."""
+    return read_feeds(feeds, url, xml, limit).filter("error is not null").select(url, "pos", "error")
