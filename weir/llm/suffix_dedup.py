@@ -1,7 +1,7 @@
 """Removal of byte strings that repeat from an earlier place, by suffix arrays of content shards.
 
 A window is ``window`` consecutive bytes of one text. Equal windows must meet in one suffix array, so
-shards hold content, not documents: of the runs of ``GRAM`` bytes in a window the one of the smallest
+shards hold content, not documents: of the runs of two fifths of its length in a window the one of the smallest
 key (rare runs first, then by hash, then the leftmost) names the window, and consecutive windows named
 by one and the same run make a piece, which goes where its name goes.
 
@@ -32,21 +32,24 @@ from weir.llm.common import parts
 from weir.llm.induced import suffix_order
 from weir.llm.shingles import mixed
 
-GRAM = 32
 CELLS = 1 << 18
 SLICE = 1 << 22
 SORT_ROWS = 1 << 17
 _PLACE = np.uint64(24)
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every run of GRAM bytes."""
-    h, factor = data.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15
-    size = 1
-    while size < GRAM:
-        h = mixed(h[:-size] * np.uint64(factor) + h[size:])
-        size *= 2
-    return h
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``gram`` bytes: longer runs from shorter ones, the bits spread once at the end."""
+    h, size, factor = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    n, out, at = len(data) - gram + 1, None, 0
+    while True:
+        if gram & size:
+            out = h[at:at + n] if out is None else out * np.uint64(0xD6E8FEB86659FD93) + h[at:at + n]
+            at += size
+        if 2 * size > gram:
+            return mixed(out)
+        h = h[:-size] * np.uint64(factor) + h[size:]
+        size, factor = 2 * size, (factor * factor * 3) & ((1 << 64) - 1)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -60,7 +63,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.
         yield np.frombuffer(joined, np.uint8), np.r_[0, np.cumsum(size[a:b])], int(a)
 
 
-def frequent_runs(texts: DataFrame) -> tuple[np.ndarray, int]:
+def frequent_runs(texts: DataFrame, gram: int) -> tuple[np.ndarray, int]:
     """Classes (log2 of how far a cell stands out, 0 to 63) of CELLS hash cells of runs, and the bytes of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +72,7 @@ def frequent_runs(texts: DataFrame) -> tuple[np.ndarray, int]:
             for data, _, _ in _texts(batch, 0):
                 n_bytes += len(data)
                 for i in range(0, len(data), SLICE):
-                    cells += np.bincount((_grams(data[i:i + SLICE + GRAM - 1]) >> np.uint64(46)).astype(np.int64), minlength=CELLS) if len(data) - i >= GRAM else 0
+                    cells += np.bincount((_grams(data[i:i + SLICE + gram - 1], gram) >> np.uint64(46)).astype(np.int64), minlength=CELLS) if len(data) - i >= gram else 0
         # A cell stands out with eight times the part's mean and eight runs; -1 counts the bytes.
         out = np.flatnonzero(cells > max(8, 8 * n_bytes // CELLS))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, out]), pa.array(np.r_[n_bytes, cells[out]])], ["cell", "n"])
@@ -83,14 +86,14 @@ def frequent_runs(texts: DataFrame) -> tuple[np.ndarray, int]:
     return np.ceil(np.log2(table + 1)).astype(np.uint8), total
 
 
-def pieces(rows: DataFrame, classes: np.ndarray, window: int) -> DataFrame:
+def pieces(rows: DataFrame, classes: np.ndarray, window: int, gram: int) -> DataFrame:
     """(name, hash, doc_id, ver, start, n): n windows from byte ``start`` on; n below 0: settled, all -n of them repeat."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)  # CELLS bytes
-    span = window - GRAM + 1
+    span = window - gram + 1
 
     def named(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First window and name of every piece, over all windows of ``data``."""
-        h = _grams(data)
+        h = _grams(data, gram)
         key = (shared.value[(h >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(30) << _PLACE) | np.arange(len(h), dtype=np.uint64)
         low, size = key, 1
         while 2 * size <= span:
@@ -311,21 +314,22 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     or before in the same one. NULL and empty texts have no bytes. A row without an id keeps all its
     bytes and removes none elsewhere. Rows that share an id are one document at the same places: what
     starts at a smaller byte of any of them is earlier. Extra columns are not read.
-    ``window`` must lie between GRAM bytes and 254. A shard holds the pieces of about ``shard_bytes`` of
+    ``window`` must lie between 24 and 254 bytes. A shard holds the pieces of about ``shard_bytes`` of
     text, and a task sorts it with about ``sort_rows`` suffixes in memory at once.
     """
-    if not GRAM <= window <= 254:
-        raise ValueError(f"window must be between {GRAM} and 254 bytes")
+    if not 24 <= window <= 254:
+        raise ValueError("window must be between 24 and 254 bytes")
+    gram = 2 * window // 5
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("hash"))
     own = rows.where("doc_id is not null")
-    classes, total = frequent_runs(own.select("text"))
+    classes, total = frequent_runs(own.select("text"), gram)
     shards = parts(total, shard_bytes)
     # Ids that stand for several texts tell them apart by their hash; all other rows have version 0.
     unlike = own.groupBy("doc_id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("d"), F.lit(True).alias("several"))
     # The texts are dealt out once; the three uses below read one and the same exchange.
     dealt = own.repartition("doc_id").join(unlike, F.col("doc_id") == F.col("d"), "left").select(
         "doc_id", F.when(F.col("several"), F.col("hash")).otherwise(F.lit(0)).alias("ver"), "text")
-    found = pieces(dealt, classes, window).repartition(shards, "name").sortWithinPartitions("name", "hash", "doc_id", "start")
+    found = pieces(dealt, classes, window, gram).repartition(shards, "name").sortWithinPartitions("name", "hash", "doc_id", "start")
     # Both kinds of rows go to their documents once; the texts are cut into contents there, and later into what is left.
     met = firsts(found).groupBy(F.col("doc_id").alias("d"), F.col("ver").alias("v")).agg(F.collect_list(F.struct("name", "start", "n")).alias("met"))
     same = (F.col("doc_id") == F.col("d")) & (F.col("ver").bitwiseXOR(F.col("v")) == 0)
