@@ -7,7 +7,7 @@ import pytest
 from weir.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-WRITES = {"dual_sink", "inbox_recent", "archive_index", "stream_inbox", "stream_inbox_wm", "stream_source_counts"}
+WRITES = {"dual_sink", "inbox_recent", "archive_index", "stream_inbox", "stream_inbox_wm", "stream_source_counts", "read_inbox", "stream_read"}
 NO_SHUFFLE = ["harvest_links", "link_lines", "unified_all", "page_main_text", "convert_generic", "srt_transcript", "audio_plan",
               "url_guard", "quality_gates", "bilibili_payload", "url_candidates"]
 LIMITED = ["page_inbox", "merge_links", "tweet_fallback", "wechat_fallback", "xhs_fallback", "telegram_recent",
@@ -48,3 +48,11 @@ def test_stored_queries_read_partitions(spark):
     assert re.search(r"PartitionFilters: \[prefix#\w+ IN(SET)? .*ReadSchema: struct<id:string", text)
     # The content meets the accepted rows only: nothing is ranked or shuffled with it before.
     assert not re.search(r"(Window|Sort) .*content", text)
+
+
+def test_reading_is_row_local(spark):
+    from weir.operators import reading
+
+    asked = spark.createDataFrame([], reading.REQUEST_DDL)
+    text = reading.read(asked, "2024-01-31T00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Window" not in text and "Union" not in text

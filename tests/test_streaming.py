@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
+from weir.operators import reading
 from weir.operators.inbox import first_wins
 from weir.plans.records import inbox_records
 from weir.plans.landed import view
+from weir.plans.reads import landed_requests
 from weir.sinks.store import InboxStore
 from weir.streaming import ingest
 
@@ -48,3 +50,37 @@ def test_bounded_dedup_and_daily_counts(spark, tmp_path):
     ingest.drain(ingest.daily_source_counts(stream(), "at"), str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "o2")).collect())
     assert got == [("2024-01-01", "rss", 2), ("2024-01-02", "xhs", 1)]
+
+
+def test_streamed_reading_equals_the_batch_over_several_triggers(spark, tmp_path):
+    asked = landed_requests(spark, FOLDER)
+    AS_OF = "2024-01-31T00:00:00"
+    batch, streamed = InboxStore(spark, str(tmp_path / "a")), InboxStore(spark, str(tmp_path / "b"))
+    reading.keep_read(reading.read(asked, AS_OF), batch, str(tmp_path / "log_a"), str(tmp_path / "errors_a"))
+    for low in (0, 50, 100, 150):
+        asked.filter(F.col("seq").between(low, low + 49)).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+    for _ in range(2):  # the second run finds nothing new
+        stream = ingest.requests(spark, str(tmp_path / "landed"), 1)
+        query = ingest.run_reading(stream, AS_OF, streamed, str(tmp_path / "log_b"), str(tmp_path / "errors_b"), str(tmp_path / "cp"))
+        query.awaitTermination()
+    assert len(list((tmp_path / "errors_b").glob("batch=*"))) == 4  # a file a trigger
+    rows = lambda store: sorted(map(str, store.load().collect()))
+    assert rows(batch) == rows(streamed) and batch.load().count() > 50
+    errors = lambda name: sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).select("seq", "platform", "error").collect()))
+    assert errors("errors_a") == errors("errors_b") and len({e for _, _, e in errors("errors_a")}) >= 5
+    lines = lambda name: sorted(r["value"] for r in spark.read.text(str(tmp_path / name)).collect())
+    assert lines("log_a") == lines("log_b")
+
+
+def test_reading_odd_requests(spark):
+    rows = [(1, None, "[]"), (2, "x.com/a/status/1", "[]"), (3, "https://x.com/a/status/1", '[null, {"text": "%s"}]' % ("w" * 30)), (4, "https://e.org/", "[null]"),
+            (5, "https://e.org/", "nonsense"), (6, "https://e.org/", None), (7, "ftp://e.org/", "[{}]"), (8, "https://e.org/", "[{}]"), (9, "http://[::1]/", "[{}]"),
+            (10, "https://x.com/i/web", '[{"text": "t"}, {"text": "%s"}, {"title": "T", "text": "%s"}]' % ("w" * 30, "v" * 101))]
+    got = {r["seq"]: r for r in reading.read(spark.createDataFrame(rows, reading.REQUEST_DDL), "2024-01-31T00:00:00").collect()}
+    none = "no tier passed: api: no answer; embed: no answer; proxy: no answer; browser: no answer"
+    assert {k: r["error"] for k, r in got.items()} == {
+        1: "refused: no hostname", 2: none, 3: None, 4: "no tier passed: page: no answer", 5: "undecodable payloads", 6: "no payloads", 7: "refused: unsupported scheme: https"
+        if got[7]["error"] == "refused: unsupported scheme: https" else got[7]["error"], 8: None, 9: "refused: private address", 10: None}
+    assert (got[3]["source_name"], got[3]["content"], got[3]["reason"]) == ("@a", "w" * 30, "api: no answer")
+    assert (got[10]["content"], got[10]["reason"]) == ("v" * 101, "api: no post address; embed: no post address")
+    assert got[8]["source_type"] == "manual" and got[8]["source_name"] == "e.org"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weir.operators import reading
 from weir.sinks.exports import write_markdown
 from weir.sinks.store import InboxStore
 
@@ -36,6 +38,33 @@ def run_inbox(records: DataFrame, store: InboxStore, markdown_path: str | None,
     )
 
 
+def requests(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+    """Landed requests (``reading.REQUEST_DDL``, parquet) as a stream of about ``max_bytes`` of files per trigger, oldest first."""
+    return spark.readStream.schema(reading.REQUEST_DDL).option("maxBytesPerTrigger", max_bytes).parquet(path)
+
+
+def run_reading(asked: DataFrame, as_of: str, store: InboxStore, log: str | None, errors: str, checkpoint: str) -> StreamingQuery:
+    """Drain landed requests: guard, route, choose and convert inside the stream, then store, log and error rows.
+
+    A batch is read once and held on disk for its three uses. A replayed batch adds nothing to
+    the store and replaces its own part of log and errors.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        held = reading.read(df, as_of).persist(StorageLevel.DISK_ONLY)
+        try:
+            reading.keep_read(held, store, log, errors, batch_id)
+        finally:
+            held.unpersist()
+
+    return (
+        asked.writeStream.foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def bounded_dedup(records: DataFrame, event_time: str, delay: str = "7 days", key: str = "id") -> DataFrame:
     """De-duplication whose state is dropped once the watermark has passed."""
     return records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
