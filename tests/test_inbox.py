@@ -242,3 +242,27 @@ def test_recent_records_over_appends(spark, tmp_path):
     recent.append(batch(spark, *[(40 + i, f"v{i}", "") for i in range(5)]))
     recent.trim()
     assert titles() == [f"t{40 + i}" for i in range(5)] and [p.name for p in (tmp_path / "recent").iterdir()] == ["append=00000006"]
+
+
+def test_large_limits_move_no_whole_key_into_one_task(spark):
+    rows = spark.range(20_000).selectExpr("id as seq", "case when id % 3 > 0 then 'hot' else cast(id % 7 as string) end as k")
+    newest = inbox.latest(rows, "k", "seq", 5000)
+    assert "hashpartitioning(k#" in plan(newest) and re.search(r"hashpartitioning\(k#\w+, _salt", plan(newest))
+    got = newest.groupBy("k").agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("_rn").alias("rank")).collect()
+    hot = [i for i in range(20_000) if i % 3][-5000:]
+    assert {r["k"]: (r["n"], r["low"], r["rank"]) for r in got}["hot"] == (5000, hot[0], 5000)
+    assert sum(r["n"] for r in got) == 5000 + len([i for i in range(20_000) if i % 3 == 0])
+
+
+def test_files_that_are_missing_broken_or_strange(spark, tmp_path):
+    from weir.sources.records import read_inbox_files
+
+    good = '{"source_type": "rss", "source_name": "s", "title": "t", "content": "c", "url": "u"}'
+    texts = {"a": f"[{good}, {good.replace('rss', 'bogus')}, 5]", "b": f"[{good}", "c": "[]", "d": "", "e": '{"no": "array"'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    rows = read_inbox_files(spark, [str(tmp_path / n) for n in [*texts, "gone"]], AS_OF).collect()
+    got = sorted(((r["file"].rsplit("/", 1)[1], r["pos"], r["error"]) for r in rows), key=str)
+    assert got == sorted([("a", 0, None), ("a", 1, "bad source_type: bogus"), ("a", 2, "undecodable"), ("b", None, "undecodable file"),
+                          ("d", None, "undecodable file"), ("e", None, "undecodable file"), ("gone", None, "no such file")], key=str)
+    assert read_inbox_files(spark, [], AS_OF).count() == 0

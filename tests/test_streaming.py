@@ -84,3 +84,21 @@ def test_reading_odd_requests(spark):
     assert (got[3]["source_name"], got[3]["content"], got[3]["reason"]) == ("@a", "w" * 30, "api: no answer")
     assert (got[10]["content"], got[10]["reason"]) == ("v" * 101, "api: no post address; embed: no post address")
     assert got[8]["source_type"] == "manual" and got[8]["source_name"] == "e.org"
+
+
+def test_late_rows_go_to_their_own_table(spark, tmp_path):
+    """Files in any order: kept and late ids together are those of a batch; a replay changes nothing; a hot id is one row."""
+    files = [[("a", 20), ("a", 21), ("b", 20)], [("a", 20), ("c", 19), ("d", 1), ("b", 18)], [("d", 25), ("e", 2), ("f", None), ("c", 25)], [("e", 30)]]
+    want = {i for rows in files for i, _ in rows}
+    for number, order in enumerate(([0, 1, 2, 3], [3, 2, 1, 0], [2, 0, 3, 1])):
+        root = tmp_path / str(number)
+        for i in order:
+            rows = spark.createDataFrame([(k, d and f"2024-01-{d:02d}") for k, d in files[i]], "id string, t string").selectExpr("id", "to_timestamp(t) as at")
+            rows.coalesce(1).write.mode("append").parquet(str(root / "landed"))
+        for checkpoint in ("cp", "cp2"):  # the second run replays every batch
+            stream = spark.readStream.schema("id string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(root / "landed"))
+            ingest.run_dedup(stream, str(root / "out"), str(root / checkpoint), delay="3 days").awaitTermination()
+        kept, late = [{r["id"] for r in df.collect()} for df in ingest.read_dedup(spark, str(root / "out"), "id string, at timestamp")]
+        assert kept | late == want and not kept & late and late
+        if number == 0:
+            assert late == {"f"} | ({"e"} - kept) and spark.read.parquet(str(root / "out" / "late")).where("id = 'd'").count() == 1

@@ -166,7 +166,7 @@ from @documents
 
 VIEWS["v_titles"] = """
 select doc_id, case when doc_id % 10 = 0 then '' when doc_id % 10 = 1 then ' ' || chr(10) || '  '
-  else substr(text, 1, 150) || ' a/b:c*"d"' end as title
+  when doc_id % 10 < 5 then 'a/b:c*"d" ' || text else text || ' a/b:c*"d"' end as title
 from @documents
 """
 
@@ -215,10 +215,10 @@ from @pages
 """
 
 VIEWS["v_gates"] = """
-select doc_id, case doc_id % 8 when 0 then substr(text, 1, 20) when 1 then 'https://t.co/abc ' || text
+select doc_id, case doc_id % 8 when 0 then text || ' ' when 1 then 'https://t.co/abc ' || text
     when 2 then text || ' &mdash; u https://t.co/x' when 3 then text || ' page Not Yet Fully Loaded'
     when 4 then '[去验证] ' || text when 5 then '登录后推荐更懂你的笔记' || text
-    when 6 then '   ' || substr(text, 1, 101) else text end as text,
+    when 6 then '   ' || text else text end as text,
   case doc_id % 5 when 0 then 'X' when 1 then 'Title: X' when 2 then 'Weixin Official Accounts Platform'
     when 3 then '小红书 - 你的生活兴趣社区 x' else 'ok' end as title,
   'https://www.xiaohongshu.com/explore/' || cast(doc_id as string)

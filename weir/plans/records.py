@@ -13,7 +13,8 @@ from weir.plans.landed import AS_OF, VIEWS, spark_sql, view
 from weir.plans.registry import query, record_sql
 from weir.sinks.exports import with_json
 from weir.sources.payloads import embed_payloads, post_payloads, video_payloads
-from weir.sources.records import load_arrays, records_from_json
+from weir.session import fresh_path
+from weir.sources.records import load_arrays, read_inbox_files, records_from_json
 
 
 def inbox_records(df):
@@ -86,6 +87,30 @@ def inbox_load(spark, sf):
     return loaded.select("file_no", F.col("pos").cast("bigint").alias("pos"), "id", "title", "source_type", "processed")
 
 
+@query("inbox_files", """
+select file_no, case when file_no % 3 = 1 then null else cast(pos as integer) end as pos, case when file_no % 3 <> 1 then id end as id,
+  case when file_no % 3 <> 1 and not bad then title end as title,
+  case when file_no % 3 = 1 then 'undecodable file' when bad then 'bad source_type: bogus' end as error
+from (select cast(floor(seq / 100) as integer) as file_no, seq % 100 as pos, substr(md5(url), 1, 12) as id, title, seq % 50 = 7 as bad from v_inbox where seq < 600)
+where file_no % 3 <> 1 or pos = 0
+union all select 99, null, null, null, 'no such file'
+""")
+def inbox_files(spark, sf):
+    """JSON-array files: whole ones, some with a strange enumeration value, every third cut off, and one that is not there."""
+    root = fresh_path(spark, "exports")
+    rows = inbox_records(view(spark, sf, "v_inbox").filter("seq < 600"))
+    rows = with_json(rows.withColumn("source_type", F.when(F.col("seq") % 50 == 7, "bogus").otherwise(F.col("source_type"))), "seq")
+    files = rows.groupBy(F.floor(F.col("seq") / 100).cast("int").alias("file_no")).agg(F.array_sort(F.collect_list(F.struct("seq", "json"))).alias("items"))
+    text = F.concat(F.lit("["), F.array_join(F.col("items.json"), ","), F.when(F.col("file_no") % 3 == 1, "").otherwise("]"))
+    files.select("file_no", text.alias("value")).write.partitionBy("file_no").text(root)
+    paths = {i: f"{root}/file_no={i}" for i in [*range(6), 99]}
+    loaded = read_inbox_files(spark, list(paths.values()), AS_OF)
+    number = F.regexp_extract("file", "file_no=([0-9]+)", 1).cast("int")
+    good = lambda c: F.when(F.col("error").isNull(), F.col(c))
+    known = F.when(F.coalesce(F.col("error"), F.lit("")).startswith("bad") | F.col("error").isNull(), F.col("id"))
+    return loaded.select(number.alias("file_no"), "pos", known.alias("id"), good("title").alias("title"), "error")
+
+
 @query("record_roundtrip", "select seq, true as same from v_inbox")
 def record_roundtrip(spark, sf):
     kinds = {"text": F.col("title"), "digits": F.lit("0123"), "whole": F.col("seq"), "long": F.lit(1234567890123456789),
@@ -140,7 +165,7 @@ def _videos(spark, sf):
     return spark_sql(spark, sf, """
         select doc_id, 'https://www.bilibili.com/video/BV1x' || doc_id || '?p=1' as url, if(doc_id % 9 = 0,
           to_json(named_struct('code', -404, 'message', 'gone')),
-          to_json(named_struct('code', 0, 'message', '0', 'data', named_struct('title', substr(text, 1, 80),
+          to_json(named_struct('code', 0, 'message', '0', 'data', named_struct('title', text,
             'desc', if(doc_id % 5 = 0, null, text), 'owner', if(doc_id % 4 = 0, null, named_struct('name', source)),
             'pic', 'https://i.example.org/' || doc_id, 'duration', doc_id % 1000,
             'stat', if(doc_id % 6 = 0, null, named_struct('view', doc_id * 3)))))) as payload
@@ -148,7 +173,7 @@ def _videos(spark, sf):
 
 
 VIEWS["v_videos"] = """
-select doc_id, doc_id % 9 <> 0 as ok, 'BV1x' || cast(doc_id as string) as bvid, substr(text, 1, 80) as title,
+select doc_id, doc_id % 9 <> 0 as ok, 'BV1x' || cast(doc_id as string) as bvid, text as title,
   case when doc_id % 5 = 0 then '' else text end as description, case when doc_id % 4 = 0 then '' else source end as author,
   'https://www.bilibili.com/video/BV1x' || cast(doc_id as string) as url, 'https://i.example.org/' || cast(doc_id as string) as cover,
   doc_id % 1000 as duration, case when doc_id % 6 = 0 then 0 else doc_id * 3 end as view_count from @documents
@@ -199,38 +224,38 @@ def convert_twitter(spark, sf):
 
 
 @query("convert_wechat", record_sql(
-    "@documents", "doc_id", source_type="'wechat'", source_name="source", title="substr(text, 1, 60)", content="text",
+    "@documents", "doc_id", source_type="'wechat'", source_name="source", title="text", content="text",
     url="'https://mp.weixin.qq.com/s/' || cast(doc_id as varchar)"))
 def convert_wechat(spark, sf):
-    docs = _docs(spark, sf, "source as author, substr(text, 1, 60) as title, text as content, 'https://mp.weixin.qq.com/s/' || doc_id as url")
+    docs = _docs(spark, sf, "source as author, text as title, text as content, 'https://mp.weixin.qq.com/s/' || doc_id as url")
     return flat(convert.convert(docs, "wechat", AS_OF, ["doc_id"]), "doc_id")
 
 
 @query("convert_xhs", record_sql(
-    "@documents", "doc_id", source_type="'xhs'", source_name="source", title="substr(text, 1, 60)", content="text",
+    "@documents", "doc_id", source_type="'xhs'", source_name="source", title="text", content="text",
     url="'https://www.xiaohongshu.com/explore/' || cast(doc_id as varchar)",
     media_type="case when doc_id % 3 = 0 then 'image' else 'text' end",
     extra="""'{"likes":' || cast(doc_id % 7 as varchar) || ',"collects":0}'"""))
 def convert_xhs(spark, sf):
-    docs = _docs(spark, sf, """source as author, substr(text, 1, 60) as title, text as content,
+    docs = _docs(spark, sf, """source as author, text as title, text as content,
         'https://www.xiaohongshu.com/explore/' || doc_id as url, doc_id % 7 as likes,
         case doc_id % 3 when 0 then array('a.png') when 1 then cast(array() as array<string>) end as images""")
     return flat(convert.convert(docs, "xhs", AS_OF, ["doc_id"]), "doc_id")
 
 
 @query("convert_youtube", record_sql(
-    "@documents", "doc_id", source_type="'youtube'", source_name="source", title="substr(text, 1, 60)", content="text",
+    "@documents", "doc_id", source_type="'youtube'", source_name="source", title="text", content="text",
     url="'https://youtu.be/' || cast(doc_id as varchar)", media_type="'video'", extra="""'{"duration":"","view_count":0}'"""))
 def convert_youtube(spark, sf):
-    docs = _docs(spark, sf, "source as author, substr(text, 1, 60) as title, text as description, 'https://youtu.be/' || doc_id as url")
+    docs = _docs(spark, sf, "source as author, text as title, text as description, 'https://youtu.be/' || doc_id as url")
     return flat(convert.convert(docs, "youtube", AS_OF, ["doc_id"]), "doc_id")
 
 
 @query("convert_manual", record_sql(
-    "@documents", "doc_id", source_type="'manual'", source_name="'manual'", title="substr(text, 1, 60)", content="text",
-    url="case when doc_id % 2 = 0 then 'manual://' || substr(md5(substr(text, 1, 60)), 1, 8) else 'https://e.example.org/' || cast(doc_id as varchar) end"))
+    "@documents", "doc_id", source_type="'manual'", source_name="'manual'", title="text", content="text",
+    url="case when doc_id % 2 = 0 then 'manual://' || substr(md5(text), 1, 8) else 'https://e.example.org/' || cast(doc_id as varchar) end"))
 def convert_manual(spark, sf):
-    docs = _docs(spark, sf, "substr(text, 1, 60) as title, text as content, if(doc_id % 2 = 0, '', 'https://e.example.org/' || doc_id) as url")
+    docs = _docs(spark, sf, "text as title, text as content, if(doc_id % 2 = 0, '', 'https://e.example.org/' || doc_id) as url")
     return flat(convert.convert(docs, "manual", AS_OF, ["doc_id"]), "doc_id")
 
 
@@ -285,7 +310,7 @@ FINAL_URL = _case(
     "v_routed", "doc_id, platform", source_type="case when platform in ('podcast', 'generic') then 'manual' else platform end",
     source_name=_case(telegram="'c' || lang", rss="source", bilibili="source", twitter="source", wechat="source", xhs="source",
                       youtube="source", other="regexp_extract(url, '^https?://([^/?#]*)', 1)"),
-    title=_case(telegram="substr(text, 1, 100)", twitter="substr(text, 1, 100)", other="substr(text, 1, 60)"),
+    title=_case(telegram="substr(text, 1, 100)", twitter="substr(text, 1, 100)", other="text"),
     content=_case(rss="text", bilibili="'d ' || text", youtube="'d ' || text", telegram="text", twitter="text", other="'c ' || text"),
     url=FINAL_URL, media_type=_case(bilibili="'video'", youtube="'video'", xhs="case when doc_id % 2 = 0 then 'image' else 'text' end", other="'text'"),
     media_url=_case(bilibili="'cover'", other="null"), score=_case(rss="doc_id % 5", other="0"), category=_case(rss="lang", other="''"),
@@ -297,7 +322,7 @@ FINAL_URL = _case(
 def unified_all(spark, sf):
     """Landed payloads of all platforms, one JSON text each, routed and converted in a single scan."""
     payload = """to_json(named_struct('channel', 'c' || lang, 'text', text, 'views', doc_id, 'source', source,
-        'title', substr(text, 1, 60), 'summary', text, 'score', doc_id % 5, 'category', lang, 'title_cn', 'cn',
+        'title', text, 'summary', text, 'score', doc_id % 5, 'category', lang, 'title_cn', 'cn',
         'summary_cn', 'scn', 'description', 'd ' || text, 'author', source, 'cover', 'cover', 'duration', doc_id % 1000,
         'view_count', 7, 'likes', 1, 'retweets', 2, 'collects', 3, 'images', if(doc_id % 2 = 0, array('i'), array()),
         'content', 'c ' || text))"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weir.model import record_columns
-from weir.plans.landed import AS_OF
+from weir.plans.landed import AS_OF, view
+from weir.plans.records import inbox_records
 from weir.plans.registry import query
 from weir.session import fresh_path
 from weir.sinks.store import InboxStore
@@ -41,10 +42,15 @@ def stream_inbox(spark, sf):
 
 @query("stream_inbox_wm", "select distinct id from v_records")
 def stream_inbox_wm(spark, sf):
+    """Bounded de-duplication over files that land with the latest days first: kept and late ids together are all ids."""
     root = fresh_path(spark, "stream")
-    timed = _stream(spark, sf).select("id", F.to_timestamp(F.concat("fetched_at", F.lit("Z"))).alias("at"))
-    ingest.drain(ingest.bounded_dedup(timed, "at"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema("id string, at timestamp").parquet(f"{root}/out").select("id")
+    rows = inbox_records(view(spark, sf, "v_inbox")).select("id", F.to_timestamp(F.concat("fetched_at", F.lit("Z"))).alias("at"))
+    for first, last in ((19, 28), (10, 18), (1, 9)):
+        rows.filter(F.dayofmonth("at").between(first, last)).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    timed = spark.readStream.schema("id string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    ingest.run_dedup(timed, f"{root}/out", f"{root}/checkpoint", delay="3 days").awaitTermination()
+    kept, late = ingest.read_dedup(spark, f"{root}/out", "id string, at timestamp")
+    return kept.unionByName(late)
 
 
 @query("stream_source_counts", "select substr(fetched_at, 1, 10) as day, source_type, count(*) as n from v_records group by 1, 2")

@@ -73,6 +73,35 @@ def read_inbox_file(spark: SparkSession, path: str, as_of: str) -> DataFrame:
     return load_arrays(texts, "value", as_of, ["file"])
 
 
+def read_inbox_files(spark: SparkSession, paths: list[str], as_of: str) -> DataFrame:
+    """Inbox exports ``(file, pos, error, record columns)`` from many files, each read by the task that gets it.
+
+    A file that is not there, or is no JSON array, is one row without a place and with its error; an
+    object that is no record keeps its place. An empty array gives no row. One export is one value, as it is one array.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    found, lost = [], []
+    for p in paths:
+        file = hadoop.Path(p)
+        fs = file.getFileSystem(conf)
+        if not fs.exists(file):
+            lost.append((p, "no such file"))
+        elif fs.getFileStatus(file).isFile() and not fs.getFileStatus(file).getLen():  # Spark's readers pass over it
+            lost.append((p, "undecodable file"))
+        else:
+            found.append(p)
+    texts = spark.createDataFrame([], "file string, value string")
+    if found:
+        texts = spark.read.text(found, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    items = F.from_json("value", "array<string>")
+    cut = texts.withColumn("_items", items).select(
+        "file", F.posexplode(F.coalesce("_items", F.array(F.lit(None).cast("string")))).alias("pos", "_json"), F.col("_items").isNull().alias("_bad"))
+    rows = records_from_json(cut, "_json", as_of, ["file", "pos", "_bad"])
+    rows = rows.withColumn("error", F.when(F.col("_bad"), "undecodable file").otherwise(F.col("error"))).withColumn(
+        "pos", F.when(~F.col("_bad"), F.col("pos"))).drop("_bad")
+    return rows.unionByName(spark.createDataFrame(lost, "file string, error string"), allowMissingColumns=True) if lost else rows
+
+
 def read_export(spark: SparkSession, path: str, as_of: str) -> DataFrame:
     """Exports with one JSON object per line; large files are read by many tasks."""
     return records_from_json(spark.read.text(path), "value", as_of)

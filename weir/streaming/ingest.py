@@ -70,6 +70,43 @@ def bounded_dedup(records: DataFrame, event_time: str, delay: str = "7 days", ke
     return records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def run_dedup(records: DataFrame, path: str, checkpoint: str, event_time: str = "at", delay: str = "7 days", key: str = "id") -> StreamingQuery:
+    """Bounded de-duplication that loses nothing: first keys to ``kept``, rows behind the watermark to ``late``.
+
+    The watermark is the latest event time of earlier batches less ``delay``. A batch is reduced to one row per key first, so a key
+    with very many rows is one row a task. Its rows in time are compared with the days of ``kept`` that the watermark has not
+    passed, however long the stream runs. Every batch writes folders of its own; done again, it replaces them.
+    """
+    span = f"interval {delay}"
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark, mine = df.sparkSession, f"{number:08d}"
+        marks = spark.read.schema("high timestamp, batch string").parquet(f"{path}/marks") if number else spark.createDataFrame([], "high timestamp, batch string")
+        high = marks.where(F.col("batch") < mine).agg(F.max("high") - F.expr(span)).first()[0]
+        rows = df.groupBy(key).agg(F.min(event_time).alias(event_time)).persist(StorageLevel.DISK_ONLY)
+        try:
+            in_time = F.col(event_time).isNotNull() & (F.lit(True) if high is None else F.col(event_time) >= F.lit(high))
+            fresh = rows.where(in_time).withColumn("day", F.date_format(event_time, "yyyy-MM-dd"))
+            if number:
+                kept = spark.read.schema(f"{df.select(key, event_time)._jdf.schema().toDDL()}, batch string, day string").parquet(f"{path}/kept")
+                open_days = kept.where(F.col("batch") < mine) if high is None else kept.where((F.col("batch") < mine) & (F.col("day") >= f"{high:%Y-%m-%d}"))
+                fresh = fresh.join(open_days.select(key), key, "left_anti")
+            fresh.write.mode("overwrite").partitionBy("day").parquet(f"{path}/kept/batch={mine}")
+            rows.where(~in_time).write.mode("overwrite").parquet(f"{path}/late/batch={mine}")
+            rows.agg(F.max(event_time).alias("high")).write.mode("overwrite").parquet(f"{path}/marks/batch={mine}")
+        finally:
+            rows.unpersist()
+
+    return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_dedup(spark: SparkSession, path: str, schema: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(kept, late) of ``run_dedup``: every key once, and the late keys that were never kept. Together they are all keys."""
+    kept = spark.read.schema(f"{schema}, batch string, day string").parquet(f"{path}/kept").select(key).distinct()
+    late = spark.read.schema(f"{schema}, batch string").parquet(f"{path}/late").select(key).distinct()
+    return kept, late.join(kept, key, "left_anti")
+
+
 def daily_source_counts(records: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
     """Records per source and UTC day; a day is emitted when the watermark has passed its end."""
     day = F.date_from_unix_date(F.expr("unix_seconds(_w.start) div 86400").cast("int"))
