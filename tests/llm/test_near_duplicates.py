@@ -92,3 +92,12 @@ def test_sets_of_a_batch():
     sets = [values[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])]
     assert words.tolist() == [0, 0, 0, 6, 6, 5, 5, 2, 2, 2, 12] and [len(s) for s in sets] == [0, 0, 0, 2, 2, 1, 1, 1, 1, 1, 5]
     assert sets[3] == sets[4] and sets[7] == sets[9] != sets[8] and sets[5] != sets[6] and all(s == sorted(s) for s in sets)
+
+
+@pytest.mark.parametrize("own", [14, 16])
+def test_crowd_of_one_template(spark, own):
+    """Texts that share all but ``own`` words: 84 to 86 % alike, so the limit runs between them; some copies among them."""
+    shared = [f"s{i}" for i in range(164)]
+    rows = [(i, " ".join(shared + [f"o{i // 2 if i < 20 else i}x{j}" for j in range(own)])) for i in range(150)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)

@@ -135,10 +135,14 @@ def shingle_pairs(members: DataFrame, texts: DataFrame, percent: int, size: int)
 
     prefixes = written(rows.mapInArrow(first, "node long, part long, n long, rare array<long>"), "prefixes")
     posted = prefixes.select("node", "part", "n", F.posexplode("rare").alias("at", "token"))
-    left = posted.select("token", F.col("at").alias("at_a"), F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
+    # The smaller text of a pair shares at least what two texts of its size must: it is indexed under fewer shingles. So
+    # texts of one template that stay below the limit, each with enough of its own, do not meet under the template's shingles.
+    left = posted.where(F.expr(f"at <= n * {100 - percent} div {100 + percent}")).select(
+        "token", F.col("at").alias("at_a"), F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
     close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
     reach = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= percent * (F.col("n_a") + F.col("n"))
-    met = posted.join(left, "token").where((F.col("part_a") < F.col("part")) & close & reach).select("a", F.col("node").alias("b")).distinct()
+    smaller = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("a") < F.col("node")))
+    met = posted.join(left, "token").where(smaller & (F.col("part_a") != F.col("part")) & close & reach).select("a", F.col("node").alias("b")).distinct()
     # What both prefixes share and all that lies behind one of them is the most that two sets can share.
     side = prefixes.select("node", "n", "rare")
     both = met.join(side.toDF("a", "n_a", "rare_a"), "a").join(side.toDF("b", "n_b", "rare_b"), "b")
