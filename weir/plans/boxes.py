@@ -34,9 +34,8 @@ def _landed(spark, sf, root):
 
 def _filled(spark, sf):
     """A written store with all records added."""
-    root = fresh_path(spark, "inbox")
-    store = InboxStore(spark, f"{root}/store")
-    store.add(_landed(spark, sf, root))
+    store = InboxStore(spark, f"{fresh_path(spark, 'inbox')}/store")
+    store.add(_rows(spark, sf))
     return store
 
 
@@ -69,9 +68,8 @@ where rn = 1 and id not in (select id from v_records where seq % 3 = 0)
 """)
 def inbox_append(spark, sf):
     """The rows an append writes, content and all: membership is asked of a written store's ids."""
-    root = fresh_path(spark, "inbox")
-    rows = _landed(spark, sf, root)
-    store = InboxStore(spark, f"{root}/store")
+    rows = _rows(spark, sf)
+    store = InboxStore(spark, f"{fresh_path(spark, 'inbox')}/store")
     store.add(rows.filter("seq % 3 = 0"))
     batch = rows.filter("seq % 3 <> 0")
     return inbox.new_records(batch, store.known(batch)).select("seq", "id", "source_type", "title")
