@@ -253,3 +253,24 @@ def test_link_lists_merge_by_first_mention(spark):
     df = lambda n, *hrefs: spark.createDataFrame([(n, i, h, f"{n}{h}") for i, h in enumerate(hrefs)], "n int, pos int, href string, text string")
     got = links.merge(df(2, "a", "b"), df(1, "b", "c"), order=["n", "pos"]).collect()
     assert sorted((r["href"], r["text"]) for r in got) == [("a", "2a"), ("b", "1b"), ("c", "1c")]
+
+
+def test_archive_run_end_to_end(spark, tmp_path):
+    """A run with a refused address or without any writes no entry; files that are there are kept; failures are entries."""
+    text = {"good": "## S\nhttps://e.org/1 | One\nhttps://e.org/2\nhttps://e.org/3\nhttps://e.org/4", "bad": "https://e.org/1\nhttp://10.0.0.1/", "none": "# only words"}
+    lines = spark.createDataFrame([(r, i, x) for r, t in text.items() for i, x in enumerate(t.split("\n"))], "list string, line_no bigint, line string")
+    existing = spark.createDataFrame([("good", "002-old.html"), ("bad", "001-x.html")], "list string, file string")
+    captures = spark.createDataFrame([("good", 1, "t1", None), ("good", 2, "t2", None), ("good", 3, "t3", None), ("good", 4, "t4", "timeout"), ("bad", 0, "b", None)],
+                                     "list string, line_no bigint, page_title string, capture_error string")
+    parts = spark.createDataFrame([("good", 1, 1, "m", "text/html", b"<p>one</p>"), ("good", 2, 1, "m", "text/html", b"x"), ("good", 3, 1, "m", "image/png", b"x"),
+                                   ("good", 4, 1, "m", "text/html", b"x"), ("bad", 0, 1, "m", "text/html", b"x")],
+                                  "list string, line_no bigint, part_no int, location string, content_type string, data binary")
+    path = str(tmp_path / "run")
+    runs = {r["list"]: (r["n_urls"], r["n_ok"], r["n_fail"], r["error"]) for r in archive.archive_run(lines, existing, captures, parts, path, theme=None).collect()}
+    assert runs == {"good": (4, 2, 2, None), "bad": (2, None, None, "1 addresses refused"), "none": (0, None, None, "no URLs found")}
+    entries = {(r["list"], r["index"]): (r["status"], r["file"], r["error"]) for r in spark.read.parquet(f"{path}/entries").collect()}
+    assert entries == {("good", 1): ("ok", "001-One.html", None), ("good", 2): ("skip", "002-old.html", None),
+                       ("good", 3): ("fail", "", "no main html part"), ("good", 4): ("fail", "", "timeout")}
+    assert [(r["file"], r["page_html"]) for r in spark.read.parquet(f"{path}/pages").collect()] == [("001-One.html", "<p>one</p>")]
+    assert [p.name for p in (tmp_path / "run" / "manifest").glob("list=*")] == ["list=good"]
+    assert "<li class=\"fail\">" in "".join(p.read_text() for p in sorted((tmp_path / "run" / "index" / "list=good").glob("part-*")))

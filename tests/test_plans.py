@@ -7,7 +7,7 @@ import pytest
 from weir.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-WRITES = {"dual_sink", "inbox_recent", "archive_index", "stream_inbox", "stream_inbox_wm", "stream_source_counts", "read_inbox", "stream_read", "inbox_files"}
+WRITES = {"dual_sink", "inbox_recent", "archive_index", "stream_inbox", "stream_inbox_wm", "stream_source_counts", "read_inbox", "stream_read", "inbox_files", "archive_run"}
 NO_SHUFFLE = ["harvest_links", "link_lines", "unified_all", "page_main_text", "convert_generic", "srt_transcript", "audio_plan",
               "url_guard", "quality_gates", "bilibili_payload", "url_candidates"]
 LIMITED = ["page_inbox", "merge_links", "tweet_fallback", "wechat_fallback", "xhs_fallback", "telegram_recent",

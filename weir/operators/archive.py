@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from weir.functions import text, urls
 from weir.functions.text import or_empty, present, strip
+from weir.operators import snapshot
+from weir.operators.guard import preflight
 from weir.operators.numbering import carry_and_number
+from weir.sinks.exports import write_index
 
 # Manifest layout and the index page's colours and words.
 MANIFEST_FIELDS = ["index", "section", "url", "title", "file", "status", "error"]
@@ -178,3 +181,50 @@ def index_page(entries: DataFrame, run: str = "list", theme: str = "dark") -> Da
         run, "section_pos", F.lit(0).cast("bigint").alias("line_pos"), F.lit(INDEX_TAIL).alias("html")
     )
     return head.unionByName(index_lines(entries, run)).unionByName(tail)
+
+
+NO_URLS = "no URLs found"
+
+
+def admitted(lines: DataFrame, entries: DataFrame, run: str = "list", dns: DataFrame | None = None) -> DataFrame:
+    """(run, n_urls, error) of every run in ``lines``: a run without addresses, or with one that the guard refuses, does not start."""
+    checked = preflight(entries, run, dns).withColumnRenamed(run, "_run")
+    refused = F.concat(F.col("n_blocked").cast("string"), F.lit(" addresses refused"))
+    return lines.select(run).distinct().join(checked, F.col(run).eqNullSafe(F.col("_run")), "left").select(
+        run, F.coalesce("n_urls", F.lit(0)).alias("n_urls"), F.when(F.col("n_urls").isNull(), NO_URLS).when(~F.col("may_run"), refused).alias("error"))
+
+
+def archive_run(lines: DataFrame, existing: DataFrame, captures: DataFrame, parts: DataFrame, path: str, run: str = "list",
+                theme: str | None = "dark", strip_patterns: list[str] | None = None, dns: DataFrame | None = None) -> DataFrame:
+    """Archive URL lists: parse, check, resume, make the pages, then index and manifest below ``path``.
+
+    ``lines(run, line_no, line)``, ``existing(run, file)``, ``captures(run, line_no, page_title, capture_error)`` and the
+    snapshot ``parts(run, line_no, part_no, location, content_type, data)``. Runs that may not start write nothing. Each step
+    is stored once and read by the ones after it: ``runs``, ``pages`` (run, file, page_html), ``entries``, ``manifest`` and ``index``.
+    Returns one row per run: n_urls, n_ok, n_fail, error.
+    """
+    spark = lines.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    parsed = stored(parse_url_list(lines, run), "parsed")
+    runs = stored(admitted(lines, parsed, run, dns), "runs")
+    entries = parsed.join(runs.filter("error is null").select(run), run, "left_semi")
+    planned = stored(resume(entries, existing, run), "planned")
+    # Parts of entries that are there already, or of other runs, are never put together.
+    todo = planned.filter("status = 'todo'").select(run, "line_no")
+    wanted = parts.join(todo, [run, "line_no"], "left_semi").withColumn("_page", F.struct(run, "line_no"))
+    pages = stored(snapshot.inline(snapshot.gather_parts(wanted.drop(run, "line_no"), "_page"), theme, strip_patterns).select(
+        F.col("_page")[run].alias(run), F.col("_page")["line_no"].alias("line_no"), "page_html", F.col("error").alias("part_error")), "made")
+    taken = captures.join(pages.select(run, "line_no", "part_error", F.lit(True).alias("_made")), [run, "line_no"], "left")
+    error = F.coalesce("capture_error", "part_error", F.when(F.col("_made").isNull(), "no snapshot"))
+    done = finish(planned, taken.select(run, "line_no", "page_title", error.alias("capture_error")), run, on="line_no")
+    numbers = planned.select(run, "line_no", "index")
+    done = stored(done.join(numbers, [run, "index"]), "entries")
+    named = done.filter("status = 'ok'").select(run, "line_no", "file")
+    pages.join(named, [run, "line_no"]).select(run, "file", "page_html").write.parquet(f"{path}/pages")
+    manifest_json(done, run, "index").write.partitionBy(run).json(f"{path}/manifest")
+    write_index(index_page(done, run, theme or "dark"), f"{path}/index", run)
+    return runs.join(run_stats(done, run), run, "left").select(run, "n_urls", "n_ok", "n_fail", "error")

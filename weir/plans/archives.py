@@ -27,6 +27,15 @@ from (select p.list, p.line_no, p.index, p.section, p.url, p.title, p.file,
     coalesce(nullif(p.title, ''), nullif(t.title, ''), p.url) as full_title
   from v_planned p join (select page_id, {TITLE_SQL} as title from @pages) t on t.page_id = p.line_no)
 """
+VIEWS["v_finished_run"] = f"""
+select list, line_no, index, section, url, status, case status when 'skip' then file when 'fail' then '' else {PREFIX} || '-' || {SAFE_SQL.format('full_title')} || '.html' end as file,
+  case when status = 'fail' then case line_no % 10 when 7 then 'no capture' when 9 then 'timeout' when 8 then 'no main html part' else 'no snapshot' end end as error
+from (select p.list, p.line_no, p.index, p.section, p.url, p.file,
+    case when p.status = 'skip' then 'skip' when p.line_no % 10 in (6, 7, 8, 9) then 'fail' else 'ok' end as status,
+    coalesce(nullif(p.title, ''), nullif(t.title, ''), p.url) as full_title
+  from v_planned p join (select page_id, {TITLE_SQL} as title from @pages) t on t.page_id = p.line_no
+  where cast(substr(p.list, 5) as integer) % 3 = 0)
+"""
 
 
 def _entries(spark, sf):
@@ -36,13 +45,16 @@ def _entries(spark, sf):
 LIST = "'list' || cast(cast(floor(page_id / 100) as bigint) as string) as list"
 
 
-def _planned(spark, sf):
-    """Entries next to an output folder that holds every fourth number, every eighth twice."""
-    existing = spark_sql(spark, sf, f"""
+def _existing(spark, sf):
+    """An output folder that holds every fourth number, every eighth twice."""
+    return spark_sql(spark, sf, f"""
         select list, explode(array('x' || prefix || '-note.html', prefix || '-old ' || n || '.html',
           if(n % 8 = 0, prefix || '-a-b.html', prefix || '-older.txt'))) as file
         from (select {LIST}, page_id % 100 + 1 as n, format_string('%03d', page_id % 100 + 1) as prefix from @pages) where n % 4 = 0""")
-    return archive.resume(_entries(spark, sf), existing)
+
+
+def _planned(spark, sf):
+    return archive.resume(_entries(spark, sf), _existing(spark, sf))
 
 
 def _finished(spark, sf):
@@ -112,3 +124,32 @@ def archive_index(spark, sf):
     stored = fresh_path(spark, "run")
     _finished(spark, sf).write.parquet(stored)
     return archive.index_page(spark.read.parquet(stored)).sort("list", "section_pos", "line_pos")
+
+
+# Of every three lists one holds an address that is refused, and one has no addresses at all.
+BARE = "regexp_replace(html, '(?is)<script.*?</script>', ''{g})"
+
+
+@query("archive_run", f"""
+select 'entry' as kind, f.list, f.index, f.file, f.status, case when f.status = 'ok' then length({BARE.format(g=", 'g'")}) end as n_chars, f.error
+from v_finished_run f join @pages p on p.page_id = f.line_no
+union all select 'run', list, null, null, null, null, case cast(substr(list, 5) as integer) % 3 when 1 then '1 addresses refused' when 2 then 'no URLs found' end
+from (select distinct list from v_urllist)
+""")
+def archive_run(spark, sf):
+    """URL lists from their lines to pages, manifest and index; what each run and each entry came to."""
+    number = F.substr("list", F.lit(5)).cast("int") % 3
+    lines = view(spark, sf, "v_urllist").withColumn("line", F.when((number == 1) & (F.col("line_no") % 100 == 5), "http://x.localhost/")
+                                                    .when(number == 2, "# nothing here").otherwise(F.col("line")))
+    captures = spark_sql(spark, sf, f"select {LIST}, page_id as line_no, html from @pages where page_id % 10 <> 7").select(
+        "list", "line_no", html.page_title(F.col("html")).alias("page_title"), F.when(F.col("line_no") % 10 == 9, "timeout").alias("capture_error"))
+    parts = spark_sql(spark, sf, f"""select {LIST}, page_id as line_no, 1 as part_no, 'main' as location, if(page_id % 10 = 8, 'text/plain', 'text/html') as content_type,
+        encode({BARE.format(g='')}, 'UTF-8') as data from @pages where page_id % 10 <> 6""")
+    path = fresh_path(spark, "archive")
+    runs = archive.archive_run(lines, _existing(spark, sf), captures, parts, path, theme=None)
+    pages = spark.read.parquet(f"{path}/pages").select("list", "file", F.length("page_html").alias("n_chars"))
+    entries = spark.read.parquet(f"{path}/entries").join(pages, ["list", "file"], "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    return entries.select(F.lit("entry").alias("kind"), "list", "index", "file", "status", "n_chars", "error").unionByName(runs.select(
+        F.lit("run").alias("kind"), "list", none("bigint").alias("index"), none("string").alias("file"), none("string").alias("status"),
+        none("int").alias("n_chars"), "error"))
