@@ -1,6 +1,9 @@
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from weir.llm import near_duplicates as module
@@ -101,3 +104,40 @@ def test_crowd_of_one_template(spark, own):
     rows = [(i, " ".join(shared + [f"o{i // 2 if i < 20 else i}x{j}" for j in range(own)])) for i in range(150)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)
+
+
+def test_a_crowd_around_one_text_makes_few_pairs(spark, monkeypatch):
+    """Copies with one, two or three changed words, within the limit of their source but not of each other: linked through it, not pair by pair."""
+    pick, base = random.Random(4), [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        words, at = list(base), pick.randrange(5, 140)
+        for j, place in enumerate([at, pick.randrange(5, 140)][:1 + i % 2] if i % 3 else [at, at + 1, at + 2]):
+            words[place] = f"n{i}x{j}"
+        rows.append((i, " ".join(words)))
+    tried = []
+
+    def counted(*args):
+        tried.append(module.written(plain(*args), "tried"))
+        return tried[-1]
+
+    plain = module.shingle_pairs
+    monkeypatch.setattr(module, "shingle_pairs", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert sum(t.count() for t in tried) < 4 * len(rows)
+
+
+def test_counting_takes_many_signatures_at_a_time():
+    """One pass over the counters for a batch, not one for each signature."""
+    sigs = pa.array([np.arange(64, dtype=np.uint32).tobytes()] * 5000)
+    assert [len(x) for x in module._all_coordinates(sigs)] == [4096 * 64, 904 * 64]
+
+
+def test_likely_rows_hold_all_wanted(spark):
+    rows = spark.range(20_000).selectExpr("id", "if(id % 7 = 0, null, id * 3) as h", "'t' as text")
+    wanted = spark.range(0, 20_000, 40).selectExpr("id", "id * 3 as h", "1 as node")
+    got = module.likely(rows, wanted, ["id", "h"])
+    assert got.columns == rows.columns and got.count() < 700
+    assert got.join(wanted, ["id", "h"]).count() == rows.join(wanted, ["id", "h"]).count()
+    assert module.likely(rows, wanted.where("false"), ["id", "h"]).count() == 0

@@ -7,7 +7,8 @@
    table of ``CELLS`` counters, so that long lists are skipped wherever shorter ones decide.
 3. Every list first links its members to one leader, the member met most often; members that are
    connected this way need no pair of their own. Members of lists that still hold several
-   components are posted once more, under the rarest of their shingles, and joined there by
+   components are posted once more, under the rarest of their shingles. Crowded lists of these have a leader
+   again, so that copies of one text are linked through it; then members of different components are joined by
    prefix, position and shared count: a text with too many shingles of its own meets nobody, so that a crowd of
    copies below the limit does not become a crowd of pairs.
 4. A pair with a leader is dropped if the signatures agree in fewer than ``matches`` places; all
@@ -33,8 +34,11 @@ from weir.llm.shingles import Signer, overlap, shingle_sets, tokens
 
 CELLS = 1 << 18
 
+#: Bytes of text that a task takes apart at a time; it needs about 60 times that.
+TEXT_AT_ONCE = 1 << 20
 
-TEXT_AT_ONCE = 4 << 20
+#: A list with more members than this is crowded: a leader goes first there.
+CROWD = 8
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -99,6 +103,12 @@ def _coordinates(sig: bytes) -> np.ndarray:
     return tokens(np.frombuffer(sig, np.uint32))
 
 
+def _all_coordinates(sigs: pa.Array) -> Iterator[np.ndarray]:
+    """Coordinates of many signatures at a time: counting them takes a pass over all counters."""
+    for at in range(0, len(sigs), 4096):
+        yield np.concatenate([_coordinates(x.as_py()) for x in sigs.slice(at, 4096)])
+
+
 def postings(classes: DataFrame, table: np.ndarray, matches: int) -> DataFrame:
     """(token, node, n): each class under the rarest k - matches + 1 of its coordinate-value pairs."""
     shared = classes.sparkSession.sparkContext.broadcast(table)
@@ -118,23 +128,40 @@ def postings(classes: DataFrame, table: np.ndarray, matches: int) -> DataFrame:
     return classes.select("node", "n", "sig").mapInArrow(post, "token long, node long, n long")
 
 
-def shingle_pairs(members: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs (a, b) of members (node, part) of different parts that can reach ``percent``: they share a
-    shingle among the rarest ``100 - percent`` % of both, at places that leave enough to share, and
-    enough of these rare shingles altogether. No pair that reaches it is left out."""
-    rows = written(members.join(texts, "node").select("node", "part", "text"), "members")
+def prefixes(members: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(node, n, rare) of the distinct members: size of the shingle set, and the rarest ``100 - percent`` % of it."""
+    rows = written(members.select("node").distinct().join(texts, "node").select("node", "text"), "members")
     shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows.select("text"), lambda texts: (values for _, values, _, _ in _sets(texts, size))))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
         for batch in batches:
-            sets = [values[a:b] for _, values, edges, _ in _sets(batch.column(2), size) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            sets = [values[a:b] for _, values, edges, _ in _sets(batch.column(1), size) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
             rare = [_rarest(t, count, len(t) + percent * len(t) // -100 + 1).view(np.int64) for t in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
-                                             ["node", "part", "n", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["node", "n", "rare"])
+
+    return written(rows.mapInArrow(first, "node long, n long, rare array<long>"), "prefixes")
+
+
+def crowd_leaders(members: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (node, part) of different parts: in every crowded list of a rare shingle, the member with most
+    such lists against all others. A text that others were made of has no shingles of its own, so it is in most lists."""
+    posted = rare.join(members, "node").select("node", "part", "n", F.explode("rare").alias("token"))
+    crowded = posted.groupBy("token").agg(F.count("*").alias("met"), F.min("part").alias("x"), F.max("part").alias("y")).where(
+        (F.col("met") > CROWD) & (F.col("x") != F.col("y"))).select("token")
+    lists = written(posted.join(crowded, "token"), "crowded")
+    degree = lists.groupBy("node").agg(F.count("*").alias("degree"))
+    leaders = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n", "part")).alias("lead")).select(
+        "token", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.part").alias("part_a"))
+    close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
+    return lists.join(leaders, "token").where(close & (F.col("part_a") != F.col("part"))).select("a", F.col("node").alias("b")).distinct()
+
 
-    prefixes = written(rows.mapInArrow(first, "node long, part long, n long, rare array<long>"), "prefixes")
-    posted = prefixes.select("node", "part", "n", F.posexplode("rare").alias("at", "token"))
+def shingle_pairs(members: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (node, part) of different parts that can reach ``percent``: they share a
+    shingle among their rarest (``rare``: ``prefixes``), at places that leave enough to share, and
+    enough of these rare shingles altogether. No pair that reaches it is left out."""
+    posted = rare.join(members, "node").select("node", "part", "n", F.posexplode("rare").alias("at", "token"))
     # The smaller text of a pair shares at least what two texts of its size must: it is indexed under fewer shingles. So
     # texts of one template that stay below the limit, each with enough of its own, do not meet under the template's shingles.
     left = posted.where(F.expr(f"at <= n * {100 - percent} div {100 + percent}")).select(
@@ -144,13 +171,21 @@ def shingle_pairs(members: DataFrame, texts: DataFrame, percent: int, size: int)
     smaller = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("a") < F.col("node")))
     met = posted.join(left, "token").where(smaller & (F.col("part_a") != F.col("part")) & close & reach).select("a", F.col("node").alias("b")).distinct()
     # What both prefixes share and all that lies behind one of them is the most that two sets can share.
-    side = prefixes.select("node", "n", "rare")
-    both = met.join(side.toDF("a", "n_a", "rare_a"), "a").join(side.toDF("b", "n_b", "rare_b"), "b")
+    both = met.join(rare.toDF("a", "n_a", "rare_a"), "a").join(rare.toDF("b", "n_b", "rare_b"), "b")
     behind = F.greatest(F.col("n_a") - F.size("rare_a"), F.col("n_b") - F.size("rare_b"))
     most = F.size(F.array_intersect("rare_a", "rare_b")) + behind
     return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Those of ``rows`` whose keys may be in ``wanted``, before they are shuffled: all that are, and a share of the others that
+    grows with ``wanted`` (a quarter at five million). The bits stand in a table of at most ``CELLS`` rows."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(CELLS * 64))
+    at = {"__cell": F.shiftright(place, 6), "__bit": place.bitwiseAND(63).cast("int")}
+    cells = wanted.withColumns(at).groupBy("__cell").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    return rows.withColumns(at).join(F.broadcast(cells), "__cell").where(F.getbit("__bits", F.col("__bit")) == 1).select(*rows.columns)
+
+
 def agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree in at least ``matches`` places."""
 
@@ -231,16 +266,16 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     all_rows = written(signatures(docs, doc_id, text, k, size, keep), "signatures")
     some = all_rows.where("node is not null and doc_id is not null")
     classes = written(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    posted = postings(classes, frequencies(classes.select("sig"), lambda sigs: (_coordinates(x.as_py()) for x in sigs)), matches)
+    posted = postings(classes, frequencies(classes.select("sig"), _all_coordinates), matches)
     sizes = posted.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
     lists = written(posted.join(sizes, "token"), "lists")
     degree = lists.groupBy("node").agg(F.sum("met").alias("degree"))
     # Only members of shared lists can be in a pair: their texts are fetched once.
-    wanted = degree.join(classes, "node").select("node", "first.doc_id", "first.text_hash")
+    wanted = written(degree.join(classes, "node").select("node", "first.doc_id", "first.text_hash"), "wanted")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
     # Equal rows are one text, however often they come: the few that do are met by their (id, hash) alone.
     again = some.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id", "text_hash", F.lit(True).alias("again"))
-    found = source.join(wanted.join(again, ["doc_id", "text_hash"], "left"), ["doc_id", "text_hash"])
+    found = likely(source, wanted, ["doc_id", "text_hash"]).join(wanted.join(again, ["doc_id", "text_hash"], "left"), ["doc_id", "text_hash"])
     texts = written(found.where("again is null").select("node", "text").unionByName(
         found.where("again").select("node", "text").dropDuplicates(["node"])), "texts")
     leaders = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n")).alias("lead")).select(
@@ -253,8 +288,15 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     # The leader has met every member of its list; what is left are pairs of other members.
     member = led.where(F.col("a") != F.col("node")).join(found, "node", "left").select("token", "node", F.coalesce("label", "node").alias("part"))
     mixed = member.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    rest = shingle_pairs(member.join(mixed, "token").select("node", "part").distinct(), texts, percent, size)
-    rest = rest.join(star.toDF("b", "a"), ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
+    members = written(member.join(mixed, "token").select("node", "part").distinct(), "mixed")
+    rare = prefixes(members, texts, percent, size)
+    crowd = written(crowd_leaders(members, rare, percent), "crowd")
+    links = links.union(written(confirmed(crowd, texts, percent, size), "links"))
+    found = components(links)
+    members = members.drop("part").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("part"))
+    tried = star.union(crowd)
+    rest = shingle_pairs(members, rare, percent)
+    rest = rest.join(tried.toDF("b", "a"), ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
     more = written(confirmed(rest, texts, percent, size), "links")
     found = components(links.union(more))
     labelled = classes.join(found, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
