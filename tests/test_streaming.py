@@ -4,6 +4,7 @@ from weir.operators import reading
 from weir.operators.inbox import first_wins
 from weir.plans.records import inbox_records
 from weir.plans.landed import view
+from weir.plans import reads, streams
 from weir.plans.reads import landed_requests
 from weir.sinks.store import InboxStore
 from weir.streaming import ingest
@@ -102,3 +103,23 @@ def test_late_rows_go_to_their_own_table(spark, tmp_path):
         assert kept | late == want and not kept & late and late
         if number == 0:
             assert late == {"f"} | ({"e"} - kept) and spark.read.parquet(str(root / "out" / "late")).where("id = 'd'").count() == 1
+
+
+def _many_files(spark, tmp_path, monkeypatch):
+    """A folder whose documents lie in 12 files, and the working folder of the next query over it."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs.repartition(12).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    for name in ("labels", "pages", "events", "conversations"):
+        (tmp_path / "in" / f"{name}.parquet").symlink_to(f"{FOLDER}/{name}.parquet")
+    for module in (reads, streams):
+        monkeypatch.setattr(module, "fresh_path", lambda spark, label: str(tmp_path / "work"))
+    return str(tmp_path / "in")
+
+
+def test_requests_land_in_many_files_and_the_first_wins(spark, tmp_path, monkeypatch):
+    folder = _many_files(spark, tmp_path, monkeypatch)
+    got = sorted(map(str, reads.stream_read(spark, folder).collect()))
+    assert len(list((tmp_path / "work" / "landed").glob("part-*"))) > 12
+    assert len(list((tmp_path / "work" / "errors").glob("batch=*"))) == 3
+    monkeypatch.setattr(reads, "fresh_path", lambda spark, label: str(tmp_path / "batch"))
+    assert got == sorted(map(str, reads.read_inbox(spark, folder).collect()))

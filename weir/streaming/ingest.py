@@ -38,9 +38,11 @@ def run_inbox(records: DataFrame, store: InboxStore, markdown_path: str | None,
     )
 
 
-def requests(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
-    """Landed requests (``reading.REQUEST_DDL``, parquet) as a stream of about ``max_bytes`` of files per trigger, oldest first."""
-    return spark.readStream.schema(reading.REQUEST_DDL).option("maxBytesPerTrigger", max_bytes).parquet(path)
+def requests(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Landed requests (``reading.REQUEST_DDL``, parquet) as a stream of about ``max_bytes`` of files per trigger (all that
+    have landed, if None), oldest first."""
+    stream = spark.readStream.schema(reading.REQUEST_DDL)
+    return (stream if max_bytes is None else stream.option("maxBytesPerTrigger", max_bytes)).parquet(path)
 
 
 def run_reading(asked: DataFrame, as_of: str, store: InboxStore, log: str | None, errors: str, checkpoint: str) -> StreamingQuery:
