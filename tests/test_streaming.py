@@ -116,6 +116,15 @@ def _many_files(spark, tmp_path, monkeypatch):
     return str(tmp_path / "in")
 
 
+def test_drops_land_in_many_files_and_are_one_batch_each(spark, tmp_path, monkeypatch):
+    """No task writes or reads a whole drop."""
+    folder = _many_files(spark, tmp_path, monkeypatch)
+    got = {r["id"] for r in streams.stream_inbox_wm(spark, folder).collect()}
+    assert got == {r["id"] for r in inbox_records(view(spark, FOLDER, "v_inbox")).select("id").collect()}
+    assert len(list((tmp_path / "work" / "landed").glob("part-*"))) > 12
+    assert len(list((tmp_path / "work" / "out" / "marks").glob("batch=*"))) == 3
+
+
 def test_requests_land_in_many_files_and_the_first_wins(spark, tmp_path, monkeypatch):
     folder = _many_files(spark, tmp_path, monkeypatch)
     got = sorted(map(str, reads.stream_read(spark, folder).collect()))

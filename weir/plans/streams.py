@@ -42,13 +42,16 @@ def stream_inbox(spark, sf):
 
 @query("stream_inbox_wm", "select distinct id from v_records")
 def stream_inbox_wm(spark, sf):
-    """Bounded de-duplication over files that land with the latest days first: kept and late ids together are all ids."""
+    """Bounded de-duplication over files that land with the latest days first: kept and late ids together are all ids.
+
+    Each drop lands as many files as its tasks write and is drained as one micro-batch before the next one lands.
+    """
     root = fresh_path(spark, "stream")
     rows = inbox_records(view(spark, sf, "v_inbox")).select("id", F.to_timestamp(F.concat("fetched_at", F.lit("Z"))).alias("at"))
     for first, last in ((19, 28), (10, 18), (1, 9)):
-        rows.filter(F.dayofmonth("at").between(first, last)).coalesce(1).write.mode("append").parquet(f"{root}/landed")
-    timed = spark.readStream.schema("id string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
-    ingest.run_dedup(timed, f"{root}/out", f"{root}/checkpoint", delay="3 days").awaitTermination()
+        rows.filter(F.dayofmonth("at").between(first, last)).write.mode("append").parquet(f"{root}/landed")
+        timed = spark.readStream.schema("id string, at timestamp").parquet(f"{root}/landed")
+        ingest.run_dedup(timed, f"{root}/out", f"{root}/checkpoint", delay="3 days").awaitTermination()
     kept, late = ingest.read_dedup(spark, f"{root}/out", "id string, at timestamp")
     return kept.unionByName(late)
 
