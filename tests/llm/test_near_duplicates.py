@@ -141,3 +141,11 @@ def test_likely_rows_hold_all_wanted(spark):
     assert got.columns == rows.columns and got.count() < 700
     assert got.join(wanted, ["id", "h"]).count() == rows.join(wanted, ["id", "h"]).count()
     assert module.likely(rows, wanted.where("false"), ["id", "h"]).count() == 0
+
+
+def test_only_texts_of_pairs_are_shuffled_to_be_confirmed(spark):
+    texts = spark.range(5000).selectExpr("id as node", "cast(concat_ws(' ', 'a b c d e', if(id < 3, 'x', string(id))) as binary) as text")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (3, 4)], "a long, b long")
+    got = module.confirmed(pairs, texts, 85, 5)
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (1, 2)]
+    assert "__cell" in got._jdf.queryExecution().executedPlan().toString()

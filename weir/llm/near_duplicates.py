@@ -130,7 +130,7 @@ def postings(classes: DataFrame, table: np.ndarray, matches: int) -> DataFrame:
 
 def prefixes(members: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """(node, n, rare) of the distinct members: size of the shingle set, and the rarest ``100 - percent`` % of it."""
-    rows = written(members.select("node").distinct().join(texts, "node").select("node", "text"), "members")
+    rows = written(members.select("node").distinct().join(likely(texts, members, ["node"]), "node").select("node", "text"), "members")
     shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows.select("text"), lambda texts: (values for _, values, _, _ in _sets(texts, size))))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
                     keep.append(100 * common >= percent * (len(one) + y - x - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    t = texts.select("node", "text")
+    pairs = written(pairs, "pairs")
+    ids = pairs.select("a").union(pairs.select("b")).toDF("node")
+    t = likely(texts.select("node", "text"), ids, ["node"])
     both = pairs.join(t.toDF("b", "text_b"), "b").join(t.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(test, "a long, b long")
 
