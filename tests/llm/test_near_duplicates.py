@@ -149,3 +149,20 @@ def test_only_texts_of_pairs_are_shuffled_to_be_confirmed(spark):
     got = module.confirmed(pairs, texts, 85, 5)
     assert sorted(map(tuple, got.collect())) == [(0, 1), (1, 2)]
     assert "__cell" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_fetched_for_pairs_that_agree_only(spark, monkeypatch):
+    """Two texts that share half of their words meet in lists, but their signatures differ: no text of theirs is kept aside."""
+    rows = [(i, " ".join([f"s{i // 2}x{j}" for j in range(60)] + [f"o{i}x{j}" for j in range(60)])) for i in range(60)]
+    rows += [(100, " ".join(f"c{j}" for j in range(100))), (101, " ".join(f"c{j}" for j in range(101)))]
+    aside, plain = [], module.written
+
+    def counted(df, label):
+        made = plain(df, label)
+        aside.append(made.count() if "text" in made.columns else 0)
+        return made
+
+    monkeypatch.setattr(module, "written", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert sum(aside) <= 2

@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,50 +128,62 @@ def postings(classes: DataFrame, table: np.ndarray, matches: int) -> DataFrame:
     return classes.select("node", "n", "sig").mapInArrow(post, "token long, node long, n long")
 
 
-def prefixes(members: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(node, n, rare) of the distinct members: size of the shingle set, and the rarest ``100 - percent`` % of it."""
-    rows = written(members.select("node").distinct().join(likely(texts, members, ["node"]), "node").select("node", "text"), "members")
+def fetched(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of ``source``, once a node, for the nodes of ``wanted`` and few others. However often a text is
+    repeated, a task passes it on once."""
+    return likely(source, wanted, ["node"]).dropDuplicates(["node"])
+
+
+def prefixes(texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(node, part, n, rare) of texts (node, part, text): size of the shingle set, and the rarest ``100 - percent`` % of it."""
+    rows = texts.select("node", "part", "text")
     shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows.select("text"), lambda texts: (values for _, values, _, _ in _sets(texts, size))))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
         for batch in batches:
-            sets = [values[a:b] for _, values, edges, _ in _sets(batch.column(1), size) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            sets = [values[a:b] for _, values, edges, _ in _sets(batch.column(2), size) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
             rare = [_rarest(t, count, len(t) + percent * len(t) // -100 + 1).view(np.int64) for t in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["node", "n", "rare"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(t) for t in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["node", "part", "n", "rare"])
+
+    return written(rows.mapInArrow(first, "node long, part long, n long, rare array<long>"), "prefixes")
 
-    return written(rows.mapInArrow(first, "node long, n long, rare array<long>"), "prefixes")
 
+def rare_lists(rare: DataFrame) -> DataFrame:
+    """(token, at, node, part, n, met) of ``prefixes``: their shingles that members of different parts share, the place in
+    the prefix and the length of the list. Most rare shingles are of one text or one part: they make no pair."""
+    token = Window.partitionBy("token")
+    posted = rare.select("node", "part", "n", F.posexplode("rare").alias("at", "token")).withColumns(
+        {"met": F.count("*").over(token), "x": F.min("part").over(token), "y": F.max("part").over(token)})
+    return written(posted.where("x <> y").select("token", "at", "node", "part", "n", "met"), "shared")
 
-def crowd_leaders(members: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (node, part) of different parts: in every crowded list of a rare shingle, the member with most
+
+def crowd_leaders(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different parts: in every crowded list of a rare shingle (``rare_lists``), the member with most
     such lists against all others. A text that others were made of has no shingles of its own, so it is in most lists."""
-    posted = rare.join(members, "node").select("node", "part", "n", F.explode("rare").alias("token"))
-    crowded = posted.groupBy("token").agg(F.count("*").alias("met"), F.min("part").alias("x"), F.max("part").alias("y")).where(
-        (F.col("met") > CROWD) & (F.col("x") != F.col("y"))).select("token")
-    lists = written(posted.join(crowded, "token"), "crowded")
-    degree = lists.groupBy("node").agg(F.count("*").alias("degree"))
-    leaders = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n", "part")).alias("lead")).select(
-        "token", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.part").alias("part_a"))
-    close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
-    return lists.join(leaders, "token").where(close & (F.col("part_a") != F.col("part"))).select("a", F.col("node").alias("b")).distinct()
+    crowded = lists.where(F.col("met") > CROWD).withColumn("degree", F.count("*").over(Window.partitionBy("node")))
+    led = crowded.withColumn("lead", F.max(F.struct("degree", "node", "n", "part")).over(Window.partitionBy("token")))
+    close = 100 * F.least("lead.n", "n") >= percent * F.greatest("lead.n", "n")
+    return led.where(close & (F.col("lead.part") != F.col("part"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def shingle_pairs(members: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (node, part) of different parts that can reach ``percent``: they share a
-    shingle among their rarest (``rare``: ``prefixes``), at places that leave enough to share, and
+def shingle_pairs(lists: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different parts that can reach ``percent``: they share a shingle among their
+    rarest (``lists``: ``rare_lists`` of ``rare``), at places that leave enough to share, and
     enough of these rare shingles altogether. No pair that reaches it is left out."""
-    posted = rare.join(members, "node").select("node", "part", "n", F.posexplode("rare").alias("at", "token"))
     # The smaller text of a pair shares at least what two texts of its size must: it is indexed under fewer shingles. So
     # texts of one template that stay below the limit, each with enough of its own, do not meet under the template's shingles.
-    left = posted.where(F.expr(f"at <= n * {100 - percent} div {100 + percent}")).select(
+    left = lists.where(F.expr(f"at <= n * {100 - percent} div {100 + percent}")).select(
         "token", F.col("at").alias("at_a"), F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
     close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
     reach = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= percent * (F.col("n_a") + F.col("n"))
     smaller = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("a") < F.col("node")))
-    met = posted.join(left, "token").where(smaller & (F.col("part_a") != F.col("part")) & close & reach).select("a", F.col("node").alias("b")).distinct()
+    met = lists.join(left, "token").where(smaller & (F.col("part_a") != F.col("part")) & close & reach).select("a", F.col("node").alias("b")).distinct()
+    met = written(met, "met")
     # What both prefixes share and all that lies behind one of them is the most that two sets can share.
-    both = met.join(rare.toDF("a", "n_a", "rare_a"), "a").join(rare.toDF("b", "n_b", "rare_b"), "b")
+    rare = rare.select("node", "n", "rare")
+    sides = [likely(rare, met.select(F.col(x).alias("node")), ["node"]).toDF(x, f"n_{x}", f"rare_{x}") for x in ("a", "b")]
+    both = met.join(sides[0], "a").join(sides[1], "b")
     behind = F.greatest(F.col("n_a") - F.size("rare_a"), F.col("n_b") - F.size("rare_b"))
     most = F.size(F.array_intersect("rare_a", "rare_b")) + behind
     return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
@@ -196,7 +208,8 @@ def agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sig = classes.select("node", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    sides = [likely(sig, pairs.select(F.col(x).alias("node")), ["node"]).toDF(x, f"sig_{x}") for x in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b")
     return both.mapInArrow(test, "a long, b long")
 
 
@@ -267,42 +280,42 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     """
     all_rows = written(signatures(docs, doc_id, text, k, size, keep), "signatures")
     some = all_rows.where("node is not null and doc_id is not null")
-    classes = written(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    # From here on a class is named by its first document: a name that every row of ``docs`` can tell, so texts are fetched by it.
+    classes = written(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")).select(
+        F.col("node").alias("class"), F.xxhash64("first.doc_id", "first.text_hash").alias("node"), "first", "n", "sig"), "classes")
+    source = docs.where(F.col(doc_id).cast("long").isNotNull()).select(
+        F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("node"), F.col(text).cast("binary").alias("text"))
+    token = Window.partitionBy("token")
     posted = postings(classes, frequencies(classes.select("sig"), _all_coordinates), matches)
-    sizes = posted.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
-    lists = written(posted.join(sizes, "token"), "lists")
-    degree = lists.groupBy("node").agg(F.sum("met").alias("degree"))
-    # Only members of shared lists can be in a pair: their texts are fetched once.
-    wanted = written(degree.join(classes, "node").select("node", "first.doc_id", "first.text_hash"), "wanted")
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
-    # Equal rows are one text, however often they come: the few that do are met by their (id, hash) alone.
-    again = some.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id", "text_hash", F.lit(True).alias("again"))
-    found = likely(source, wanted, ["doc_id", "text_hash"]).join(wanted.join(again, ["doc_id", "text_hash"], "left"), ["doc_id", "text_hash"])
-    texts = written(found.where("again is null").select("node", "text").unionByName(
-        found.where("again").select("node", "text").dropDuplicates(["node"])), "texts")
-    leaders = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n")).alias("lead")).select(
-        "token", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"))
+    lists = written(posted.withColumn("met", F.count("*").over(token)).where("met > 1"), "lists")
+    degree = lists.withColumn("degree", F.sum("met").over(Window.partitionBy("node")))
+    led = written(degree.withColumn("lead", F.max(F.struct("degree", "node", "n")).over(token)).where(F.col("lead.node") != F.col("node")).select(
+        "token", "met", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a")), "led")
     close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
-    led = lists.join(leaders, "token")
-    star = led.where(close & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
-    links = written(confirmed(agreeing(star, classes, matches), texts, percent, size), "links")
+    star = written(led.where(close).select("a", F.col("node").alias("b")).distinct(), "star")
+    agreed = written(agreeing(star, classes, matches), "agreed")
+    texts = fetched(source, agreed.select("a").union(agreed.select("b")).toDF("node"))
+    links = written(confirmed(agreed, texts, percent, size), "links")
     found = components(links)
     # The leader has met every member of its list; what is left are pairs of other members.
-    member = led.where(F.col("a") != F.col("node")).join(found, "node", "left").select("token", "node", F.coalesce("label", "node").alias("part"))
-    mixed = member.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    members = written(member.join(mixed, "token").select("node", "part").distinct(), "mixed")
-    rare = prefixes(members, texts, percent, size)
-    crowd = written(crowd_leaders(members, rare, percent), "crowd")
+    member = led.where("met > 2").join(found, "node", "left").select("token", "node", F.coalesce("label", "node").alias("part"))
+    mixed = member.withColumns({"x": F.min("part").over(token), "y": F.max("part").over(token)}).where("x <> y")
+    members = written(mixed.select("node", "part").distinct(), "mixed")
+    texts = written(fetched(source, members).join(members, "node").select("node", "part", "text"), "members")
+    rare = prefixes(texts, percent, size)
+    shared = rare_lists(rare)
+    crowd = written(crowd_leaders(shared, percent), "crowd")
     links = links.union(written(confirmed(crowd, texts, percent, size), "links"))
     found = components(links)
-    members = members.drop("part").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("part"))
+    shared = shared.drop("part").join(found, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
     tried = star.union(crowd)
-    rest = shingle_pairs(members, rare, percent)
+    rest = shingle_pairs(shared, rare, percent)
     rest = rest.join(tried.toDF("b", "a"), ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
     more = written(confirmed(rest, texts, percent, size), "links")
     found = components(links.union(more))
-    labelled = classes.join(found, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("lead"))
-    by_node = labelled.join(smallest, "label").select("node", F.col("lead.doc_id").alias("component_id"), F.col("lead.text_hash").alias("lead_hash"))
+    firsts = classes.select("class", "node", "first")
+    smallest = likely(firsts, found, ["node"]).join(found, "node").groupBy("label").agg(F.min("first").alias("lead"))
+    by_node = firsts.join(found.join(smallest, "label").select("node", "lead"), "node", "left").withColumn("lead", F.coalesce("lead", "first")).select(
+        F.col("class").alias("node"), F.col("lead.doc_id").alias("component_id"), F.col("lead.text_hash").alias("lead_hash"))
     return all_rows.drop("sig").join(by_node, "node", "left").withColumn(
         "leads", F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("lead_hash")), F.lit(False))).drop("lead_hash", "node")
