@@ -166,3 +166,15 @@ def test_texts_are_fetched_for_pairs_that_agree_only(spark, monkeypatch):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
     assert sum(aside) <= 2
+
+
+def test_counters_reach_the_driver_as_columns(spark, monkeypatch):
+    """A quarter of a million counters: no Python object for each."""
+    def collect(df):
+        raise AssertionError("rows as Python objects")
+
+    values = spark.createDataFrame([(np.arange(i, i + 64, dtype=np.uint32).tobytes(),) for i in range(40)], "sig binary")
+    monkeypatch.setattr(type(values), "collect", collect)
+    table = module.frequencies(values, module._all_coordinates)
+    assert len(table) == module.CELLS and table.sum() == 40 * 64
+    assert module.frequencies(values.where("false"), module._all_coordinates).sum() == 0
