@@ -178,3 +178,24 @@ def test_counters_reach_the_driver_as_columns(spark, monkeypatch):
     table = module.frequencies(values, module._all_coordinates)
     assert len(table) == module.CELLS and table.sum() == 40 * 64
     assert module.frequencies(values.where("false"), module._all_coordinates).sum() == 0
+
+
+def test_few_links_take_few_tasks(spark):
+    """Small results are written and read by few tasks, however many partitions a shuffle has."""
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    links = module.written(spark.range(1, 10).selectExpr("id as a", "id + 1 as b"), "chain")
+    context = spark.sparkContext
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("chain", "components of a chain")
+    try:
+        labels = module.components(links).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("chain") for s in tracker.getJobInfo(j).stageIds]
+    assert {(r.node, r.label) for r in labels} == {(i, 1) for i in range(1, 11)}
+    assert sum(s.numCompletedTasks for s in stages if s) < 1000

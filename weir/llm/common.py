@@ -13,6 +13,9 @@ from weir.session import fresh_path
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+#: Tasks that even a small result is written by.
+FEWEST = 8
+
 
 def words(text: Column) -> Column:
     """Words of a text (runs of anything but white space); NULL and empty texts have none."""
@@ -22,10 +25,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(t, " "), "")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there."""
+def written(df: DataFrame, label: str, rows: int | None = None, each: int = 50_000) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there.
+
+    ``rows``: the most rows that ``df`` can have, if known. Its last step then takes a task for ``each`` of them, and ``FEWEST``
+    at least, instead of as many tasks and files as a shuffle has partitions, however little is in them.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(FEWEST, parts(rows, each)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

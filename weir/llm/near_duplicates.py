@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import written
+from weir.llm.common import parts, written
 from weir.llm.shingles import Signer, overlap, shingle_sets, tokens
 
 CELLS = 1 << 18
@@ -37,6 +37,9 @@ CELLS = 1 << 18
 #: Bytes of text that a task takes apart at a time; it needs about 60 times that.
 TEXT_AT_ONCE = 1 << 20
 
+#: Pairs (their texts or signatures), or texts, that a task takes at least, however many partitions a shuffle has.
+TEXTS_A_TASK = 500
+
 #: A list with more members than this is crowded: a leader goes first there.
 CROWD = 8
 
@@ -87,7 +90,7 @@ def frequencies(values: DataFrame, tokens_of: Callable[[pa.Array], Iterator[np.n
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    rows = values.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = values.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).coalesce(parts(CELLS, 1 << 14))
     table, found = np.zeros(CELLS, np.int64), rows.toArrow()  # at most CELLS rows, whatever the input; as columns, not as Python objects
     table[found["cell"].to_numpy()] = found["n"].to_numpy()
     return table
@@ -154,7 +157,8 @@ def rare_lists(rare: DataFrame) -> DataFrame:
     token = Window.partitionBy("token")
     posted = rare.select("node", "part", "n", F.posexplode("rare").alias("at", "token")).withColumns(
         {"met": F.count("*").over(token), "x": F.min("part").over(token), "y": F.max("part").over(token)})
-    return written(posted.where("x <> y").select("token", "at", "node", "part", "n", "met"), "shared")
+    most = rare.agg(F.sum(F.size("rare"))).first()[0] or 0
+    return written(posted.where("x <> y").select("token", "at", "node", "part", "n", "met"), "shared", most)
 
 
 def crowd_leaders(lists: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +189,7 @@ def shingle_pairs(lists: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
     both = met.join(sides[0], "a").join(sides[1], "b")
     behind = F.greatest(F.col("n_a") - F.size("rare_a"), F.col("n_b") - F.size("rare_b"))
     most = F.size(F.array_intersect("rare_a", "rare_b")) + behind
-    return both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return written(both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "near", met.count(), 5_000)
 
 
 def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,7 +197,7 @@ def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     grows with ``wanted`` (a quarter at five million). The bits stand in a table of at most ``CELLS`` rows."""
     place = F.pmod(F.xxhash64(*keys), F.lit(CELLS * 64))
     at = {"__cell": F.shiftright(place, 6), "__bit": place.bitwiseAND(63).cast("int")}
-    cells = wanted.withColumns(at).groupBy("__cell").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    cells = wanted.withColumns(at).groupBy("__cell").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")).coalesce(parts(CELLS, 1 << 14))
     return rows.withColumns(at).join(F.broadcast(cells), "__cell").where(F.getbit("__bits", F.col("__bit")) == 1).select(*rows.columns)
 
 
@@ -213,7 +217,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of the full shingle sets."""
+    """Pairs with 100 * intersection >= percent * union of the full shingle sets. ``pairs`` are read four times."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +234,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
                     keep.append(100 * common >= percent * (len(one) + y - x - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs, "pairs")
     ids = pairs.select("a").union(pairs.select("b")).toDF("node")
     t = likely(texts.select("node", "text"), ids, ["node"])
     both = pairs.join(t.toDF("b", "text_b"), "b").join(t.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
@@ -243,13 +246,14 @@ def components(links: DataFrame) -> DataFrame:
     Labels spread to neighbours, then each label is replaced by its own label, until nothing
     changes; every round is written to the shared folder.
     """
-    edges = written(links.union(links.select("b", "a")).toDF("node", "other").where("node <> other").distinct(), "edges")
+    edges = written(links.union(links.select("b", "a")).toDF("node", "other").where("node <> other").distinct(), "edges", 2 * links.count())
+    rows = edges.count()
     labels = edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
     while True:
         near = edges.join(labels.toDF("other", "l"), "other").groupBy("node").agg(F.min("l").alias("near"))
         spread = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.toDF("new", "jump")
-        after = written(spread.join(jump, "new").select("node", "label", F.least("new", "jump").alias("new")), "labels")
+        after = written(spread.join(jump, "new").select("node", "label", F.least("new", "jump").alias("new")), "labels", rows)
         changed = after.where("new <> label").limit(1).count()
         labels = after.select("node", F.col("new").alias("label"))
         if not changed:
@@ -281,36 +285,39 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     some = all_rows.where("node is not null and doc_id is not null")
     # From here on a class is named by its first document: a name that every row of ``docs`` can tell, so texts are fetched by it.
     classes = written(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")).select(
-        F.col("node").alias("class"), F.xxhash64("first.doc_id", "first.text_hash").alias("node"), "first", "n", "sig"), "classes")
+        F.col("node").alias("class"), F.xxhash64("first.doc_id", "first.text_hash").alias("node"), "first", "n", "sig"), "classes", some.count(), 5_000)
     source = docs.where(F.col(doc_id).cast("long").isNotNull()).select(
         F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("node"), F.col(text).cast("binary").alias("text"))
     token = Window.partitionBy("token")
     posted = postings(classes, frequencies(classes.select("sig"), _all_coordinates), matches)
-    lists = written(posted.withColumn("met", F.count("*").over(token)).where("met > 1"), "lists")
+    lists = written(posted.withColumn("met", F.count("*").over(token)).where("met > 1"), "lists", classes.count() * (k - matches + 1))
+    n_listed = lists.count()
     degree = lists.withColumn("degree", F.sum("met").over(Window.partitionBy("node")))
     led = written(degree.withColumn("lead", F.max(F.struct("degree", "node", "n")).over(token)).where(F.col("lead.node") != F.col("node")).select(
-        "token", "met", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a")), "led")
+        "token", "met", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a")), "led", n_listed)
     close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
-    star = written(led.where(close).select("a", F.col("node").alias("b")).distinct(), "star")
-    agreed = written(agreeing(star, classes, matches), "agreed")
+    star = written(led.where(close).select("a", F.col("node").alias("b")).distinct(), "star", n_listed)
+    agreed = written(agreeing(star, classes, matches), "agreed", star.count(), TEXTS_A_TASK)
     texts = fetched(source, agreed.select("a").union(agreed.select("b")).toDF("node"))
-    links = written(confirmed(agreed, texts, percent, size), "links")
+    links = written(confirmed(agreed, texts, percent, size), "links", agreed.count(), TEXTS_A_TASK)
     found = components(links)
     # The leader has met every member of its list; what is left are pairs of other members.
     member = led.where("met > 2").join(found, "node", "left").select("token", "node", F.coalesce("label", "node").alias("part"))
     mixed = member.withColumns({"x": F.min("part").over(token), "y": F.max("part").over(token)}).where("x <> y")
-    members = written(mixed.select("node", "part").distinct(), "mixed")
-    texts = written(fetched(source, members).join(members, "node").select("node", "part", "text"), "members")
+    members = written(mixed.select("node", "part").distinct(), "mixed", n_listed)
+    texts = written(fetched(source, members).join(members, "node").select("node", "part", "text"), "members", members.count(), TEXTS_A_TASK)
     rare = prefixes(texts, percent, size)
     shared = rare_lists(rare)
-    crowd = written(crowd_leaders(shared, percent), "crowd")
-    links = links.union(written(confirmed(crowd, texts, percent, size), "links"))
+    crowd = written(crowd_leaders(shared, percent), "crowd", shared.count())
+    links = links.union(written(confirmed(crowd, texts, percent, size), "links", crowd.count(), TEXTS_A_TASK))
     found = components(links)
     shared = shared.drop("part").join(found, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
     tried = star.union(crowd)
     rest = shingle_pairs(shared, rare, percent)
+    n_near = rest.count()
     rest = rest.join(tried.toDF("b", "a"), ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
-    more = written(confirmed(rest, texts, percent, size), "links")
+    rest = written(rest, "pairs", n_near)
+    more = written(confirmed(rest, texts, percent, size), "links", rest.count(), TEXTS_A_TASK)
     found = components(links.union(more))
     firsts = classes.select("class", "node", "first")
     smallest = likely(firsts, found, ["node"]).join(found, "node").groupBy("label").agg(F.min("first").alias("lead"))
