@@ -48,3 +48,30 @@ def test_odd_rows(odd_docs, no_docs, small):
     assert language.predict(no_docs, model, keep=["doc_id"]).count() == 0
     nothing = language.train(no_docs)
     assert {r.lang_pred for r in language.predict(odd_docs, nothing, keep=["doc_id"]).collect()} == {"und"}
+
+
+def test_batch_is_handed_on_in_pieces():
+    """A task holds the words and the probabilities of some rows, not those of a batch: what comes out does so piece by piece."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Rows:
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+        select = lambda self, *names: self
+        mapInArrow = lambda self, label, out: label
+
+    texts = [None if i % 7 == 3 else "" if i % 7 == 5 else "der hund und das haus" if i % 2 else "the dog and the house" for i in range(1050)]
+    model = language.fit([("en", "the dog and the cat of the house".split())] * 5 + [("de", "der hund und die katze in das haus".split())] * 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1050), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = list(language.predict(Rows(), model, keep=["doc_id", "text"])(iter([batch])))
+    assert max(b.num_rows for b in got) <= language.ROWS_AT_ONCE < 1050
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["doc_id"], r["text"]) for r in rows] == list(enumerate(texts))
+    assert [r["lang_pred"] for r in rows] == ["und" if not t else t[:2].replace("th", "en") for t in texts]
+
+
+def test_probabilities_without_the_parts():
+    pick = np.random.default_rng(3)
+    scores, first, moves, start = pick.normal(size=(600, 3)), pick.random(600) < 0.02, pick.normal(size=(3, 3)), pick.normal(size=3)
+    first[0] = True
+    assert (language.marginals(scores, first, moves, start, whole=False) == language.marginals(scores, first, moves, start)[3]).all()

@@ -28,6 +28,9 @@ from weir.llm.common import fraction
 #: Runs of letters; a longer run (scripts without spaces) is read in pieces.
 WORD = re.compile(r"[^\W\d_]{1,32}")
 
+#: Rows that ``predict`` takes apart at a time.
+ROWS_AT_ONCE = 100
+
 
 def features(word: str) -> list[str]:
     w = f"^{word}$"
@@ -44,16 +47,18 @@ class Model:
     start: np.ndarray       # labels
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray, step: int = 256):
+def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray, step: int = 256, whole: bool = True):
     """Probability of each label at each word of one long chain in which ``first`` marks text starts.
 
     The chain is cut into blocks of ``step`` words; matrix products of all blocks are formed side
-    by side, carried over the blocks, and then filled in. Returns (alpha, beta, emission, gamma).
+    by side, carried over the blocks, and then filled in. Returns (alpha, beta, emission, gamma); if not ``whole``,
+    gamma alone, made in the place of alpha.
     """
     n, k = scores.shape
     blocks = max(1, -(-n // step))
     emit = np.ones((blocks * step, k))
-    emit[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
+    np.subtract(scores, scores.max(axis=1, keepdims=True), out=emit[:n])
+    np.exp(emit[:n], out=emit[:n])
     cut = np.ones(blocks * step, bool)
     cut[:n] = first
     e, c = emit.reshape(blocks, step, k), cut.reshape(blocks, step)
@@ -73,17 +78,24 @@ def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: n
         out[b] = carry
         carry = block[b] @ carry
         carry /= carry.sum()
-    alpha, beta = np.empty((blocks, step, k)), np.empty((blocks, step, k))
+    alpha, beta = np.empty((blocks, step, k)), np.empty((blocks, step, k)) if whole else None
     for i in range(step):
         into = np.where(c[:, i, None], s, into @ t) * e[:, i]
         into = into / into.sum(axis=1, keepdims=True)
         alpha[:, i] = into
     for i in range(step - 1, -1, -1):
-        beta[:, i] = out
+        if whole:
+            beta[:, i] = out
+        else:
+            alpha[:, i] *= out
         seen = out * e[:, i]
         out = np.where(c[:, i, None], 1.0 / k, seen @ t.T)
         out = out / out.sum(axis=1, keepdims=True)
-    alpha, beta = alpha.reshape(-1, k)[:n], beta.reshape(-1, k)[:n]
+    alpha = alpha.reshape(-1, k)[:n]
+    if not whole:
+        alpha /= alpha.sum(axis=1, keepdims=True)
+        return alpha
+    beta = beta.reshape(-1, k)[:n]
     gamma = alpha * beta
     return alpha, beta, emit[:n], gamma / gamma.sum(axis=1, keepdims=True)
 
@@ -157,7 +169,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 class Tagger:
     """Scores of words under a model, with a memo of at most ``limit`` words between batches."""
 
-    def __init__(self, model: Model, limit: int = 400_000) -> None:
+    def __init__(self, model: Model, limit: int = 100_000) -> None:
         self.model, self.limit = model, limit
         self.weights = np.vstack([model.weights, np.zeros((1, len(model.langs)), np.float32)])
         self.clear()
@@ -187,7 +199,7 @@ class Tagger:
         ids = np.fromiter((self.rows[w] for words in texts for w in words), np.int64, sum(map(len, texts)))
         first = np.zeros(len(ids), bool)
         first[np.cumsum([0, *map(len, texts)])[:-1]] = True
-        return marginals(self.table[ids].astype(float), first, self.model.moves, self.model.start)[3]
+        return marginals(self.table[ids].astype(float), first, self.model.moves, self.model.start, whole=False)
 
 
 def _groups(texts: list[list[str]], words: int) -> Iterator[range]:
@@ -215,9 +227,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] =
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
-            lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
-            for at in range(0, batch.num_rows, 500):
-                part = [WORD.findall(x.lower()) if (x := v.as_py()) else [] for v in batch.column(at_text).slice(at, 500)]
+            # What comes in is handed on in pieces, with its texts: nothing of a batch's size is made besides it, here or by the reader.
+            for rows in (batch.slice(at, ROWS_AT_ONCE) for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                lang, score = ["und"] * rows.num_rows, [0.0] * rows.num_rows
+                part = [WORD.findall(x.lower()) if (x := v.as_py()) else [] for v in rows.column(at_text)]
                 some = [i for i, words in enumerate(part) if model.langs and any(map(str.isalpha, words))]
                 full = [part[i] for i in some]
                 for group in _groups(full, words_at_once):
@@ -227,9 +240,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] =
                     mean = np.add.reduceat(p, ends[:-1], axis=0) / np.diff(ends)[:, None]
                     for i, row in zip(group, mean):
                         best = int(row.argmax())
-                        lang[at + some[i]], score[at + some[i]] = model.langs[best], float(min(1.0, row[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             [*batch.schema.names[:len(keep)], "lang_pred", "score"])
+                        lang[some[i]], score[some[i]] = model.langs[best], float(min(1.0, row[best]))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                                 [*rows.schema.names[:len(keep)], "lang_pred", "score"])
 
     out = kept.add("lang_pred", "string").add("score", "double")
     return docs.select(*sent).mapInArrow(label, out)
