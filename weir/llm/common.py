@@ -25,20 +25,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(t, " "), "")
 
 
-def written(df: DataFrame, label: str, rows: int | None = None, each: int = 50_000) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there.
-
-    ``rows``: the most rows that ``df`` can have, if known. Its last step then takes a task for ``each`` of them, and ``FEWEST``
-    at least, instead of as many tasks and files as a shuffle has partitions, however little is in them.
-    """
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    if rows is not None:
-        df = df.coalesce(max(FEWEST, parts(rows, each)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df``, of at most ``rows`` rows, with a last step that takes a task for ``each`` of them, and ``FEWEST`` at least, instead of as
+    many tasks as a shuffle has partitions, however little is in them."""
+    return df.coalesce(max(FEWEST, parts(rows, each)))
+
+
 def fraction(value: str | Column, buckets: int = 1 << 40) -> Column:
     """A pseudo-random whole number below ``buckets``, the same on every engine with MD5."""
     digest = F.md5((F.col(value) if isinstance(value, str) else value).cast("string"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import parts, written
+from weir.llm.common import few, parts, written
 from weir.llm.shingles import Signer, overlap, shingle_sets, tokens
 
 CELLS = 1 << 18
@@ -158,7 +158,7 @@ def rare_lists(rare: DataFrame) -> DataFrame:
     posted = rare.select("node", "part", "n", F.posexplode("rare").alias("at", "token")).withColumns(
         {"met": F.count("*").over(token), "x": F.min("part").over(token), "y": F.max("part").over(token)})
     most = rare.agg(F.sum(F.size("rare"))).first()[0] or 0
-    return written(posted.where("x <> y").select("token", "at", "node", "part", "n", "met"), "shared", most)
+    return written(few(posted.where("x <> y").select("token", "at", "node", "part", "n", "met"), most), "shared")
 
 
 def crowd_leaders(lists: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +189,7 @@ def shingle_pairs(lists: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
     both = met.join(sides[0], "a").join(sides[1], "b")
     behind = F.greatest(F.col("n_a") - F.size("rare_a"), F.col("n_b") - F.size("rare_b"))
     most = F.size(F.array_intersect("rare_a", "rare_b")) + behind
-    return written(both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "near", met.count(), 5_000)
+    return written(few(both.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), met.count(), 5_000), "near")
 
 
 def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -246,14 +246,14 @@ def components(links: DataFrame) -> DataFrame:
     Labels spread to neighbours, then each label is replaced by its own label, until nothing
     changes; every round is written to the shared folder.
     """
-    edges = written(links.union(links.select("b", "a")).toDF("node", "other").where("node <> other").distinct(), "edges", 2 * links.count())
+    edges = written(few(links.union(links.select("b", "a")).toDF("node", "other").where("node <> other").distinct(), 2 * links.count()), "edges")
     rows = edges.count()
     labels = edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
     while True:
         near = edges.join(labels.toDF("other", "l"), "other").groupBy("node").agg(F.min("l").alias("near"))
         spread = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.toDF("new", "jump")
-        after = written(spread.join(jump, "new").select("node", "label", F.least("new", "jump").alias("new")), "labels", rows)
+        after = written(few(spread.join(jump, "new").select("node", "label", F.least("new", "jump").alias("new")), rows), "labels")
         changed = after.where("new <> label").limit(1).count()
         labels = after.select("node", F.col("new").alias("label"))
         if not changed:
@@ -284,40 +284,40 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     all_rows = written(signatures(docs, doc_id, text, k, size, keep), "signatures")
     some = all_rows.where("node is not null and doc_id is not null")
     # From here on a class is named by its first document: a name that every row of ``docs`` can tell, so texts are fetched by it.
-    classes = written(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")).select(
-        F.col("node").alias("class"), F.xxhash64("first.doc_id", "first.text_hash").alias("node"), "first", "n", "sig"), "classes", some.count(), 5_000)
+    classes = written(few(some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")).select(
+        F.col("node").alias("class"), F.xxhash64("first.doc_id", "first.text_hash").alias("node"), "first", "n", "sig"), some.count(), 5_000), "classes")
     source = docs.where(F.col(doc_id).cast("long").isNotNull()).select(
         F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("node"), F.col(text).cast("binary").alias("text"))
     token = Window.partitionBy("token")
     posted = postings(classes, frequencies(classes.select("sig"), _all_coordinates), matches)
-    lists = written(posted.withColumn("met", F.count("*").over(token)).where("met > 1"), "lists", classes.count() * (k - matches + 1))
+    lists = written(few(posted.withColumn("met", F.count("*").over(token)).where("met > 1"), classes.count() * (k - matches + 1)), "lists")
     n_listed = lists.count()
     degree = lists.withColumn("degree", F.sum("met").over(Window.partitionBy("node")))
-    led = written(degree.withColumn("lead", F.max(F.struct("degree", "node", "n")).over(token)).where(F.col("lead.node") != F.col("node")).select(
-        "token", "met", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a")), "led", n_listed)
+    led = written(few(degree.withColumn("lead", F.max(F.struct("degree", "node", "n")).over(token)).where(F.col("lead.node") != F.col("node")).select(
+        "token", "met", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a")), n_listed), "led")
     close = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
-    star = written(led.where(close).select("a", F.col("node").alias("b")).distinct(), "star", n_listed)
-    agreed = written(agreeing(star, classes, matches), "agreed", star.count(), TEXTS_A_TASK)
+    star = written(few(led.where(close).select("a", F.col("node").alias("b")).distinct(), n_listed), "star")
+    agreed = written(few(agreeing(star, classes, matches), star.count(), TEXTS_A_TASK), "agreed")
     texts = fetched(source, agreed.select("a").union(agreed.select("b")).toDF("node"))
-    links = written(confirmed(agreed, texts, percent, size), "links", agreed.count(), TEXTS_A_TASK)
+    links = written(few(confirmed(agreed, texts, percent, size), agreed.count(), TEXTS_A_TASK), "links")
     found = components(links)
     # The leader has met every member of its list; what is left are pairs of other members.
     member = led.where("met > 2").join(found, "node", "left").select("token", "node", F.coalesce("label", "node").alias("part"))
     mixed = member.withColumns({"x": F.min("part").over(token), "y": F.max("part").over(token)}).where("x <> y")
-    members = written(mixed.select("node", "part").distinct(), "mixed", n_listed)
-    texts = written(fetched(source, members).join(members, "node").select("node", "part", "text"), "members", members.count(), TEXTS_A_TASK)
+    members = written(few(mixed.select("node", "part").distinct(), n_listed), "mixed")
+    texts = written(few(fetched(source, members).join(members, "node").select("node", "part", "text"), members.count(), TEXTS_A_TASK), "members")
     rare = prefixes(texts, percent, size)
     shared = rare_lists(rare)
-    crowd = written(crowd_leaders(shared, percent), "crowd", shared.count())
-    links = links.union(written(confirmed(crowd, texts, percent, size), "links", crowd.count(), TEXTS_A_TASK))
+    crowd = written(few(crowd_leaders(shared, percent), shared.count()), "crowd")
+    links = links.union(written(few(confirmed(crowd, texts, percent, size), crowd.count(), TEXTS_A_TASK), "links"))
     found = components(links)
     shared = shared.drop("part").join(found, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
     tried = star.union(crowd)
     rest = shingle_pairs(shared, rare, percent)
     n_near = rest.count()
     rest = rest.join(tried.toDF("b", "a"), ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
-    rest = written(rest, "pairs", n_near)
-    more = written(confirmed(rest, texts, percent, size), "links", rest.count(), TEXTS_A_TASK)
+    rest = written(few(rest, n_near), "pairs")
+    more = written(few(confirmed(rest, texts, percent, size), rest.count(), TEXTS_A_TASK), "links")
     found = components(links.union(more))
     firsts = classes.select("class", "node", "first")
     smallest = likely(firsts, found, ["node"]).join(found, "node").groupBy("label").agg(F.min("first").alias("lead"))
