@@ -2,7 +2,8 @@ import math
 
 import numpy as np
 
-from weir.llm.exact_search import scores, top_k
+from weir.llm import exact_search
+from weir.llm.exact_search import blocks, grouped, scores, top_k
 
 
 def brute(rows, k, each=50):
@@ -51,3 +52,38 @@ def test_huge_components(spark):
     rows = [(0, [1e307, 0.0]), (1, [1e308, 1.0]), (2, [-1e307, 0.0]), (3, [0.5, 0.5]), (4, [float("inf"), 0.0])]
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0", k=3).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 1 << 61), (3, 1 << 61), (2, -(1 << 61))]
+
+
+def test_blocks_are_not_broadcast(spark):
+    """Files of blocks are small where vectors are alike; their copies for the other side are not."""
+    rows = spark.range(3000).selectExpr("id as vec_id", "array(1.0D, 2.0D, 3.0D) as embedding")
+    plan = top_k(rows, "vec_id % 5 = 0", query_rows=8, candidate_rows=64)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_groups_are_few_and_bounded(spark, monkeypatch):
+    rows = spark.range(2000).selectExpr("id", "array(double(id % 7), 2.0D) as v")
+    few, many = blocks(rows.where("id % 10 = 0"), 50, 256), blocks(rows, 40, 256)  # 4 and 50 rows a block, four bytes each
+    assert grouped(few, many, 50, 40) == (1, 10)  # a copy of the candidates, and ten of the queries that weigh as much
+    most = many.selectExpr("max(length(flat))").first()[0]
+    monkeypatch.setattr(exact_search, "CANDIDATE_BYTES", 2 * most)
+    assert grouped(few, many, 50, 40) == (1, 20)
+    monkeypatch.setattr(exact_search, "QUERY_BYTES", 1)
+    assert grouped(few, many, 50, 40) == (50, 40)
+
+
+def test_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact_search, "QUERY_BYTES", 40)
+    monkeypatch.setattr(exact_search, "CANDIDATE_BYTES", 300)
+    pick = np.random.default_rng(2)
+    rows = [(i, pick.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)] + [(i, [1.0, 1.0, 0.5]) for i in range(1000, 1200)]
+    check(spark, rows, query_rows=2, candidate_rows=20)
+
+
+def test_components_keep_their_values_in_every_number_type(spark):
+    pick = np.random.default_rng(3)
+    rows = [(i, (pick.normal(size=3) * 10.0 ** (i % 6)).tolist()) for i in range(200)]
+    check(spark, rows, query_rows=3, candidate_rows=7)
+    rows = spark.createDataFrame([(0, [127.0, -127.0]), (1, [128.0, -128.0]), (2, [-32768.0]), (3, [2.0 ** 31]), (4, [])], "id long, v array<double>")
+    found = {r.ids[0]: (r.kind, np.frombuffer(r.flat, r.kind).tolist()) for i in range(5) for r in blocks(rows.where(f"id = {i}"), 1, 1).collect()}
+    assert found == {0: ("<i1", [127, -127]), 1: ("<i2", [128, -128]), 2: ("<i4", [-32768]), 3: ("<f8", [2.0 ** 31]), 4: ("<i1", [0])}
